@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, lines, packing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.dedup_lines(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing, op3_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": lines.ORACLE_SQL}
