@@ -76,3 +76,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words between ASCII white space, as (number of each word, distinct words, words per text)."""
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not full.all():
+        owner = np.repeat(np.arange(len(counts)), counts)
+        counts = np.bincount(owner[full], minlength=len(counts))
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), counts
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A stable 64-bit hash of each word."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
