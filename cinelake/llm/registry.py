@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, minhash, packing
+from . import bpe, lines, minhash, packing, suffixes
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing, op3_line_dedup, op5_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing, op3_line_dedup, op5_minhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
