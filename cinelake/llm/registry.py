@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, minhash, packing, suffixes
+from . import bpe, lines, minhash, packing, quality, suffixes, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +28,20 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing, op3_line_dedup, op5_minhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_best_fit_packing, op3_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_quality_rules, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
