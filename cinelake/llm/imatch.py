@@ -63,6 +63,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     return joined.select("_id", "_text", F.when(F.col("_n").isNotNull(), F.col("_n")["_text"]).otherwise(F.col("_h")).alias("_next"))
 
 
+def subset(k: int) -> Column:
+    """The terms of ``_set`` in the k-th subset."""
+    if k < SUBSETS:
+        return F.filter("_set", lambda t: F.pmod(t, F.lit(SPACE)) == k)
+    own, part = SUBSETS + (k - SUBSETS) // 4, k % 4
+    return F.filter("_set", lambda t: (F.pmod(t, F.lit(SPACE)) == own) & (F.pmod(F.shiftright(t, 20), F.lit(4)) == part))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets that are not empty in both ("0": empty); equal fingerprints have 1."""
     pairs = F.zip_with(F.split(a, ":"), F.split(b, ":"), lambda x, y: F.when((x == "0") & (y == "0"), F.lit(None)).otherwise((x == y).cast("int")))
@@ -76,9 +84,7 @@ def fingerprints(texts: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
     band, above = lexicon(terms, n_docs)
     rows = texts.select("_k", F.explode("_terms").alias("_t")).join(F.broadcast(above), "_t", "left_anti")
     kept = rows.join(band, "_t").groupBy("_k").agg(F.array_sort(F.collect_set("_t")).alias("_set"))
-    dense = [F.filter("_set", lambda t, k=k: F.pmod(t, F.lit(SPACE)) == k) for k in range(SUBSETS)]
-    sparse = [F.filter("_set", lambda t, k=k: (F.pmod(t, F.lit(SPACE)) == SUBSETS + k // 4) & (F.pmod(F.shiftright(t, 20), F.lit(4)) == k % 4)) for k in range(SUBSETS)]
-    hashes = [F.when(F.size(s) > 0, F.hex(F.xxhash64(s))).otherwise("0") for s in dense + sparse]
+    hashes = [F.when(F.size(s) > 0, F.hex(F.xxhash64(s))).otherwise("0") for s in map(subset, range(2 * SUBSETS))]
     made = kept.select("_k", F.concat_ws(":", *hashes).alias("_fp"))
     plain = texts.groupBy("_k").agg(F.first("_all").alias("_all"))
     empty = ":".join(["0"] * (2 * SUBSETS))

@@ -155,11 +155,11 @@ WITH templates AS (SELECT n, label, list_distinct(toks) AS toks FROM (VALUES {li
 docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 split AS (SELECT doc_id, low, {words("low")} AS w FROM docs),
 spots AS (SELECT doc_id, w, {", ".join(f"{s} AS p{i}" for i, s in enumerate(spots))} FROM split),
-base AS (SELECT doc_id, len(w) AS n_words, list_sort(list_concat(p0, list_concat(p1, p2))) AS at, list_filter([{labels}], lambda x: x IS NOT NULL) AS b FROM spots),
+base AS (SELECT doc_id, len(w) AS n_words, list_sort(list_concat(p0, list_concat(p1, p2))) AS spot, list_filter([{labels}], lambda x: x IS NOT NULL) AS b FROM spots),
 lines AS (SELECT doc_id, {words("line")} AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs)),
 hits AS (SELECT doc_id, label, len(list_intersect(toks, w)) / len(toks) AS share FROM lines CROSS JOIN templates WHERE len(list_intersect(toks, w)) >= ceil({THRESHOLD} * len(toks) - 1e-9)),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM hits GROUP BY doc_id)
-SELECT doc_id, n_words, len(at) AS n_base, at[1] AS first_word, at[-1] AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(at) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+SELECT doc_id, n_words, len(spot) AS n_base, spot[1] AS first_word, spot[-1] AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(spot) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
 FROM base LEFT JOIN best USING (doc_id)
 """
