@@ -22,9 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (as long) and the text, under private names that clash with nothing."""
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the id (as long), the text and the columns to carry along, under private names that clash with nothing."""
+    own = [F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")]
+    return docs.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    """The carried columns as the tail of a schema string."""
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:

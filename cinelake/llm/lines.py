@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, id_text, slices, texts_of
+from .common import carried, column_of, id_text, slices, texts_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -233,14 +233,15 @@ def reference_counts(docs: DataFrame, least_holders: int = 1) -> DataFrame:
     return docs.mapInArrow(combine, COUNTS).repartition("_key").mapInArrow(shard, COUNTS)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drop repeated lines: ``doc_id, n_lines, n_dropped, kept`` for each row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Drop repeated lines: ``doc_id, n_lines, n_dropped, kept`` and the carried columns for each row.
 
     A key of at least ten code points that two or more documents hold loses all its lines except in the least
     document that holds it.  Null or empty text: one empty line, kept as the empty text.  Rows that share an id
     are one document, each edited alike.  Rows with a null id hold no references and stay as they are.
     """
-    own = id_text(docs, id_col, text_col)
+    own = id_text(docs, id_col, text_col, carry)
+    more = [f"_c{i}" for i in range(len(carry))]
     shared = reference_counts(own, 2).select("_key", "_least")
     # A hot key's references are many rows of one join key, which adaptive execution splits.
     drops = references(own).join(shared, "_key").filter("_doc <> _least").groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
@@ -257,9 +258,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 kept.append(b"\n".join(stay).decode())
                 lines.append(len(split))
                 dropped.append(len(split) - len(stay))
-            yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), *(column_of(b, c) for c in more)], ["doc_id", "n_lines", "n_dropped", "kept", *carry])
 
-    return own.join(drops, F.col("_id") == F.col("_doc"), "left").select("_id", "_text", "_drop").mapInArrow(edit, "doc_id long, n_lines long, n_dropped long, kept string")
+    return own.join(drops, F.col("_id") == F.col("_doc"), "left").select("_id", "_text", "_drop", *more).mapInArrow(edit, "doc_id long, n_lines long, n_dropped long, kept string" + carried(docs, carry))
 
 
 class LineIndex:

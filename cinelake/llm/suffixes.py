@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, id_text, mix64, shared_checkpoint, slices
+from .common import carried, column_of, id_text, mix64, shared_checkpoint, slices
 
 GRAM = 32
 PLACE = np.uint64((1 << 31) - 1)
@@ -266,15 +266,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 4 << 2
     return whole.unionByName(spans).groupBy("_k").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept binary``: a row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False, **bounds: int) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` and the carried columns: a row for each row of ``docs``.
+
+    ``kept`` is binary, as a span may end within a character; with ``as_text`` it is a string without the pieces of
+    such characters.
 
     A null or empty text has no bytes; texts shorter than ``length`` stay whole.  Repeated rows are texts of their
     own, so that their long strings all go.  A null id stays null.  ``bounds`` are those of ``repeated_spans``.
     """
-    own = id_text(docs, id_col, text_col).withColumn("_k", F.xxhash64("_id", "_text"))
+    own = id_text(docs, id_col, text_col, carry).withColumn("_k", F.xxhash64("_id", "_text"))
     spans = repeated_spans(own.select("_k", "_text"), length, **bounds).withColumnRenamed("_k", "_key")
 
+    more = [f"_c{i}" for i in range(len(carry))]
+
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[tuple] = []
@@ -287,12 +292,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     at = max(at, x[1])
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append((len(text), len(text) - len(rest), runs, rest))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([column_of(b, "_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((len(text), len(text) - len(rest), runs, rest.decode("utf-8", "ignore") if as_text else rest))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays([column_of(b, "_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types)), *(column_of(b, c) for c in more)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    joined = own.join(spans, F.col("_k") == F.col("_key"), "left").select("_id", "_text", "_spans")
-    return joined.mapInArrow(edit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = own.join(spans, F.col("_k") == F.col("_key"), "left").select("_id", "_text", "_spans", *more)
+    return joined.mapInArrow(edit, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + carried(docs, carry))
 
 
 def digests(removed: DataFrame) -> DataFrame:

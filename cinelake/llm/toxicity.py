@@ -235,3 +235,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts are scored below the threshold."""
+    model = fit(*training_rows(docs, labels, "toxic", rows, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, max_bytes=4 << 20):
+            yield b.filter(pa.array(model.scores(column_of(b, text_col)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

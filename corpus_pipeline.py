@@ -1,22 +1,64 @@
-"""A corpus-cleaning pipeline of training-data operators (stages are added as they are written)."""
+"""A corpus-cleaning pipeline of training-data operators.
+
+Each stage reads what its predecessor kept, whole, and its decisions take effect: toxic documents go, repeated
+lines go, one document of each near-duplicate group stays, long repeated byte strings go, and what is left is
+packed into sequences.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinelake.llm import lines, minhash, packing, suffixes, toxicity
+from cinelake.llm.common import read_table, shared_checkpoint
+
+CARRIED = ("lang", "source")
+
+
+def _documents(edited: DataFrame) -> DataFrame:
+    """The columns of ``documents`` with the kept text and its length."""
+    return edited.select("doc_id", F.col("kept").alias("text"), *CARRIED, F.char_length("kept").cast("long").alias("n_chars"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
 
-from cinelake.llm import packing
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(lines.dedup_lines(docs, carry=CARRIED))
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(suffixes.remove_repeats(docs, length=200, carry=CARRIED, as_text=True))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Scores, signatures and tokens have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each stage's rows are materialised in the shared checkpoint folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = shared_checkpoint(docs)
     return docs
