@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import audio_queries, control_queries, frame_queries, scalar_queries, text_queries  # noqa: F401  they register themselves
+from .registration import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "rational_reduce"
 
-FLAGSHIP = "agg_stage_timing"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
-
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with SQL that gives the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("SELECT event_type, count(*) AS n, sum(value) AS total, max(value) AS peak FROM events GROUP BY event_type")
-def agg_stage_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("peak"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
