@@ -1 +1,175 @@
-"""Queries (being written)."""
+"""Queries of the audio operators over the samples stand-in."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import audio, dsp
+from ..operators.islands import near_join
+from . import views
+from .registration import query
+
+S = f"WITH {views.SAMPLES}"
+RUNS = "SELECT stream, min(i) AS start, max(i) + 1 AS stop FROM (SELECT stream, i, i - row_number() OVER (PARTITION BY stream ORDER BY i) AS g FROM {source} WHERE {test}) GROUP BY stream, g HAVING count(*) >= {least}"
+BLOCKS = """blocks AS (SELECT stream, block, CASE WHEN energy > 0 THEN -0.691 + 10 * log10(energy / (8 * 32768.0 * 32768.0)) ELSE '-inf'::DOUBLE END AS lufs FROM
+ (SELECT stream, block, sum(x::BIGINT * x)::DOUBLE AS energy FROM (SELECT *, count(*) OVER (PARTITION BY stream) AS n FROM samples) s, range(0, 100000) b(block) WHERE n >= 8 AND block <= (n - 8) // 2 AND i >= 2 * block AND i < 2 * block + 8 GROUP BY stream, block))"""
+
+
+@query(f"{S} {RUNS.format(source='samples', test='abs(x) < 2000', least=2)}")
+def silence_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.silence(views.samples(spark, sf_dir), 2000, 2)
+
+
+@query(f"""{S}, chunks AS (SELECT stream, i // 4 AS i, sum(x::BIGINT * x) < count(*) * 16000000 AS quiet FROM samples GROUP BY 1, 2), ends AS (SELECT stream, max(i) AS e FROM chunks GROUP BY 1),
+runs AS ({RUNS.format(source="chunks", test="quiet", least=2)}) SELECT stream, start * 4 AS start, stop * 4 AS stop FROM runs JOIN ends USING (stream) WHERE stop <= e""")
+def rms_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.rms_silence(views.samples(spark, sf_dir), 4, 4000, 2)
+
+
+@query(f"{S} SELECT stream, i, CAST(trunc(least(greatest(x * 2.5::DOUBLE, -32768), 32767)) AS INTEGER) AS x FROM samples")
+def volume_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.volume(views.samples(spark, sf_dir), 2.5)
+
+
+@query(f"""{S}, r AS (SELECT stream, sqrt(sum(x::BIGINT * x)::DOUBLE / count(*)) AS rms, max(abs(x)) AS peak FROM samples GROUP BY 1)
+SELECT stream, round(rms, 6) AS rms, peak, round(CASE WHEN rms / 32768 < 0.001 THEN 1.0 ELSE 0.2 * 32768 / rms END, 6) AS gain FROM r""")
+def rms_normalize_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = views.samples(spark, sf_dir).groupBy("stream").agg(F.sqrt(F.sum(F.col("x").cast("long") * F.col("x")) / F.count("*")).alias("rms"), F.max(F.abs("x")).alias("peak"))
+    return whole.select("stream", F.round("rms", 6).alias("rms"), "peak", F.round(F.when(F.col("rms") / 32768 < 0.001, 1.0).otherwise(0.2 * 32768 / F.col("rms")), 6).alias("gain"))
+
+
+@query(f"{S}, r AS (SELECT stream, sqrt(avg(x::DOUBLE * x)) AS rms FROM samples GROUP BY 1) SELECT stream, count(*) AS n, max(abs(trunc(least(greatest(x * (0.2 * 32768 / rms), -32768), 32767)))::INTEGER) AS peak FROM samples JOIN r USING (stream) GROUP BY 1")
+def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.rms_normalize(views.samples(spark, sf_dir), 0.2).groupBy("stream").agg(F.count("*").alias("n"), F.max(F.abs("x")).alias("peak"))
+
+
+@query(f"""{S}, n AS (SELECT stream, count(*) AS n FROM samples GROUP BY 1), k AS (SELECT stream, unnest(range(n * 3 // 2)) AS k, n FROM n)
+SELECT k.stream, k AS i, round(CASE WHEN b.x IS NULL THEN a.x::DOUBLE ELSE a.x + (b.x - a.x) * (k * 2 / 3.0::DOUBLE - k * 2 // 3) END, 6) AS x FROM k JOIN samples a ON a.stream = k.stream AND a.i = k * 2 // 3 LEFT JOIN samples b ON b.stream = k.stream AND b.i = k * 2 // 3 + 1""")
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.resample_linear(views.samples(spark, sf_dir), 3, 2).select("stream", "i", F.round("x", 6).alias("x"))
+
+
+@query(f"{S} SELECT stream, i, round(sqrt(sum(x::BIGINT * x) OVER w / count(*) OVER w), 6) AS rms FROM samples WINDOW w AS (PARTITION BY stream ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+def rms_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.rms_meter(views.samples(spark, sf_dir), 10).withColumn("rms", F.round("rms", 6))
+
+
+_PAIRS = "pairs AS (SELECT stream, i, x AS l, coalesce(lag(x, 2) OVER (PARTITION BY stream ORDER BY i), 0) AS r FROM samples)"
+
+
+@query(f"""{S}, {_PAIRS}, s AS (SELECT stream, i, count(*) OVER w AS n, sum(l::BIGINT * r) OVER w AS lr, (sum(l::BIGINT * l) OVER w)::DOUBLE * (sum(r::BIGINT * r) OVER w) AS p FROM pairs WINDOW w AS (PARTITION BY stream ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT stream, i, round(CASE WHEN n < 2 OR p = 0 THEN 0 ELSE greatest(-1, least(1, lr / sqrt(p))) END, 6) AS correlation FROM s""")
+def stereo_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("stream").orderBy("i")
+    pairs = views.samples(spark, sf_dir).select("stream", "i", F.col("x").alias("l"), F.coalesce(F.lag("x", 2).over(order), F.lit(0)).alias("r"))
+    return audio.phase_correlation(pairs, 8).withColumn("correlation", F.round("correlation", 6))
+
+
+@query(f"{S} SELECT stream, CAST(sum((abs(x) >= 20000)::INTEGER) AS BIGINT) AS clipped, count(*) AS n FROM samples GROUP BY 1")
+def clipped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.clipping(views.samples(spark, sf_dir), 20000)
+
+
+@query(f"{S}, {BLOCKS} SELECT stream, block, round(lufs, 6) AS lufs FROM blocks")
+def loudness_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2).withColumn("lufs", F.round("lufs", 6))
+
+
+@query(f"{S}, {BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70) SELECT stream, round(avg(lufs), 6) AS lufs, count(*) AS blocks FROM g WHERE lufs > m - 10 GROUP BY stream")
+def integrated_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.integrated_loudness(audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2)).withColumn("lufs", F.round("lufs", 6))
+
+
+@query(f"{S}, {BLOCKS}, o AS (SELECT stream, list(lufs ORDER BY lufs) AS l FROM blocks WHERE lufs > -70 GROUP BY 1) SELECT stream, round(CASE WHEN len(l) < 2 THEN 0 ELSE l[len(l) * 95 // 100 + 1] - l[len(l) * 10 // 100 + 1] END, 6) AS lra FROM o")
+def loudness_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.loudness_range(audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2)).withColumn("lra", F.round("lra", 6))
+
+
+@query(f"{S}, {BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70), t AS (SELECT stream, avg(lufs) AS lufs FROM g WHERE lufs > m - 10 GROUP BY 1), p AS (SELECT stream, max(abs(x)) AS peak FROM samples GROUP BY 1) SELECT stream, round(least(-23 - lufs, -1 - 20 * log10(peak / 32768.0)), 6) AS gain_db FROM t JOIN p USING (stream)")
+def loudness_normalize_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.samples(spark, sf_dir)
+    level = audio.integrated_loudness(audio.loudness_blocks(rows, 8, 2)).join(audio.true_peak(rows), "stream")
+    return level.select("stream", F.round(F.least(-23 - F.col("lufs"), -1 - 20 * F.log10(F.col("peak") / 32768.0)), 6).alias("gain_db"))
+
+
+_SPIKES = "spikes AS (SELECT stream, min(i) AS i FROM (SELECT stream, i, x - lag(x) OVER (PARTITION BY stream ORDER BY i) AS rise FROM samples) WHERE rise > 5000 GROUP BY stream, i // 4)"
+
+
+@query(f"{S}, {_SPIKES} SELECT stream, i FROM spikes")
+def spike_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.spikes(views.samples(spark, sf_dir), 5000, 4)
+
+
+@query(f"{S}, {_SPIKES}, other AS (SELECT stream, i + 3 AS i FROM spikes) SELECT a.stream, a.i AS i, b.i AS other FROM spikes a JOIN other b ON a.stream = b.stream AND abs(a.i - b.i) <= 2")
+def spike_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.spikes(views.samples(spark, sf_dir), 5000, 4)
+    return near_join(found, found.withColumn("i", F.col("i") + 3), "stream", "i", 2).select("stream", "i", "other")
+
+
+@query(f"""{S}, lags AS (SELECT unnest(range(1, 6)) AS lag), d AS (SELECT a.stream, lag, sum(a.x::BIGINT * b.x) AS d, sum(a.x::BIGINT * a.x) AS aa, sum(b.x::BIGINT * b.x) AS bb FROM samples a, lags, samples b WHERE a.stream = b.stream AND b.i = a.i + lag GROUP BY 1, 2)
+SELECT stream, CAST(lag AS INTEGER) AS lag, round(d / sqrt(aa::DOUBLE * bb), 6) AS score FROM d WHERE aa * bb > 0""")
+def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audio.lag_correlation(views.samples(spark, sf_dir), 5)
+    return rows.filter("score IS NOT NULL").withColumn("score", F.round("score", 6))
+
+
+@query(f"{S}, lags AS (SELECT unnest(range(1, 6)) AS lag), d AS (SELECT a.stream, lag, sum(a.x::BIGINT * b.x) / sqrt(sum(a.x::BIGINT * a.x)::DOUBLE * sum(b.x::BIGINT * b.x)) AS s FROM samples a, lags, samples b WHERE a.stream = b.stream AND b.i = a.i + lag GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY round(s, 9) DESC, lag) AS k FROM d WHERE s IS NOT NULL) SELECT stream, CAST(lag AS INTEGER) AS sync_offset FROM r WHERE k = 1")
+def sync_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = W.partitionBy("stream").orderBy(F.round("score", 9).desc(), "lag")
+    rows = audio.lag_correlation(views.samples(spark, sf_dir), 5).filter("score IS NOT NULL")
+    return rows.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("stream", F.col("lag").alias("sync_offset"))
+
+
+@query(f"{S} SELECT stream, round(regr_slope(x, i), 6) AS drift, count(*) AS n FROM samples GROUP BY stream HAVING count(*) > 2")
+def drift_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.samples(spark, sf_dir).groupBy("stream").agg(F.round(F.regr_slope("x", "i"), 6).alias("drift"), F.count("*").alias("n")).filter("n > 2")
+
+
+def _summary(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("stream").agg(F.round(F.max(F.abs(name)), 6).alias("peak"), F.round(F.avg(name), 6).alias("mean"), F.count("*").alias("n"))
+
+
+_EWMA = f"""WITH RECURSIVE {views.SAMPLES}, w AS (SELECT stream, i, abs(x) / 32768.0::DOUBLE AS v FROM samples), f AS (SELECT stream, i, (1 - exp(-1 / 14.4::DOUBLE)) * v AS vu FROM w WHERE i = 0
+UNION ALL SELECT w.stream, w.i, exp(-1 / 14.4::DOUBLE) * f.vu + (1 - exp(-1 / 14.4::DOUBLE)) * w.v FROM f JOIN w ON w.stream = f.stream AND w.i = f.i + 1) SELECT stream, round(max(abs(vu)), 6) AS peak, round(avg(vu), 6) AS mean, count(*) AS n FROM f GROUP BY stream"""
+
+
+@query(_EWMA)
+def vu_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.vu_meter(views.samples(spark, sf_dir), 48, 300.0), "vu")
+
+
+@query()
+def peak_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.peak_hold(views.samples(spark, sf_dir), 4, 8, 0.9), "peak")
+
+
+@query()
+def parametric_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.parametric_eq(views.samples(spark, sf_dir), [(1000.0, 6.0, 1.0), (4000.0, -3.0, 2.0)]), "y")
+
+
+@query()
+def compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.compressor(views.samples(spark, sf_dir)), "y")
+
+
+@query()
+def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.limiter(views.samples(spark, sf_dir)), "y")
+
+
+@query()
+def expander(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.expander(views.samples(spark, sf_dir)), "y")
+
+
+@query()
+def de_esser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.de_esser(views.samples(spark, sf_dir)), "y")
+
+
+@query()
+def k_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dsp.k_weighted(views.samples(spark, sf_dir)), "y")

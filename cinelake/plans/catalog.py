@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import audio_queries, control_queries, frame_queries, scalar_queries, text_queries  # noqa: F401  they register themselves
 from .registration import QUERIES, SQL, Query
 
-FLAGSHIP = "rational_reduce"
+FLAGSHIP = "silence_islands"
 
 
 def queries() -> dict[str, Query]:
