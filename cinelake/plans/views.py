@@ -55,7 +55,7 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "I").when(F.col("l_returnflag") == "N", "P").otherwise("B")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("stream"),
-        F.col("l_linenumber").cast("long").alias("idx"),
+        F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).cast("long").alias("idx"),
         kind.alias("kind"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("bits"),
         F.round(F.col("l_discount") * 100).cast("long").alias("complexity"),
@@ -63,7 +63,7 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATS = "stats AS (SELECT l_orderkey AS stream, CAST(l_linenumber AS BIGINT) AS idx, CASE l_returnflag WHEN 'A' THEN 'I' WHEN 'N' THEN 'P' ELSE 'B' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS bits, CAST(round(l_discount * 100) AS BIGINT) AS complexity, CAST(round(l_quantity) AS BIGINT) AS motion FROM lineitem)"
+STATS = "stats AS (SELECT l_orderkey AS stream, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS idx, CASE l_returnflag WHEN 'A' THEN 'I' WHEN 'N' THEN 'P' ELSE 'B' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS bits, CAST(round(l_discount * 100) AS BIGINT) AS complexity, CAST(round(l_quantity) AS BIGINT) AS motion FROM lineitem)"
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
