@@ -70,9 +70,9 @@ def dash_segment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("stream", profile.alias("profile"), "segment").withColumn("url", F.format_string("%d/segment_%05d.m4s", "profile", "segment"))
 
 
-@query(f"{ST}, w AS (SELECT *, avg(complexity) OVER (PARTITION BY stream) AS m, avg(complexity) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a FROM stats) SELECT stream, idx, round(greatest(500, least(3000, 1000 * CASE WHEN m = 0 THEN 1.0 ELSE (0.7 * complexity + 0.3 * a) / m END * CASE kind WHEN 'I' THEN 1.5 WHEN 'P' THEN 1.0 ELSE 0.7 END)), 4) AS budget FROM w")
+@query(f"{ST}, w AS (SELECT *, avg(complexity) OVER (PARTITION BY stream) AS m, avg(complexity) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a FROM stats) SELECT stream, idx, round(greatest(500, least(3000, 1000 * CASE WHEN m = 0 THEN 1.0 ELSE (0.7 * complexity + 0.3 * a) / m END * CASE kind WHEN 'I' THEN 1.5 WHEN 'P' THEN 1.0 ELSE 0.7 END)), 8) AS budget FROM w")
 def look_ahead_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.look_ahead_bitrate(views.frame_stats(spark, sf_dir), 3, 1000).select("stream", "idx", F.round("budget", 4).alias("budget"))
+    return C.look_ahead_bitrate(views.frame_stats(spark, sf_dir), 3, 1000).select("stream", "idx", F.round("budget", 8).alias("budget"))
 
 
 @query(f"{ST} SELECT stream, idx, round(greatest(0, least(51, 26 * avg(complexity) OVER (PARTITION BY stream) / greatest(complexity, 0.1) * CASE kind WHEN 'I' THEN 0.8 WHEN 'P' THEN 1.0 ELSE 1.2 END)), 6) AS q FROM stats")
