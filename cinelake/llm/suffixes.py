@@ -86,16 +86,16 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     suffixes h bytes on, h doubling each round; groups of one are never touched again.
     """
     n = len(text)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
+    padded = np.append(text.astype(np.int64) + 1, np.zeros(7, np.int64))  # zero stands for the end
+    key = np.zeros(n, np.int64)
+    for k in range(7):
+        key = key * 257 + padded[k : k + n]
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.append(True, key[1:] != key[:-1])
     group = np.empty(n, np.int64)  # the place of a group's first member stands for the group
     group[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    h = 8
+    h = 7
     single = starts & np.append(starts[1:], True)
     places = np.flatnonzero(~single)
     while len(places):
