@@ -53,7 +53,7 @@ def parse_ass(texts: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.col(text), "\r\n?", "\n")
     events = F.regexp_extract(body, r"(?s)\[Events\]\n(.*?)(?:\n\[|$)", 1)
     rows = texts.select(key, F.split(events, "\n").alias("lines"))
-    names = F.transform(F.split(F.regexp_replace(F.element_at(F.filter("lines", lambda x: x.startswith("Format:")), 1), "^Format:", ""), ","), F.trim)
+    names = F.transform(F.split(F.regexp_replace(F.element_at(F.filter("lines", lambda x: x.startswith("Format:")), 1), "^Format:", ""), ","), lambda x: F.trim(x))
     rows = rows.select(key, names.alias("names"), F.posexplode(F.filter("lines", lambda x: x.startswith("Dialogue:"))).alias("ordinal", "line"))
     n = F.size("names")
     fields = F.transform(F.expr("split(substring(line, 10), ',', size(names))"), lambda x, i: F.when(i < n - 1, F.trim(x)).otherwise(F.ltrim(x)))
