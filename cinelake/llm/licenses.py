@@ -77,7 +77,10 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 
 
 def block_matches(blocks: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """``_k, _label, _share`` for each block (``_k``, ``_tok``: distinct template tokens in it) and matching template."""
+    """``_k, _label, _share`` for each block (``_k, _n``; ``_tok``: distinct template tokens in it) that matches a template.
+
+    A block that meets the threshold of several templates takes the one that it holds most of, the longest of equals.
+    """
     spark = blocks.sparkSession
     rank = {t: i for i, t in enumerate(order)}
     rows = []
@@ -88,11 +91,14 @@ def block_matches(blocks: DataFrame, order: list[str], templates: list[tuple[str
             rows.append((token, number, label, place, need, ordered))
     table = spark.createDataFrame(rows, "_t string, _number int, _label string, _place int, _need int, _set array<string>")
     prefixes = strings(sorted({r[0] for r in rows}))
-    met = blocks.select("_k", "_tok", F.explode(F.array_intersect("_tok", prefixes)).alias("_t")).join(F.broadcast(table), "_t")
+    met = blocks.select("_k", "_n", "_tok", F.explode(F.array_intersect("_tok", prefixes)).alias("_t")).join(F.broadcast(table), "_t")
     # length and positional filters; the first met place of a template verifies it
     met = met.filter((F.size("_tok") >= F.col("_need")) & (F.size("_set") - F.col("_place") >= F.col("_need")))
     met = met.filter(~F.arrays_overlap("_tok", F.slice(F.col("_set"), F.lit(1), F.col("_place"))))
-    return met.withColumn("_share", F.size(F.array_intersect("_tok", "_set")) / F.size("_set")).filter(F.size(F.array_intersect("_tok", "_set")) >= F.col("_need")).select("_k", "_label", "_share")
+    common = F.size(F.array_intersect("_tok", "_set"))
+    met = met.filter(common >= F.col("_need")).withColumn("_share", common / F.size("_set"))
+    best = F.max_by(F.struct("_label", "_share"), F.struct("_share", F.size("_set"), -F.col("_number")))
+    return met.groupBy("_k", "_n").agg(best.alias("_m")).select("_k", "_m._label", "_m._share")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,14 +118,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     facts = scanned.select("_id", F.size("_w").cast("long").alias("n_words"), F.when(near, F.col("_low")).alias("_near"), *[place(p).alias(f"_p{i}") for i, p in enumerate(PHRASES)])
     places = F.array_sort(F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))]))
     base = F.filter(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    facts = facts.select("_id", F.xxhash64("_near").alias("_k"), "_near", "n_words", places.alias("_at"), base.alias("_base"))
+    facts = facts.select("_id", F.when(F.col("_near").isNull(), F.xxhash64("_id")).otherwise(F.xxhash64("_near")).alias("_k"), F.col("_near").isNotNull().alias("_is"), "_near", "n_words", places.alias("_at"), base.alias("_base"))
 
-    # Equal texts are joined once.
-    lines = facts.filter("_near IS NOT NULL").select("_k", F.explode(F.split("_near", "\n")).alias("_line"))
-    blocks = lines.select("_k", F.array_intersect(words_of(F.col("_line")), strings(tokens)).alias("_tok")).filter(F.size("_tok") > 0)
+    # Equal texts are joined once; other rows keep their ids as keys, so that they do not meet in one task.
+    lines = facts.filter("_near IS NOT NULL").dropDuplicates(["_k"]).select("_k", F.posexplode(F.split("_near", "\n")).alias("_n", "_line"))
+    blocks = lines.select("_k", "_n", F.array_intersect(words_of(F.col("_line")), strings(tokens)).alias("_tok")).filter(F.size("_tok") > 0)
     found = block_matches(blocks, order, templates, threshold)
-    found = found.groupBy("_k").agg(F.collect_set("_label").alias("_more"), F.max("_share").alias("_score"))
-    out = facts.drop("_near").join(found, "_k", "left")
+    found = found.groupBy("_k").agg(F.collect_set("_label").alias("_more"), F.max("_share").alias("_score"), F.lit(True).alias("_is"))
+    out = facts.drop("_near").join(found, ["_k", "_is"], "left")
     n = F.size("_at")
     return out.select(
         F.col("_id").alias("doc_id"),
@@ -156,8 +162,9 @@ docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXY
 split AS (SELECT doc_id, low, {words("low")} AS w FROM docs),
 spots AS (SELECT doc_id, w, {", ".join(f"{s} AS p{i}" for i, s in enumerate(spots))} FROM split),
 base AS (SELECT doc_id, len(w) AS n_words, list_sort(list_concat(p0, list_concat(p1, p2))) AS spot, list_filter([{labels}], lambda x: x IS NOT NULL) AS b FROM spots),
-lines AS (SELECT doc_id, {words("line")} AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs)),
-hits AS (SELECT doc_id, label, len(list_intersect(toks, w)) / len(toks) AS share FROM lines CROSS JOIN templates WHERE len(list_intersect(toks, w)) >= ceil({THRESHOLD} * len(toks) - 1e-9)),
+lines AS (SELECT doc_id, i, {words("line")} AS w FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs))),
+pairs AS (SELECT doc_id, i, n, label, len(toks) AS size, len(list_intersect(toks, w)) / len(toks) AS share FROM lines CROSS JOIN templates WHERE len(list_intersect(toks, w)) >= ceil({THRESHOLD} * len(toks) - 1e-9)),
+hits AS (SELECT doc_id, label, share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY share DESC, size DESC, n) AS k FROM pairs) WHERE k = 1),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM hits GROUP BY doc_id)
 SELECT doc_id, n_words, len(spot) AS n_base, spot[1] AS first_word, spot[-1] AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(spot) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
