@@ -54,7 +54,12 @@ def components(links: DataFrame) -> DataFrame:
         if stars:
             yield pa.RecordBatch.from_arrays([pa.array(list(stars), pa.int64()), pa.array(list(stars.values()), pa.int64())], ["_a", "_b"])
 
-    stars = shared_checkpoint(links.select("_a", "_b").mapInArrow(contract, "_a long, _b long").distinct())
+    stars = links.select("_a", "_b").mapInArrow(contract, "_a long, _b long")
+    # A vertex has one root per partition at most.  It keeps the least, and so do its other roots: no more links
+    # than vertices and pairs of roots go on.
+    roots = stars.groupBy("_a").agg(F.collect_set("_b").alias("_s"))
+    roots = roots.select(F.explode(F.array_union(F.array("_a"), "_s")).alias("_a"), F.array_min("_s").alias("_b"))
+    stars = shared_checkpoint(roots.distinct())
     both = stars.filter("_a <> _b")
     both = both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     labels = stars.groupBy(F.col("_a").alias("_v")).agg(F.min("_b").alias("_c"))
