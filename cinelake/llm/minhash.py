@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,14 @@ from pyspark.sql import functions as F
 from .common import column_of, id_text, mix64, shared_checkpoint, slices, word_hashes, words_of
 from .graph import components, links_within
 
-ROWS, BANDS = 7, 32
+ROWS, MISSED = 6, 1e-6
+
+
+def band_count(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
+    """Bands with which a pair at the threshold shares no bucket with a probability of at most ``missed``."""
+    return math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** rows))
+
+
 LEVEL = np.uint64(1 << 32)
 LOOKBACK = 12
 
@@ -152,13 +160,14 @@ def intersections(sets: list[np.ndarray], dense_from: int = 9, columns: int = 20
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``.
 
     Documents are linked if 100 * common >= ``percent`` * union over their distinct word shingles.  Null or empty
     texts have no shingles and are linked with nothing.  Rows that repeat an id with equal texts share a class; with
     unequal texts each has its own text's component.  A row with a null id has a null component and is kept.
     """
+    bands = bands or band_count(percent, rows)
     own = id_text(docs, id_col, text_col)
     sized = shared_checkpoint(signed(own, width, bands, rows))
     full = sized.filter("_n > 0 AND _id IS NOT NULL")
