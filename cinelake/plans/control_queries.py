@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import control as C
+from ..operators import documents as D
 from ..operators.islands import asof_join, trailing
 from . import views
 from .registration import query
@@ -176,3 +177,13 @@ def bd_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = F.when(F.col("idx") % 2 == 0, "a").otherwise("b")
     points = views.frame_stats(spark, sf_dir).select((F.col("stream") % 50).alias("key"), curve.alias("curve"), (F.col("bits") / 100).alias("rate"), (30 + F.log(F.col("bits").cast("double")) + F.col("motion") / 50).alias("psnr"))
     return C.bd_rate(points, "psnr")
+
+
+@query(f"""{SEG} SELECT stream, printf('<?xml version="1.0"?>' || chr(10) || '<MPD type="static" mediaPresentationDuration="PT%.3fS"><Period><AdaptationSet>', sum(duration) / 1000.0) || '<Representation id="a" bandwidth="100" width="16" height="9"><SegmentList>' || string_agg(printf('<SegmentURL media="segment_%05d.m4s" duration="%d"/>', segment, duration), '' ORDER BY segment) || '</SegmentList></Representation></AdaptationSet></Period></MPD>' || chr(10) AS manifest FROM segs GROUP BY stream""")
+def dash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.dash_manifest(C.segments(views.packets(spark, sf_dir), 21_600_000, 86_400_000), [("a", 100, 16, 9)])
+
+
+@query(f"{ST} SELECT stream, idx, kind, bits, complexity, motion FROM stats")
+def pass_statistics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.read_statistics_json(D.statistics_json(views.frame_stats(spark, sf_dir)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import control as C
+from ..operators import documents as D
 from ..operators.islands import interval_join
 from ..sources import subtitles
 from . import views
@@ -85,3 +86,22 @@ def chapter_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def _ass(ms: str) -> str:
+    return f"printf('%d:%02d:%02d.%02d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000 // 10)"
+
+
+@query(f"{CU} SELECT track, '{D.ASS_HEAD}' || string_agg('Dialogue: 0,' || {_ass('start_ms')} || ',' || {_ass('end_ms')} || ',Default,' || replace(text, chr(10), '\\N'), chr(10) ORDER BY ordinal) || chr(10) AS body FROM cues GROUP BY track")
+def ass_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.ass_track(views.cues(spark, sf_dir))
+
+
+@query(f"{CU} SELECT track, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, 'Default' AS style, replace(text, chr(10), '\\N') AS text FROM cues")
+def ass_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.parse_ass(D.ass_track(views.cues(spark, sf_dir)), "track", "body").drop("ordinal")
+
+
+@query(f"""{CU} SELECT track, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xmeml version="5"><sequence><name>cues</name><rate><timebase>25</timebase></rate><media><video><track>' || chr(10) || string_agg('<clipitem><name>' || role || '</name><start>' || start_ms // 40 || '</start><end>' || end_ms // 40 || '</end></clipitem>', chr(10) ORDER BY ordinal) || chr(10) || '</track></video></media></sequence></xmeml>' || chr(10) AS body FROM cues GROUP BY track""")
+def xml_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.xml_timeline(views.cues(spark, sf_dir).withColumnRenamed("role", "reel"), "cues")
