@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import audio, dsp
+from ..operators import audio, dsp, resample
 from ..operators.islands import near_join
 from . import views
 from .registration import query
@@ -173,3 +173,22 @@ def de_esser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.k_weighted(views.samples(spark, sf_dir)), "y")
+
+
+@query(f"{S} SELECT stream, count(*) AS n, sum(x)::BIGINT AS total FROM samples GROUP BY stream")
+def pcm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    packets = views.samples(spark, sf_dir).groupBy("stream", F.expr("i div 32").alias("packet")).agg(resample.encode_pcm(ordered).alias("data"))
+    back = packets.select("stream", F.explode(resample.decode_pcm(F.col("data"))).alias("x"))
+    return back.groupBy("stream").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+
+
+@query(f"""{S}, n AS (SELECT stream, count(*) AS n FROM samples GROUP BY 1), k AS (SELECT stream, unnest(range(n * 2 // 3)) AS k, n FROM n)
+SELECT k.stream, k AS i, x::DOUBLE AS y FROM k JOIN samples s ON s.stream = k.stream AND s.i = least(CAST(floor(k * 1.5 + 0.5) AS BIGINT), n - 1)""")
+def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.convert(views.samples(spark, sf_dir), 48000, 32000, "nearest")
+
+
+@query()
+def resample_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(resample.convert(views.samples(spark, sf_dir), 48000, 32000, "sinc"), "y")
