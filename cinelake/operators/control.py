@@ -146,3 +146,24 @@ def bd_rate(points: DataFrame, metric: str = "rate") -> DataFrame:
         return pd.DataFrame({"key": [int(pdf["key"].iloc[0])], "delta": [float(value)]})
 
     return points.groupBy("key").applyInPandas(run, "key long, delta double")
+
+
+def drift_correction(offsets: DataFrame, step: float) -> DataFrame:
+    """Whole samples to add or drop at each row (``stream, i, drift`` per row), from the running sum of drifts.
+
+    The accumulated drift in units of ``step`` is truncated; its changes are the corrections.
+    """
+    order = W.partitionBy("stream").orderBy("i")
+    units = F.sum("drift").over(order.rowsBetween(W.unboundedPreceding, 0)) / step
+    whole = offsets.withColumn("_w", F.when(units < 0, F.ceil(units)).otherwise(F.floor(units)).cast("long"))
+    return whole.select("stream", "i", (F.col("_w") - F.coalesce(F.lag("_w").over(order), F.lit(0))).alias("correction"))
+
+
+def low_latency_playlist(parts: DataFrame, target_ms: int) -> DataFrame:
+    """A low-latency playlist of each stream from the parts (``segment, part, duration``) of its segments."""
+    line = F.format_string('#EXT-X-PART:DURATION=%.3f,URI="segment_%05d.%d.m4s"', F.col("duration") / 1000.0, "segment", "part")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("segment", "part", line.alias("line")))), lambda x: x["line"])
+    made = parts.groupBy("stream").agg(rows.alias("lines"), F.max(F.struct("segment", "part")).alias("last"))
+    hint = F.format_string('#EXT-X-PRELOAD-HINT:TYPE=PART,URI="segment_%05d.%d.m4s"', F.col("last.segment"), F.col("last.part") + 1)
+    head = f"#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-PART-INF:PART-TARGET={target_ms / 1000:.3f}\n#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES,PART-HOLD-BACK={3 * target_ms / 1000:.3f}\n"
+    return made.select("stream", F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n"), hint, F.lit("\n")).alias("playlist"))

@@ -295,3 +295,26 @@ def composite_over(c1: Column, a1: Column, c2: Column, a2: Column) -> tuple[Colu
     """Premultiplied source over background: colour and alpha."""
     mix = lambda s, b: F.least(s + F.floor(b * (255 - a1) / 255), F.lit(255)).cast("int")
     return mix(c1, c2), mix(a1, a2)
+
+
+def quality_score(brightness: Column, contrast: Column, sharpness: Column, color: Column, blur: Column) -> Column:
+    """Weighted parts of a frame's quality, within one."""
+    score = 0.15 * brightness + 0.25 * contrast + 0.3 * sharpness + 0.15 * color + 0.15 * (1 - blur)
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+
+def sharpness(p: str, width: int) -> Column:
+    """Mean difference of right-hand neighbours in a row, over 255."""
+    pairs = F.zip_with(F.slice(F.col(p), 1, F.size(p) - 1), F.slice(F.col(p), 2, F.size(p) - 1), lambda a, b: F.abs(a - b))
+    inner = F.filter(pairs, lambda d, k: k % width != width - 1)
+    return F.aggregate(inner, F.lit(0).cast("long"), lambda s, x: s + x) / (F.size(inner) * 255)
+
+
+def importance(motion: Column, histogram: Column, edges: Column) -> Column:
+    """How much a frame differs from the one before it."""
+    return 0.4 * motion + 0.3 * histogram + 0.3 * edges
+
+
+def rolling_shutter_shift(motion: Column, row: Column, height: int, readout: float) -> Column:
+    """Share of a frame's motion that a row has seen."""
+    return motion * row / height * readout

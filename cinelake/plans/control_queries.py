@@ -187,3 +187,15 @@ def dash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ST} SELECT stream, idx, kind, bits, complexity, motion FROM stats")
 def pass_statistics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read_statistics_json(D.statistics_json(views.frame_stats(spark, sf_dir)))
+
+
+@query(f"WITH {views.STATS}, u AS (SELECT stream, idx, CAST(trunc(sum(motion - 25) OVER (PARTITION BY stream ORDER BY idx) / 30.0::DOUBLE) AS BIGINT) AS w FROM stats) SELECT stream, idx AS i, w - coalesce(lag(w) OVER (PARTITION BY stream ORDER BY idx), 0) AS correction FROM u")
+def drift_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.drift_correction(views.frame_stats(spark, sf_dir).select("stream", F.col("idx").alias("i"), (F.col("motion") - 25).alias("drift")), 30.0)
+
+
+@query(f"""{PK}, parts AS (SELECT stream, seq // 4 AS segment, seq % 4 AS part, size AS duration FROM packets) SELECT stream, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:9' || chr(10) || '#EXT-X-PART-INF:PART-TARGET=0.500' || chr(10) || '#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES,PART-HOLD-BACK=1.500' || chr(10)
+ || string_agg(printf('#EXT-X-PART:DURATION=%.3f,URI="segment_%05d.%d.m4s"', duration / 1000.0, segment, part), chr(10) ORDER BY segment, part) || chr(10) || printf('#EXT-X-PRELOAD-HINT:TYPE=PART,URI="segment_%05d.%d.m4s"', max(segment * 4 + part) // 4, max(segment * 4 + part) % 4 + 1) || chr(10) AS playlist FROM parts GROUP BY stream""")
+def low_latency_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = views.packets(spark, sf_dir).select("stream", F.expr("seq div 4").alias("segment"), (F.col("seq") % 4).alias("part"), F.col("size").alias("duration"))
+    return C.low_latency_playlist(parts, 500)

@@ -310,3 +310,35 @@ def trajectory_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.join(smooth, "frame_no").select("frame_no", F.round("smooth", 6).alias("smooth"))
 
 
+
+
+@query(f"""{PX}, d AS (SELECT a.frame_no, sum(abs(a.v - b.v)) / (56 * 255.0::DOUBLE) AS s FROM pixels a JOIN pixels b ON a.frame_no = b.frame_no AND b.k = a.k + 1 AND a.k % 8 <> 7 GROUP BY 1), m AS (SELECT frame_no, avg(v) / 255 AS l, least(1, (sum(v * v) * 64 - sum(v) * sum(v)) / 4096.0 / 65025) AS c FROM pixels GROUP BY 1)
+SELECT frame_no, round(least(1, greatest(0, 0.15 * l + 0.25 * c + 0.3 * s + 0.15 * 0.5 + 0.15 * (1 - (1 - s)))), 6) AS score FROM m JOIN d USING (frame_no)""")
+def frame_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharp = P.sharpness("p", 8)
+    score = P.quality_score(P.average_luma("p"), P.spatial_complexity("p"), sharp, F.lit(0.5), 1 - sharp)
+    return _frames(spark, sf_dir).select("frame_no", F.round(score, 6).alias("score"))
+
+
+@query(f"{PREV}, t AS (SELECT frame_no, sum(abs(v - w)) / (64 * 255.0::DOUBLE) AS m, abs(avg(v) - avg(w)) / 255 AS h FROM both_px GROUP BY 1) SELECT frame_no, round(0.4 * m + 0.3 * h + 0.3 * m, 6) AS importance FROM t")
+def frame_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.following(_frames(spark, sf_dir)).filter("q IS NOT NULL")
+    motion = P.temporal_complexity()
+    return rows.select("frame_no", F.round(P.importance(motion, F.abs(P.average_luma("p") - P.average_luma("q")), motion), 6).alias("importance"))
+
+
+@query(f"{PX} SELECT frame_no, k // 8 AS \"row\", round(v * (k // 8) / 8 * 0.5::DOUBLE, 6) AS shift FROM pixels WHERE k % 8 = 0")
+def rolling_shutter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _frames(spark, sf_dir).select("frame_no", F.posexplode("p").alias("k", "v")).filter("k % 8 = 0")
+    line = F.expr("k div 8")
+    return pixels.select("frame_no", line.alias("row"), F.round(P.rolling_shutter_shift(F.col("v"), line, 8, 0.5), 6).alias("shift"))
+
+
+
+@query(f"WITH {views.FRAMES}, t AS (SELECT unnest([999, 5000, 12345]) AS t), r AS (SELECT t, frame_no, row_number() OVER (PARTITION BY t ORDER BY abs(frame_no * 40 - t), frame_no) AS k FROM t, frames) SELECT CAST(t AS INTEGER) AS ms, frame_no FROM r WHERE k = 1")
+def thumbnail_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest frame to each asked time: a minimum for each of a bounded list of times, in one scan."""
+    times = (999, 5000, 12345)
+    near = [F.min_by("frame_no", F.struct(F.abs(F.col("frame_no") * 40 - t), F.col("frame_no"))).alias(str(t)) for t in times]
+    found = _frames(spark, sf_dir).agg(*near)
+    return found.select(F.explode(F.array(*[F.struct(F.lit(t).alias("ms"), F.col(str(t)).alias("frame_no")) for t in times])).alias("x")).select("x.*")
