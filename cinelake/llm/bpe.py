@@ -147,7 +147,7 @@ class Codec:
     """
 
     #: Chunks that a Python worker keeps; further ones are encoded again in each batch.
-    CACHE = 500_000
+    CACHE = 150_000
     SIGNS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)
-        for b in slices(batches, max_bytes=16 << 20):
+        for b in slices(batches, max_bytes=8 << 20):
             ids, offsets = c.encode_column(column_of(b, "_text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([column_of(b, "_id"), lists], ["doc_id", "ids"])
@@ -314,7 +314,7 @@ def round_trip_digests(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)
-        for b in slices(batches, max_bytes=16 << 20):
+        for b in slices(batches, max_bytes=8 << 20):
             ids, offsets = c.encode_column(column_of(b, "_text"))
             edges = offsets.tolist()
             docs_ids = [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -58,6 +60,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "_text", max_bytes: in
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later stages, and the executor pays for them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_sizes(column: pa.Array) -> np.ndarray:

@@ -25,7 +25,7 @@ def lengths(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)
-        for b in slices(batches, max_bytes=16 << 20):
+        for b in slices(batches, max_bytes=8 << 20):
             _, offsets = c.encode_column(column_of(b, "_text"))
             yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(np.diff(offsets), pa.int64())], ["doc_id", "n_tokens"])
 

@@ -150,7 +150,7 @@ class ToxicityModel:
     def features(self, column: pa.Array) -> np.ndarray:
         column = pc.fill_null(column, "")
         index, words, counts = words_of(column)
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 150_000:
             self.cache.clear()
         cache = self.cache
         for w in words:
