@@ -18,7 +18,7 @@ SUBSETS = 8
 #: A term belongs to the dense subset d if its hash modulo SPACE is d, and to the sparse one s if it is SUBSETS + s // 4.
 SPACE = 128
 LEAST_DOCS, MOST_SHARE = 2, 0.05
-BLOCK = 1024
+BLOCK = 512
 
 
 def terms_of(text: Column) -> Column:
@@ -44,21 +44,30 @@ def lexicon(terms: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
     return counted.filter(F.col("_df").between(LEAST_DOCS, most)).select("_t"), counted.filter(F.col("_df") > most).select("_t")
 
 
+def next_blocks(blocks: DataFrame) -> DataFrame:
+    """``_b, _nb``: each block with the next lower one (the highest after the lowest).
+
+    Windows run within groups of blocks; only a row for each group, a quarter of a million ids, meets in one task.
+    """
+    keys = blocks.select("_b", F.floor(F.col("_b") / BLOCK).alias("_g"))
+    tops = keys.groupBy("_g").agg(F.max("_b").alias("_t"))
+    order = W.orderBy(F.col("_g").desc())
+    tops = tops.select("_g", F.lead("_t").over(order).alias("_next"), F.first("_t").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_first"))
+    inner = F.lead("_b").over(W.partitionBy("_g").orderBy(F.col("_b").desc()))
+    return keys.withColumn("_in", inner).join(tops, "_g").select("_b", F.coalesce("_in", "_next", "_first").alias("_nb"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds ``_next``, the text that follows in the order of descending ids (after the last: the first).
 
-    Windows run within blocks of ids; the few last rows of blocks take the first text of the next block.
+    Windows run within blocks of ids; the last row of a block takes the first text of the next block.
     """
     blocked = docs.withColumn("_b", F.coalesce(F.expr(f"floor(_id / {BLOCK})"), F.lit(-(1 << 62))))
     order = [F.col("_id").desc_nulls_last(), F.col("_text").desc_nulls_last()]
     heads = blocked.groupBy("_b").agg(F.max_by(F.struct("_text"), F.struct(F.coalesce("_id", F.lit(-(1 << 62))), "_text")).alias("_h"))
-    heads = heads.select("_b", F.col("_h._text").alias("_h"))
-    # one row for each block of ids
-    by = W.orderBy(F.col("_b").desc())
-    heads = heads.select("_b", F.lead(F.struct("_h")).over(by).alias("_l"), F.first(F.struct("_h")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_f"))
-    heads = heads.select(F.col("_b").alias("_hb"), F.coalesce("_l", "_f")["_h"].alias("_h"))
-    inner = W.partitionBy("_b").orderBy(*order)
-    follow = blocked.withColumn("_n", F.lead(F.struct("_text")).over(inner))
+    heads = next_blocks(blocked.select("_b").distinct()).join(heads.select(F.col("_b").alias("_nb"), F.col("_h._text").alias("_h")), "_nb")
+    heads = heads.select(F.col("_b").alias("_hb"), "_h")
+    follow = blocked.withColumn("_n", F.lead(F.struct("_text")).over(W.partitionBy("_b").orderBy(*order)))
     joined = follow.join(heads, F.col("_b") == F.col("_hb"))
     return joined.select("_id", "_text", F.when(F.col("_n").isNotNull(), F.col("_n")["_text"]).otherwise(F.col("_h")).alias("_next"))
 
