@@ -171,13 +171,13 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 4 << 20, shard_segments: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 2 << 20, shard_segments: int = 8192) -> DataFrame:
     """``_k long, _spans array<struct<_from,_to>>`` for texts (``_k``, ``_text``) with repeated strings of ``length`` bytes."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, max_bytes=4 << 20):
+        for b in slices(batches, max_bytes=2 << 20):  # a dozen eight-byte arrays of this length are held at once
             column = pc.fill_null(column_of(b, "_text").cast(pa.binary()), b"")
             sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             whole = b"".join(column.to_pylist())
