@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, column_of, id_text, mix64, shared_checkpoint, slices
+from .common import carried, column_of, give_back, id_text, mix64, shared_checkpoint, slices
 
 GRAM = 32
 PLACE = np.uint64((1 << 31) - 1)
@@ -190,7 +190,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 2 << 2
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(same), pa.array(keys), pa.array((first - begins[owner]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["_h", "_s", "_k", "_a", "_len"])
 
     all_segments = docs.mapInArrow(segments, "_h long, _s long, _k long, _a int, _len int")
-    recurring = all_segments.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h")
+    # Written first, so that the join below is of two plain shuffles, whose hot keys adaptive execution can split.
+    recurring = shared_checkpoint(all_segments.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h"))
     found = shared_checkpoint(all_segments.join(recurring, "_h"))
 
     distinct = found.groupBy("_h", "_s").agg(F.count("*").alias("_n"), F.min(F.struct("_k", "_a", "_len")).alias("_e"))
@@ -225,6 +226,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 2 << 2
         hot = table.column("_hot").to_numpy(zero_copy_only=False)
         segs, h = table.column("_seg").to_pylist(), table.column("_h").to_pylist()
         number, start, again, lead = repeated_starts(segs, length)
+        give_back()
         again |= n[number] > 1
         out: dict[str, list] = {c: [] for c in ("_k", "_from", "_to", "_mark", "_again")}
         cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number)) if len(number) else np.zeros(1, int)
