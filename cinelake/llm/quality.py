@@ -81,11 +81,12 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 80, rate: float = 0.5, l2:
         for f, (grams, counts) in enumerate(gram_families(column)):
             owner = np.repeat(np.arange(len(counts)), counts)
             key, n = np.unique(owner.astype(np.int64) * width + grams, return_counts=True)
-            rows.append(key // width + done)
-            cols.append(key % width + f * width)
-            vals.append(n / np.maximum(counts, 1)[key // width])
+            rows.append((key // width + done).astype(np.int32))
+            cols.append((key % width + f * width).astype(np.int32))
+            vals.append((n / np.maximum(counts, 1)[key // width]).astype(np.float32))
         done += len(column)
     row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+    rows, cols, vals = [], [], []
     part = np.arange(len(y)) % 4 == 3
     train = ~part
     share = y[train].mean()
