@@ -121,6 +121,42 @@ def test_fingerprints_of_edits(spark):
     assert np.mean([rows[i].near_edited for i in range(1, 80)]) > 0.1 + np.mean([rows[i].near_next for i in range(1, 80)])
 
 
+def brute_fingerprint(text, band):
+    import xxhash
+
+    def h64(raw, seed=42):
+        return xxhash.xxh64_intdigest(raw, seed)
+
+    groups = {}
+    for t in sorted((h64(w.encode()) for w in set(text.lower().split()) & band), key=lambda t: t - (t >> 63 << 64)):
+        seed = h64(groups[t >> 55].to_bytes(8, "little")) if t >> 55 in groups else 42
+        groups[t >> 55] = h64(t.to_bytes(8, "little"), seed)
+    return {f"{k + 512:03X}{h & 0xFFFFFFFF:08X}" for k, h in groups.items()}
+
+
+def test_fingerprints_hold_every_lexicon_term(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(WORDS) + rnd.choice(["", "", "a", "bc"]) for _ in range(rnd.randint(1, 60))) for _ in range(150)]
+    texts += [" lead and trail\n", texts[3], "only " + texts[4], None, ""]
+    df = Counter(w for t in texts for w in set((t or "").lower().split()))
+    band = {w for w, n in df.items() if 2 <= n <= max(4.0, 0.05 * len(texts))}
+    assert len(band) > 300 and min(df.values()) == 1 and max(df.values()) > max(4.0, 0.05 * len(texts))
+    rows = {r.doc_id: r for r in imatch.fingerprint_pairs(make(spark, texts)).collect()}
+    full = 0
+    for i, t in enumerate(texts):
+        own, after = t or "", texts[(i - 1) % len(texts)] or ""
+        cut = len(own) // 3
+        edit = own[: len(own) - cut] + after[:cut]
+        for got, text in ((rows[i].fingerprint, own), (rows[i].edited_fingerprint, edit)):
+            want = brute_fingerprint(text, band)
+            full += bool(want)
+            assert set(got.split(":")) == want if want else got.startswith("400")
+        a, b = brute_fingerprint(own, band), brute_fingerprint(edit, band)
+        if a and b:
+            assert rows[i].near_edited == pytest.approx(len(a & b) / len({x[:3] for x in a | b}))
+    assert full > 250
+
+
 def test_fingerprint_edge_cases(docs, empty):
     assert imatch.fingerprint_pairs(docs).count() == docs.count()
     assert imatch.fingerprint_pairs(empty).count() == 0
