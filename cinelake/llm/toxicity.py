@@ -6,7 +6,6 @@ grown on another part and calibrated on a third.  Scores depend on the text alon
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import column_of, id_text, slices, words_of
-from .labelled import TRAIN_ROWS, batches_of, held_out, sums_by_text, training_rows
+from .common import column_of, id_text, shared_checkpoint, slices, texts_of, words_of
+from .labelled import TRAIN_ROWS, held_out, sums_by_text, training_sample
 
 #: Pronouns of the second person in the corpus' languages.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton vous votre ti usted ustedes vosotros".split())
@@ -34,25 +34,38 @@ def stems(word: str) -> list[str]:
     return [bare, *(f"{bare[:k]}+" for k in (4, 5, 6) if len(bare) > k)] if len(bare) > 2 else []
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, least: int = 4, odds: float = 2.0, most: int = 5000) -> dict[str, float]:
-    """Log-odds of the forms that mark labelled texts most surely; at most ``most`` of them."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    cache: dict[str, list[str]] = {}
-    for text, label in zip(texts, y.tolist(), strict=True):
-        forms: set[str] = set()
-        for w in set(text.lower().split()):
-            if w not in cache:
-                cache[w] = stems(w)
-            forms.update(cache[w])
-        seen[label].update(forms)
+def learn_lexicon(sample: DataFrame, ids: np.ndarray, y: np.ndarray, least: int = 4, odds: float = 2.0, most: int = 5000) -> dict[str, float]:
+    """Log-odds of the forms that mark the labelled texts of ``ids`` (sorted) most surely; at most ``most`` of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        cache: dict[str, list[str]] = {}
+        for b in slices(batches, max_bytes=4 << 20):
+            if len(cache) > 150_000:
+                cache.clear()
+            for text, label in zip(texts_of(b), column_of(b, "_y").to_pylist(), strict=True):
+                forms: set[str] = set()
+                for w in set(text.lower().split()):
+                    if w not in cache:
+                        cache[w] = stems(w)
+                    forms.update(cache[w])
+                seen[label].update(forms)
+        names = sorted(seen[0].keys() | seen[1].keys())
+        for i in range(0, len(names), 50_000):
+            some = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([c[f] for f in some], pa.int64()) for c in seen)], ["_form", "_n0", "_n1"])
+
     bad, good = int(y.sum()), len(y) - int(y.sum())
-    score = {}
-    for form, n in seen[1].items():
-        if n >= least:
-            value = math.log((n + 0.5) / (bad + 1)) - math.log((seen[0][form] + 0.5) / (good + 1))
-            if value >= odds:
-                score[form] = value
-    return dict(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most])
+    rows = rows_of(sample, ids).mapInArrow(count, "_form string, _n0 long, _n1 long").groupBy("_form").agg(F.sum("_n0").alias("_n0"), F.sum("_n1").alias("_n1"))
+    value = F.log((F.col("_n1") + 0.5) / (bad + 1)) - F.log((F.col("_n0") + 0.5) / (good + 1))
+    rows = rows.filter(F.col("_n1") >= least).withColumn("_value", value).filter(F.col("_value") >= odds).orderBy(F.desc("_value"), "_form").limit(most)
+    return {r["_form"]: r["_value"] for r in rows.collect()}
+
+
+def rows_of(sample: DataFrame, ids: np.ndarray) -> DataFrame:
+    """The rows of the sample whose ids are among ``ids`` (a bounded number)."""
+    listed = sample.sparkSession.createDataFrame([(int(i),) for i in ids], "_id long")
+    return sample.join(F.broadcast(listed), "_id", "left_semi").select("_id", "_y", "_text")
 
 
 @dataclass
@@ -204,14 +217,25 @@ class ToxicityModel:
         return np.interp(self.trees.raw(self.features(column)), self.knots, self.levels)
 
 
-def fit(texts: list[str], y: np.ndarray) -> ToxicityModel:
-    """Half of the rows teach the lexicon, a third the trees, the rest the calibration."""
+def fit(sample: DataFrame) -> ToxicityModel:
+    """Half of the rows teach the lexicon, a third the trees, the rest the calibration.
+
+    Whole texts are counted and turned into features where they are; only counts and features reach the driver.
+    """
+    sample = shared_checkpoint(sample)
+    table = sample.select("_id", "_y").toPandas().sort_values("_id")
+    ids, y = table["_id"].to_numpy(dtype=np.int64), table["_y"].to_numpy(dtype=np.int64)
     if len(np.unique(y)) < 2:
         return ToxicityModel({}, levels=np.array([float(y[0]) * 0.98 + 0.01 if len(y) else 0.01]))
     part = np.arange(len(y)) % 6
-    some = lambda keep: ([t for t, k in zip(texts, keep.tolist(), strict=True) if k], y[keep])
-    model = ToxicityModel(learn_lexicon(*some(part < 3)))
-    gather = lambda keep: (np.concatenate([model.features(c) for c in batches_of(some(keep)[0])]), y[keep])
+    model = ToxicityModel(learn_lexicon(sample, ids[part < 3], y[part < 3]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, max_bytes=4 << 20):
+            yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(list(model.features(column_of(b, "_text"))), pa.list_(pa.float64()))], ["_id", "_x"])
+
+    made = {r["_id"]: r["_x"] for r in rows_of(sample, ids[part >= 3]).mapInArrow(run, "_id long, _x array<double>").collect()}
+    gather = lambda keep: (np.array([made[i] for i in ids[keep].tolist()], dtype=np.float64).reshape(int(keep.sum()), -1), y[keep])
     x, t = gather((part == 3) | (part == 4))
     model.trees = boost(x, t)
     x, t = gather(part == 5)
@@ -226,7 +250,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     A null or empty text is scored as a text without words.  Repeated rows have equal scores; a null id stays null
     and is not held out.  Without labelled rows of both kinds every score is the labels' constant.
     """
-    model = fit(*training_rows(docs, labels, "toxic", rows, id_col, text_col))
+    model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, max_bytes=4 << 20):
@@ -239,7 +263,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose texts are scored below the threshold."""
-    model = fit(*training_rows(docs, labels, "toxic", rows, id_col, text_col))
+    model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, max_bytes=4 << 20):

@@ -41,6 +41,17 @@ def test_toxicity_held_out_accuracy(spark, docs):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if not r.predicted}
 
 
+def test_training_texts_are_whole(spark):
+    pad = " ".join(["plain"] * 5000)
+    table = spark.createDataFrame([(i, f"{pad} {'vilezz' if i % 2 else 'kindly'}") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    texts, y = labelled.training_rows(table, labels, "toxic")
+    assert all(t.startswith(pad) and t.endswith("vilezz" if v else "kindly") for t, v in zip(texts, y.tolist(), strict=True))
+    assert [len(c) for c in labelled.batches_of(["ab", "c", "", "defgh", "i"], 3, 4)] == [3, 1, 1]
+    rows = toxicity.score_toxicity(table, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
