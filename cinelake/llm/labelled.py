@@ -22,9 +22,10 @@ def held_out(ids: list) -> np.ndarray:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _y, _text`` (whole texts, 0/1 labels) of at most ``rows`` training rows, chosen by a hash of the id.
 
-    Rows with null ids, labels or texts do not train; a repeated id trains once, by its least text.
+    Rows with null ids, labels or texts, or with labels other than 0 and 1, do not train; a repeated id trains once,
+    by its least text.
     """
-    ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
+    ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).dropna().filter("_y IN (0, 1)")
     chosen = ids.filter("crc32(cast(cast(_id AS string) AS binary)) % 5 <> 0").groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).dropna()

@@ -220,7 +220,8 @@ class ToxicityModel:
 def fit(sample: DataFrame) -> ToxicityModel:
     """Half of the rows teach the lexicon, a third the trees, the rest the calibration.
 
-    Whole texts are counted and turned into features where they are; only counts and features reach the driver.
+    With so few rows that one of these parts lacks a label, all rows teach all three.  Whole texts are counted and
+    turned into features where they are; only counts and features reach the driver.
     """
     sample = shared_checkpoint(sample)
     table = sample.select("_id", "_y").toPandas().sort_values("_id")
@@ -228,17 +229,20 @@ def fit(sample: DataFrame) -> ToxicityModel:
     if len(np.unique(y)) < 2:
         return ToxicityModel({}, levels=np.array([float(y[0]) * 0.98 + 0.01 if len(y) else 0.01]))
     part = np.arange(len(y)) % 6
-    model = ToxicityModel(learn_lexicon(sample, ids[part < 3], y[part < 3]))
+    parts = [part < 3, (part == 3) | (part == 4), part == 5]
+    if any(len(np.unique(y[own])) < 2 for own in parts):
+        parts = [np.ones(len(y), bool)] * 3
+    model = ToxicityModel(learn_lexicon(sample, ids[parts[0]], y[parts[0]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, max_bytes=4 << 20):
             yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(list(model.features(column_of(b, "_text"))), pa.list_(pa.float64()))], ["_id", "_x"])
 
-    made = {r["_id"]: r["_x"] for r in rows_of(sample, ids[part >= 3]).mapInArrow(run, "_id long, _x array<double>").collect()}
+    made = {r["_id"]: r["_x"] for r in rows_of(sample, ids[parts[1] | parts[2]]).mapInArrow(run, "_id long, _x array<double>").collect()}
     gather = lambda keep: (np.array([made[i] for i in ids[keep].tolist()], dtype=np.float64).reshape(int(keep.sum()), -1), y[keep])
-    x, t = gather((part == 3) | (part == 4))
+    x, t = gather(parts[1])
     model.trees = boost(x, t)
-    x, t = gather(part == 5)
+    x, t = gather(parts[2])
     model.knots, model.levels = isotonic(model.trees.raw(x), t)
     model.cache = {}
     return model
@@ -248,7 +252,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     A null or empty text is scored as a text without words.  Repeated rows have equal scores; a null id stays null
-    and is not held out.  Without labelled rows of both kinds every score is the labels' constant.
+    and is not held out.  Without labelled rows of both kinds every score is the labels' constant; labels other than
+    0 and 1 do not train.  An empty table gives no rows.
     """
     model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
@@ -262,7 +267,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts are scored below the threshold."""
+    """The rows of ``docs``, all columns, whose texts are scored below ``threshold`` (a score of just that goes).
+
+    A null text is scored as a text without words; repeated rows stay or go alike; null ids are no matter.
+    """
     model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,21 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert all(r.base_failed or r.kept for r in quality.quality_rules(docs, none).collect())
 
 
+@pytest.mark.parametrize("n", range(1, 11))
+def test_few_labels(spark, docs, n):
+    """One to ten labelled rows, of one label or of both, and labels that are neither 0 nor 1."""
+    texts = [(i, "vilezz awful words here" if i % 2 else "kind and plain words there") for i in range(40)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    both = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(n)] + [(30, 7, -1), (31, 2, 9)], "doc_id long, quality int, toxic int")
+    rows = toxicity.score_toxicity(table, both).collect()
+    assert len(rows) == 40 and all(0 <= r.score <= 1 for r in rows)
+    used = {i % 2 for i in range(n) if not labelled.held_out([i])[0]}
+    if len(used) < 2:
+        assert len({r.score for r in rows}) == 1
+    assert toxicity.reject_toxic(docs, both).columns == docs.columns
+    assert quality.quality_rules(table, both).count() == 40
+
+
 def test_isotonic_never_falls():
     rng = np.random.default_rng(0)
     z = rng.normal(size=300)
