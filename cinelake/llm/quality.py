@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import column_of, id_text, mix64, slices, word_hashes, words_of
-from .labelled import TRAIN_ROWS, batches_of, sums_by_text, training_rows
+from .labelled import batches_of, sums_by_text, training_rows
 
+#: Most labelled rows, whole texts, that the regression is fitted on: their n-grams are held on the driver.
+TRAIN_ROWS = 4000
 BITS = 16
 SYMBOLS = b"#*$%&|<>"
 THRESHOLD = 0.5
@@ -184,7 +186,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     A null or empty text has no words and fails the base rules.  Repeated rows and null ids are scored like any
     other.  Without labelled rows of both kinds the model keeps what its labels say (all, if there are none).
     """
-    model = fit(*training_rows(docs, labels, "quality", rows // 2, id_col, text_col))
+    model = fit(*training_rows(docs, labels, "quality", rows, id_col, text_col))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
