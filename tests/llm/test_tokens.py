@@ -126,3 +126,21 @@ def test_token_counts(docs, empty):
         assert r.share_at_most == pytest.approx(sum(x <= r.n_tokens for x in n) / len(n))
     assert token_counts.quantile(hist, 0.5).first().n_tokens == sorted(n)[(len(n) + 1) // 2 - 1]
     assert token_counts.histogram(token_counts.lengths(empty)).count() == 0
+
+
+def test_truncated_totals_for_any_limit(spark, docs, empty):
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    n = [len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()]
+    limits = [0, 1, 5, 13, 13, 1023, 1024, 1500, 3000, 10**7, None]
+    asked = spark.createDataFrame([(x,) for x in limits], "limit long")
+    rows = token_counts.truncated(token_counts.histogram(token_counts.lengths(docs)), asked).collect()
+    assert sorted(r.limit for r in rows) == sorted({x for x in limits if x is not None})
+    for r in rows:
+        assert (r.docs_over, r.docs_within, r.total) == (sum(x > r.limit for x in n), sum(x <= r.limit for x in n), sum(min(x, r.limit) for x in n))
+    none = token_counts.truncated(token_counts.histogram(token_counts.lengths(empty)), asked).collect()
+    assert len(none) == 9 and all((r.docs_over, r.docs_within, r.total) == (0, 0, 0) for r in none)
+
+
+def test_counting_encodes_once(docs):
+    plan = token_counts.histogram(token_counts.lengths(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the histogram is written; what follows reads it
