@@ -3,6 +3,7 @@
 Every string of ``length`` bytes that starts at two or more places (in any texts) has the same anchor at the same
 offset in all of them: the leftmost least hash among its 32-byte grams.  Consecutive starts with one anchor form a
 segment, so that all equal strings meet under one anchor key.  Keys that occur once hold no repeats and end there.
+Equal segments that follow each other in a text (runs of one character, short periods) are one row with their number.
 
 1. Segments whose key recurs are collapsed to distinct segments with their numbers of occurrences; one with two
    or more is repeated whole.
@@ -171,32 +172,51 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
+def windows(batches: Iterator[pa.RecordBatch], length: int, max_bytes: int = 2 << 20) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts of about ``max_bytes`` in all with their begins and keys; a longer text comes in windows, each with its own
+    string starts, so that the dozen eight-byte arrays over the bytes at hand stay bounded."""
+    for b in slices(batches, max_bytes=max_bytes):
+        texts = pc.fill_null(column_of(b, "_text").cast(pa.binary()), b"").to_pylist()
+        keys = column_of(b, "_k").to_numpy(zero_copy_only=False)
+        if len(texts) > 1 or len(texts[0]) <= 2 * max_bytes:
+            yield texts, np.zeros(len(texts), np.int64), keys
+            continue
+        for at in range(0, len(texts[0]) - length + 1, max_bytes):
+            yield [texts[0][at : at + max_bytes + length - 1]], np.array([at]), keys
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 2 << 20, shard_segments: int = 8192) -> DataFrame:
     """``_k long, _spans array<struct<_from,_to>>`` for texts (``_k``, ``_text``) with repeated strings of ``length`` bytes."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, max_bytes=2 << 20):  # a dozen eight-byte arrays of this length are held at once
-            column = pc.fill_null(column_of(b, "_text").cast(pa.binary()), b"")
-            sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-            whole = b"".join(column.to_pylist())
+        digest = xxhash.xxh3_64_intdigest
+        for texts, begin, key_of in windows(batches, length):
+            sizes = np.fromiter(map(len, texts), np.int64, count=len(texts))
+            whole = b"".join(texts)
             owner, key, first, last, place = anchors(np.frombuffer(whole, np.uint8), sizes, length)
             begins = np.cumsum(sizes) - sizes
-            digest = xxhash.xxh3_64_intdigest
             same = np.fromiter((digest(whole[i : j + length], 7) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, count=len(first))
             same = mix64(same + (place - first).astype(np.uint64)).view(np.int64)
-            keys = column_of(b, "_k").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(same), pa.array(keys), pa.array((first - begins[owner]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["_h", "_s", "_k", "_a", "_len"])
-
-    all_segments = docs.mapInArrow(segments, "_h long, _s long, _k long, _a int, _len int")
+            # equal segments one after the other: one row
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (same[1:] != same[:-1]) | (owner[1:] != owner[:-1])))[: len(key)]
+            times = np.diff(np.append(head, len(key)))
+            end = last[head + times - 1] + length if len(head) else head
+            own, at = owner[head], first[head]
+            local = at - begins[own] + begin[own]
+            columns = [(key[head], pa.int64()), (same[head], pa.int64()), (key_of[own], pa.int64()), (local, pa.int32()), (last[head] - at + length, pa.int32()), (times, pa.int32()), (end - at, pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in columns], names)
+
+    names = ["_h", "_s", "_k", "_a", "_len", "_m", "_run"]
+    all_segments = docs.mapInArrow(segments, "_h long, _s long, _k long, _a int, _len int, _m int, _run int")
     # Written first, so that the join below is of two plain shuffles, whose hot keys adaptive execution can split.
-    recurring = shared_checkpoint(all_segments.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h"))
+    recurring = shared_checkpoint(all_segments.groupBy("_h").agg(F.sum("_m").alias("_c")).filter("_c > 1").select("_h"))
     found = shared_checkpoint(all_segments.join(recurring, "_h"))
 
-    distinct = found.groupBy("_h", "_s").agg(F.count("*").alias("_n"), F.min(F.struct("_k", "_a", "_len")).alias("_e"))
+    distinct = found.groupBy("_h", "_s").agg(F.sum("_m").alias("_n"), F.min(F.struct("_k", "_a", "_len")).alias("_e"))
     distinct = shared_checkpoint(distinct.select("_h", "_s", "_n", "_e.*"))
-    whole = found.join(distinct.filter("_n > 1").select("_h", "_s"), ["_h", "_s"]).select("_k", F.col("_a").alias("_from"), (F.col("_a") + F.col("_len")).alias("_to"))
+    whole = found.join(distinct.filter("_n > 1").select("_h", "_s"), ["_h", "_s"]).select("_k", F.col("_a").alias("_from"), (F.col("_a") + F.col("_run")).alias("_to"))
 
     keys = distinct.groupBy("_h").agg(F.count("*").alias("_d"), F.sum((F.col("_n") == 1).cast("int")).alias("_u"), F.sum("_len").alias("_b")).filter("_d > 1 AND _u > 0")
     sized = keys.agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("b"), F.coalesce(F.max("_d"), F.lit(0)).alias("d")).first()

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinelake.llm import graph, lines, minhash, suffixes
@@ -234,3 +235,27 @@ def test_suffix_array_and_prefixes():
         for place in range(1, n):
             a, b = raw[order[place - 1] :], raw[order[place] :]
             assert got[place] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "abcdefghij" * 30])
+def test_suffix_dedup_of_runs(spark, unit):
+    """Ten million bytes of one character or a short period are a few rows and go whole; so does a longer period."""
+    size = 10_000_000 if len(unit) < 3 else 60_000
+    texts = [unit * (size // len(unit)), "x" * 150 + unit * (400 // len(unit)) + "y" * 150, "".join(map(chr, range(1000, 1400)))]
+    rows = sorted(suffixes.remove_repeats(make(spark, texts)).collect())
+    assert (rows[0].n_bytes, rows[0].n_removed, rows[0].n_spans, bytes(rows[0].kept)) == (len(texts[0]), len(texts[0]), 1, b"")
+    want = brute_spans([unit * (3000 // len(unit)), *texts[1:]], 200)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows[1:]] == want[1:]
+
+
+def test_suffix_windows_of_long_texts(spark):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcd") for _ in range(9000))
+    texts = [base, "x" + base[2000:5000] + "y" + base[100:400], base[7000:7150], "ab" * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([base])], ["_k", "_text"])
+    parts = list(suffixes.windows(iter([batch]), 60, 1000))
+    assert len(parts) == 9 and all(len(t[0]) <= 1059 and base[b[0] :].startswith(t[0].decode()) for t, b, _ in parts)
+    out = [(b[0] + i, t[0][i : i + 60]) for t, b, _ in parts for i in range(len(t[0]) - 59)]
+    assert out == [(i, base[i : i + 60].encode()) for i in range(len(base) - 59)]
+    rows = sorted(suffixes.remove_repeats(make(spark, texts), 60).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows] == brute_spans(texts, 60)
