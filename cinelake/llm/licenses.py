@@ -1,10 +1,15 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks (lines) are joined with license templates by containment: a block matches if it holds at least a share
-``threshold`` of a template's distinct tokens.  Template tokens are ordered by their document frequency in the whole
-corpus, rarest first.  A block that matches must hold one of the first |T| - need + 1 tokens (prefix filter), must
-have at least ``need`` template tokens (length filter), and from the first place at which it meets the template
-enough tokens must be left (positional filter).  What passes is verified on the full sets.
+Text blocks are joined with license templates by containment: a block matches if it holds at least a share
+``threshold`` of a template's distinct tokens.  Blocks are windows of words, whatever the lines: a template of up to
+S words (S a power of two) is held against all windows of 2 S words that start at multiples of S, so that every
+stretch of S words lies whole in one of them.  Template tokens are ordered by their document frequency in the whole
+corpus, rarest first.  A block that matches must hold one of the first |T| - need + 1 tokens (prefix filter) and have
+at least ``need`` template tokens (length filter), and from the first token that both have on, each of them must
+have ``need`` tokens left in that order (positional filter).  What passes is verified on the full sets.
+
+All templates that a block matches are found.  One is dropped only where a better match of the same block, or of one
+that overlaps it, covers it: the other's common tokens hold all of its own (a variant with fewer words in common).
 
 Templates are a bounded list, so their token table is small enough to be broadcast at any corpus size.
 """
@@ -37,7 +42,15 @@ TEMPLATES = [
     ("cc0", "released under cc0 1 0 universal public domain dedication"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("gpl", "either version 3 of the license or at your option any later version see the gnu general public license for more details"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
 ]
+LEAST_STRIDE = 8
 THRESHOLD = 0.8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -76,56 +89,84 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(at, here)
 
 
+def stride_of(template: str) -> int:
+    """The least power of two, from ``LEAST_STRIDE``, that is no less than a template's words."""
+    return max(LEAST_STRIDE, 1 << (len(template.split()) - 1).bit_length())
+
+
+def window_tokens(words: Column, stride: int, order: list[str], least: int) -> Column:
+    """For each window of two strides: its distinct template tokens, rarest first; windows with fewer than ``least`` are left out.
+
+    A window is found by its number, so that two documents' windows of one number are told apart by the document.
+    """
+    count = F.greatest(F.ceil(F.size(words) / stride).cast("int") - 1, F.lit(1))
+    held = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.lit(stride).alias("_l"), i.alias("_i"), F.array_intersect(strings(order), F.slice(words, i * stride + 1, 2 * stride)).alias("_tok")))
+    return F.filter(held, lambda w: F.size(w["_tok"]) >= least)
+
+
 def block_matches(blocks: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """``_k, _label, _share`` for each block (``_k, _n``; ``_tok``: distinct template tokens in it) that matches a template.
+    """``_k1, _k2, _labels, _score``: what the blocks (``_k1, _k2, _l, _i, _tok``) of each document match.
 
-    A block that meets the threshold of several templates takes the one that it holds most of, the longest of equals.
+    A block matches all templates whose threshold it meets, but for those that a better match, there or in the
+    block before or after, covers.
     """
-    spark = blocks.sparkSession
     rank = {t: i for i, t in enumerate(order)}
     rows = []
     for number, (label, text) in enumerate(templates):
         ordered = sorted(set(text.split()), key=rank.__getitem__)
-        need = math.ceil(threshold * len(ordered) - 1e-9)
-        for place, token in enumerate(ordered[: len(ordered) - need + 1]):
-            rows.append((token, number, label, place, need, ordered))
-    table = spark.createDataFrame(rows, "_t string, _number int, _label string, _place int, _need int, _set array<string>")
+        need = needed(len(ordered), threshold)
+        for place, token in enumerate(prefix(text, order, threshold)):
+            rows.append((token, stride_of(text), number, label, place, need, ordered))
+    table = blocks.sparkSession.createDataFrame(rows, "_t string, _tl int, _number int, _label string, _place int, _need int, _set array<string>")
     prefixes = strings(sorted({r[0] for r in rows}))
-    met = blocks.select("_k", "_n", "_tok", F.explode(F.array_intersect("_tok", prefixes)).alias("_t")).join(F.broadcast(table), "_t")
-    # length and positional filters; the first met place of a template verifies it
-    met = met.filter((F.size("_tok") >= F.col("_need")) & (F.size("_set") - F.col("_place") >= F.col("_need")))
+    at = F.filter(F.transform("_tok", lambda t, j: F.struct(t.alias("_t"), j.alias("_j"))), lambda x: F.array_contains(prefixes, x["_t"]))
+    met = blocks.select("_k1", "_k2", "_l", "_i", "_tok", F.inline(at))
+    met = met.join(F.broadcast(table), (met["_t"] == table["_t"]) & (F.col("_l") == F.col("_tl"))).drop("_t")
+    left = F.least(F.size("_set") - F.col("_place"), F.size("_tok") - F.col("_j"))
+    met = met.filter((F.size("_tok") >= F.col("_need")) & (left >= F.col("_need")))
+    # The first token that both have verifies; nothing before it is common, so that the positional filter holds for it.
     met = met.filter(~F.arrays_overlap("_tok", F.slice(F.col("_set"), F.lit(1), F.col("_place"))))
-    common = F.size(F.array_intersect("_tok", "_set"))
-    met = met.filter(common >= F.col("_need")).withColumn("_share", common / F.size("_set"))
-    best = F.max_by(F.struct("_label", "_share"), F.struct("_share", F.size("_set"), -F.col("_number")))
-    return met.groupBy("_k", "_n").agg(best.alias("_m")).select("_k", "_m._label", "_m._share")
+    met = met.withColumn("_both", F.array_intersect("_tok", "_set")).filter(F.size("_both") >= F.col("_need"))
+    match = F.struct((F.size("_both") / F.size("_set")).alias("share"), (-F.col("_number")).alias("number"), F.col("_label").alias("label"), F.col("_both").alias("both"), (F.col("_d") == 0).alias("own"))
+    # A row per block with its matches and those of the two that overlap it: at most three times the templates.
+    dealt = met.withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    found = dealt.groupBy("_k1", "_k2", "_l", F.col("_i") + F.col("_d")).agg(F.collect_list(match).alias("_m"))
+    within = lambda x, y: F.size(F.array_except(x["both"], y["both"])) == 0
+    better = lambda x, y: (F.size(y["both"]) > F.size(x["both"])) | (y["share"] > x["share"]) | ((y["share"] == x["share"]) & (y["number"] > x["number"]))
+    stay = F.filter("_m", lambda x: x["own"] & ~F.exists("_m", lambda y: within(x, y) & better(x, y)))
+    found = found.select("_k1", "_k2", F.inline(F.transform(stay, lambda x: F.struct(x["label"].alias("_label"), x["share"].alias("_share")))))
+    return found.groupBy("_k1", "_k2").agg(F.collect_set("_label").alias("_labels"), F.max("_share").alias("_score"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
-    A null or empty text has no words and no labels.  Repeated rows are scanned alike, each giving a row; null
-    ids stay null.  ``score`` is the best containment of a template in a line, and at least a half where a phrase stands.
+    A null or empty text has no words and no labels; texts of any length are scanned whole.  Repeated rows are scanned
+    alike, each giving a row; null ids stay null; an empty table gives no rows.  ``score`` is the best containment of a
+    template in a block, and at least a half where a phrase stands.
     """
     templates = TEMPLATES if templates is None else templates
     tokens = sorted({t for _, text in templates for t in text.split()})
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     order = token_order(own.select(words_of(lowered(F.col("_text"))).alias("_w")), tokens)
     scanned = own.select("_id", lowered(F.col("_text")).alias("_low")).withColumn("_w", words_of(F.col("_low")))
-    # Every template keeps a prefix token of each line that matches it, so other texts hold no match.
+    # Every template keeps a prefix token of each block that matches it, so other texts hold no match.
     near = F.arrays_overlap("_w", strings(sorted({t for _, text in templates for t in prefix(text, order, threshold)} | {p.split()[-1] for p in PHRASES})))
-    place = lambda p: F.when(near, phrase_starts(F.col("_w"), p)).otherwise(F.array().cast("array<int>"))
-    facts = scanned.select("_id", F.size("_w").cast("long").alias("n_words"), F.when(near, F.col("_low")).alias("_near"), *[place(p).alias(f"_p{i}") for i, p in enumerate(PHRASES)])
+    scanned = scanned.withColumn("_near", near)
+    place = lambda p: F.when(F.col("_near"), phrase_starts(F.col("_w"), p)).otherwise(F.array().cast("array<int>"))
+    # The key is the id with a hash of the text, by which rows of one id are told apart.
+    keys = [F.coalesce("_id", F.lit(0)).alias("_k1"), F.xxhash64(F.col("_low"), F.col("_id").isNull()).alias("_k2")]
+    facts = scanned.select("_id", F.size("_w").cast("long").alias("n_words"), *keys, *[place(p).alias(f"_p{i}") for i, p in enumerate(PHRASES)])
     places = F.array_sort(F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))]))
     base = F.filter(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    facts = facts.select("_id", F.when(F.col("_near").isNull(), F.xxhash64("_id")).otherwise(F.xxhash64("_near")).alias("_k"), F.col("_near").isNotNull().alias("_is"), "_near", "n_words", places.alias("_at"), base.alias("_base"))
-
-    # Equal texts are joined once; other rows keep their ids as keys, so that they do not meet in one task.
-    lines = facts.filter("_near IS NOT NULL").dropDuplicates(["_k"]).select("_k", F.posexplode(F.split("_near", "\n")).alias("_n", "_line"))
-    blocks = lines.select("_k", "_n", F.array_intersect(words_of(F.col("_line")), strings(tokens)).alias("_tok")).filter(F.size("_tok") > 0)
-    found = block_matches(blocks, order, templates, threshold)
-    found = found.groupBy("_k").agg(F.collect_set("_label").alias("_more"), F.max("_share").alias("_score"), F.lit(True).alias("_is"))
-    out = facts.drop("_near").join(found, ["_k", "_is"], "left")
+    facts = facts.select("_id", "_k1", "_k2", "n_words", places.alias("_at"), base.alias("_base"))
+
+    levels: dict[int, int] = {}  # stride: least tokens that a match needs
+    for _, text in templates:
+        need = needed(len(set(text.split())), threshold)
+        levels[stride_of(text)] = min(need, levels.get(stride_of(text), need))
+    blocks = scanned.filter("_near").select(*keys, F.inline(F.concat(*[window_tokens(F.col("_w"), stride, order, least) for stride, least in sorted(levels.items())])))
+    out = facts.join(block_matches(blocks, order, templates, threshold), ["_k1", "_k2"], "left")
     n = F.size("_at")
     return out.select(
         F.col("_id").alias("doc_id"),
@@ -134,21 +175,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         F.get("_at", F.lit(0)).cast("long").alias("first_word"),
         F.get("_at", n - 1).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("_base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>"))))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_labels", F.array().cast("array<string>"))))), ",").alias("labels"),
         F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(n > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 
+def needed(size: int, threshold: float) -> int:
+    return math.ceil(threshold * size - 1e-9)
+
+
 def prefix(text: str, order: list[str], threshold: float) -> list[str]:
     """The tokens of a template of which every matching block holds one."""
     rank = {t: i for i, t in enumerate(order)}
     ordered = sorted(set(text.split()), key=rank.__getitem__)
-    return ordered[: len(ordered) - math.ceil(threshold * len(ordered) - 1e-9) + 1]
+    return ordered[: len(ordered) - needed(len(ordered), threshold) + 1]
 
 
 def oracle_sql() -> str:
-    """The whole scan in SQL: all lines against all templates, without filters."""
-    listed = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(TEMPLATES))
+    """The whole scan in SQL: all windows against all templates of their size, without filters."""
+    listed = ", ".join(f"({i}, {stride_of(text)}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(TEMPLATES))
     words = lambda x: f"list_filter(regexp_split_to_array({x}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
     spots = []
     for phrase in PHRASES:
@@ -156,15 +201,17 @@ def oracle_sql() -> str:
         test = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
         spots.append(f"list_filter(range(len(w)), lambda i: coalesce({test}, false))")
     labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES.values()))
+    strides = ", ".join(f"({s})" for s in sorted({stride_of(text) for _, text in TEMPLATES}))
     return f"""
-WITH templates AS (SELECT n, label, list_distinct(toks) AS toks FROM (VALUES {listed}) AS t(n, label, toks)),
+WITH templates AS (SELECT n, stride, label, list_distinct(toks) AS toks FROM (VALUES {listed}) AS t(n, stride, label, toks)),
 docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 split AS (SELECT doc_id, low, {words("low")} AS w FROM docs),
 spots AS (SELECT doc_id, w, {", ".join(f"{s} AS p{i}" for i, s in enumerate(spots))} FROM split),
 base AS (SELECT doc_id, len(w) AS n_words, list_sort(list_concat(p0, list_concat(p1, p2))) AS spot, list_filter([{labels}], lambda x: x IS NOT NULL) AS b FROM spots),
-lines AS (SELECT doc_id, i, {words("line")} AS w FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs))),
-pairs AS (SELECT doc_id, i, n, label, len(toks) AS size, len(list_intersect(toks, w)) / len(toks) AS share FROM lines CROSS JOIN templates WHERE len(list_intersect(toks, w)) >= ceil({THRESHOLD} * len(toks) - 1e-9)),
-hits AS (SELECT doc_id, label, share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY share DESC, size DESC, n) AS k FROM pairs) WHERE k = 1),
+blocks AS (SELECT doc_id, stride, i, list_distinct(w[i * stride + 1 : i * stride + 2 * stride]) AS w FROM (SELECT doc_id, stride, w, unnest(range(greatest(1, cast(ceil(len(w) / stride) AS bigint) - 1))) AS i FROM split CROSS JOIN (VALUES {strides}) AS s(stride))),
+pairs AS (SELECT doc_id, stride, i, n, label, list_intersect(toks, w) AS common, len(list_intersect(toks, w)) / len(toks) AS share FROM blocks JOIN templates USING (stride) WHERE len(list_intersect(toks, w)) >= ceil({THRESHOLD} * len(toks) - 1e-9)),
+covered AS (SELECT DISTINCT x.doc_id, x.stride, x.i, x.n FROM pairs x JOIN pairs y ON x.doc_id = y.doc_id AND x.stride = y.stride AND y.i BETWEEN x.i - 1 AND x.i + 1 WHERE list_has_all(y.common, x.common) AND (len(y.common) > len(x.common) OR y.share > x.share OR (y.share = x.share AND y.n < x.n))),
+hits AS (SELECT pairs.* FROM pairs ANTI JOIN covered USING (doc_id, stride, i, n)),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM hits GROUP BY doc_id)
 SELECT doc_id, n_words, len(spot) AS n_base, spot[1] AS first_word, spot[-1] AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(spot) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
