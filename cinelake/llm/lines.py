@@ -24,6 +24,8 @@ from .common import carried, column_of, id_text, slices, texts_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
+#: About as many keys as a shard's exact table and filter hold in memory.
+SHARD_KEYS = 500_000
 
 
 class CuckooFilter:
@@ -149,6 +151,10 @@ class Shard:
                 self.filter.delete(_marks([d]))
         return stay
 
+    def shared(self) -> dict[bytes, tuple[int, int, int]]:
+        """What two or more distinct documents hold."""
+        return {k: v for k, v in self.table.items() if v[1] < v[2]}
+
     def _rebuild(self) -> None:
         size, marks = len(self.table), _marks(list(self.table))
         while True:
@@ -203,12 +209,13 @@ def _count_batches(table: dict[bytes, tuple[int, int, int]]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def reference_counts(docs: DataFrame, least_holders: int = 1) -> DataFrame:
+def reference_counts(docs: DataFrame, least_holders: int = 1, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The exact reference-count table of all line keys, built in shards behind cuckoo filters.
 
     Each input partition first combines its own references, so that a line that a third of all documents share
-    reaches its shard as a row per partition.  With ``least_holders=2`` only keys that at least two distinct
-    documents hold are returned.
+    reaches its shard as a row per partition.  A partition's keys come in the order of their first byte, so that it is
+    worked off in shards of about ``shard_keys`` keys, whatever its size.  With ``least_holders=2`` only keys that at
+    least two distinct documents hold are returned.
     """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +231,21 @@ def reference_counts(docs: DataFrame, least_holders: int = 1) -> DataFrame:
         yield from _count_batches(table)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Shard()
+        held, at = Shard(), None
         for b in batches:
-            if b.num_rows:
-                held.insert(*(column_of(b, n).to_pylist() for n in ("_key", "_refs", "_least", "_most")))
-        yield from _count_batches({k: v for k, v in held.table.items() if least_holders < 2 or v[1] < v[2]})
+            first = column_of(b, "_first").to_numpy(zero_copy_only=False)
+            cuts = np.append(np.flatnonzero(np.append(True, first[1:] != first[:-1])), len(first)).tolist() if len(first) else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if first[i] != at and len(held.table) >= shard_keys:  # no key of a later byte is in this shard
+                    yield from _count_batches(held.shared() if least_holders > 1 else held.table)
+                    held = Shard()
+                at = first[i]
+                part = b.slice(i, j - i)
+                held.insert(*(column_of(part, n).to_pylist() for n in ("_key", "_refs", "_least", "_most")))
+        yield from _count_batches(held.shared() if least_holders > 1 else held.table)
 
-    return docs.mapInArrow(combine, COUNTS).repartition("_key").mapInArrow(shard, COUNTS)
+    combined = docs.mapInArrow(combine, COUNTS).withColumn("_first", F.conv(F.hex(F.substring("_key", 1, 1)), 16, 10).cast("int"))
+    return combined.repartition("_key").sortWithinPartitions("_first").mapInArrow(shard, COUNTS)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -266,13 +281,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class LineIndex:
     """An incremental line index in a shared folder: add documents, delete them again, ask for repeated lines.
 
-    Version ``v`` holds ``v<N>/refs`` (key, document) and ``v<N>/counts`` (the exact table), both dealt to
-    ``shards`` by key.  An update reads the shard's counts, rebuilds its filter from them and applies the changes;
-    versions are written whole, so that a failed update leaves the last one as it was.
+    Version ``v`` holds ``v<N>/refs`` (key, document) and ``v<N>/counts`` (the exact table).  An update deals both to
+    as many shards as ``shard_keys`` keys each need, reads a shard's counts, rebuilds its filter from them and applies
+    the changes.  Versions are written whole, counts last; opening a folder takes its last whole version, so that a
+    failed update or a new driver leaves the index as it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = 16):
-        self.spark, self.path, self.shards, self.version = spark, path, shards, -1
+    def __init__(self, spark: SparkSession, path: str, shard_keys: int = SHARD_KEYS):
+        self.spark, self.path, self.shard_keys = spark, path, shard_keys
+        self.version = max(self._whole_versions(), default=-1)
+
+    def _whole_versions(self) -> list[int]:
+        """Versions whose counts were committed."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(root)]
+        known = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+        return [n for n in known if files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}/counts/_SUCCESS"))]
 
     def _read(self, what: str) -> DataFrame:
         if self.version < 0:
@@ -292,7 +320,8 @@ class LineIndex:
         refs.write.mode("overwrite").parquet(f"{to}/refs")
         change = new.withColumn("_n", F.lit(1)).unionByName(gone.withColumn("_n", F.lit(-1)))
         change = change.groupBy("_key").agg(F.sum(F.greatest("_n", F.lit(0))).alias("_add"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).alias("_del"))
-        dealt = lambda df: df.withColumn("_shard", F.expr(f"pmod(xxhash64(_key), {self.shards})"))
+        shards = -(-(self._read("counts").count() + change.count()) // self.shard_keys) or 1
+        dealt = lambda df: df.withColumn("_shard", F.expr(f"pmod(xxhash64(_key), {shards})"))
 
         def apply(held: pa.Table, changes: pa.Table) -> pa.Table:
             s = Shard()

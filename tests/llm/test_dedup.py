@@ -73,7 +73,7 @@ def test_shard_counts_are_exact_and_reversible():
 def test_line_index_adds_and_deletes(spark, tmp_path):
     first = make(spark, ["one shared line here\nonly in the first", "one shared line here", "third has its own line"])
     more = spark.createDataFrame([(7, "third has its own line\none shared line here")], "doc_id long, text string")
-    index = lines.LineIndex(spark, str(tmp_path / "index"), shards=3)
+    index = lines.LineIndex(spark, str(tmp_path / "index"), shard_keys=1)
     table = lambda: {bytes(r["_key"]): (r["_refs"], r["_least"], r["_most"]) for r in index.counts().collect()}
     index.update(added=first)
     before = table()
@@ -83,6 +83,23 @@ def test_line_index_adds_and_deletes(spark, tmp_path):
     assert table() == before
     index.update(added=first)  # what is there changes nothing
     assert table() == before
+    index = lines.LineIndex(spark, str(tmp_path / "index"))  # a driver that starts anew
+    assert table() == before and index.version == 3
+    index.update(added=more)
+    assert table()[lines.line_key(b"one shared line here")] == (3, 0, 7)
+    (tmp_path / "index" / "v4" / "counts" / "_SUCCESS").unlink()  # an update that did not end
+    index = lines.LineIndex(spark, str(tmp_path / "index"))
+    assert table() == before and index.version == 3
+    index.update(removed=first)
+    assert table() == {} and lines.LineIndex(spark, str(tmp_path / "index")).version == 4
+
+
+def test_partitions_are_worked_off_in_shards(spark):
+    texts = [f"line number {i % 700} of some length\nanother line {i}" for i in range(2000)]
+    table = lambda **k: {bytes(r["_key"]): tuple(r)[1:] for r in lines.reference_counts(lines.id_text(make(spark, texts)), **k).collect()}
+    whole = table()
+    assert len(whole) == 2700 and table(shard_keys=50) == whole
+    assert table(shard_keys=50, least_holders=2) == {k: v for k, v in whole.items() if v[1] < v[2]}
 
 
 def shingles(text, width):
