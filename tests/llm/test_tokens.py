@@ -94,24 +94,55 @@ def test_packing_over_blocks_and_sequences(spark):
     assert len(whole) == used and all(len(r.ids) == r.n_tokens for r in whole)
 
 
-def test_genetic_packing_beats_or_equals_best_fit():
-    rnd = random.Random(4)
-    sizes = [rnd.randint(25, 60) for _ in range(300)]
-    bins, rooms = packing.pack_block(sizes, 100, seed=1)
-    first, _ = packing.best_fit(sorted(range(300), key=lambda i: -sizes[i]), sizes, 100)
-    assert len(bins) <= len(first)
-    assert sorted(i for b in bins for i in b) == list(range(300))
-    assert all(sum(sizes[i] for i in b) + r == 100 and r >= 0 for b, r in zip(bins, rooms, strict=True))
+def triples(seed, bins, capacity=1000):
+    """Pieces that fill bins of three without any room, which best fit does not find."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(bins):
+        a = rnd.randint(380, 490)
+        b = rnd.randint((capacity - a) // 2 - 60, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    rnd.shuffle(out)
+    return out
+
+
+def test_genetic_packing_saves_bins_over_best_fit():
+    saved = 0
+    for seed in range(5):
+        sizes = triples(seed, 30)
+        bins, rooms = packing.pack_block(sizes, 1000, seed)
+        first, _ = packing.best_fit(sorted(range(90), key=lambda i: -sizes[i]), sizes, 1000)
+        assert 30 <= len(bins) <= len(first)
+        saved += len(first) - len(bins)
+        assert sorted(i for b in bins for i in b) == list(range(90))
+        assert all(sum(sizes[i] for i in b) + r == 1000 and r >= 0 for b, r in zip(bins, rooms, strict=True))
+    assert saved >= 5
+
+
+def test_islands_save_bins_and_elites_migrate(spark):
+    blocks = {k: triples(10 + k, 30) for k in range(3)}
+    frame = spark.createDataFrame(list(blocks.items()), "_block long, _sizes array<int>")
+    used = {}
+    for epochs in (1, 3):
+        rows = packing.search_islands(frame, 1000, 3, epochs, 20, 4).collect()
+        assert len(rows) == 3
+        for r in rows:
+            bins, rooms = packing.solution_of(r["_bins"], blocks[r["_block"]], 1000)
+            assert sorted(i for g in bins for i in g) == list(range(90)) and min(rooms) >= 0
+            used[epochs, r["_block"]] = packing.fitness((bins, rooms), 1000)
+    first = {k: len(packing.best_fit(sorted(range(90), key=lambda i: -s[i]), s, 1000)[0]) for k, s in blocks.items()}
+    assert all(used[3, k] <= used[1, k] for k in blocks) and any(used[3, k] < used[1, k] for k in blocks)
+    assert sum(first.values()) - sum(used[3, k][0] for k in blocks) >= 3
 
 
 def test_crossover_keeps_every_document():
-    sizes = [random.Random(5).randint(1, 50) for _ in range(120)]
+    sizes = [random.Random(i).randint(1, 50) for i in range(120)]
     a = packing.best_fit(list(range(120)), sizes, 64)
     b = packing.best_fit(list(range(119, -1, -1)), sizes, 64)
     for seed in range(5):
-        bins, rooms = packing.crossover(a, b, sizes, 64, random.Random(seed), 2)
+        bins, rooms = packing.crossover(a, b, sizes, 64, random.Random(seed))
         assert sorted(i for g in bins for i in g) == list(range(120))
-        assert all(sum(sizes[i] for i in g) + r == 64 for g, r in zip(bins, rooms, strict=True))
+        assert all(sum(sizes[i] for i in g) + r == 64 and r >= 0 for g, r in zip(bins, rooms, strict=True))
 
 
 def test_token_counts(docs, empty):
