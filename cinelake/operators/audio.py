@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .dsp import k_weighted
 from .islands import islands, trailing
 
 LEAST, MOST = -32768, 32767
@@ -84,17 +85,37 @@ def clipping(samples: DataFrame, most: int) -> DataFrame:
     return samples.groupBy("stream").agg(F.sum((F.abs("x") >= most).cast("long")).alias("clipped"), F.count("*").alias("n"))
 
 
-def loudness_blocks(samples: DataFrame, size: int, hop: int) -> DataFrame:
-    """Loudness of overlapping whole blocks.  Each sample joins the size / hop blocks that hold it."""
-    ratio = size // hop
-    n = F.count("*").over(W.partitionBy("stream"))
-    rows = samples.withColumn("_n", n).withColumn("_last", F.expr(f"(_n - {size}) div {hop}"))
-    rows = rows.filter(F.col("_n") >= size)
-    slot = F.expr(f"i div {hop}")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.greatest(slot - (ratio - 1), F.lit(0)), slot))).filter("block <= _last")
-    energy = rows.groupBy("stream", "block").agg(F.sum(F.col("x").cast("long") * F.col("x")).alias("energy"))
-    mean = F.col("energy") / (size * 32768.0 * 32768.0)
-    return energy.select("stream", "block", F.when(mean > 0, -0.691 + 10 * F.log10(F.when(mean > 0, mean))).otherwise(F.lit(float("-inf"))).alias("lufs"))
+#: Weights of the channels of surround sound (left, right, centre, low frequency, left and right surround).
+SURROUND = (1.0, 1.0, 1.0, 0.0, 1.41, 1.41)
+
+
+def weighted_power(samples: DataFrame, rate: int = 48_000) -> DataFrame:
+    """``stream, i, power`` of K-weighted samples (``stream, channel, i, x``; without ``channel``: of one channel).
+
+    Each channel is filtered on its own.  With five channels or more those of the rear weigh more and that of low
+    frequencies nothing; otherwise all weigh alike.
+    """
+    if "channel" not in samples.columns:
+        return k_weighted(samples, rate).select("stream", "i", (F.col("y") * F.col("y")).alias("power"))
+    own = k_weighted(samples, rate, ("stream", "channel"))
+    several = samples.groupBy("stream").agg((F.max("channel") >= 4).alias("_s"))
+    weight = F.coalesce(F.get(F.array(*map(F.lit, SURROUND)), F.col("channel").cast("int")), F.lit(0.0))
+    rows = own.join(several, "stream").withColumn("_p", F.col("y") * F.col("y") * F.when(F.col("_s"), weight).otherwise(1.0))
+    return rows.groupBy("stream", "i").agg(F.sum("_p").alias("power"))
+
+
+def loudness_blocks(power: DataFrame, size: int, hop: int, most: int = 600) -> DataFrame:
+    """Loudness of the last ``most`` of the overlapping whole blocks of ``size`` samples, ``hop`` apart (a divisor of it).
+
+    Samples are summed by hop first, so that a block is a window over a few sums.
+    """
+    if size % hop:
+        raise ValueError("the hop must divide the size")
+    hops = power.groupBy("stream", F.expr(f"i div {hop}").alias("block")).agg(F.sum("power").alias("_p"), F.count("*").alias("_c"))
+    ahead = W.partitionBy("stream").orderBy("block").rowsBetween(0, size // hop - 1)
+    rows = hops.select("stream", "block", (F.sum("_p").over(ahead) / size).alias("_mean"), F.sum("_c").over(ahead).alias("_n")).filter(F.col("_n") == size)
+    rows = rows.withColumn("_last", F.max("block").over(W.partitionBy("stream"))).filter(F.col("block") > F.col("_last") - most)
+    return rows.select("stream", "block", F.when(F.col("_mean") > 0, -0.691 + 10 * F.log10(F.when(F.col("_mean") > 0, F.col("_mean")))).otherwise(F.lit(float("-inf"))).alias("lufs"))
 
 
 def integrated_loudness(blocks: DataFrame, floor: float = -70.0, relative: float = -10.0) -> DataFrame:
@@ -114,27 +135,3 @@ def loudness_range(blocks: DataFrame, floor: float = -70.0) -> DataFrame:
 def true_peak(samples: DataFrame) -> DataFrame:
     """Linear interpolation adds no peaks, so that this is the largest magnitude."""
     return samples.groupBy("stream").agg(F.max(F.abs("x")).alias("peak"))
-
-
-def spikes(samples: DataFrame, step: int, spacing: int) -> DataFrame:
-    """Places where the sample rises by more than ``step``, the first of each stretch of ``spacing`` samples."""
-    order = W.partitionBy("stream").orderBy("i")
-    jumps = samples.select("stream", "i", (F.col("x") - F.lag("x").over(order)).alias("rise")).filter(F.col("rise") > step)
-    return jumps.withColumn("_slot", F.expr(f"i div {spacing}")).groupBy("stream", "_slot").agg(F.min("i").alias("i")).select("stream", "i")
-
-
-def lag_correlation(samples: DataFrame, lags: int) -> DataFrame:
-    """Normalised dot products of a stream with itself shifted by each lag; the first largest wins outside zero.
-
-    Lags are columns of one window, not a join.
-    """
-    order = W.partitionBy("stream").orderBy("i")
-    rows = samples.select("stream", F.col("x").cast("long").alias("x"), *[F.lead("x", k).over(order).cast("long").alias(f"_y{k}") for k in range(1, lags + 1)])
-    sums = []
-    for k in range(1, lags + 1):
-        y, x = F.col(f"_y{k}"), F.when(F.col(f"_y{k}").isNotNull(), F.col("x"))
-        sums += [F.sum(x * y).alias(f"_d{k}"), F.sum(x * x).alias(f"_a{k}"), F.sum(y * y).alias(f"_b{k}")]
-    folded = rows.groupBy("stream").agg(*sums)
-    score = lambda k: F.when(F.col(f"_a{k}") * F.col(f"_b{k}").cast("double") > 0, F.col(f"_d{k}") / F.sqrt(F.col(f"_a{k}") * F.col(f"_b{k}").cast("double")))
-    table = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), score(k).alias("score")) for k in range(1, lags + 1)]))
-    return folded.select("stream", table.alias("_s")).select("stream", "_s.lag", "_s.score")

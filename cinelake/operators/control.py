@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock
+from .folds import ordered_fold
+
+
+class _Segmenter:
+    """The open segment of a stream; it is given out when the next one starts or the stream ends."""
+
+    def __init__(self, key: tuple, target: int, most: int):
+        self.stream, self.target, self.most = key[0], target, most
+        self.number, self.open = -1, None
+
+    def step(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        done = []
+        for pts, size, keyframe in zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("pts", "size", "keyframe")), strict=True):
+            elapsed = max(pts - self.open[0], 0) if self.open else 0
+            if self.open is None or (keyframe and elapsed >= self.target) or elapsed >= self.most:
+                done += self._closed()
+                self.number, self.open = self.number + 1, [pts, pts, size, 1]
+            else:
+                self.open[1:] = [pts, self.open[2] + size, self.open[3] + 1]
+        return self._rows(done)
+
+    def _closed(self) -> list[tuple]:
+        return [(self.stream, self.number, self.open[0], self.open[1] - self.open[0], self.open[2], self.open[3])] if self.open else []
+
+    def _rows(self, done: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], [c.split()[0] for c in SEGMENT.split(", ")])
+
+    def finish(self) -> pa.RecordBatch:
+        return self._rows(self._closed())
+
+
+SEGMENT = "stream long, segment int, start long, duration long, size long, packets long"
 
 
 def segments(packets: DataFrame, target: int, most: int) -> DataFrame:
     """Split each stream at a keyframe once ``target`` ms have passed, or at ``most`` ms.
 
     A segment's duration runs to its last packet's time; the splits depend on earlier ones, so that they are a fold
-    over the ordered packets of a stream.
+    over the ordered packets of a stream, which holds the open segment alone.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "pts", "size", "keyframe")))
-    empty = F.array().cast("array<struct<start:bigint,last:bigint,size:bigint,n:bigint>>")
-
-    def step(done: Column, p: Column) -> Column:
-        now = F.try_element_at(done, F.lit(-1))  # null in the empty list
-        elapsed = F.greatest(p["pts"] - now["start"], F.lit(0).cast("long"))
-        split = now.isNull() | (p["keyframe"] & (elapsed >= target)) | (elapsed >= most)
-        fresh = F.struct(p["pts"].alias("start"), p["pts"].alias("last"), p["size"].alias("size"), F.lit(1).cast("long").alias("n"))
-        grown = F.struct(now["start"].alias("start"), p["pts"].alias("last"), (now["size"] + p["size"]).alias("size"), (now["n"] + 1).alias("n"))
-        return F.when(split, F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
-
-    folded = packets.groupBy("stream").agg(ordered.alias("_p")).select("stream", F.aggregate("_p", empty, step).alias("_s"))
-    return folded.select("stream", F.posexplode("_s").alias("segment", "s")).select("stream", "segment", F.col("s.start").alias("start"), (F.col("s.last") - F.col("s.start")).alias("duration"), F.col("s.size").alias("size"), F.col("s.n").alias("packets"))
+    rows = packets.select(F.col("stream").cast("long").alias("stream"), "seq", "pts", "size", "keyframe")
+    return ordered_fold(rows, ["stream"], ["seq"], lambda key: _Segmenter(key, target, most), SEGMENT)
 
 
 def segment_name(index: Column) -> Column:
@@ -79,10 +103,45 @@ def edl(events: DataFrame, title: str, fps: int = 25) -> DataFrame:
     return _joined(events.select("track", "ordinal", line.alias("b")), "\n", f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n", "\n")
 
 
-def group_frame_types(stats: DataFrame, most: int) -> DataFrame:
-    """An I frame first and after ``most`` frames, else B every third and P."""
-    n = F.row_number().over(W.partitionBy("stream").orderBy("idx")) - 1
-    return stats.withColumn("planned", F.when(n % most == 0, "I").when(n % most % 3 == 0, "B").otherwise("P"))
+class _FramePlan:
+    """Frames since the last keyframe; the pattern between keyframes counts from it."""
+
+    def __init__(self, key: tuple, interval: int, least: int, most: int, between: int, idr: bool):
+        self.stream, self.interval, self.least, self.most, self.between = key[0], interval, least, most, between
+        self.first, self.since = "IDR" if idr else "I", -1
+
+    def step(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = []
+        for scene in rows.column(rows.schema.get_field_index("scene")).to_pylist():
+            if self.since < 0:
+                kind = self.first
+            elif (0 < self.interval <= self.since) or (scene and self.since >= self.least) or self.since >= self.most:
+                kind = "I"
+            else:
+                kind = "P" if not self.between or self.since % (self.between + 1) == 0 else "B"
+            self.since = 1 if kind in ("I", "IDR") else self.since + 1
+            kinds.append(kind)
+        idx = rows.column(rows.schema.get_field_index("idx"))
+        return pa.RecordBatch.from_arrays([pa.array([self.stream] * len(kinds), pa.int64()), idx, pa.array(kinds, pa.string())], ["stream", "idx", "planned"])
+
+    def finish(self) -> None:
+        return None
+
+
+def group_frame_types(frames: DataFrame, most: int, interval: int = 0, least: int = 1, between: int = 2, idr: bool = False) -> DataFrame:
+    """``stream, idx, planned``: I, P or B for each frame (``stream, idx, scene``: whether it starts a new scene).
+
+    The first frame, the ``interval``-th since the last keyframe (0: none is forced), a new scene from the ``least``-th
+    on, and the ``most``-th are I; from one on, every (``between`` + 1)-th frame is P and those between are B.
+    """
+    rows = frames.select(F.col("stream").cast("long").alias("stream"), F.col("idx").cast("long").alias("idx"), F.coalesce("scene", F.lit(False)).alias("scene"))
+    return ordered_fold(rows, ["stream"], ["idx"], lambda key: _FramePlan(key, interval, least, most, between, idr), "stream long, idx long, planned string")
+
+
+def transfer_speed(jobs: DataFrame, key: str) -> DataFrame:
+    """Bytes put out per second of encoding (``bytes``, ``ms``) for each key; 0 where no time was taken."""
+    seconds = F.sum("ms") / 1000.0
+    return jobs.groupBy(key).agg(F.when(seconds > 0, F.sum("bytes") / F.nullif(seconds, F.lit(0.0))).otherwise(0.0).alias("speed"))
 
 
 def look_ahead_bitrate(stats: DataFrame, ahead: int, base: int) -> DataFrame:
@@ -112,14 +171,37 @@ def stage_profile(times: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def assign_jobs(jobs: DataFrame, workers: DataFrame) -> DataFrame:
-    """For each ready worker with room, the highest-priority, then oldest, queued job whose codec it has.
+    """``worker_id, job_id``: what a round of requests gives out, one job at most to a worker and a job to one worker.
+
+    Ready workers with room ask in the order of their ids; each takes the queued job of the highest priority, then the
+    oldest, that is left and that it can handle: a job's ``codec`` and ``hw`` may be null (no requirement), a worker has
+    arrays of ``codecs`` and ``hws``.
 
-    The best job of each codec is found first, so that no pair of all jobs and workers is made.
+    Of the jobs with equal requirements only as many as there are workers can be taken, so that what meets in one task
+    is that many for each requirement: it grows with the fleet, not with the queue.
     """
-    best = jobs.filter("state = 'queued'").groupBy("codec").agg(F.min_by(F.struct("job_id", "priority", "created"), F.struct(-F.col("priority"), F.col("created"), F.col("job_id"))).alias("j"))
-    able = workers.filter("state = 'ready' AND running < most").select("worker_id", F.explode(F.array("codec_a", "codec_b")).alias("codec"))
-    pairs = able.join(best, "codec")
-    return pairs.groupBy("worker_id").agg(F.min_by("j.job_id", F.struct(-F.col("j.priority"), F.col("j.created"), F.col("j.job_id"))).alias("job_id"))
+    able = workers.filter("state = 'ready' AND running < most").select(F.col("worker_id").cast("long").alias("worker_id"), "codecs", "hws")
+    fleet = able.agg(F.count("*").alias("_w"))
+    place = F.row_number().over(W.partitionBy("codec", "hw").orderBy(F.col("priority").desc(), "created", "job_id"))
+    queued = jobs.filter("state = 'queued'").select(F.col("job_id").cast("long").alias("job_id"), "priority", "created", "codec", "hw", place.alias("_r"))
+    wanted = queued.crossJoin(F.broadcast(fleet)).filter("_r <= _w").drop("_r", "_w")  # the fleet is one row
+
+    def match(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        queues: dict[tuple, list[tuple]] = {}
+        for j in left.astype(object).where(left.notna(), None).sort_values(["priority", "created", "job_id"], ascending=[False, True, True]).itertuples():
+            queues.setdefault((j.codec, j.hw), []).append((-j.priority, j.created, j.job_id))
+        at, given = dict.fromkeys(queues, 0), []
+        for w in right.sort_values("worker_id").itertuples():
+            codecs, hws = set(w.codecs) | {None}, set(w.hws) | {None}
+            heads = [(queues[k][at[k]], k) for k in queues if k[0] in codecs and k[1] in hws and at[k] < len(queues[k])]
+            if heads:
+                job, k = min(heads, key=lambda h: h[0])
+                at[k] += 1
+                given.append((w.worker_id, job[2]))
+        return pd.DataFrame(given, columns=["worker_id", "job_id"])
+
+    one = F.lit(0).alias("_g")
+    return wanted.select("*", one).groupBy("_g").cogroup(able.select("*", one).groupBy("_g")).applyInPandas(match, "worker_id long, job_id long")
 
 
 def bd_rate(points: DataFrame, metric: str = "rate") -> DataFrame:
@@ -129,7 +211,6 @@ def bd_rate(points: DataFrame, metric: str = "rate") -> DataFrame:
     compare mean rates.  ``metric='psnr'`` swaps the axes.
     """
     import numpy as np
-    import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf["curve"] == c] for c in "ab")

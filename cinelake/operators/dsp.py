@@ -1,6 +1,7 @@
-"""Filters and meters with feedback: one ordered pass over each stream, in batches of whole streams.
+"""Filters and meters with feedback: one ordered pass over each stream, whose state goes from batch to batch.
 
-The recurrences are sequential and not linear, so that they cannot be windows; a stream is the unit of work.
+The recurrences are sequential, so that they are no windows; a stream is the unit of distribution, a batch of samples
+the unit of memory.
 """
 
 from __future__ import annotations
@@ -9,64 +10,133 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .folds import ordered_fold
 
-def per_stream(samples: DataFrame, f: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """``stream, i`` and a double for each sample of each stream, ordered by ``i``."""
+#: Maps the next samples of a stream to as many outputs; what it holds back it returns after the last (for None).
+Filter = Callable[[np.ndarray | None], np.ndarray]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        return pd.DataFrame({"stream": pdf["stream"], "i": pdf["i"], name: f(pdf["x"].to_numpy(dtype=np.float64) / 32768.0)})
 
-    return samples.select("stream", "i", "x").groupBy("stream").applyInPandas(run, f"stream long, i long, {name} double")
+class _PerSample:
+    """The fold of a filter: outputs go out under the places of their samples."""
 
+    def __init__(self, key: tuple, names: list[str], f: Filter):
+        self.key, self.names, self.f = key, names, f
+        self.places = np.zeros(0, np.int64)
 
-def ewma(x: np.ndarray, rate: int, ms: float) -> np.ndarray:
-    """Ballistics of a VU meter: attack and release have one time constant."""
-    a = math.exp(-1.0 / (rate * ms / 1000.0))
-    out, level = np.empty_like(x), 0.0
-    for k, v in enumerate(np.abs(x).tolist()):
-        level = a * level + (1 - a) * v
-        out[k] = level
-    return out
+    def _out(self, y: np.ndarray) -> pa.RecordBatch:
+        at, self.places = self.places[: len(y)], self.places[len(y) :]
+        keys = [pa.array(np.full(len(y), k, np.int64)) for k in self.key]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(y)], self.names)
+
+    def step(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        i, x = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("i", "x"))
+        self.places = np.append(self.places, i)
+        return self._out(self.f(x.astype(np.float64) / 32768.0))
+
+    def finish(self) -> pa.RecordBatch:
+        return self._out(self.f(None))
+
+
+def per_stream(samples: DataFrame, make: Callable[[], Filter], name: str, key: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """The key, ``i`` and a double for each sample of each stream, ordered by ``i``; ``make`` gives each stream its filter."""
+    names = [*key, "i", name]
+    rows = samples.select(*[F.col(k).cast("long").alias(k) for k in key], F.col("i").cast("long").alias("i"), "x")
+    return ordered_fold(rows, list(key), ["i"], lambda own: _PerSample(own, names, make()), ", ".join(f"{k} long" for k in [*key, "i"]) + f", {name} double")
+
+
+def chain(*filters: Filter) -> Filter:
+    """Filters one after the other; none of them holds samples back."""
+
+    def run(x: np.ndarray | None) -> np.ndarray:
+        y = np.zeros(0) if x is None else x
+        for f in filters:
+            y = f(y)
+        return y
+
+    return run
+
+
+class Level:
+    """A smoothed magnitude: it rises with one coefficient and falls with another."""
+
+    def __init__(self, rising: float, falling: float):
+        self.rising, self.falling, self.level = rising, falling, 0.0
+
+    def __call__(self, x: np.ndarray | None) -> np.ndarray:
+        values = np.zeros(0) if x is None else np.abs(x)
+        out, level = np.empty_like(values), self.level
+        for k, v in enumerate(values.tolist()):
+            c = self.rising if v > level else self.falling
+            level = c * level + (1 - c) * v
+            out[k] = level
+        self.level = level
+        return out
+
+
+def coefficient(rate: int, ms: float) -> float:
+    return math.exp(-1000.0 / (rate * ms))
 
 
 def vu_meter(samples: DataFrame, rate: int = 48_000, ms: float = 300.0) -> DataFrame:
-    return per_stream(samples, lambda x: ewma(x, rate, ms), "vu")
+    """Ballistics of a VU meter: attack and release have one time constant."""
+    return per_stream(samples, lambda: Level(coefficient(rate, ms), coefficient(rate, ms)), "vu")
+
+
+class PeakHold:
+    """Peaks of whole blocks, each for all its samples; a block that is not full yet is held back."""
+
+    def __init__(self, block: int, hold: int, decay: float):
+        self.block, self.hold, self.decay = block, hold, decay
+        self.peak, self.left, self.rest = 0.0, 0, np.zeros(0)
+
+    def __call__(self, x: np.ndarray | None) -> np.ndarray:
+        values = np.append(self.rest, np.zeros(0) if x is None else np.abs(x))
+        end = len(values) if x is None else len(values) // self.block * self.block
+        self.rest = values[end:]
+        out = np.empty(end)
+        for i in range(0, end, self.block):
+            now = float(values[i : min(i + self.block, end)].max())
+            if now >= self.peak:
+                self.peak, self.left = now, self.hold
+            elif self.left > 0:
+                self.left -= self.block
+            else:
+                self.peak *= self.decay
+            out[i : i + self.block] = self.peak
+        return out
 
 
 def peak_hold(samples: DataFrame, block: int, hold: int, decay: float) -> DataFrame:
     """Block peaks that are held for ``hold`` samples and then fall by a factor a block."""
+    return per_stream(samples, lambda: PeakHold(block, hold, decay), "peak")
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out, peak, left = np.empty_like(x), 0.0, 0
-        for i in range(0, len(x), block):
-            now = float(np.abs(x[i : i + block]).max())
-            if now >= peak:
-                peak, left = now, hold
-            elif left > 0:
-                left -= block
-            else:
-                peak *= decay
-            out[i : i + block] = peak
-        return out
 
-    return per_stream(samples, run, "peak")
+Coefficients = tuple[tuple[float, float, float], tuple[float, float]]
 
 
-def biquad(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float]) -> np.ndarray:
-    out = np.empty_like(x)
-    x1 = x2 = y1 = y2 = 0.0
-    for k, v in enumerate(x.tolist()):
-        y = b[0] * v + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
-        x2, x1, y2, y1 = x1, v, y1, y
-        out[k] = y
-    return out
+class Biquad:
+    def __init__(self, b: tuple[float, float, float], a: tuple[float, float]):
+        self.b, self.a = b, a
+        self.state = (0.0, 0.0, 0.0, 0.0)
+
+    def __call__(self, x: np.ndarray | None) -> np.ndarray:
+        values = np.zeros(0) if x is None else x
+        out = np.empty_like(values)
+        x1, x2, y1, y2 = self.state
+        (b0, b1, b2), (a1, a2) = self.b, self.a
+        for k, v in enumerate(values.tolist()):
+            y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+            x2, x1, y2, y1 = x1, v, y1, y
+            out[k] = y
+        self.state = (x1, x2, y1, y2)
+        return out
 
 
-def peaking(rate: int, hz: float, gain_db: float, q: float) -> tuple[tuple[float, float, float], tuple[float, float]]:
+def peaking(rate: int, hz: float, gain_db: float, q: float) -> Coefficients:
     """Coefficients of a peaking equaliser."""
     amp, w = 10 ** (gain_db / 40), 2 * math.pi * hz / rate
     alpha, cos = math.sin(w) / (2 * q), math.cos(w)
@@ -76,23 +146,11 @@ def peaking(rate: int, hz: float, gain_db: float, q: float) -> tuple[tuple[float
 
 def parametric_eq(samples: DataFrame, bands: list[tuple[float, float, float]], rate: int = 48_000) -> DataFrame:
     """A cascade of peaking filters, each (Hz, dB, Q)."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        for hz, gain, q in bands:
-            x = biquad(x, *peaking(rate, hz, gain, q))
-        return x
-
-    return per_stream(samples, run, "y")
+    return per_stream(samples, lambda: chain(*[Biquad(*peaking(rate, *band)) for band in bands]), "y")
 
 
-def envelope(x: np.ndarray, rate: int, attack_ms: float, release_ms: float) -> np.ndarray:
-    up, down = math.exp(-1000 / (rate * attack_ms)), math.exp(-1000 / (rate * release_ms))
-    out, level = np.empty_like(x), 0.0
-    for k, v in enumerate(np.abs(x).tolist()):
-        c = up if v > level else down
-        level = c * level + (1 - c) * v
-        out[k] = level
-    return out
+def envelope(rate: int, attack_ms: float, release_ms: float) -> Level:
+    return Level(coefficient(rate, attack_ms), coefficient(rate, release_ms))
 
 
 def gain_curve(db: np.ndarray, threshold: float, ratio: float, knee: float) -> np.ndarray:
@@ -107,9 +165,18 @@ def decibels(x: np.ndarray) -> np.ndarray:
     return 20 * np.log10(np.maximum(x, 1e-10))
 
 
+def driven(level: Filter, gain_db: Callable[[np.ndarray], np.ndarray]) -> Filter:
+    """Samples times the gain, in decibels, that a level (also in decibels) calls for."""
+
+    def run(x: np.ndarray | None) -> np.ndarray:
+        x = np.zeros(0) if x is None else x
+        return x * 10 ** (gain_db(decibels(level(x))) / 20)
+
+    return run
+
+
 def compressor(samples: DataFrame, threshold: float = -20.0, ratio: float = 4.0, knee: float = 6.0, attack_ms: float = 5.0, release_ms: float = 50.0, makeup: float = 0.0, rate: int = 48_000) -> DataFrame:
-    run = lambda x: x * 10 ** ((gain_curve(decibels(envelope(x, rate, attack_ms, release_ms)), threshold, ratio, knee) + makeup) / 20)
-    return per_stream(samples, run, "y")
+    return per_stream(samples, lambda: driven(envelope(rate, attack_ms, release_ms), lambda db: gain_curve(db, threshold, ratio, knee) + makeup), "y")
 
 
 def limiter(samples: DataFrame, ceiling: float = -1.0, rate: int = 48_000) -> DataFrame:
@@ -119,27 +186,32 @@ def limiter(samples: DataFrame, ceiling: float = -1.0, rate: int = 48_000) -> Da
 
 def expander(samples: DataFrame, threshold: float = -40.0, ratio: float = 2.0, attack_ms: float = 5.0, release_ms: float = 50.0, rate: int = 48_000) -> DataFrame:
     """Below the threshold the gain falls by the distance times (ratio - 1) / ratio decibels."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        below = np.maximum(threshold - decibels(envelope(x, rate, attack_ms, release_ms)), 0.0)
-        return x * 10 ** (-below * (ratio - 1) / (20 * ratio))
-
-    return per_stream(samples, run, "y")
+    below = lambda db: -np.maximum(threshold - db, 0.0) * (ratio - 1) / ratio
+    return per_stream(samples, lambda: driven(envelope(rate, attack_ms, release_ms), below), "y")
 
 
 def de_esser(samples: DataFrame, hz: float = 6000.0, q: float = 2.0, boost: float = 12.0, threshold: float = -20.0, ratio: float = 4.0, rate: int = 48_000) -> DataFrame:
     """The level of the boosted band drives the gain of the whole signal."""
+    band = lambda: chain(Biquad(*peaking(rate, hz, boost, q)), envelope(rate, 1.0, 50.0))
+    return per_stream(samples, lambda: driven(band(), lambda db: gain_curve(db, threshold, ratio, 6.0)), "y")
+
+
+def k_weights(rate: int) -> tuple[Coefficients, Coefficients]:
+    """A high pass at 80 Hz, and a shelf of four decibels from 1500 Hz on, by bilinear transform."""
 
-    def run(x: np.ndarray) -> np.ndarray:
-        band = envelope(biquad(x, *peaking(rate, hz, boost, q)), rate, 1.0, 50.0)
-        return x * 10 ** (gain_curve(decibels(band), threshold, ratio, 6.0) / 20)
+    def warped(hz: float) -> tuple[float, float, float]:
+        k, q = math.tan(math.pi * hz / rate), 0.707
+        return k, k / q, 1 / (1 + k / q + k * k)
 
-    return per_stream(samples, run, "y")
+    k, damp, norm = warped(80.0)
+    high = ((norm, -2 * norm, norm), (2 * (k * k - 1) * norm, (1 - damp + k * k) * norm))
+    k, damp, norm = warped(1500.0)
+    amp = 10 ** (4.0 / 40)
+    slope = math.sqrt(amp) * damp
+    shelf = (((amp + slope + k * k) * norm, 2 * (k * k - amp) * norm, (amp - slope + k * k) * norm), (2 * (k * k - 1) * norm, (1 - damp + k * k) * norm))
+    return high, shelf
 
 
-def k_weighted(samples: DataFrame, rate: int = 48_000) -> DataFrame:
-    """The two K-weighting stages at 48 kHz: a high shelf and a high pass."""
-    # Published K-weighting coefficients at 48 kHz.
-    shelf = ((1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585))
-    high = ((1.0, -2.0, 1.0), (-1.99004745483398, 0.99007225036621))
-    return per_stream(samples, lambda x: biquad(biquad(x, *shelf), *high), "y")
+def k_weighted(samples: DataFrame, rate: int = 48_000, key: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """Samples after both stages of the K-weighting, each stream (and channel) with a state of its own."""
+    return per_stream(samples, lambda: chain(*[Biquad(*c) for c in k_weights(rate)]), "y", key)

@@ -6,15 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import audio, dsp, resample
-from ..operators.islands import near_join
+from ..operators import audio, dsp, resample, sync
 from . import views
 from .registration import query
 
 S = f"WITH {views.SAMPLES}"
 RUNS = "SELECT stream, min(i) AS start, max(i) + 1 AS stop FROM (SELECT stream, i, i - row_number() OVER (PARTITION BY stream ORDER BY i) AS g FROM {source} WHERE {test}) GROUP BY stream, g HAVING count(*) >= {least}"
-BLOCKS = """blocks AS (SELECT stream, block, CASE WHEN energy > 0 THEN -0.691 + 10 * log10(energy / (8 * 32768.0 * 32768.0)) ELSE '-inf'::DOUBLE END AS lufs FROM
- (SELECT stream, block, sum(x::BIGINT * x)::DOUBLE AS energy FROM (SELECT *, count(*) OVER (PARTITION BY stream) AS n FROM samples) s, range(0, 100000) b(block) WHERE n >= 8 AND block <= (n - 8) // 2 AND i >= 2 * block AND i < 2 * block + 8 GROUP BY stream, block))"""
+
+
+def cascade(filters: list[dsp.Coefficients]) -> str:
+    """Recursive tables ``w`` (samples within one) and ``f``: filters one after the other; ``s0`` is the input of the first, ``s<n>`` the output of the last."""
+    n = len(filters)
+    first, step = "SELECT stream, i, v AS s0, 0.0::DOUBLE AS p0 FROM w WHERE i = 0", "SELECT f.*, w.v AS n0 FROM f JOIN w ON w.stream = f.stream AND w.i = f.i + 1"
+    for k, (b, a) in enumerate(filters):
+        b0, b1, b2, a1, a2 = (f"({c!r}::DOUBLE)" for c in (*b, *a))
+        first = f"SELECT *, {b0} * s{k} AS s{k + 1}, 0.0::DOUBLE AS p{k + 1} FROM ({first})"
+        step = f"SELECT *, {b0} * n{k} + {b1} * s{k} + {b2} * p{k} - {a1} * s{k + 1} - {a2} * p{k + 1} AS n{k + 1} FROM ({step})"
+    state = lambda now, last: ", ".join(f"{now}{k} AS s{k}, {last}{k} AS p{k}" for k in range(n + 1))
+    return f"{views.SAMPLES}, w AS (SELECT stream, i, x / 32768.0::DOUBLE AS v FROM samples), f AS (SELECT stream, i, {state('s', 'p')} FROM ({first}) UNION ALL SELECT stream, i + 1 AS i, {state('n', 's')} FROM ({step}))"
+
+
+BLOCKS = f"""WITH RECURSIVE {cascade(list(dsp.k_weights(48_000)))}, power AS (SELECT stream, i, s2 * s2 AS p FROM f), long AS (SELECT stream, count(*) AS n FROM power GROUP BY 1),
+blocks AS (SELECT stream, block, CASE WHEN m > 0 THEN -0.691 + 10 * log10(m) ELSE '-inf'::DOUBLE END AS lufs FROM
+ (SELECT stream, block, sum(p) / 8 AS m FROM (SELECT * FROM power JOIN long USING (stream)), range(0, 1000) b(block) WHERE n >= 8 AND block <= (n - 8) // 2 AND block > (n - 8) // 2 - 600 AND i >= 2 * block AND i < 2 * block + 8 GROUP BY stream, block))"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.loudness_blocks(audio.weighted_power(views.samples(spark, sf_dir)), 8, 2)
 
 
 @query(f"{S} {RUNS.format(source='samples', test='abs(x) < 2000', least=2)}")
@@ -72,59 +90,87 @@ def clipped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.clipping(views.samples(spark, sf_dir), 20000)
 
 
-@query(f"{S}, {BLOCKS} SELECT stream, block, round(lufs, 6) AS lufs FROM blocks")
+@query(f"{BLOCKS} SELECT stream, block, round(lufs, 6) AS lufs FROM blocks")
 def loudness_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2).withColumn("lufs", F.round("lufs", 6))
+    return _blocks(spark, sf_dir).withColumn("lufs", F.round("lufs", 6))
 
 
-@query(f"{S}, {BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70) SELECT stream, round(avg(lufs), 6) AS lufs, count(*) AS blocks FROM g WHERE lufs > m - 10 GROUP BY stream")
+@query(f"{BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70) SELECT stream, round(avg(lufs), 6) AS lufs, count(*) AS blocks FROM g WHERE lufs > m - 10 GROUP BY stream")
 def integrated_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.integrated_loudness(audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2)).withColumn("lufs", F.round("lufs", 6))
+    return audio.integrated_loudness(_blocks(spark, sf_dir)).withColumn("lufs", F.round("lufs", 6))
 
 
-@query(f"{S}, {BLOCKS}, o AS (SELECT stream, list(lufs ORDER BY lufs) AS l FROM blocks WHERE lufs > -70 GROUP BY 1) SELECT stream, round(CASE WHEN len(l) < 2 THEN 0 ELSE l[len(l) * 95 // 100 + 1] - l[len(l) * 10 // 100 + 1] END, 6) AS lra FROM o")
+@query(f"{BLOCKS}, o AS (SELECT stream, list(lufs ORDER BY lufs) AS l FROM blocks WHERE lufs > -70 GROUP BY 1) SELECT stream, round(CASE WHEN len(l) < 2 THEN 0 ELSE l[len(l) * 95 // 100 + 1] - l[len(l) * 10 // 100 + 1] END, 6) AS lra FROM o")
 def loudness_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.loudness_range(audio.loudness_blocks(views.samples(spark, sf_dir), 8, 2)).withColumn("lra", F.round("lra", 6))
+    return audio.loudness_range(_blocks(spark, sf_dir)).withColumn("lra", F.round("lra", 6))
 
 
-@query(f"{S}, {BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70), t AS (SELECT stream, avg(lufs) AS lufs FROM g WHERE lufs > m - 10 GROUP BY 1), p AS (SELECT stream, max(abs(x)) AS peak FROM samples GROUP BY 1) SELECT stream, round(least(-23 - lufs, -1 - 20 * log10(peak / 32768.0)), 6) AS gain_db FROM t JOIN p USING (stream)")
+@query(f"{BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70), t AS (SELECT stream, avg(lufs) AS lufs FROM g WHERE lufs > m - 10 GROUP BY 1), p AS (SELECT stream, max(abs(x)) AS peak FROM samples GROUP BY 1) SELECT stream, round(least(-23 - lufs, -1 - 20 * log10(peak / 32768.0)), 6) AS gain_db FROM t JOIN p USING (stream)")
 def loudness_normalize_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.samples(spark, sf_dir)
-    level = audio.integrated_loudness(audio.loudness_blocks(rows, 8, 2)).join(audio.true_peak(rows), "stream")
+    level = audio.integrated_loudness(_blocks(spark, sf_dir)).join(audio.true_peak(rows), "stream")
     return level.select("stream", F.round(F.least(-23 - F.col("lufs"), -1 - 20 * F.log10(F.col("peak") / 32768.0)), 6).alias("gain_db"))
 
 
-_SPIKES = "spikes AS (SELECT stream, min(i) AS i FROM (SELECT stream, i, x - lag(x) OVER (PARTITION BY stream ORDER BY i) AS rise FROM samples) WHERE rise > 5000 GROUP BY stream, i // 4)"
+def _delayed(samples: DataFrame) -> DataFrame:
+    """A second signal: each stream behind as many zeros as its number by five leaves."""
+    late = F.col("stream") % 5
+    return samples.select("stream", (F.col("i") + late).alias("i"), "x").unionByName(samples.filter(F.col("i") < late).select("stream", "i", F.lit(0).alias("x")))
+
+
+_BOTH = f"{views.SAMPLES}, late AS (SELECT stream, i + stream % 5 AS i, x FROM samples UNION ALL SELECT stream, i, 0 FROM samples WHERE i < stream % 5)"
+
 
+def _spikes(source: str, name: str) -> str:
+    """Recursive tables that take local peaks above three tenths of the largest magnitude, more than three samples apart."""
+    return f"""{name}_c AS (SELECT stream, i, a, a / top AS c, row_number() OVER (PARTITION BY stream ORDER BY i) AS k FROM (SELECT stream, i, abs(x) AS a, max(abs(x)) OVER (PARTITION BY stream) AS top, lag(abs(x)) OVER o AS l, lead(abs(x)) OVER o AS r FROM {source} WINDOW o AS (PARTITION BY stream ORDER BY i)) WHERE top > 0 AND a > top * 0.3::DOUBLE AND (l IS NULL OR a > l) AND (r IS NULL OR a > r)),
+{name}_f AS (SELECT stream, k, i, a, c, i > 3 AS taken, CASE WHEN i > 3 THEN i ELSE 0 END AS last FROM {name}_c WHERE k = 1 UNION ALL SELECT n.stream, n.k, n.i, n.a, n.c, n.i - f.last > 3, CASE WHEN n.i - f.last > 3 THEN n.i ELSE f.last END FROM {name}_f f JOIN {name}_c n ON n.stream = f.stream AND n.k = f.k + 1),
+{name} AS (SELECT stream, i, a, c FROM {name}_f WHERE taken)"""
 
-@query(f"{S}, {_SPIKES} SELECT stream, i FROM spikes")
+
+@query(f"WITH RECURSIVE {views.SAMPLES}, {_spikes('samples', 'spikes')} SELECT stream, i, CAST(a AS BIGINT) AS amplitude, round(c, 6) AS confidence FROM spikes")
 def spike_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.spikes(views.samples(spark, sf_dir), 5000, 4)
+    return sync.spikes(views.samples(spark, sf_dir), 0.3, 3).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"{S}, {_SPIKES}, other AS (SELECT stream, i + 3 AS i FROM spikes) SELECT a.stream, a.i AS i, b.i AS other FROM spikes a JOIN other b ON a.stream = b.stream AND abs(a.i - b.i) <= 2")
+@query(f"""WITH RECURSIVE {_BOTH}, {_spikes('samples', 'one')}, {_spikes('late', 'two')}, pairs AS (SELECT a.stream, b.i - a.i AS o, a.c * b.c AS p, a.i AS ai, b.i AS bi FROM one a JOIN two b ON a.stream = b.stream AND abs(a.i - b.i) <= 6),
+best AS (SELECT stream, o, p FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY p DESC, ai, bi) AS k FROM pairs) WHERE k = 1)
+SELECT stream, CAST(coalesce(o, 0) AS BIGINT) AS offset, round(coalesce(p, 0), 6) AS confidence FROM (SELECT DISTINCT stream FROM one SEMI JOIN two USING (stream)) LEFT JOIN best USING (stream)""")
 def spike_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.spikes(views.samples(spark, sf_dir), 5000, 4)
-    return near_join(found, found.withColumn("i", F.col("i") + 3), "stream", "i", 2).select("stream", "i", "other")
+    rows = views.samples(spark, sf_dir)
+    found = sync.spike_offset(sync.spikes(rows, 0.3, 3), sync.spikes(_delayed(rows), 0.3, 3), 6)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+_LAGS = f"""WITH {_BOTH}, n AS (SELECT stream, count(*) AS n FROM samples GROUP BY 1), m AS (SELECT stream, count(*) AS m FROM late GROUP BY 1), sized AS (SELECT * FROM n JOIN m USING (stream)),
+ref AS (SELECT stream, i, x::BIGINT AS x FROM samples JOIN sized USING (stream) WHERE n < m AND i < 20 UNION ALL SELECT stream, i, x::BIGINT FROM late JOIN sized USING (stream) WHERE n >= m AND i < 20),
+sea AS (SELECT stream, i, x::BIGINT AS x FROM samples JOIN sized USING (stream) WHERE n >= m UNION ALL SELECT stream, i, x::BIGINT FROM late JOIN sized USING (stream) WHERE n < m),
+dots AS (SELECT r.stream, lag, sum(r.x * s.x)::DOUBLE AS d, sqrt(sum(r.x * r.x)::DOUBLE * sum(s.x * s.x)::DOUBLE) AS e FROM ref r JOIN sized USING (stream), range(0, 20) l(lag), sea s WHERE s.stream = r.stream AND s.i = r.i + lag AND lag < greatest(n, m) - 20 GROUP BY 1, 2),
+scores AS (SELECT stream, lag, CASE WHEN e > 0 THEN d / e ELSE 0 END AS score FROM dots)"""
 
 
-@query(f"""{S}, lags AS (SELECT unnest(range(1, 6)) AS lag), d AS (SELECT a.stream, lag, sum(a.x::BIGINT * b.x) AS d, sum(a.x::BIGINT * a.x) AS aa, sum(b.x::BIGINT * b.x) AS bb FROM samples a, lags, samples b WHERE a.stream = b.stream AND b.i = a.i + lag GROUP BY 1, 2)
-SELECT stream, CAST(lag AS INTEGER) AS lag, round(d / sqrt(aa::DOUBLE * bb), 6) AS score FROM d WHERE aa * bb > 0""")
+@query(f"{_LAGS} SELECT stream, lag, round(score, 6) AS score FROM scores")
 def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.lag_correlation(views.samples(spark, sf_dir), 5)
-    return rows.filter("score IS NOT NULL").withColumn("score", F.round("score", 6))
+    rows = views.samples(spark, sf_dir)
+    return sync.lag_scores(rows, _delayed(rows), 20).withColumn("score", F.round("score", 6))
 
 
-@query(f"{S}, lags AS (SELECT unnest(range(1, 6)) AS lag), d AS (SELECT a.stream, lag, sum(a.x::BIGINT * b.x) / sqrt(sum(a.x::BIGINT * a.x)::DOUBLE * sum(b.x::BIGINT * b.x)) AS s FROM samples a, lags, samples b WHERE a.stream = b.stream AND b.i = a.i + lag GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY round(s, 9) DESC, lag) AS k FROM d WHERE s IS NOT NULL) SELECT stream, CAST(lag AS INTEGER) AS sync_offset FROM r WHERE k = 1")
+@query(f"{_LAGS} SELECT stream, lag AS offset, round((score + 1) / 2, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, lag) AS k FROM scores) WHERE k = 1")
 def sync_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = W.partitionBy("stream").orderBy(F.round("score", 9).desc(), "lag")
-    rows = audio.lag_correlation(views.samples(spark, sf_dir), 5).filter("score IS NOT NULL")
-    return rows.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("stream", F.col("lag").alias("sync_offset"))
+    rows = views.samples(spark, sf_dir)
+    return sync.sync_offset(rows, _delayed(rows), 20).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"{S} SELECT stream, round(regr_slope(x, i), 6) AS drift, count(*) AS n FROM samples GROUP BY stream HAVING count(*) > 2")
+@query(f"""{S}, fast AS (SELECT stream, i - i // 17 AS i, x FROM samples WHERE i % 17 <> 16), sized AS (SELECT stream, n, m FROM (SELECT stream, count(*) AS n FROM samples GROUP BY 1) JOIN (SELECT stream, count(*) AS m FROM fast GROUP BY 1) USING (stream)),
+segs AS (SELECT stream, seg, least((seg + 1) * 16, n, m) - seg * 16 AS size FROM sized, range(0, 10) s(seg) WHERE seg < n // 16 AND least((seg + 1) * 16, n, m) - seg * 16 >= 8),
+dots AS (SELECT g.stream, seg, lag, sum(r.x::BIGINT * s.x)::DOUBLE AS d, sqrt(sum(r.x::BIGINT * r.x)::DOUBLE * sum(s.x::BIGINT * s.x)::DOUBLE) AS e FROM segs g, range(0, 5) l(lag), fast r, samples s
+ WHERE r.stream = g.stream AND s.stream = g.stream AND lag < size - 5 AND r.i >= seg * 16 AND r.i < seg * 16 + 5 AND s.i = r.i + lag GROUP BY 1, 2, 3),
+best AS (SELECT stream, seg, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY stream, seg ORDER BY score DESC, lag) AS k FROM (SELECT stream, seg, lag, CASE WHEN e > 0 THEN d / e ELSE 0 END AS score FROM dots)) WHERE k = 1 AND (score + 1) / 2 > 0.5)
+SELECT stream, CASE WHEN n >= 32 THEN round(coalesce(d, 0), 6) END AS drift FROM sized LEFT JOIN (SELECT stream, CASE WHEN count(*) > 1 THEN regr_slope(lag, seg) / 16 ELSE 0 END AS d FROM best GROUP BY 1) USING (stream)""")
 def drift_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.samples(spark, sf_dir).groupBy("stream").agg(F.round(F.regr_slope("x", "i"), 6).alias("drift"), F.count("*").alias("n")).filter("n > 2")
+    rows = views.samples(spark, sf_dir)
+    fast = rows.filter("i % 17 <> 16").select("stream", F.expr("i - i div 17").alias("i"), "x")
+    return sync.drift(rows, fast, 16, 5).withColumn("drift", F.round("drift", 6))
 
 
 def _summary(rows: DataFrame, name: str) -> DataFrame:
@@ -140,37 +186,63 @@ def vu_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.vu_meter(views.samples(spark, sf_dir), 48, 300.0), "vu")
 
 
-@query()
+_SUM = "SELECT stream, round(max(abs(y)), 6) AS peak, round(avg(y), 6) AS mean, count(*) AS n FROM out GROUP BY stream"
+
+
+def _levels(source: str, rising: float, falling: float) -> str:
+    """Recursive tables ``u`` (magnitudes of ``source``: stream, i, v) and ``e`` with the smoothed level ``g``."""
+    step = lambda last: f"CASE WHEN u.a > {last} THEN {rising!r}::DOUBLE * {last} + (1 - {rising!r}::DOUBLE) * u.a ELSE {falling!r}::DOUBLE * {last} + (1 - {falling!r}::DOUBLE) * u.a END"
+    return f"u AS (SELECT stream, i, abs(v) AS a FROM {source}), e AS (SELECT stream, i, {step('0.0::DOUBLE')} AS g FROM u WHERE i = 0 UNION ALL SELECT u.stream, u.i, {step('e.g')} FROM e JOIN u ON u.stream = e.stream AND u.i = e.i + 1)"
+
+
+def _compressed(threshold: float, ratio: float, knee: float) -> str:
+    """Decibels of gain at the level ``db``."""
+    slope, over = f"({1 / ratio - 1!r}::DOUBLE)", f"(db - ({threshold!r}::DOUBLE))"
+    soft = f"WHEN 2 * abs({over}) <= {knee} THEN {slope} * ({over} + {knee / 2}) * ({over} + {knee / 2}) / {2 * knee}" if knee else ""
+    return f"CASE WHEN 2 * {over} < -{knee} THEN 0 {soft} ELSE {slope} * {over} END"
+
+
+def _driven(gain: str) -> str:
+    return f"out AS (SELECT stream, i, v * power(10, ({gain}) / 20) AS y FROM (SELECT w.*, 20 * log10(greatest(g, 1e-10)) AS db FROM w JOIN e USING (stream, i)))"
+
+
+_W = f"WITH RECURSIVE {views.SAMPLES}, w AS (SELECT stream, i, x / 32768.0::DOUBLE AS v FROM samples)"
+_C = dsp.coefficient
+
+
+@query(f"""WITH RECURSIVE {views.SAMPLES}, b AS (SELECT stream, i // 4 AS k, max(abs(x)) / 32768.0::DOUBLE AS m, count(*) AS c FROM samples GROUP BY 1, 2),
+h AS (SELECT stream, k, c, m AS peak, 8 AS hold FROM b WHERE k = 0 UNION ALL SELECT b.stream, b.k, b.c, CASE WHEN b.m >= h.peak THEN b.m WHEN h.hold > 0 THEN h.peak ELSE h.peak * 0.9::DOUBLE END, CASE WHEN b.m >= h.peak THEN 8 WHEN h.hold > 0 THEN h.hold - 4 ELSE h.hold END FROM h JOIN b ON b.stream = h.stream AND b.k = h.k + 1)
+SELECT stream, round(max(peak), 6) AS peak, round(sum(peak * c) / sum(c), 6) AS mean, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY stream""")
 def peak_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.peak_hold(views.samples(spark, sf_dir), 4, 8, 0.9), "peak")
 
 
-@query()
+@query(f"WITH RECURSIVE {cascade([dsp.peaking(48_000, 1000.0, 6.0, 1.0), dsp.peaking(48_000, 4000.0, -3.0, 2.0)])}, out AS (SELECT stream, s2 AS y FROM f) {_SUM}")
 def parametric_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.parametric_eq(views.samples(spark, sf_dir), [(1000.0, 6.0, 1.0), (4000.0, -3.0, 2.0)]), "y")
 
 
-@query()
+@query(f"{_W}, {_levels('w', _C(48_000, 5.0), _C(48_000, 50.0))}, {_driven(_compressed(-20.0, 4.0, 6.0))} {_SUM}")
 def compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.compressor(views.samples(spark, sf_dir)), "y")
 
 
-@query()
+@query(f"{_W}, {_levels('w', _C(48_000, 0.1), _C(48_000, 50.0))}, {_driven(_compressed(-1.0, 100.0, 0.0))} {_SUM}")
 def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.limiter(views.samples(spark, sf_dir)), "y")
 
 
-@query()
+@query(f"{_W}, {_levels('w', _C(48_000, 5.0), _C(48_000, 50.0))}, {_driven('-greatest(-40.0 - db, 0) / 2')} {_SUM}")
 def expander(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.expander(views.samples(spark, sf_dir)), "y")
 
 
-@query()
+@query(f"WITH RECURSIVE {cascade([dsp.peaking(48_000, 6000.0, 12.0, 2.0)])}, band AS (SELECT stream, i, s1 AS v FROM f), {_levels('band', _C(48_000, 1.0), _C(48_000, 50.0))}, {_driven(_compressed(-20.0, 4.0, 6.0))} {_SUM}")
 def de_esser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.de_esser(views.samples(spark, sf_dir)), "y")
 
 
-@query()
+@query(f"WITH RECURSIVE {cascade(list(dsp.k_weights(48_000)))}, out AS (SELECT stream, s2 AS y FROM f) {_SUM}")
 def k_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(dsp.k_weighted(views.samples(spark, sf_dir)), "y")
 

@@ -89,9 +89,14 @@ def pass_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pass_statistics(views.frame_stats(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"{ST}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY idx) - 1 AS n FROM stats) SELECT stream, idx, CASE WHEN n % 4 = 0 THEN 'I' WHEN n % 4 % 3 = 0 THEN 'B' ELSE 'P' END AS planned FROM n")
+_PLAN = f"""WITH RECURSIVE {views.STATS}, f AS (SELECT stream, idx, 1 AS since, 'I' AS planned FROM stats WHERE idx = 1
+UNION ALL SELECT stream, idx, CASE planned WHEN 'I' THEN 1 ELSE since + 1 END, planned FROM (SELECT s.stream, s.idx, f.since, CASE WHEN (s.complexity >= 8 AND f.since >= 2) OR f.since >= 5 THEN 'I' WHEN f.since % 3 = 0 THEN 'P' ELSE 'B' END AS planned FROM f JOIN stats s ON s.stream = f.stream AND s.idx = f.idx + 1))"""
+
+
+@query(f"{_PLAN} SELECT stream, idx, planned FROM f")
 def gop_frame_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.group_frame_types(views.frame_stats(spark, sf_dir), 4).select("stream", "idx", "planned")
+    frames = views.frame_stats(spark, sf_dir).select("stream", "idx", (F.col("complexity") >= 8).alias("scene"))
+    return C.group_frame_types(frames, 5, least=2, between=2)
 
 
 @query(f"{ST} SELECT kind, count(*) AS n, CAST(sum(bits) AS BIGINT) AS bits, count(*) // 12 AS groups FROM stats GROUP BY kind")
@@ -133,7 +138,14 @@ def job_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.jobs(spark, sf_dir).orderBy(F.col("priority").desc(), "created", "job_id").offset(50).limit(25).select("job_id", "priority")
 
 
-@query(f"{JB}, able AS (SELECT worker_id, unnest([codec_a, codec_b]) AS codec FROM workers WHERE state = 'ready' AND running < most), r AS (SELECT worker_id, job_id, row_number() OVER (PARTITION BY worker_id ORDER BY priority DESC, created, job_id) AS k FROM able JOIN jobs USING (codec) WHERE jobs.state = 'queued') SELECT worker_id, job_id FROM r WHERE k = 1")
+_ASSIGN = f"""WITH RECURSIVE {views.JOBS}, {views.WORKERS}, able AS (SELECT worker_id, codecs, hws, row_number() OVER (ORDER BY worker_id) AS k FROM workers WHERE state = 'ready' AND running < most),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY codec, hw ORDER BY priority DESC, created, job_id) AS r FROM jobs WHERE state = 'queued') WHERE r <= (SELECT count(*) FROM able)),
+asked AS (SELECT worker_id, k, list(b.job_id ORDER BY b.priority DESC, b.created, b.job_id) AS wanted FROM able JOIN best b ON list_contains(codecs, b.codec) AND (b.hw IS NULL OR list_contains(hws, b.hw)) GROUP BY 1, 2),
+fold AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS worker_id, NULL::BIGINT AS job_id, []::BIGINT[] AS taken
+UNION ALL SELECT k, worker_id, job_id, list_append(taken, job_id) FROM (SELECT a.k, a.worker_id, f.taken, list_filter(a.wanted, lambda j: NOT list_contains(f.taken, j))[1]::BIGINT AS job_id FROM fold f JOIN asked a ON a.k = f.k + 1))"""
+
+
+@query(f"{_ASSIGN} SELECT worker_id, job_id FROM fold WHERE job_id IS NOT NULL")
 def job_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assign_jobs(views.jobs(spark, sf_dir), views.workers(spark, sf_dir))
 
@@ -148,9 +160,9 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.jobs(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("terminal", F.col("state").isin("complete", "failed", "cancelled"))
 
 
-@query(f"{JB} SELECT codec, round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(bytes)::DOUBLE / count(*) END, 6) AS speed FROM jobs WHERE state = 'complete' GROUP BY codec")
+@query(f"{JB} SELECT codec, round(CASE WHEN sum(ms) > 0 THEN sum(bytes)::DOUBLE / (sum(ms) / 1000.0) ELSE 0 END, 6) AS speed FROM jobs WHERE state = 'complete' GROUP BY codec")
 def transfer_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.jobs(spark, sf_dir).filter("state = 'complete'").groupBy("codec").agg(F.round(F.sum("bytes") / F.count("*"), 6).alias("speed"))
+    return C.transfer_speed(views.jobs(spark, sf_dir).filter("state = 'complete'"), "codec").withColumn("speed", F.round("speed", 6))
 
 
 @query(f"{JB} SELECT string_agg('jobs{{{{state=\"' || state || '\"}}}} ' || n, chr(10) ORDER BY state) AS body FROM (SELECT state, count(*) AS n FROM jobs GROUP BY state)".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))

@@ -85,10 +85,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         state.alias("state"),
         F.pmod(F.col("o_custkey"), F.lit(8)).cast("int").alias("codec"),
         F.round(F.col("o_totalprice")).cast("long").alias("bytes"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.lit("gpu")).alias("hw"),
+        F.pmod("o_orderkey", F.lit(977)).cast("long").alias("ms"),
     )
 
 
-JOBS = "jobs AS (SELECT o_orderkey AS job_id, 5 - CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, epoch_us(o_orderdate) // 1000 AS created, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'queued' ELSE 'running' END AS state, CAST(o_custkey % 8 AS INTEGER) AS codec, CAST(round(o_totalprice) AS BIGINT) AS bytes FROM orders)"
+JOBS = "jobs AS (SELECT o_orderkey AS job_id, 5 - CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, epoch_us(o_orderdate) // 1000 AS created, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'queued' ELSE 'running' END AS state, CAST(o_custkey % 8 AS INTEGER) AS codec, CAST(round(o_totalprice) AS BIGINT) AS bytes, CASE o_orderkey % 3 WHEN 0 THEN 'gpu' END AS hw, CAST(o_orderkey % 977 AS BIGINT) AS ms FROM orders)"
 
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,8 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("worker_id"),
         (n % 8).cast("int").alias("codec_a"),
         ((n + 3) % 8).cast("int").alias("codec_b"),
+        F.array((n % 8).cast("int"), ((n + 3) % 8).cast("int")).alias("codecs"),
+        F.when(n % 2 == 0, F.array(F.lit("gpu"))).otherwise(F.array().cast("array<string>")).alias("hws"),
         F.when(n % 5 == 0, "offline").when(n % 5 == 1, "busy").otherwise("ready").alias("state"),
         (n % 4).cast("int").alias("running"),
         F.lit(3).alias("most"),
@@ -104,4 +108,4 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WORKERS = "workers AS (SELECT s_suppkey AS worker_id, s_nationkey % 8 AS codec_a, (s_nationkey + 3) % 8 AS codec_b, CASE s_nationkey % 5 WHEN 0 THEN 'offline' WHEN 1 THEN 'busy' ELSE 'ready' END AS state, s_nationkey % 4 AS running, 3 AS most, CAST(round(s_acctbal) AS BIGINT) % 60 AS beat_age FROM supplier)"
+WORKERS = "workers AS (SELECT s_suppkey AS worker_id, s_nationkey % 8 AS codec_a, (s_nationkey + 3) % 8 AS codec_b, [s_nationkey % 8, (s_nationkey + 3) % 8] AS codecs, CASE WHEN s_nationkey % 2 = 0 THEN ['gpu'] ELSE [] END AS hws, CASE s_nationkey % 5 WHEN 0 THEN 'offline' WHEN 1 THEN 'busy' ELSE 'ready' END AS state, s_nationkey % 4 AS running, 3 AS most, CAST(round(s_acctbal) AS BIGINT) % 60 AS beat_age FROM supplier)"
