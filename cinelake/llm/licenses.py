@@ -150,9 +150,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     order = token_order(own.select(words_of(lowered(F.col("_text"))).alias("_w")), tokens)
     scanned = own.select("_id", lowered(F.col("_text")).alias("_low")).withColumn("_w", words_of(F.col("_low")))
-    # Every template keeps a prefix token of each block that matches it, so other texts hold no match.
-    near = F.arrays_overlap("_w", strings(sorted({t for _, text in templates for t in prefix(text, order, threshold)} | {p.split()[-1] for p in PHRASES})))
-    scanned = scanned.withColumn("_near", near)
+    # A document without the needed tokens of any template, and without a phrase's words, holds no match.
+    known = [*order, *sorted({w for p in PHRASES for w in p.split()} - set(order))]
+    wanted = [(sorted(set(t)), needed(len(set(t)), threshold)) for t in (text.split() for _, text in templates)] + [(p.split(), len(p.split())) for p in PHRASES]
+    wanted = F.array(*[F.struct(strings(t).alias("t"), F.lit(n).alias("n")) for t, n in wanted])
+    scanned = scanned.withColumn("_own", F.array_intersect(strings(known), F.col("_w")))
+    scanned = scanned.withColumn("_near", F.exists(wanted, lambda x: F.size(F.array_intersect(F.col("_own"), x["t"])) >= x["n"]))
     place = lambda p: F.when(F.col("_near"), phrase_starts(F.col("_w"), p)).otherwise(F.array().cast("array<int>"))
     # The key is the id with a hash of the text, by which rows of one id are told apart.
     keys = [F.coalesce("_id", F.lit(0)).alias("_k1"), F.xxhash64(F.col("_low"), F.col("_id").isNull()).alias("_k2")]
