@@ -310,11 +310,6 @@ def sharpness(p: str, width: int) -> Column:
     return F.aggregate(inner, F.lit(0).cast("long"), lambda s, x: s + x) / (F.size(inner) * 255)
 
 
-def importance(motion: Column, histogram: Column, edges: Column) -> Column:
-    """How much a frame differs from the one before it."""
-    return 0.4 * motion + 0.3 * histogram + 0.3 * edges
-
-
 def rolling_shutter_shift(motion: Column, row: Column, height: int, readout: float) -> Column:
     """Share of a frame's motion that a row has seen."""
     return motion * row / height * readout

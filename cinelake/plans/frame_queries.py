@@ -320,13 +320,6 @@ def frame_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("frame_no", F.round(score, 6).alias("score"))
 
 
-@query(f"{PREV}, t AS (SELECT frame_no, sum(abs(v - w)) / (64 * 255.0::DOUBLE) AS m, abs(avg(v) - avg(w)) / 255 AS h FROM both_px GROUP BY 1) SELECT frame_no, round(0.4 * m + 0.3 * h + 0.3 * m, 6) AS importance FROM t")
-def frame_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.following(_frames(spark, sf_dir)).filter("q IS NOT NULL")
-    motion = P.temporal_complexity()
-    return rows.select("frame_no", F.round(P.importance(motion, F.abs(P.average_luma("p") - P.average_luma("q")), motion), 6).alias("importance"))
-
-
 @query(f"{PX} SELECT frame_no, k // 8 AS \"row\", round(v * (k // 8) / 8 * 0.5::DOUBLE, 6) AS shift FROM pixels WHERE k % 8 = 0")
 def rolling_shutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = _frames(spark, sf_dir).select("frame_no", F.posexplode("p").alias("k", "v")).filter("k % 8 = 0")

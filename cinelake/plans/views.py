@@ -7,7 +7,7 @@ per conversation; ``jobs`` and ``workers``: the transcode queue.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,6 +51,40 @@ FRAMES = "frames AS (SELECT vec_id AS frame_no, list_transform(embedding, lambda
 PIXELS = FRAMES + ", pixels AS (SELECT frame_no, unnest(p) AS v, unnest(range(len(p))) AS k FROM frames)"
 
 
+def to_binary(values: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+
+
+def _frames_of(spark: SparkSession, sf_dir: str, width: int, height: int, data: Column) -> DataFrame:
+    """Whole frames in seven streams."""
+    rows = frames(spark, sf_dir)
+    return rows.select((F.col("frame_no") % 7).alias("stream"), F.expr("frame_no div 7").alias("frame_no"), F.lit(width).alias("width"), F.lit(height).alias("height"), to_binary(data).alias("data"))
+
+
+def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGB frames of 5x4 pixels."""
+    return _frames_of(spark, sf_dir, 5, 4, F.slice("p", 1, 60))
+
+
+RGB = FRAMES + ", rgb AS (SELECT frame_no % 7 AS stream, frame_no // 7 AS frame_no, p[1:60] AS d FROM frames)"
+
+
+def yuv_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YUV420P frames of 8x8 pixels."""
+    return _frames_of(spark, sf_dir, 8, 8, F.concat(F.col("p"), F.slice("p", 1, 32)))
+
+
+YUV = FRAMES + ", yuv AS (SELECT frame_no % 7 AS stream, frame_no // 7 AS frame_no, list_concat(p, p[1:32]) AS d FROM frames)"
+
+
+def wide_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YUV420P frames of 16x16 pixels."""
+    return _frames_of(spark, sf_dir, 16, 16, F.concat(*[F.col("p")] * 6))
+
+
+WIDE = FRAMES + ", wide AS (SELECT frame_no % 7 AS stream, frame_no // 7 AS frame_no, flatten([p, p, p, p, p, p]) AS d FROM frames)"
+
+
 def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "I").when(F.col("l_returnflag") == "N", "P").otherwise("B")
     return table(spark, sf_dir, "lineitem").select(
