@@ -240,11 +240,65 @@ def drift_correction(offsets: DataFrame, step: float) -> DataFrame:
     return whole.select("stream", "i", (F.col("_w") - F.coalesce(F.lag("_w").over(order), F.lit(0))).alias("correction"))
 
 
-def low_latency_playlist(parts: DataFrame, target_ms: int) -> DataFrame:
-    """A low-latency playlist of each stream from the parts (``segment, part, duration``) of its segments."""
-    line = F.format_string('#EXT-X-PART:DURATION=%.3f,URI="segment_%05d.%d.m4s"', F.col("duration") / 1000.0, "segment", "part")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("segment", "part", line.alias("line")))), lambda x: x["line"])
-    made = parts.groupBy("stream").agg(rows.alias("lines"), F.max(F.struct("segment", "part")).alias("last"))
-    hint = F.format_string('#EXT-X-PRELOAD-HINT:TYPE=PART,URI="segment_%05d.%d.m4s"', F.col("last.segment"), F.col("last.part") + 1)
-    head = f"#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-PART-INF:PART-TARGET={target_ms / 1000:.3f}\n#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES,PART-HOLD-BACK={3 * target_ms / 1000:.3f}\n"
-    return made.select("stream", F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n"), hint, F.lit("\n")).alias("playlist"))
+def part_durations(parts: DataFrame) -> DataFrame:
+    """``stream, segment, duration``: a segment lasts as long as its parts together."""
+    return parts.groupBy("stream", "segment").agg(F.sum("duration").alias("duration"))
+
+
+def _seconds(ms: Column | int, digits: int = 3) -> Column:
+    return F.format_string(f"%.{digits}f", (F.lit(ms) if isinstance(ms, int) else ms) / F.lit(1000.0))
+
+
+def low_latency_playlist(parts: DataFrame, target_ms: int, part_ms: int, live: bool = True, reports: DataFrame | None = None, hold_back_ms: int | None = None, skip_ms: int | None = None) -> DataFrame:
+    """A low-latency playlist of each stream from the parts (``segment, part, duration, independent``) of its segments.
+
+    Each segment's parts come before its own entry.  A live playlist tells how it may be reloaded and hints at the part
+    that comes next; any other one ends.  ``reports`` (``stream, uri, last_segment, last_part``: the last may be null) tell
+    how far other renditions are.
+    """
+    flag = F.when(F.col("independent"), ",INDEPENDENT=YES").otherwise("")
+    line = F.concat(F.lit("#EXT-X-PART:DURATION="), _seconds(F.col("duration"), 5), F.format_string(',URI="segment_%05d.%d.m4s"', "segment", "part"), flag)
+    by_part = F.transform(F.array_sort(F.collect_list(F.struct("part", line.alias("line")))), lambda x: x["line"])
+    whole = parts.groupBy("stream", "segment").agg(F.array_join(by_part, "\n").alias("_p"), F.sum("duration").alias("_d"), F.max("part").alias("_l"))
+    entry = F.concat("_p", F.lit("\n#EXTINF:"), _seconds(F.col("_d")), F.format_string(",\nsegment_%05d.m4s\n", "segment"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("segment", entry.alias("e")))), lambda x: x["e"])
+    made = whole.groupBy("stream").agg(F.array_join(entries, "").alias("_body"), F.count("*").alias("_n"), F.max(F.struct("segment", "_l")).alias("_last"))
+    told = F.lit("")
+    if reports is not None:
+        about = F.concat(F.format_string('#EXT-X-RENDITION-REPORT:URI="%s",LAST-MSN=%d', "uri", "last_segment"), F.coalesce(F.format_string(",LAST-PART=%d", F.col("last_part")), F.lit("")), F.lit("\n"))
+        about = F.when(F.col("last_part").isNull(), F.format_string('#EXT-X-RENDITION-REPORT:URI="%s",LAST-MSN=%d\n', "uri", "last_segment")).otherwise(about)
+        listed = reports.groupBy("stream").agg(F.array_join(F.array_sort(F.collect_list(about)), "").alias("_told"))
+        made, told = made.join(listed, "stream", "left"), F.coalesce("_told", F.lit(""))
+    control = [F.lit("#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES")]
+    control += [F.concat(F.lit(f",{name}="), _seconds(ms)) for name, ms in (("HOLD-BACK", hold_back_ms), ("PART-HOLD-BACK", 3 * part_ms), ("CAN-SKIP-UNTIL", skip_ms)) if ms is not None]
+    head = [F.lit(f"#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-TARGETDURATION:{target_ms // 1000}\n"), *([*control, F.lit("\n")] if live else [])]
+    head += [F.lit("#EXT-X-PART-INF:PART-TARGET="), _seconds(part_ms), F.lit("\n#EXT-X-MEDIA-SEQUENCE:"), F.col("_n").cast("string"), F.lit("\n" if live else "\n#EXT-X-PLAYLIST-TYPE:VOD\n")]
+    hint = F.format_string('#EXT-X-PRELOAD-HINT:TYPE=PART,URI="segment_%05d.%d.m4s"\n', F.col("_last.segment"), F.col("_last._l") + 1)
+    return made.select("stream", F.concat(*head, "_body", *([hint] if live else []), told, F.lit("" if live else "#EXT-X-ENDLIST\n")).alias("playlist"))
+
+
+def low_latency_master(profiles: DataFrame) -> DataFrame:
+    """The master playlist of profiles (``ordinal, name, width, height, bits, fps``); the average rate is nine tenths."""
+    line = F.format_string("#EXT-X-STREAM-INF:BANDWIDTH=%d,AVERAGE-BANDWIDTH=%d,RESOLUTION=%dx%d,FRAME-RATE=%s\n%s.m3u8\n", F.col("bits"), F.floor(F.col("bits") * 0.9), F.col("width"), F.col("height"), F.col("fps").cast("string"), F.col("name"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"])
+    return profiles.agg(F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-INDEPENDENT-SEGMENTS\n\n"), F.array_join(lines, "")).alias("playlist"))
+
+
+def average_psnr(points: DataFrame) -> DataFrame:
+    """The mean of each curve's points (``key, curve, psnr``)."""
+    return points.groupBy("key", "curve").agg(F.avg("psnr").alias("psnr"))
+
+
+def worker_checks(workers: DataFrame, codec: Column, hw: Column, timeout: int) -> DataFrame:
+    """``worker_id, accepts, healthy, handles``: room for a job, a late enough beat (whole seconds), and the capabilities
+    for a codec and hardware (null: no requirement)."""
+    has = lambda names, one: F.coalesce(F.array_contains(names, one), F.lit(True))
+    return workers.select("worker_id", ((F.col("state") == "ready") & (F.col("running") < F.col("most"))).alias("accepts"), (F.col("beat_age") < timeout).alias("healthy"), (has("codecs", codec) & has("hws", hw)).alias("handles"))
+
+
+def check_chapters(chapters: DataFrame) -> DataFrame:
+    """``track, ordinal, start_ms, end_ms, overlaps``: a missing end is the next one's start (the last stays open); an end
+    after the next start is an error, which is told."""
+    after = F.lead("start_ms").over(W.partitionBy("track").orderBy("start_ms", "ordinal"))
+    rows = chapters.withColumn("_next", after)
+    return rows.select("track", "ordinal", "start_ms", F.coalesce("end_ms", "_next").alias("end_ms"), F.coalesce(F.col("end_ms") > F.col("_next"), F.lit(False)).alias("overlaps"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .audio import clamp16, truncate
@@ -35,6 +38,30 @@ def convert(samples: DataFrame, rate: int, to_rate: int, method: str = "sinc", w
     return samples.select("stream", "i", "x").groupBy("stream").applyInPandas(run, "stream long, i long, y double")
 
 
+def low_pass(length: int, up: int) -> np.ndarray:
+    """A windowed (Hamming) sinc with the cut-off of an ``up``-fold rate, normalised."""
+    n = np.arange(length) - (length - 1) / 2
+    h = np.sinc(n / up) / up * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(length) / (length - 1)))
+    return h / h.sum()
+
+
+def polyphase(samples: DataFrame, rate: int, to_rate: int, taps_each: int = 64) -> DataFrame:
+    """``stream, i, y``: output ``k`` sums the taps that are multiples of the lower rate's step over the samples that stood there.
+
+    Only so many samples take part as the filter spans, so that each sample is sent to the outputs it reaches and
+    nothing is held by stream.
+    """
+    step = math.gcd(rate, to_rate)
+    up, down = to_rate // step, rate // step
+    taps = low_pass(taps_each * up, up)[::down].tolist()
+    # sample i stands at the places t = k * down with t div up = i
+    first, last = F.expr(f"cast(ceil(i * {up} / {down}) as bigint)"), F.expr(f"cast(ceil((i + 1) * {up} / {down}) as bigint) - 1")
+    placed = samples.withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    order = W.partitionBy("stream").orderBy("_k")
+    terms = [F.coalesce(F.lag("x", j).over(order), F.lit(0)) * tap for j, tap in enumerate(taps)]
+    return placed.select("stream", F.col("_k").alias("i"), sum(terms[1:], terms[0]).alias("y"))
+
+
 def decode_pcm(data: Column) -> Column:
     """Signed 16-bit little-endian samples of a packet as an array; an odd number of bytes is an error."""
     pairs = F.sequence(F.lit(0), F.greatest(F.octet_length(data) / 2 - 1, F.lit(0)).cast("int"))

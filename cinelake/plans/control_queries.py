@@ -150,11 +150,6 @@ def job_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assign_jobs(views.jobs(spark, sf_dir), views.workers(spark, sf_dir))
 
 
-@query(f"{JB} SELECT worker_id, state = 'ready' AND running < most AS accepts, beat_age < 30 AS healthy, codec_a = 3 OR codec_b = 3 AS handles FROM workers")
-def worker_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.workers(spark, sf_dir).select("worker_id", ((F.col("state") == "ready") & (F.col("running") < F.col("most"))).alias("accepts"), (F.col("beat_age") < 30).alias("healthy"), ((F.col("codec_a") == 3) | (F.col("codec_b") == 3)).alias("handles"))
-
-
 @query(f"{JB} SELECT state, count(*) AS n, state IN ('complete', 'failed', 'cancelled') AS terminal, CAST(sum(bytes) AS BIGINT) AS bytes FROM jobs GROUP BY state")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.jobs(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("terminal", F.col("state").isin("complete", "failed", "cancelled"))
@@ -165,13 +160,6 @@ def transfer_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.transfer_speed(views.jobs(spark, sf_dir).filter("state = 'complete'"), "codec").withColumn("speed", F.round("speed", 6))
 
 
-@query(f"{JB} SELECT string_agg('jobs{{{{state=\"' || state || '\"}}}} ' || n, chr(10) ORDER BY state) AS body FROM (SELECT state, count(*) AS n FROM jobs GROUP BY state)".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
-def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = views.jobs(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
-    line = F.concat(F.lit('jobs{state="'), "state", F.lit('"} '), F.col("n").cast("string"))
-    return counts.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-
-
 @query(f"{PK} SELECT stream, pts // 3600000 AS hour, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM packets GROUP BY 1, 2")
 def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.packets(spark, sf_dir).groupBy("stream", F.expr("pts div 3600000").alias("hour")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -206,8 +194,3 @@ def drift_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drift_correction(views.frame_stats(spark, sf_dir).select("stream", F.col("idx").alias("i"), (F.col("motion") - 25).alias("drift")), 30.0)
 
 
-@query(f"""{PK}, parts AS (SELECT stream, seq // 4 AS segment, seq % 4 AS part, size AS duration FROM packets) SELECT stream, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:9' || chr(10) || '#EXT-X-PART-INF:PART-TARGET=0.500' || chr(10) || '#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES,PART-HOLD-BACK=1.500' || chr(10)
- || string_agg(printf('#EXT-X-PART:DURATION=%.3f,URI="segment_%05d.%d.m4s"', duration / 1000.0, segment, part), chr(10) ORDER BY segment, part) || chr(10) || printf('#EXT-X-PRELOAD-HINT:TYPE=PART,URI="segment_%05d.%d.m4s"', max(segment * 4 + part) // 4, max(segment * 4 + part) % 4 + 1) || chr(10) AS playlist FROM parts GROUP BY stream""")
-def low_latency_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = views.packets(spark, sf_dir).select("stream", F.expr("seq div 4").alias("segment"), (F.col("seq") % 4).alias("part"), F.col("size").alias("duration"))
-    return C.low_latency_playlist(parts, 500)

@@ -301,17 +301,6 @@ def true_ten_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("frame_no", F.round(share * 100, 6).alias("share"), (share > 0.1).alias("true_ten_bit"))
 
 
-@query(f"{PX}, m AS (SELECT frame_no, avg(v) AS m FROM pixels GROUP BY 1) SELECT frame_no, round(avg(m) OVER (ORDER BY frame_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM m")
-def trajectory_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centred mean over five frames: each frame adds to the five around it, so that no global window is needed."""
-    mean = _frames(spark, sf_dir).select("frame_no", (P.total("p") / F.size("p")).alias("m"))
-    spread = mean.select(F.explode(F.sequence(F.col("frame_no") - 2, F.col("frame_no") + 2)).alias("frame_no"), "m")
-    smooth = spread.groupBy("frame_no").agg(F.avg("m").alias("smooth"))
-    return mean.join(smooth, "frame_no").select("frame_no", F.round("smooth", 6).alias("smooth"))
-
-
-
-
 @query(f"""{PX}, d AS (SELECT a.frame_no, sum(abs(a.v - b.v)) / (56 * 255.0::DOUBLE) AS s FROM pixels a JOIN pixels b ON a.frame_no = b.frame_no AND b.k = a.k + 1 AND a.k % 8 <> 7 GROUP BY 1), m AS (SELECT frame_no, avg(v) / 255 AS l, least(1, (sum(v * v) * 64 - sum(v) * sum(v)) / 4096.0 / 65025) AS c FROM pixels GROUP BY 1)
 SELECT frame_no, round(least(1, greatest(0, 0.15 * l + 0.25 * c + 0.3 * s + 0.15 * 0.5 + 0.15 * (1 - (1 - s)))), 6) AS score FROM m JOIN d USING (frame_no)""")
 def frame_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
