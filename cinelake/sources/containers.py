@@ -131,30 +131,31 @@ def crc32_mpeg(data: bytes) -> int:
     return crc
 
 
-def write_ts(packets: list[Packet], kinds: list[int]) -> bytes:
-    """Tables first, then each packet as 188-byte cells; ``kinds`` are the stream types (0x1B video, 0x0F audio)."""
-    counters: dict[int, int] = {}
+def ts_cells(pid: int, payload: bytes, counters: dict[int, int], clock: int | None = None) -> bytes:
+    """A payload as cells of 188 bytes; ``counters`` go on from cell to cell of a stream."""
+    out, first = b"", True
+    while payload or first:
+        extra = b""
+        if first and clock is not None:
+            extra = bytes([0x10]) + (clock << 15 | 0x3F << 9).to_bytes(6, "big")
+        room = 184 - (len(extra) + 1 if extra else 0)
+        part, payload = payload[:room], payload[room:]
+        pad = room - len(part)
+        if pad or extra:
+            field = extra or (b"\0" if pad > 1 else b"")
+            stuffing = 184 - len(part) - 1 - len(field)
+            adaptation = bytes([len(field) + stuffing]) + field + b"\xff" * stuffing
+        else:
+            adaptation = b""
+        n = counters.get(pid, 0)
+        counters[pid] = (n + 1) % 16
+        out += bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 0xFF, (0x30 if adaptation else 0x10) | n]) + adaptation + part
+        first = False
+    return out
+
 
-    def cells(pid: int, payload: bytes, clock: int | None = None) -> bytes:
-        out, first = b"", True
-        while payload or first:
-            extra = b""
-            if first and clock is not None:
-                extra = bytes([0x10]) + (clock << 15 | 0x3F << 9).to_bytes(6, "big")
-            room = 184 - (len(extra) + 1 if extra else 0)
-            part, payload = payload[:room], payload[room:]
-            pad = room - len(part)
-            if pad or extra:
-                field = extra or (b"\0" if pad > 1 else b"")
-                stuffing = 184 - len(part) - 1 - len(field)
-                adaptation = bytes([len(field) + stuffing]) + field + b"\xff" * stuffing
-            else:
-                adaptation = b""
-            n = counters.get(pid, 0)
-            counters[pid] = (n + 1) % 16
-            out += bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 0xFF, (0x30 if adaptation else 0x10) | n]) + adaptation + part
-            first = False
-        return out
+def ts_tables(kinds: list[int], counters: dict[int, int]) -> bytes:
+    """The program and stream tables; ``kinds`` are the stream types (0x1B video, 0x0F audio)."""
 
     def table(kind: int, body: bytes) -> bytes:
         s = bytes([kind]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + b"\0\1\xc1\0\0" + body
@@ -162,27 +163,40 @@ def write_ts(packets: list[Packet], kinds: list[int]) -> bytes:
 
     pids = [0x101 + i for i in range(len(kinds))]
     streams = b"".join(bytes([k]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\0" for k, p in zip(kinds, pids, strict=True))
-    out = cells(0, table(0, b"\0\1" + (0xE000 | 0x100).to_bytes(2, "big"))) + cells(0x100, table(2, (0xE000 | pids[0]).to_bytes(2, "big") + b"\xf0\0" + streams))
-    for p in packets:
-        code = 0xE0 if kinds[p.stream_index] == 0x1B else 0xC0
-        times = pack_time33(p.pts, 2) if p.dts == p.pts else pack_time33(p.pts, 3) + pack_time33(p.dts, 1)
-        head = bytes([0x80, 0x80 if len(times) == 5 else 0xC0, len(times)]) + times
-        size = len(head) + len(p.data)
-        out += cells(pids[p.stream_index], b"\0\0\1" + bytes([code]) + (size if size < 65536 else 0).to_bytes(2, "big") + head + p.data, p.dts if p.stream_index == 0 else None)
-    return out
+    return ts_cells(0, table(0, b"\0\1" + (0xE000 | 0x100).to_bytes(2, "big")), counters) + ts_cells(0x100, table(2, (0xE000 | pids[0]).to_bytes(2, "big") + b"\xf0\0" + streams), counters)
+
+
+def ts_packet(p: Packet, kinds: list[int], counters: dict[int, int]) -> bytes:
+    code = 0xE0 if kinds[p.stream_index] == 0x1B else 0xC0
+    times = pack_time33(p.pts, 2) if p.dts == p.pts else pack_time33(p.pts, 3) + pack_time33(p.dts, 1)
+    head = bytes([0x80, 0x80 if len(times) == 5 else 0xC0, len(times)]) + times
+    size = len(head) + len(p.data)
+    return ts_cells(0x101 + p.stream_index, b"\0\0\1" + bytes([code]) + (size if size < 65536 else 0).to_bytes(2, "big") + head + p.data, counters, p.dts if p.stream_index == 0 else None)
+
+
+def write_ts(packets: list[Packet], kinds: list[int]) -> bytes:
+    """Tables first, then each packet."""
+    counters: dict[int, int] = {}
+    return ts_tables(kinds, counters) + b"".join(ts_packet(p, kinds, counters) for p in packets)
+
+
+def avi_chunk(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+
+def avi_list(name: bytes, body: bytes) -> bytes:
+    return avi_chunk(b"LIST", name + body)
 
 
 def write_avi(packets: list[Packet], kinds: list[bytes]) -> bytes:
     """Stream headers, the movi list and its index; ``kinds`` are ``b"vids"`` or ``b"auds"``."""
-    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-    listing = lambda name, body: chunk(b"LIST", name + body)
-    headers = b"".join(listing(b"strl", chunk(b"strh", k + bytes(52))) for k in kinds)
+    headers = b"".join(avi_list(b"strl", avi_chunk(b"strh", k + bytes(52))) for k in kinds)
     movi, index = b"", b""
     for p in packets:
         name = b"%02d%s" % (p.stream_index, b"dc" if kinds[p.stream_index] == b"vids" else b"wb")
         index += name + struct.pack("<III", 0x10 if p.keyframe else 0, 4 + len(movi), len(p.data))
-        movi += chunk(name, p.data)
-    body = listing(b"hdrl", chunk(b"avih", bytes(56)) + headers) + listing(b"movi", movi) + chunk(b"idx1", index)
+        movi += avi_chunk(name, p.data)
+    body = avi_list(b"hdrl", avi_chunk(b"avih", bytes(56)) + headers) + avi_list(b"movi", movi) + avi_chunk(b"idx1", index)
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"AVI " + body
 
 

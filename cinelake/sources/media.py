@@ -1,13 +1,12 @@
-"""WAV and Y4M files: Python data sources with ranged partitions, header readers and sinks.
+"""WAV and Y4M files: Python data sources with ranged partitions, and header readers.
 
 ``spark.read.format("wav")`` gives a packet per second of audio, ``"y4m"`` a packet per frame; both read byte ranges
 of fixed-size records, so that any packet is found without scanning what precedes it.  The options ``path`` (a file or
-a glob on a file system that all executors mount) and ``packets_per_partition`` apply.
+a glob, on a file system or store that all executors reach) and ``packets_per_partition`` apply.
 """
 
 from __future__ import annotations
 
-import glob
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from .files import listed, open_input, size_of
+
 SCHEMA = "file string, stream_index int, seq bigint, pts bigint, dts bigint, duration bigint, keyframe boolean, position bigint, size int, data binary"
 
 
@@ -30,7 +31,7 @@ class WavHeader:
 
 def wav_header(path: str) -> WavHeader:
     """Walk the RIFF chunks up to the data chunk."""
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         if (head := f.read(12))[:4] != b"RIFF" or head[8:] != b"WAVE":
             raise ValueError(f"{path} is no RIFF/WAVE file")
         fmt = None
@@ -69,8 +70,8 @@ def y4m_frame_size(width: int, height: int, colour: str) -> int:
 
 
 def y4m_header(path: str) -> Y4mHeader:
-    with open(path, "rb") as f:
-        line = f.readline()
+    with open_input(path) as f:
+        line = f.read(256).split(b"\n")[0] + b"\n"
         words = line.decode("ascii").split()
         if not words or words[0] != "YUV4MPEG2":
             raise ValueError(f"{path} is no YUV4MPEG2 file")
@@ -105,7 +106,7 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[Span]:
         size = int(self.options.get("packets_per_partition", 64))
         spans = []
-        for path in sorted(glob.glob(self.options["path"])):
+        for path in listed(self.options["path"]):
             stop = self.count(path) if self.high is None else min(self.count(path), self.high + 1)
             spans += [Span(path, i, min(i + size, stop)) for i in range(self.low, stop, size)]
         return spans or [Span("", 0, 0)]
@@ -121,7 +122,7 @@ class WavReader(MediaReader):
 
     def packets(self, span: Span) -> Iterator[tuple]:
         h = wav_header(span.path)
-        with open(span.path, "rb") as f:
+        with open_input(span.path) as f:
             for seq in range(span.first, span.last):
                 at = h.data_start + seq * h.rate * h.align
                 f.seek(at)
@@ -131,18 +132,16 @@ class WavReader(MediaReader):
 
 class Y4mReader(MediaReader):
     def count(self, path: str) -> int:
-        import os
-
         h = y4m_header(path)
-        return (os.path.getsize(path) - h.start) // (h.frame_size + 6)
+        return (size_of(path) - h.start) // (h.frame_size + 6)
 
     def packets(self, span: Span) -> Iterator[tuple]:
         h = y4m_header(span.path)
-        with open(span.path, "rb") as f:
+        with open_input(span.path) as f:
             for seq in range(span.first, span.last):
                 at = h.start + seq * (h.frame_size + 6)
                 f.seek(at)
-                if f.readline() != b"FRAME\n":
+                if f.read(6) != b"FRAME\n":
                     raise ValueError(f"{span.path}: frame {seq} has parameters of its own")
                 data = f.read(h.frame_size)
                 yield (span.path, 0, seq, seq, seq, 1, False, at, len(data), data)
@@ -181,33 +180,14 @@ def register(spark: SparkSession) -> None:
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Open by the lower-cased extension; unknown ones are an error."""
+    from . import containers, streams
+
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind not in ("wav", "y4m"):
-        raise ValueError(f"no reader for .{kind} files")
-    register(spark)
-    return spark.read.format(kind).options(path=path, **options).load()
-
-
-def write_wav(path: str, packets: Iterator[bytes], rate: int, channels: int, bits: int = 16) -> int:
-    """Append packets and patch the sizes at the end; returns the bytes of audio."""
-    align = channels * bits // 8
-    with open(path, "wb") as f:
-        f.write(b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * align, align, bits) + b"data\0\0\0\0")
-        size = sum(f.write(p) for p in packets)
-        for at, value in ((4, 36 + size), (40, size)):
-            f.seek(at)
-            f.write(struct.pack("<I", value))
-    return size
-
-
-def write_y4m(path: str, frames: Iterator[bytes], width: int, height: int, rate: tuple[int, int] = (30, 1), colour: str = "420") -> int:
-    """Write whole frames of the format's size; returns their number."""
-    size, n = y4m_frame_size(width, height, colour), 0
-    with open(path, "wb") as f:
-        f.write(f"YUV4MPEG2 W{width} H{height} F{rate[0]}:{rate[1]} Ip A1:1 C{colour}\n".encode())
-        for frame in frames:
-            if len(frame) != size:
-                raise ValueError(f"a frame has {len(frame)} bytes and not {size}")
-            f.write(b"FRAME\n" + frame)
-            n += 1
-    return n
+    if kind in ("wav", "y4m"):
+        register(spark)
+        return spark.read.format(kind).options(path=path, **options).load()
+    if kind in streams.PARSERS:
+        return streams.read(spark, path, **options)
+    if kind in containers.PARSERS:
+        return containers.read_packets(spark, path)
+    raise ValueError(f"no reader for .{kind} files")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import scalars
 from cinelake.operators import audio, control, islands, pixels
-from cinelake.sources import cube, media, subtitles
+from cinelake.sources import cube, media, sinks, subtitles
 from cinelake.streaming import stateful
 
 
@@ -16,33 +16,37 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def packets(spark, rows):
+    return spark.createDataFrame(rows, "file string, stream_index int, seq long, pts long, dts long, keyframe boolean, data binary")
+
+
 def test_wav_round_trip(spark, tmp_path):
-    rate = 100
     tone = [int(16000 * math.sin(i / 5)) for i in range(250)]
     raw = b"".join(struct.pack("<hh", v, -v) for v in tone)
+    cut = [raw[:400], raw[400:800], raw[800:]]
+    rows = [(f"{name}.wav", 0, i, i * 100, i * 100, True, bytearray(d)) for name in "ab" for i, d in enumerate(cut)]
+    sinks.write(packets(spark, rows).repartition(5), str(tmp_path), "wav", rate="100", channels="2")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.wav", "b.wav"]
     path = str(tmp_path / "a.wav")
-    assert media.write_wav(path, iter([raw[:400], raw[400:]]), rate, 2) == len(raw)
-    rows = media.read_media(spark, path, packets_per_partition="2").orderBy("seq").collect()
-    assert [r.pts for r in rows] == [0, 100, 200] and [r.duration for r in rows] == [100, 100, 50]
-    assert b"".join(bytes(r.data) for r in rows) == raw and all(r.keyframe for r in rows)
+    got = media.read_media(spark, path, packets_per_partition="2").orderBy("seq").collect()
+    assert [r.pts for r in got] == [0, 100, 200] and [r.duration for r in got] == [100, 100, 50]
+    assert b"".join(bytes(r.data) for r in got) == raw and all(r.keyframe for r in got)
     header = media.wav_header(path)
-    assert (header.channels, header.rate, header.bits, header.data_size) == (2, rate, 16, len(raw))
-
-
-def test_wav_seek_reads_one_packet(spark, tmp_path):
-    path = str(tmp_path / "b.wav")
-    media.write_wav(path, iter([bytes(2000)]), 100, 1)
-    assert media.read_media(spark, path).filter("seq = 3").select("pts", "position").collect() == [(300, 44 + 600)]
+    assert (header.channels, header.rate, header.bits, header.data_size) == (2, 100, 16, len(raw))
+    assert media.read_media(spark, str(tmp_path / "*.wav")).count() == 6
+    assert media.read_media(spark, f"file://{path}").count() == 3
+    assert media.read_media(spark, path).filter("seq = 1").select("pts", "position").collect() == [(100, 44 + 400)]
 
 
 def test_y4m_round_trip(spark, tmp_path):
     path = str(tmp_path / "c.y4m")
     frames = [bytes((i + k) % 256 for k in range(media.y4m_frame_size(6, 4, "420"))) for i in range(5)]
-    assert media.write_y4m(path, iter(frames), 6, 4) == 5
+    sinks.write(packets(spark, [("c.y4m", 0, i, i, i, False, bytearray(d)) for i, d in enumerate(frames)]), str(tmp_path), "y4m", width="6", height="4")
     rows = media.read_media(spark, path, packets_per_partition="2").orderBy("seq").collect()
     assert [bytes(r.data) for r in rows] == frames and not any(r.keyframe for r in rows)
-    with pytest.raises(ValueError):
-        media.write_y4m(path, iter([b"x"]), 6, 4)
+    with pytest.raises(Exception, match="1 bytes"):
+        sinks.write(packets(spark, [("d.y4m", 0, 0, 0, 0, False, bytearray(b"x"))]), str(tmp_path), "y4m", width="6", height="4")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".part")] == ["c.y4m"]
     assert [media.y4m_frame_size(4, 4, c) for c in ("420", "422", "444", "mono", "420p10")] == [24, 32, 48, 16, 48]
 
 
