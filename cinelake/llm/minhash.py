@@ -3,13 +3,14 @@
 1. Each text's set of hashed word shingles gives a digest and a SuperMinHash signature.  Every element draws
    its slots in the order of a random permutation of its own, with values that grow by one a level, so a text is
    finished at the first level at which all its slots are filled.
-2. Texts of equal sets form classes, of which the least document goes on.
-3. Bands of the signature give buckets; members link to the least of their bucket, and the components of these
-   candidate links are candidate groups.  No pairs are made.
-4. Within a candidate group all links are found exactly on the full sets, by an intersection-count matrix over
-   blocks of bounded size; a group of many blocks is spread over its pairs of blocks.  A spanning forest of the
-   links leaves each task.
-5. Union-find over the forests gives the components; classes carry them to all their documents.
+2. Texts of equal sets form classes, which are numbered.
+3. Bands of the signature give buckets.  All members of a bucket are verified against its least member on the full
+   sets; a large bucket is spread over tasks, each of which streams members past the leader's set.  Union-find over
+   these links joins most copies for good.
+4. What may still be linked are members of one bucket, other than its leader, in different components.  They are
+   compared in blocks of bounded size, by an intersection-count matrix.  A large component has blocks of its own, which
+   are not compared with each other: within it there is nothing to find.  No pairs are emitted but the links found.
+5. Union-find over all links gives the components; classes carry them to all their documents.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ def band_count(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
 
 
 LEVEL = np.uint64(1 << 32)
+#: Stands for the blocks that small components share; components are numbered from zero.
+SHARED = -1
 LOOKBACK = 12
 
 
@@ -122,7 +125,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             hashes = band_hashes(super_minhash(full, bands * rows), bands, rows) if full else np.zeros((0, bands), np.int64)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             offsets = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            digests = [digest_of(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [column_of(b, "_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel()))],
                 ["_id", "_n", "_digest", "_bands"],
@@ -160,44 +163,75 @@ def intersections(sets: list[np.ndarray], dense_from: int = 9, columns: int = 20
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``.
+def text_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``_v, _set``: the sorted shingles of rows ``_v, _digest, _text`` whose set has this digest."""
 
-    Documents are linked if 100 * common >= ``percent`` * union over their distinct word shingles.  Null or empty
-    texts have no shingles and are linked with nothing.  Rows that repeat an id with equal texts share a class; with
-    unequal texts each has its own text's component.  A row with a null id has a null component and is kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, max_bytes=4 << 20):
+            packed = [s.tobytes() for s in shingle_sets(column_of(b, "_text"), width)]
+            own = pa.array([digest_of(s) == d for s, d in zip(packed, column_of(b, "_digest").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([column_of(b, "_v"), pa.array(packed, pa.binary())], ["_v", "_set"]).filter(own)
+
+    return texts.select("_v", "_digest", "_text").mapInArrow(run, "_v long, _set binary")
+
+
+def digest_of(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
+def leader_links(pairs: DataFrame, sets: DataFrame, percent: int, part: int = 4096) -> DataFrame:
+    """Of the pairs ``_a, _b`` (member and leader) those whose sets are alike enough.
+
+    A leader with many members is sent to as many tasks as ``part`` members each need; a task holds one leader's set.
     """
-    bands = bands or band_count(percent, rows)
-    own = id_text(docs, id_col, text_col)
-    sized = shared_checkpoint(signed(own, width, bands, rows))
-    full = sized.filter("_n > 0 AND _id IS NOT NULL")
-    classes = full.groupBy("_digest").agg(F.min("_id").alias("_rep"))
-    firsts = full.groupBy("_digest").agg(F.min_by(F.struct("_id", "_n", "_bands"), "_id").alias("_f")).select("_f.*")
-    keyed = firsts.select(F.col("_id").alias("_a"), F.explode("_bands").alias("_key"))
-    buckets = keyed.groupBy("_key").agg(F.min("_a").alias("_b"), F.max("_a").alias("_z")).filter("_b < _z").select("_key", "_b")
-    candidates = keyed.join(buckets, "_key").select("_a", "_b").distinct()
-    groups = components(candidates)
+    counted = pairs.groupBy("_b").agg(F.ceil(F.count("*") / part).cast("int").alias("_k"))
+    members = pairs.join(counted, "_b").select("_b", F.expr("pmod(xxhash64(_a), _k)").cast("int").alias("_p"), F.col("_a").alias("_v"), F.lit(1).alias("_m"))
+    leaders = counted.select("_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"), F.col("_b").alias("_v"), F.lit(0).alias("_m"))
+    rows = members.unionByName(leaders).join(sets, "_v")
 
-    # Blocks of bounded numbers of members and shingles, and the pairs of blocks of a group.
-    members = groups.join(firsts.select(F.col("_id").alias("_v"), "_n"), "_v")
-    counted = members.groupBy("_c").agg(F.count("*").alias("_m"), F.sum("_n").alias("_t"))
-    counted = counted.select("_c", F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_t") / block_shingles)).cast("int").alias("_k"))
-    members = members.join(counted, "_c").withColumn("_i", F.expr("cast(pmod(xxhash64(_v), _k) as int)"))
-    members = members.select("_v", "_c", "_k", "_i")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, lead = None, np.zeros(0, np.uint64)
+        for b in batches:
+            a, c = [], []
+            for v, of, m, packed in zip(*(column_of(b, n).to_pylist() for n in ("_v", "_b", "_m", "_set")), strict=True):
+                own = np.frombuffer(packed, np.uint64)
+                if not m:
+                    leader, lead = of, own
+                    continue
+                if leader != of:
+                    raise ValueError("a leader's set is missing")
+                few, many = sorted((len(own), len(lead)))
+                if 100 * few < percent * many:
+                    continue
+                at = np.searchsorted(lead, own)
+                common = int((lead[np.minimum(at, len(lead) - 1)] == own).sum())
+                if 100 * common >= percent * (few + many - common):
+                    a.append(v)
+                    c.append(of)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["_a", "_b"])
+
+    return rows.repartition("_b", "_p").sortWithinPartitions("_b", "_p", "_m").mapInArrow(run, "_a long, _b long")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, max_bytes=4 << 20):
-            packed = [s.tobytes() for s in shingle_sets(column_of(b, "_text"), width)]
-            yield pa.RecordBatch.from_arrays([column_of(b, "_v"), column_of(b, "_c"), column_of(b, "_k"), column_of(b, "_i"), pa.array(packed, pa.binary())], ["_v", "_c", "_k", "_i", "_set"])
 
-    texts = own.join(members, F.col("_id") == F.col("_v")).select("_v", "_c", "_k", "_i", "_text")
-    with_sets = texts.mapInArrow(sets, "_v long, _c long, _k int, _i int, _set binary")
-    # Block i meets the blocks j >= i: pairs (i, j) and (j, i) are one group key.
-    paired = with_sets.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    paired = paired.select("_v", "_set", "_c", F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q"))
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """Links between members (``_v, _g, _c, _n``) of a group ``_g`` that are in different components ``_c``.
+
+    A component that fills half a block has blocks of its own; the others of a group share blocks.  Every block meets
+    every other one, and shared blocks themselves, but for two blocks of one component.
+    """
+    over = lambda m, t: F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(t) / block_shingles)).cast("int")
+    counted = members.groupBy("_g", "_c").agg(F.count("*").alias("_m"), F.sum("_n").alias("_t"))
+    own = (2 * F.col("_m") >= block) | (2 * F.col("_t") >= block_shingles)
+    counted = counted.select("_g", "_c", F.when(own, F.col("_c")).otherwise(SHARED).alias("_o"), "_m", "_t")
+    kinds = counted.groupBy("_g", "_o").agg(F.sum("_m").alias("_m"), F.sum("_t").alias("_t")).select("_g", "_o", over("_m", "_t").alias("_k"))
+    named = F.transform(F.collect_list(F.struct("_o", "_k")), lambda x: F.transform(F.sequence(F.lit(0), x["_k"] - 1), lambda i: F.struct(x["_o"].alias("o"), i.alias("i"))))
+    blocks = kinds.groupBy("_g").agg(F.flatten(named).alias("_blocks"))
+    sized = counted.join(kinds.select("_g", "_o", "_k"), ["_g", "_o"]).select("_g", "_c", "_o", "_k")
+    placed = members.join(sized, ["_g", "_c"]).withColumn("_at", F.struct(F.col("_o").alias("o"), F.expr("cast(pmod(xxhash64(_v), _k) as int)").alias("i")))
+    met = placed.join(blocks, "_g").select("_v", "_g", "_at", F.explode(F.filter("_blocks", lambda x: (F.col("_o") == SHARED) | (x["o"] != F.col("_o")))).alias("_with"))
+    paired = met.select("_v", "_g", F.least("_at", "_with").alias("_p"), F.greatest("_at", "_with").alias("_q")).join(sets, "_v")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["_v", "_set"])
         ids, found = pdf["_v"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["_set"]]
         common = intersections(found)
         size = np.array([len(s) for s in found], dtype=np.float32)
@@ -205,9 +239,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         a, b = links_within(both, ids)
         return pd.DataFrame({"_a": pd.Series(a, dtype="int64"), "_b": pd.Series(b, dtype="int64")})
 
-    links = paired.groupBy("_c", "_p", "_q").applyInPandas(verify, "_a long, _b long")
-    found = components(links)
-    # Classes carry the component of their first document to all their rows.
-    reached = classes.join(found, F.col("_rep") == F.col("_v"), "left").select("_digest", F.coalesce("_c", "_rep").alias("_c"))
-    labelled = sized.join(reached, "_digest", "left").select("_id", "_n", F.when(F.col("_n") > 0, F.coalesce("_c", "_id")).otherwise(F.col("_id")).alias("_c"))
+    return paired.groupBy("_g", "_p", "_q").applyInPandas(verify, "_a long, _b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``.
+
+    Documents are linked if 100 * common >= ``percent`` * union over their distinct word shingles.  Null or empty
+    texts have no shingles and are linked with nothing.  Rows that repeat an id with equal texts share a class; with
+    unequal texts each has its own text's component.  A row with a null id has a null component and is kept.
+    """
+    bands = bands or band_count(percent, rows)
+    own = id_text(docs, id_col, text_col)
+    sized = shared_checkpoint(signed(own, width, bands, rows))
+    full = sized.filter("_n > 0 AND _id IS NOT NULL")
+    classes = full.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.min_by(F.struct("_n", "_bands"), "_id").alias("_f"))
+    classes = shared_checkpoint(classes.select("_digest", "_rep", "_f.*", F.monotonically_increasing_id().alias("_v")))
+    keyed = classes.select(F.col("_v").alias("_a"), F.explode("_bands").alias("_key"))
+    buckets = keyed.groupBy("_key").agg(F.min("_a").alias("_b"), F.max("_a").alias("_z")).filter("_b < _z").select("_key", "_b")
+    met = shared_checkpoint(keyed.join(buckets, "_key").filter("_a <> _b"))
+    pairs = met.select("_a", "_b").distinct()
+    some = pairs.select(F.explode(F.array("_a", "_b")).alias("_v")).distinct().join(classes.select("_v", "_rep", "_digest"), "_v")
+    texts = own.join(some, F.col("_id") == F.col("_rep"))
+    sets = shared_checkpoint(text_sets(texts, width).dropDuplicates(["_v"]))
+    first = components(leader_links(pairs, sets, percent))
+
+    # members of a bucket besides its leader that are in different components
+    rest = met.join(first.withColumnRenamed("_v", "_a"), "_a", "left").select("_key", "_a", F.coalesce("_c", "_a").alias("_c"))
+    unlike = rest.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), F.min("_a").alias("_b")).filter("_x < _y").select("_key", "_b")
+    rest = shared_checkpoint(rest.join(unlike, "_key").select("_a", "_b", "_c").distinct())
+    groups = components(rest.select("_a", "_b")).withColumnRenamed("_c", "_g")
+    members = rest.select(F.col("_a").alias("_v"), "_c").distinct().join(groups, "_v").join(classes.select("_v", "_n"), "_v")
+    second = block_links(members, sets, percent, block, block_shingles)
+    found = components(first.select(F.col("_v").alias("_a"), F.col("_c").alias("_b")).unionByName(second))
+
+    # Classes carry the least document of their component to all their rows.
+    linked = found.join(classes.select("_v", "_rep", "_digest"), "_v")
+    least = linked.groupBy("_c").agg(F.min("_rep").alias("_least"))
+    reached = linked.join(least, "_c").select("_digest", "_least")
+    reached = classes.select("_digest", "_rep").join(reached, "_digest", "left").select("_digest", F.coalesce("_least", "_rep").alias("_least"))
+    labelled = sized.select("_id", "_n", "_digest").join(reached, "_digest", "left").select("_id", "_n", F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("_c"))
     return labelled.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.col("_c")).alias("component_id"), (F.col("_id").isNull() | (F.col("_id") == F.col("_c"))).alias("kept"))

@@ -152,6 +152,56 @@ def test_near_duplicates(spark, width, percent, block):
     assert len(rows) == len(texts) and got == brute_components(list(enumerate(texts)), width, percent)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each row of a repeated id has its own text's component."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(3, one), (5, one + " x"), (5, two), (5, two), (9, two + " y"), (7, three), (None, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(table, 3, 85).collect())
+    assert got == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (9, 5, False), (7, 7, True), (None, None, True)])
+
+
+def test_large_component_meets_strangers(spark):
+    """Copies around one text, a chain that leaves it step by step, and a stranger that is near its outer copies only."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[2 * k % 120] = f"x{k}"
+        texts.append(" ".join(words))
+    for k in range(12):
+        texts.append(" ".join(base[3 * k :] + [f"tail{i}" for i in range(3 * k)]))
+    rnd.shuffle(texts)
+    rows = minhash.near_duplicates(make(spark, texts), 3, 85, block=8).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
+    assert got == brute_components(list(enumerate(texts)), 3, 85)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_block_links_find_every_link_between_components(spark, block):
+    rnd = random.Random(block)
+    sets = []
+    for g in range(3):
+        base = sorted(rnd.sample(range(1000 * g, 1000 * g + 400), 50))
+        for _ in range(30):
+            own = set(base)
+            for _ in range(rnd.randint(0, 5)):
+                own.discard(rnd.choice(base))
+                own.add(rnd.randint(1000 * g + 400, 1000 * g + 420))
+            sets.append((g, np.array(sorted(own), np.uint64)))
+    comps = [rnd.choice([g * 100, g * 100, g * 100, 1000 + i]) for i, (g, _) in enumerate(sets)]
+    members = spark.createDataFrame([(i, g, comps[i], len(x)) for i, (g, x) in enumerate(sets)], "_v long, _g long, _c long, _n long")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, (_, x) in enumerate(sets)], "_v long, _set binary")
+    links = {(r["_a"], r["_b"]) for r in minhash.block_links(members, held, 85, block, 10**6).collect()}
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i][1], sets[j][1])) >= 85 * len(np.union1d(sets[i][1], sets[j][1]))
+    own = [(i, comps[i]) for i in range(len(sets))]
+    joined = lambda more: graph.union_find([a for a, _ in more] + [i for i, _ in own], [b for _, b in more] + [10_000 + c for _, c in own])
+    want = joined([(i, j) for i in range(len(sets)) for j in range(i) if sets[i][0] == sets[j][0] and comps[i] != comps[j] and alike(i, j)])
+    got = joined(sorted(links))
+    assert {i: got[i] for i in range(len(sets))} == {i: want[i] for i in range(len(sets))}
+
+
 def test_near_duplicate_edge_cases(docs, empty):
     rows = minhash.near_duplicates(docs, 3, 85).collect()
     assert len(rows) == docs.count()
