@@ -116,7 +116,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``_id, _n, _digest, _bands`` of each row; an empty set has no bands."""
+    """``_id, _key, _n, _digest, _bands`` of each row (``_id, _key, _text``); an empty set has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, max_bytes=4 << 20):
@@ -127,11 +127,11 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             offsets = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
             digests = [digest_of(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [column_of(b, "_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel()))],
-                ["_id", "_n", "_digest", "_bands"],
+                [column_of(b, "_id"), column_of(b, "_key"), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel()))],
+                ["_id", "_key", "_n", "_digest", "_bands"],
             )
 
-    return docs.mapInArrow(run, "_id long, _n long, _digest binary, _bands array<long>")
+    return docs.mapInArrow(run, "_id long, _key long, _n long, _digest binary, _bands array<long>")
 
 
 def intersections(sets: list[np.ndarray], dense_from: int = 9, columns: int = 2048) -> np.ndarray:
@@ -242,15 +242,16 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int, b
     return paired.groupBy("_g", "_p", "_q").applyInPandas(verify, "_a long, _b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``; with ``with_key`` also ``text_key``,
+    Spark's 64-bit hash of the text, by which rows of one id are told apart.
 
     Documents are linked if 100 * common >= ``percent`` * union over their distinct word shingles.  Null or empty
     texts have no shingles and are linked with nothing.  Rows that repeat an id with equal texts share a class; with
     unequal texts each has its own text's component.  A row with a null id has a null component and is kept.
     """
     bands = bands or band_count(percent, rows)
-    own = id_text(docs, id_col, text_col)
+    own = id_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("_text"))
     sized = shared_checkpoint(signed(own, width, bands, rows))
     full = sized.filter("_n > 0 AND _id IS NOT NULL")
     classes = full.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.min_by(F.struct("_n", "_bands"), "_id").alias("_f"))
@@ -278,5 +279,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     least = linked.groupBy("_c").agg(F.min("_rep").alias("_least"))
     reached = linked.join(least, "_c").select("_digest", "_least")
     reached = classes.select("_digest", "_rep").join(reached, "_digest", "left").select("_digest", F.coalesce("_least", "_rep").alias("_least"))
-    labelled = sized.select("_id", "_n", "_digest").join(reached, "_digest", "left").select("_id", "_n", F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("_c"))
-    return labelled.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.col("_c")).alias("component_id"), (F.col("_id").isNull() | (F.col("_id") == F.col("_c"))).alias("kept"))
+    labelled = sized.select("_id", "_key", "_n", "_digest").join(reached, "_digest", "left").select("_id", "_key", "_n", F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("_c"))
+    return labelled.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.col("_c")).alias("component_id"), (F.col("_id").isNull() | (F.col("_id") == F.col("_c"))).alias("kept"), *([F.col("_key").alias("text_key")] if with_key else []))
