@@ -2,7 +2,10 @@
 
 Each stage reads what its predecessor kept, whole, and its decisions take effect: toxic documents go, repeated
 lines go, one document of each near-duplicate group stays, long repeated byte strings go, and what is left is
-packed into sequences.  All stages but the last return the columns of ``documents``.
+packed into sequences.  A document of which a stage leaves nothing goes with its last line or byte; one that came empty
+stays.  All stages but the last return the columns of ``documents``.  Null texts count as empty, repeated rows are
+documents of their own (of near duplicates, rows of one id with other texts are told apart), rows with null ids keep
+their lines, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,29 +19,35 @@ from cinelake.llm.common import read_table, shared_checkpoint
 CARRIED = ("lang", "source")
 
 
-def _documents(edited: DataFrame) -> DataFrame:
-    """The columns of ``documents`` with the kept text and its length."""
-    return edited.select("doc_id", F.col("kept").alias("text"), *CARRIED, F.char_length("kept").cast("long").alias("n_chars"))
+def _documents(edited: DataFrame, removed: str) -> DataFrame:
+    """The columns of ``documents`` with the kept text and its length, without documents of which all was removed."""
+    left = edited.filter((F.col("kept") != "") | (F.col(removed) == 0))
+    return left.select("doc_id", F.col("kept").alias("text"), *CARRIED, F.char_length("kept").cast("long").alias("n_chars"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are scored as toxic go; without labels all stay."""
     return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(lines.dedup_lines(docs, carry=CARRIED))
+    """Repeated lines go but for those of the least document that holds them."""
+    return _documents(lines.dedup_lines(docs, carry=CARRIED), "n_dropped")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates the least document stays; a row goes by its id and its text."""
+    gone = minhash.near_duplicates(docs, width=5, percent=80, with_key=True).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "text_key").distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("text_key")), "left_anti")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(suffixes.remove_repeats(docs, length=200, carry=CARRIED, as_text=True))
+    """Every byte of a 200-byte string that occurs again goes, and with it what is left of a cut character."""
+    return _documents(suffixes.remove_repeats(docs, length=200, carry=CARRIED, as_text=True), "n_removed")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in as few sequences as can be found."""
     return packing.pack(docs)
 
 
