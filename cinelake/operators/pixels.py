@@ -6,8 +6,10 @@ table of pixel counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -181,12 +183,21 @@ def temporal_complexity(p: str = "p", q: str = "q") -> Column:
 
 
 def chi_square(frames: DataFrame, bins: int) -> DataFrame:
-    """Half the chi-square distance of the histograms of ``p`` and ``q``; null without ``q``."""
-    size = 256 // bins
-    count = lambda p, b: total(p, lambda v: F.when(F.floor(v / size) == b, 1).otherwise(0))
-    terms = [F.when(count("p", b) + count("q", b) > 0, (count("p", b) - count("q", b)) * (count("p", b) - count("q", b)) / F.nullif(count("p", b) + count("q", b), F.lit(0))).otherwise(0.0) for b in range(bins)]
-    value = sum(terms[1:], terms[0]) / 2
-    return frames.withColumn("distance", F.when(F.col("q").isNotNull(), value))
+    """``frame_no, distance``: half the chi-square distance of the histograms of ``p`` and ``q``; null without ``q``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, q in zip(b.column(1), b.column(2), strict=True):
+                if not q.is_valid:
+                    out.append(None)
+                    continue
+                x, y = (np.bincount(v.values.to_numpy() * bins // 256, minlength=bins).astype(np.float64) for v in (p, q))
+                some = x + y > 0
+                out.append(float(((x - y)[some] ** 2 / (x + y)[some]).sum() / 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["frame_no", "distance"])
+
+    return frames.select(F.col("frame_no").cast("long").alias("frame_no"), "p", "q").mapInArrow(run, "frame_no long, distance double")
 
 
 def average_hash(p: str) -> Column:
@@ -236,10 +247,15 @@ def blend(a: str, b: str, t: float) -> Column:
 
 
 def moving_average_denoise(frames: DataFrame, n: int) -> DataFrame:
-    """Mean, truncated, of each pixel over the last ``n`` frames; the first frame passes."""
-    over = W.partitionBy("k").orderBy("frame_no").rowsBetween(1 - n, 0)
-    pixels = frames.select("frame_no", F.posexplode("p").alias("k", "v")).withColumn("v", F.floor(F.sum("v").over(over) / F.count("*").over(over)).cast("int"))
-    return pixels.groupBy("frame_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("p"))
+    """Mean, truncated, of each pixel over the last ``n`` frames (of consecutive numbers); the first frame passes.
+
+    Each frame goes to the ``n`` frames that it takes part in, so that at most ``n`` planes meet.
+    """
+    sent = frames.select(F.explode(F.sequence(F.col("frame_no"), F.col("frame_no") + n - 1)).alias("_to"), "p")
+    met = sent.groupBy("_to").agg(F.collect_list("p").alias("_ps"))
+    added = F.aggregate(F.slice("_ps", 2, n), F.get("_ps", F.lit(0)), lambda s, p: F.zip_with(s, p, lambda x, y: x + y))
+    means = met.select("_to", F.transform(added, lambda v: F.floor(v / F.size("_ps")).cast("int")).alias("p"))
+    return frames.select("frame_no").join(means, F.col("frame_no") == F.col("_to")).select("frame_no", "p")
 
 
 def split_fields(frames: DataFrame, width: int) -> DataFrame:

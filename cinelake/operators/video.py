@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .folds import ordered_fold
+from .islands import islands
 
 FRAME = "stream long, frame_no long, width int, height int, data binary"
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
@@ -347,6 +348,24 @@ def temporal_denoise(frames: DataFrame, window: int, strength: float, threshold:
     return with_history(frames, window - 1, one, "width int, height int, data binary")
 
 
+def freezes(frames: DataFrame, similarity: float = 0.999, least: int = 2) -> DataFrame:
+    """``stream, start, stop``: runs in which each frame is as similar as that to the one before it.
+
+    A run starts with the frame before its first such one and ends before the first that differs; one that lasts to the
+    end of its stream is left out, as are runs of fewer than ``least`` repeats.
+    """
+
+    def one(data: bytes, w: int, h: int, before: list[bytes]) -> tuple:
+        if not before or len(before[-1]) != len(data):
+            return (False,)
+        a, b = (np.frombuffer(d, np.uint8).astype(np.int64) for d in (data, before[-1]))
+        return (bool(1 - np.abs(a - b).mean() / 255 >= similarity),)
+
+    same = with_history(frames, 1, one, "same boolean")
+    runs = islands(same, ["stream"], "frame_no", F.col("same"), least, drop_trailing=True)
+    return runs.select("stream", (F.col("start") - 1).alias("start"), "stop")
+
+
 def shrunk(data: bytes, w: int, h: int, to_width: int, to_height: int) -> np.ndarray:
     """Luma at a smaller size, by bilinear samples from the upper left corner on, truncated."""
     y = luma_of(rgb_of(data, w, h)).astype(np.float64)

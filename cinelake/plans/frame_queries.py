@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P
-from ..operators.islands import islands
 from . import views
 from .registration import query
 
@@ -129,13 +128,6 @@ def black_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("frame_no", F.round(P.dark_share("p", 120), 6).alias("dark"), P.is_black("p", 120, 0.3).alias("black"), F.round(P.average_luma("p"), 6).alias("luma"))
 
 
-@query(f"""{PREV}, d AS (SELECT frame_no, sum(abs(v - w)) AS s FROM both_px GROUP BY 1), e AS (SELECT max(frame_no) AS e FROM frames), r AS (SELECT frame_no, frame_no - row_number() OVER (ORDER BY frame_no) AS g FROM d WHERE s < 1500)
-SELECT min(frame_no) - 1 AS start, max(frame_no) + 1 AS stop FROM r, e GROUP BY g, e HAVING count(*) >= 2 AND max(frame_no) < e""")
-def freeze_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.following(_frames(spark, sf_dir)).select("frame_no", F.lit(0).alias("stream"), F.coalesce(P.absolute_difference() < 1500, F.lit(False)).alias("same"))
-    return islands(rows, ["stream"], "frame_no", F.col("same"), 2, drop_trailing=True).select((F.col("start") - 1).alias("start"), "stop")
-
-
 @query(f"{PX}, l AS (SELECT frame_no, avg(v) / 255 AS l FROM pixels GROUP BY 1), w AS (SELECT frame_no, l, lead(l, 4) OVER (ORDER BY frame_no) AS m FROM l) SELECT frame_no AS start, frame_no + 5 AS stop FROM w WHERE l > 0.505 AND m < 0.495")
 def fade_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     luma = _frames(spark, sf_dir).select("frame_no", P.average_luma("p").alias("l"))

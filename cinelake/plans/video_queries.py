@@ -160,6 +160,40 @@ def motion_weighted_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(V.temporal_denoise(views.rgb_frames(spark, sf_dir), 3, 0.75, 12.0))
 
 
+@query(f"""{RGB}, held AS (SELECT stream, frame_no, CASE WHEN frame_no % 10 BETWEEN 4 AND 6 + stream % 2 THEN frame_no // 10 * 10 + 3 ELSE frame_no END AS src FROM rgb), z AS (SELECT h.stream, h.frame_no, d FROM held h JOIN rgb r ON r.stream = h.stream AND r.frame_no = h.src),
+s AS (SELECT a.stream, a.frame_no, list_sum([abs(a.d[k + 1] - b.d[k + 1]) for k in range(60)]) / 60.0 / 255 AS e FROM z a JOIN z b ON b.stream = a.stream AND b.frame_no = a.frame_no - 1), e AS (SELECT stream, max(frame_no) AS e FROM z GROUP BY 1),
+r AS (SELECT stream, frame_no, frame_no - row_number() OVER (PARTITION BY stream ORDER BY frame_no) AS g FROM s WHERE 1 - e >= 0.999) SELECT stream, min(frame_no) - 1 AS start, max(frame_no) + 1 AS stop FROM r JOIN e USING (stream) GROUP BY stream, g, e HAVING count(*) >= 2 AND max(frame_no) < e""")
+def freeze_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three or four frames of every ten repeat the one before them."""
+    rows = views.rgb_frames(spark, sf_dir)
+    tenth = F.col("frame_no") % 10
+    source = F.when(tenth.between(4, 6 + F.col("stream") % 2), F.col("frame_no") - tenth + 3).otherwise(F.col("frame_no"))
+    old = rows.select("stream", F.col("frame_no").alias("_src"), "data")
+    return V.freezes(rows.drop("data").withColumn("_src", source).join(old, ["stream", "_src"]))
+
+
+_BLOCKS = f"""WITH {views.WIDE}, px AS (SELECT a.stream, a.frame_no, unnest(a.d) AS v, unnest(b.d) AS w, unnest(range(384)) AS k FROM wide a JOIN wide b ON a.stream = b.stream AND b.frame_no = a.frame_no - 1),
+pl AS (SELECT stream, frame_no, 'y' AS p, k // 16 AS y, k % 16 AS x, v, w FROM px WHERE k < 256 UNION ALL SELECT stream, frame_no, CASE WHEN k < 320 THEN 'u' ELSE 'v' END, k % 64 // 8, k % 8, v, w FROM px WHERE k >= 256),
+bl AS (SELECT stream, frame_no, p, oy, ox, avg(v::DOUBLE) AS a, avg(w::DOUBLE) AS b, avg(v::DOUBLE * v) AS aa, avg(w::DOUBLE * w) AS bb, avg(v::DOUBLE * w) AS ab FROM pl, (VALUES (0), (4), (8)) AS s(oy), (VALUES (0), (4), (8)) AS t(ox) WHERE y >= oy AND y < oy + 8 AND x >= ox AND x < ox + 8 GROUP BY ALL HAVING count(*) = 64),
+sc AS (SELECT stream, frame_no, p, avg(greatest(0, least(1, (2 * a * b + 6.5025) * (2 * (ab - a * b) + 58.5225) / ((a * a + b * b + 6.5025) * (aa - a * a + bb - b * b + 58.5225))))) AS s FROM bl GROUP BY 1, 2, 3)"""
+
+
+@query(f"{_BLOCKS} SELECT stream, frame_no, round(max(s) FILTER (p = 'y'), 6) AS ssim_y, round((6 * max(s) FILTER (p = 'y') + max(s) FILTER (p = 'u') + max(s) FILTER (p = 'v')) / 8, 6) AS ssim_avg FROM sc GROUP BY 1, 2")
+def weighted_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping blocks of 8x8 pixels, four apart."""
+    rows = views.wide_frames(spark, sf_dir)
+    made = V.compare(rows, rows.withColumn("frame_no", F.col("frame_no") + 1))
+    return made.select("stream", "frame_no", F.round("ssim_y", 6).alias("ssim_y"), F.round("ssim_avg", 6).alias("ssim_avg"))
+
+
+@query(f"{_BLOCKS}, m AS (SELECT stream, frame_no, round(max(s) FILTER (p = 'y'), 5) AS s FROM sc GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY s DESC, frame_no DESC) AS k FROM m) SELECT stream, frame_no FROM r WHERE k = 1")
+def best_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar pair of each stream, the last of equals."""
+    rows = views.wide_frames(spark, sf_dir)
+    made = V.compare(rows, rows.withColumn("frame_no", F.col("frame_no") + 1))
+    return made.groupBy("stream").agg(F.max_by("frame_no", F.struct(F.round("ssim_y", 5), "frame_no")).alias("frame_no"))
+
+
 @query()
 def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hashes(views.rgb_frames(spark, sf_dir))

@@ -74,6 +74,20 @@ def test_subtitle_readers(spark):
     assert [(r.start_ms, r.end_ms, r.text.strip()) for r in got] == [(1000, 2500, "first\nline"), (60000, 3600000, "second")]
     got = subtitles.parse_vtt(rows, "k", "vtt").orderBy("start_ms").collect()
     assert [(r.start_ms, r.end_ms, r.text.strip()) for r in got] == [(1000, 2000, "hello"), (3600500, 3601000, "world")]
+    with pytest.raises(Exception, match="no valid cue"):
+        subtitles.parse_srt(rows, "k", "srt", lenient=False).collect()
+    good = rows.withColumn("srt", F.lit("7\n00:00:01,000 --> 00:00:02,500\nfirst\nline\n\n8\n00:00:03,000 --> 00:00:04,000\n"))
+    assert [(r.start_ms, r.text) for r in subtitles.parse_srt(good, "k", "srt", lenient=False).orderBy("start_ms").collect()] == [(1000, "first\nline"), (3000, "")]
+    assert subtitles.parse_srt(good, "k", "srt").count() == 1  # a block needs a line of text
+    note = "WEBVTT - a title\nKind: captions\n\n00:01.000 --> 00:02.000\nhello\nNOTE 5\n00:03.000 --> 00:04.000\nafter\n"
+    noted = spark.createDataFrame([(1, note)], "k int, vtt string")
+    assert [(r.start_ms, r.text) for r in subtitles.parse_vtt(noted, "k", "vtt").orderBy("start_ms").collect()] == [(1000, "hello"), (3000, "after")]
+    with pytest.raises(Exception, match="no valid cue"):
+        subtitles.parse_vtt(noted.withColumn("vtt", F.lit("WEBVTT\n\nNOTE this is a comment\n")), "k", "vtt").collect()
+    with pytest.raises(Exception, match="no WEBVTT head"):
+        subtitles.parse_vtt(noted.withColumn("vtt", F.lit("00:01.000 --> 00:02.000\nhello\n")), "k", "vtt").collect()
+    loose = subtitles.parse_vtt(rows, "k", "vtt", lenient=True).collect()
+    assert [(r.start_ms, r.text) for r in loose] == [(3600500, "world")]  # the block with an id is left out
     got = subtitles.parse_ass(rows, "k", "ass").collect()
     assert [(r.start_ms, r.end_ms, r.style, r.text) for r in got] == [(1500, 2000, "Main", "a, b")]
 
