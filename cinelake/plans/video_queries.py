@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import selection as T
 from ..operators import video as V
 from . import views
 from .registration import query
@@ -202,3 +203,69 @@ def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def timecode_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(V.overlay(views.rgb_frames(spark, sf_dir), F.format_string("%d", "frame_no"), 0, 0, 1))
+
+
+#: A score, a time and a hash of each frame of the RGB stand-in, from sums of its bytes.
+FACTS = f"{RGB}, facts AS (SELECT stream, frame_no, list_sum(d)::BIGINT % 1000 AS score, frame_no * 0.04::DOUBLE AS time, list_sum(d)::BIGINT * 2654435761 AS hash FROM rgb)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.frames(spark, sf_dir)
+    total = F.aggregate(F.slice("p", 1, 60), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select((F.col("frame_no") % 7).alias("stream"), F.expr("frame_no div 7").alias("frame_no"), (total % 1000).alias("score"), (F.expr("frame_no div 7") * 0.04).alias("time"), (total * 2654435761).alias("hash"))
+
+
+@query(f"{FACTS}, k AS (SELECT stream, unnest(range(12)) AS i, least(24, count(*)) / 12.0::DOUBLE AS step FROM facts GROUP BY 1) SELECT DISTINCT stream, CAST(floor(i * greatest(step, 1)) AS BIGINT) AS frame_no FROM k SEMI JOIN facts ON facts.stream = k.stream AND facts.frame_no = CAST(floor(i * greatest(step, 1)) AS BIGINT)")
+def fingerprint_uniform_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.uniform(_facts(spark, sf_dir), 12).select("stream", "frame_no")
+
+
+_TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, frame_no) - 1 AS place FROM {0})"
+
+
+@query(f"{FACTS}, {_TOP.format('facts')} SELECT stream, string_agg(hash, ',' ORDER BY place) AS hashes FROM t WHERE place < 8 GROUP BY 1")
+def fingerprint_top_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = T.fingerprints(T.top(_facts(spark, sf_dir), 8))
+    return made.withColumn("hashes", F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","))
+
+
+@query(f"{FACTS}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame_no) AS k FROM facts), a AS (SELECT * FROM n WHERE k <= 5 OR score >= 900), {_TOP.format('a')} SELECT stream, frame_no FROM t WHERE place < 10")
+def fingerprint_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.adaptive(_facts(spark, sf_dir), 900, 5, 10).select("stream", "frame_no")
+
+
+@query(f"{FACTS}, {_TOP.format('facts')}, l AS (SELECT stream, list(hash ORDER BY place) AS h FROM t WHERE place < 8 - stream // 5 GROUP BY 1) SELECT a.stream, b.stream AS other, CASE WHEN len(a.h) = len(b.h) THEN CAST(list_sum([bit_count(xor(a.h[k + 1], b.h[k + 1])) for k in range(len(a.h))]) AS BIGINT) END AS distance, CASE WHEN len(a.h) = len(b.h) THEN round(1 - list_sum([bit_count(xor(a.h[k + 1], b.h[k + 1])) for k in range(len(a.h))]) / (64.0::DOUBLE * len(a.h)), 6) ELSE 0 END AS similarity FROM l a JOIN l b ON b.stream = a.stream + 1")
+def fingerprint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream's list against the next one's; the later streams have shorter lists."""
+    chosen = T.top(_facts(spark, sf_dir), 8).filter(F.col("place") < 8 - F.expr("stream div 5"))
+    lists = T.fingerprints(chosen)
+    after = lists.select((F.col("stream") - 1).alias("stream"), F.col("hashes").alias("_other"))
+    both = lists.join(after, "stream")
+    return both.select("stream", (F.col("stream") + 1).alias("other"), T.list_distance(F.col("hashes"), F.col("_other")).alias("distance"), F.round(T.list_similarity(F.col("hashes"), F.col("_other")), 6).alias("similarity"))
+
+
+_NEAR = "(SELECT stream, arg_min(frame_no, floor(round(abs(time - 1.0::DOUBLE) * 1000, 6)) * 100000 + frame_no) AS frame_no FROM facts GROUP BY 1)"
+
+
+@query(f"{FACTS} SELECT 'first' AS method, stream, min(frame_no) AS frame_no FROM facts GROUP BY 2 UNION ALL SELECT 'middle', stream, count(*) // 2 FROM facts GROUP BY 2 UNION ALL SELECT 'timestamp', stream, frame_no FROM {_NEAR} UNION ALL SELECT 'index', stream, 17 FROM facts GROUP BY 2 UNION ALL SELECT 'smart', stream, arg_max(frame_no, score * 100000 + frame_no) FROM facts GROUP BY 2")
+def thumbnail_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark, sf_dir)
+    made = [T.thumbnail(rows, m, v).select(F.lit(m).alias("method"), "stream", "frame_no") for m, v in (("first", None), ("middle", None), ("timestamp", 1.0), ("index", 17), ("smart", None))]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(f"""{_QUALITY}, q2 AS (SELECT stream, frame_no, round(brightness, 5) AS b, round(contrast, 5) AS c FROM scored), mid AS (SELECT stream, list_sort(list(b))[count(*) // 2 + 1] AS mb, list_sort(list(c))[count(*) // 2 + 1] AS mc FROM q2 GROUP BY 1)
+SELECT stream, arg_min(frame_no, floor(round((abs(b - mb) + abs(c - mc)) * 1000, 6)) * 100000 + frame_no) AS frame_no FROM q2 JOIN mid USING (stream) GROUP BY 1""")
+def representative_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = V.frame_quality(views.rgb_frames(spark, sf_dir))
+    return T.thumbnail(quality.select("stream", "frame_no", F.round("brightness", 5).alias("brightness"), F.round("contrast", 5).alias("contrast")), "representative")
+
+
+@query(f"{FACTS} SELECT score % 10 AS version, arg_max(frame_no, time * 1000 + stream / 10.0) AS frame_no, arg_max(stream, time * 1000 + stream / 10.0) AS stream FROM facts GROUP BY 1")
+def best_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each group of versions, the last of equals."""
+    rows = _facts(spark, sf_dir).withColumn("version", F.col("score") % 10)
+    return T.best_by(rows, "version", "time", "stream").select("version", "frame_no", "stream")
