@@ -44,11 +44,13 @@ def rms_silence(samples: DataFrame, size: int, threshold: int, least: int) -> Da
     return runs.select("stream", (F.col("start") * size).alias("start"), (F.col("stop") * size).alias("stop"))
 
 
-def rms_normalize(samples: DataFrame, target: float) -> DataFrame:
-    """Gain of target over the stream's RMS; streams with an RMS under a thousandth pass."""
-    whole = samples.groupBy("stream").agg(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x"))).alias("_rms"))
+def rms_normalize(samples: DataFrame, target: float, frame: int | None = None) -> DataFrame:
+    """Gain of target over the RMS of each frame of so many samples (None: of the whole stream); under a thousandth all passes."""
+    key = ["stream"] if frame is None else ["stream", "_f"]
+    rows = samples if frame is None else samples.withColumn("_f", F.expr(f"i div {frame}"))
+    whole = rows.groupBy(*key).agg(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x"))).alias("_rms"))
     gain = F.when(F.col("_rms") / 32768 < 0.001, 1.0).otherwise(F.lit(target) * 32768 / F.col("_rms"))
-    return samples.join(whole, "stream").select("stream", "i", truncate(clamp16(F.col("x") * gain)).cast("int").alias("x"))
+    return rows.join(whole, key).select("stream", "i", truncate(clamp16(F.col("x") * gain)).cast("int").alias("x"))
 
 
 def resample_linear(samples: DataFrame, up: int, down: int) -> DataFrame:

@@ -103,6 +103,15 @@ def edl(events: DataFrame, title: str, fps: int = 25) -> DataFrame:
     return _joined(events.select("track", "ordinal", line.alias("b")), "\n", f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n", "\n")
 
 
+def group_statistics(plan: DataFrame, most: int) -> DataFrame:
+    """``stream, frames, groups, open, mean``: of planned frames, in whole groups of the largest size; ``open`` counts the
+    frames since the last keyframe."""
+    keyframe = F.max(F.when(F.col("planned").isin("I", "IDR"), F.col("idx")))
+    rows = plan.groupBy("stream").agg(F.count("*").alias("frames"), (F.max("idx") - keyframe + 1).alias("open"))
+    groups = F.expr(f"frames div {most}")
+    return rows.select("stream", "frames", groups.alias("groups"), "open", F.expr(f"frames div greatest(frames div {most}, 1)").alias("mean"))
+
+
 class _FramePlan:
     """Frames since the last keyframe; the pattern between keyframes counts from it."""
 

@@ -53,7 +53,14 @@ def read_statistics_json(documents: DataFrame) -> DataFrame:
 
 #: Command-line options that take no value, and names of those that do.
 FLAGS = {"-y": "overwrite", "-n": "keep", "-an": "no_audio", "-vn": "no_video", "-sn": "no_subtitles", "-shortest": "shortest"}
-VALUES = {"-i": "input", "-c:v": "video_codec", "-vcodec": "video_codec", "-c:a": "audio_codec", "-acodec": "audio_codec", "-b:v": "video_bitrate", "-b:a": "audio_bitrate", "-s": "size", "-r": "frame_rate", "-ar": "sample_rate", "-ac": "channels", "-ss": "start", "-to": "end", "-t": "duration", "-crf": "crf", "-preset": "preset", "-f": "format", "-g": "gop", "-pix_fmt": "pixel_format", "-vf": "video_filter", "-af": "audio_filter", "-threads": "threads", "-map": "map"}
+#: What each option with a value sets.
+SETS = {
+    "input": "-i", "output": "-o", "video_codec": "-c:v -vcodec -codec:v", "audio_codec": "-c:a -acodec -codec:a", "video_bitrate": "-b:v -vb", "audio_bitrate": "-b:a -ab", "size": "-s -video_size",
+    "frame_rate": "-r -framerate", "pixel_format": "-pix_fmt", "crf": "-crf", "preset": "-preset", "pass": "-pass", "sample_rate": "-ar", "channels": "-ac", "start": "-ss", "duration": "-t", "end": "-to",
+    "hardware": "-hwaccel", "quality": "-quality", "profile": "-profile:v -profile", "level": "-level -level:v", "tune": "-tune", "gop": "-g", "b_frames": "-bf", "max_bitrate": "-maxrate", "buffer_size": "-bufsize",
+    "threads": "-threads", "filter_graph": "-filter_complex -lavfi", "video_filter": "-vf -filter:v", "audio_filter": "-af -filter:a", "format": "-f", "map": "-map",
+}
+VALUES = {option: name for name, options in SETS.items() for option in options.split()}
 
 
 @dataclass
@@ -81,18 +88,26 @@ def clock_seconds(text: str) -> float:
 
 def parse_command(line: str) -> Job:
     """A transcode job from a command line; unknown options are kept, the first bare word is the output."""
-    job, words = Job(), iter(shlex.split(line))
-    for word in words:
+    job, words = Job(), shlex.split(line)
+    at = 0
+    while at < len(words):
+        word, after = words[at], words[at + 1] if at + 1 < len(words) else None
+        at += 1
         if word in FLAGS:
             job.params[FLAGS[word]] = "true"
+        elif word in ("-c", "-codec") and after == "copy":
+            job.params["video_codec"] = job.params["audio_codec"] = "copy"
+            at += 1
         elif word in VALUES:
-            value = next(words, None)
-            if value is None:
+            if after is None:
                 raise ValueError(f"{word} needs a value")
+            at += 1
             if word == "-i":
-                job.inputs.append(value)
+                job.inputs.append(after)
+            elif word == "-o":
+                job.output = after
             else:
-                job.params[VALUES[word]] = value
+                job.params[VALUES[word]] = after
         elif word.startswith("-") and len(word) > 1:
             job.extra.append(word)
         elif job.output is None and word != "ffmpeg":

@@ -52,6 +52,13 @@ def crop_of(width: Column, height: Column, percent: float) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), (width - 2 * x).alias("width"), (height - 2 * y).alias("height"))
 
 
+def scanline(motion: DataFrame, height: int, readout: float) -> DataFrame:
+    """``stream, idx, row`` and the part of a frame's motion that each row of pixels has seen (``readout``: of a frame's time)."""
+    part = F.col("row") / height * min(max(readout, 0.0), 1.0)
+    rows = motion.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    return rows.select("stream", "idx", "row", *[(F.col(c) * part).alias(c) for c in PARTS[:3]], (1 + (F.col("scale") - 1) * part).alias("scale"))
+
+
 #: How often each frame of a cycle is repeated.
 PULLDOWN = {"3:2": (3, 2, 3, 2), "2:2": (2, 2), "2:3:3:2": (2, 3, 3, 2)}
 

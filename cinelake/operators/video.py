@@ -366,6 +366,39 @@ def freezes(frames: DataFrame, similarity: float = 0.999, least: int = 2) -> Dat
     return runs.select("stream", (F.col("start") - 1).alias("start"), "stop")
 
 
+def fades(luma: DataFrame, n: int, high: float = 0.3, low: float = 0.1) -> DataFrame:
+    """``stream, start, stop``: every stretch of ``n`` frames (``stream, frame_no, luma``) that starts above ``high`` and ends below
+    ``low``; the last one of a stream does not count.
+
+    A stretch's two ends meet by their number, so that no frame is looked at in the order of a stream.
+    """
+    ends = luma.groupBy("stream").agg(F.max("frame_no").alias("_last"))
+    later = luma.select("stream", (F.col("frame_no") - (n - 1)).alias("frame_no"), F.col("luma").alias("_end")).filter(F.col("_end") < low)
+    hits = luma.filter(F.col("luma") > high).join(later, ["stream", "frame_no"]).join(ends, "stream")
+    return hits.filter(F.col("frame_no") + n <= F.col("_last")).select("stream", F.col("frame_no").alias("start"), (F.col("frame_no") + n).alias("stop"))
+
+
+def apply_cube(frames: DataFrame, size: int, table: list[tuple[float, float, float]], least: tuple[float, float, float] = (0.0, 0.0, 0.0), most: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """RGB frames through a table of ``size`` to the third colours (red runs fastest), interpolated along all three axes."""
+    cube = np.array(table, np.float64).reshape(size, size, size, 3)  # blue, green, red
+    low, span = np.array(least), np.array(most) - np.array(least)
+
+    def run(data: bytes, w: int, h: int) -> tuple:
+        x = rgb_of(data, w, h).reshape(-1, 3) / 255.0
+        place = np.clip((x - low) / span, 0, 1) * (size - 1)
+        base = np.minimum(place.astype(int), size - 2) if size > 1 else np.zeros(place.shape, int)
+        part = place - base
+        out = np.zeros_like(x)
+        for corner in range(8):
+            step = [corner >> k & 1 for k in range(3)]
+            weight = np.prod([part[:, k] if step[k] else 1 - part[:, k] for k in range(3)], axis=0)
+            at = [np.minimum(base[:, k] + step[k], size - 1) for k in range(3)]
+            out += weight[:, None] * cube[at[2], at[1], at[0]]
+        return w, h, np.clip(np.floor(np.round(out * 255, 6)), 0, 255).astype(np.uint8).tobytes()
+
+    return map_frames(frames, run)
+
+
 def shrunk(data: bytes, w: int, h: int, to_width: int, to_height: int) -> np.ndarray:
     """Luma at a smaller size, by bilinear samples from the upper left corner on, truncated."""
     y = luma_of(rgb_of(data, w, h)).astype(np.float64)

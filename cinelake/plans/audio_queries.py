@@ -63,6 +63,12 @@ def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.rms_normalize(views.samples(spark, sf_dir), 0.2).groupBy("stream").agg(F.count("*").alias("n"), F.max(F.abs("x")).alias("peak"))
 
 
+@query(f"{S}, r AS (SELECT stream, i // 16 AS f, sqrt(avg(x::DOUBLE * x)) AS rms FROM samples GROUP BY 1, 2) SELECT s.stream, s.i // 16 AS frame, count(*) AS n, max(abs(trunc(least(greatest(x * CASE WHEN rms / 32768 < 0.001 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE * 32768 / rms END, -32768), 32767)))::INTEGER) AS peak FROM samples s JOIN r ON r.stream = s.stream AND r.f = s.i // 16 GROUP BY 1, 2")
+def rms_normalize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio.rms_normalize(views.samples(spark, sf_dir), 0.2, 16)
+    return made.groupBy("stream", F.expr("i div 16").alias("frame")).agg(F.count("*").alias("n"), F.max(F.abs("x")).alias("peak"))
+
+
 @query(f"""{S}, n AS (SELECT stream, count(*) AS n FROM samples GROUP BY 1), k AS (SELECT stream, unnest(range(n * 3 // 2)) AS k, n FROM n)
 SELECT k.stream, k AS i, round(CASE WHEN b.x IS NULL THEN a.x::DOUBLE ELSE a.x + (b.x - a.x) * (k * 2 / 3.0::DOUBLE - k * 2 // 3) END, 6) AS x FROM k JOIN samples a ON a.stream = k.stream AND a.i = k * 2 // 3 LEFT JOIN samples b ON b.stream = k.stream AND b.i = k * 2 // 3 + 1""")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,9 +99,9 @@ def gop_frame_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.group_frame_types(frames, 5, least=2, between=2)
 
 
-@query(f"{ST} SELECT kind, count(*) AS n, CAST(sum(bits) AS BIGINT) AS bits, count(*) // 12 AS groups FROM stats GROUP BY kind")
+@query(f"{_PLAN} SELECT stream, count(*) AS frames, count(*) // 5 AS groups, max(idx) - max(idx) FILTER (planned = 'I') + 1 AS open, count(*) // greatest(count(*) // 5, 1) AS mean FROM f GROUP BY 1")
 def gop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.frame_stats(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"), F.expr("count(*) div 12").alias("groups"))
+    return C.group_statistics(gop_frame_types(spark, sf_dir), 5)
 
 
 @query(f"{ST} SELECT stream, idx, round(avg(motion) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS motion FROM stats")

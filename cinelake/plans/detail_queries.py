@@ -44,6 +44,12 @@ def stabilizing_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.stabilizing(rows, M.low_pass(rows, 0.7)))
 
 
+@query(f"WITH {TR} SELECT stream, idx, CAST(r AS INTEGER) AS row, round(dx * (r / 4.0::DOUBLE * 0.5), 9) AS dx, round(dy * (r / 4.0::DOUBLE * 0.5), 9) AS dy, round(angle * (r / 4.0::DOUBLE * 0.5), 9) AS angle, round(1 + (scale - 1) * (r / 4.0::DOUBLE * 0.5), 9) AS scale FROM tr, range(0, 4) t(r)")
+def rolling_shutter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.scanline(_trajectory(spark, sf_dir), 4, 0.5)
+    return rows.select("stream", "idx", "row", *[F.round(c, 9).alias(c) for c in M.PARTS])
+
+
 @query(f"WITH RECURSIVE {views.FRAMES}, walk AS (SELECT 0::BIGINT AS frame_no UNION ALL SELECT frame_no + [3, 2, 3, 2][frame_no % 4 + 1] FROM walk WHERE frame_no < (SELECT max(frame_no) FROM frames)) SELECT frame_no FROM frames SEMI JOIN walk USING (frame_no)")
 def telecine_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.inverse_pulldown(views.frames(spark, sf_dir), "3:2").select("frame_no")

@@ -269,3 +269,9 @@ def best_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each group of versions, the last of equals."""
     rows = _facts(spark, sf_dir).withColumn("version", F.col("score") % 10)
     return T.best_by(rows, "version", "time", "stream").select("version", "frame_no", "stream")
+
+
+@query(f"{DOTS}, y AS (SELECT stream, frame_no, round(avg(l::DOUBLE) / 255, 5) AS y FROM lum GROUP BY 1, 2), e AS (SELECT stream, max(frame_no) AS e FROM y GROUP BY 1) SELECT a.stream, a.frame_no AS start, a.frame_no + 5 AS stop FROM y a JOIN y b ON b.stream = a.stream AND b.frame_no = a.frame_no + 4 JOIN e ON e.stream = a.stream WHERE a.y > 0.501 AND b.y < 0.499 AND a.frame_no + 5 <= e")
+def fade_to_dark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.dark(views.rgb_frames(spark, sf_dir)).select("stream", "frame_no", F.round("luma", 5).alias("luma"))
+    return V.fades(rows, 5, 0.501, 0.499)

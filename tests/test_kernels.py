@@ -62,3 +62,24 @@ def test_command_lines():
     assert documents.parse_command("-t 5 -to 9 x").seconds() == 5.0 and documents.parse_command("x").seconds() is None
     with pytest.raises(ValueError):
         documents.parse_command("-i")
+
+
+def test_codecs_by_name(spark):
+    from cinelake.operators import codecs
+
+    rows = spark.createDataFrame([(0, [1, -2, 40000])], "seq long, samples array<int>")
+    back = codecs.decode(codecs.encode(rows, "pcm"), "pcm_s16le")
+    assert back.first().samples == [1, -2, 32767]
+    codecs.register("twice", decoder=lambda c: c * 2)
+    assert codecs.decode(spark.range(1, 2).withColumnRenamed("id", "data"), "twice").first().samples == 2
+    for call in (codecs.decode, codecs.encode):
+        with pytest.raises(ValueError):
+            call(rows, "av1")
+
+
+def test_command_line_options():
+    job = documents.parse_command("ffmpeg -y -i a.mkv -c copy -vb 2M -filter:v scale -o out.mp4 -weird -bf 2 -framerate 25")
+    assert (job.inputs, job.output, job.extra) == (["a.mkv"], "out.mp4", ["-weird"])
+    assert job.params == {"overwrite": "true", "video_codec": "copy", "audio_codec": "copy", "video_bitrate": "2M", "video_filter": "scale", "b_frames": "2", "frame_rate": "25"}
+    with pytest.raises(ValueError):
+        documents.parse_command("ffmpeg -i a -crf")

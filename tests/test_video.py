@@ -77,3 +77,19 @@ def test_overlay_draws_digits(spark):
 def test_denoise_passes_the_first_frame_and_blends(spark):
     rows = video.temporal_denoise(frames(spark, bytes([10] * 12), bytes([20] * 12), width=2, height=2), 2, 1.0, 50.0).orderBy("frame_no").collect()
     assert [r.data[0] for r in rows] == [10, 15]
+
+
+def test_cube_of_the_identity_and_of_the_inverse(spark):
+    data = noise(5, 60).tobytes()
+    axis = [k / 4 for k in range(5)]
+    same = [(r, g, b) for b in axis for g in axis for r in axis]
+    one = frames(spark, data, width=5, height=4)
+    assert bytes(video.apply_cube(one, 5, same).first().data) == data
+    back = video.apply_cube(one, 2, [(1.0 - r, 1.0 - g, 1.0 - b) for b in (0, 1) for g in (0, 1) for r in (0, 1)]).first().data
+    assert bytes(back) == bytes(255 - v for v in data)
+
+
+def test_fades_stop_before_the_end(spark):
+    luma = [0.9, 0.5, 0.05, 0.9, 0.5, 0.05]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(luma)], "stream long, frame_no long, luma double")
+    assert [tuple(r) for r in video.fades(rows, 3).collect()] == [(0, 0, 3)]
