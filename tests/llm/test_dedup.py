@@ -326,3 +326,33 @@ def test_suffix_windows_of_long_texts(spark):
     assert out == [(i, base[i : i + 60].encode()) for i in range(len(base) - 59)]
     rows = sorted(suffixes.remove_repeats(make(spark, texts), 60).collect())
     assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows] == brute_spans(texts, 60)
+
+
+def hashed_spans(texts, length):
+    """As ``brute_spans``, by hashes of the strings."""
+    import xxhash
+
+    raw = [t.encode() for t in texts]
+    marks = [np.fromiter((xxhash.xxh3_64_intdigest(b[i : i + length]) for i in range(len(b) - length + 1)), np.uint64, count=max(0, len(b) - length + 1)) for b in raw]
+    value, times = np.unique(np.concatenate(marks), return_counts=True)
+    out = []
+    for b, own in zip(raw, marks, strict=True):
+        again = np.flatnonzero(times[np.searchsorted(value, own)] > 1)
+        edge = np.zeros(len(b) + 1, np.int64)
+        np.add.at(edge, again, 1)
+        np.add.at(edge, again + length, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        out.append((len(b), int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+def test_shards_of_one_key_are_merged_at_default_bounds(spark):
+    """More texts share a passage than a shard takes segments, so that the strings at its ends meet across shards."""
+    rnd = random.Random(12)
+    passage = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(230))
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(9000)]
+    texts = [x[:30] + passage + x[30:] for x in noise]
+    rows = suffixes.remove_repeats(make(spark, texts).repartition(6)).collect()
+    want = hashed_spans(texts, 200)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in rows} == dict(enumerate(want))
+    assert min(n for _, n, _ in want) >= 230 and max(n for _, n, _ in want) > 233
