@@ -310,7 +310,11 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "
 
 
 def round_trip_digests(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text in one pass and keep the digests only, so that no ids are shuffled or stored."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, encoded and decoded in one pass.
+
+    Only digests are kept, so that no ids are shuffled or stored.  A null or empty text has no tokens; texts of any
+    length are encoded whole; repeated rows give a row each; a null id stays null; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)

@@ -149,7 +149,8 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of every text and of its edited text, with their likeness, and that to the next text.
 
     A null text counts as empty; empty texts share a fingerprint of their own.  Repeated rows follow each other in
-    the order of ids; null ids come last.  A single row is its own next.
+    the order of ids; null ids come last.  A single row is its own next.  Texts of any length count whole; an empty
+    table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     counted = shared_checkpoint(counted_terms(own))

@@ -281,3 +281,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     reached = classes.select("_digest", "_rep").join(reached, "_digest", "left").select("_digest", F.coalesce("_least", "_rep").alias("_least"))
     labelled = sized.select("_id", "_key", "_n", "_digest").join(reached, "_digest", "left").select("_id", "_key", "_n", F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("_c"))
     return labelled.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.col("_c")).alias("component_id"), (F.col("_id").isNull() | (F.col("_id") == F.col("_c"))).alias("kept"), *([F.col("_key").alias("text_key")] if with_key else []))
+
+
+#: The contract query in SQL: sets by their shingles as text, all pairs that share one, and reachability.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+classes AS (SELECT s, len(s) AS n, min(doc_id) AS v FROM sets WHERE len(s) > 0 GROUP BY s),
+rows AS (SELECT v, n, unnest(s) AS x FROM classes),
+common AS (SELECT a.v AS a, b.v AS b, a.n AS na, b.n AS nb, count(*) AS c FROM rows a JOIN rows b ON a.x = b.x AND a.v < b.v AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT v, v AS r FROM classes UNION SELECT r.v, l.b FROM reach r JOIN both_ways l ON l.a = r.r),
+least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least USING (v)
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
+    return {"op3_line_dedup": lines.ORACLE_SQL, "op5_minhash_near_dedup": minhash.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql(), "op10_suffix_array_dedup": suffixes.ORACLE_SQL}

@@ -324,3 +324,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
 def digests(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The contract query in SQL: all 200-byte strings by their digests, and the runs of those that come again.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM docs),
+starts AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 199, 0))) AS i FROM sized)),
+again AS (SELECT doc_id, i FROM starts SEMI JOIN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1) USING (s)),
+edges AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edges) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS k FROM sized JOIN gaps USING (doc_id) GROUP BY 1),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM sized LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
