@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     some = pairs.select(F.explode(F.array("_a", "_b")).alias("_v")).distinct().join(classes.select("_v", "_rep", "_digest"), "_v")
     texts = own.join(some, F.col("_id") == F.col("_rep"))
     sets = shared_checkpoint(text_sets(texts, width).dropDuplicates(["_v"]))
-    first = components(leader_links(pairs, sets, percent))
+    # links are written before they are contracted, so that no task runs two Python workers
+    first = components(shared_checkpoint(leader_links(pairs, sets, percent)))
 
     # members of a bucket besides its leader that are in different components
     rest = met.join(first.withColumnRenamed("_v", "_a"), "_a", "left").select("_key", "_a", F.coalesce("_c", "_a").alias("_c"))
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     rest = shared_checkpoint(rest.join(unlike, "_key").select("_a", "_b", "_c").distinct())
     groups = components(rest.select("_a", "_b")).withColumnRenamed("_c", "_g")
     members = rest.select(F.col("_a").alias("_v"), "_c").distinct().join(groups, "_v").join(classes.select("_v", "_n"), "_v")
-    second = block_links(members, sets, percent, block, block_shingles)
+    second = shared_checkpoint(block_links(members, sets, percent, block, block_shingles))
     found = components(first.select(F.col("_v").alias("_a"), F.col("_c").alias("_b")).unionByName(second))
 
     # Classes carry the least document of their component to all their rows.

@@ -24,6 +24,8 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 SIGNS = "!?.,;:'\"()[]{}*_-#%&|<>~"
 LEET = str.maketrans("013457@$!", "oieastasi")
 NEAR = 5
+#: Bytes of text that are looked at at once, and words whose forms a worker keeps.
+SLICE, CACHED = 2 << 20, 40_000
 
 
 def stems(word: str) -> list[str]:
@@ -40,9 +42,16 @@ def learn_lexicon(sample: DataFrame, ids: np.ndarray, y: np.ndarray, least: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         cache: dict[str, list[str]] = {}
-        for b in slices(batches, max_bytes=4 << 20):
-            if len(cache) > 150_000:
-                cache.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(seen[0].keys() | seen[1].keys())
+            for i in range(0, len(names), 50_000):
+                some = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[f] for f in some], pa.int64()) for c in seen)], ["_form", "_n0", "_n1"])
+            for c in seen:
+                c.clear()
+
+        for b in slices(batches, max_bytes=SLICE):
             for text, label in zip(texts_of(b), column_of(b, "_y").to_pylist(), strict=True):
                 forms: set[str] = set()
                 for w in set(text.lower().split()):
@@ -50,10 +59,11 @@ def learn_lexicon(sample: DataFrame, ids: np.ndarray, y: np.ndarray, least: int
                         cache[w] = stems(w)
                     forms.update(cache[w])
                 seen[label].update(forms)
-        names = sorted(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(names), 50_000):
-            some = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([c[f] for f in some], pa.int64()) for c in seen)], ["_form", "_n0", "_n1"])
+                if len(cache) > CACHED:
+                    cache.clear()
+            if len(seen[0]) + len(seen[1]) > 2 * CACHED:  # bounded memory: counts are added up later
+                yield from flush()
+        yield from flush()
 
     bad, good = int(y.sum()), len(y) - int(y.sum())
     rows = rows_of(sample, ids).mapInArrow(count, "_form string, _n0 long, _n1 long").groupBy("_form").agg(F.sum("_n0").alias("_n0"), F.sum("_n1").alias("_n1"))
@@ -163,7 +173,7 @@ class ToxicityModel:
     def features(self, column: pa.Array) -> np.ndarray:
         column = pc.fill_null(column, "")
         index, words, counts = words_of(column)
-        if len(self.cache) > 150_000:
+        if len(self.cache) > CACHED:
             self.cache.clear()
         cache = self.cache
         for w in words:
@@ -235,7 +245,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
     model = ToxicityModel(learn_lexicon(sample, ids[parts[0]], y[parts[0]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, max_bytes=4 << 20):
+        for b in slices(batches, max_bytes=SLICE):
             yield pa.RecordBatch.from_arrays([column_of(b, "_id"), pa.array(list(model.features(column_of(b, "_text"))), pa.list_(pa.float64()))], ["_id", "_x"])
 
     made = {r["_id"]: r["_x"] for r in rows_of(sample, ids[parts[1] | parts[2]]).mapInArrow(run, "_id long, _x array<double>").collect()}
@@ -258,7 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, max_bytes=4 << 20):
+        for b in slices(batches, max_bytes=SLICE):
             ids = column_of(b, "_id")
             score = model.scores(column_of(b, "_text"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -274,7 +284,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, row
     model = fit(training_sample(docs, labels, "toxic", rows, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, max_bytes=4 << 20):
+        for b in slices(batches, text_col, max_bytes=SLICE):
             yield b.filter(pa.array(model.scores(column_of(b, text_col)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
