@@ -88,6 +88,33 @@ def proxy_sidecar(files: DataFrame) -> DataFrame:
     return files.select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def probe_streams(packets: DataFrame, key: list[str]) -> DataFrame:
+    """The key, ``packets, keyframes, size, duration`` (from the first time to the end of the last packet) of each stream."""
+    end = F.col("pts") + (F.coalesce("duration", F.lit(0)) if "duration" in packets.columns else F.lit(0))
+    return packets.groupBy(*key).agg(F.count("*").alias("packets"), F.sum(F.col("keyframe").cast("long")).alias("keyframes"), F.sum("size").cast("long").alias("size"), (F.max(end) - F.min("pts")).alias("duration"))
+
+
+def probe(packets: DataFrame) -> DataFrame:
+    """``file, document``: JSON that tells of each file (packets with times in ms): its format, duration, size, rate and streams.
+
+    A file lasts as long as its longest stream; its rate is null if none has a length.
+    """
+    from ..functions.scalars import format_of
+
+    streams = probe_streams(packets, ["file", "stream_index"])
+    one = F.struct(F.col("stream_index").alias("index"), "packets", "keyframes", "size", "duration")
+    files = streams.groupBy("file").agg(F.max(F.when(F.col("duration") > 0, F.col("duration"))).alias("duration"), F.sum("size").alias("size"), F.array_sort(F.collect_list(one)).alias("streams"))
+    rate = F.expr("size * 8000 div duration").alias("bit_rate")
+    body = F.struct(F.col("file").alias("filename"), F.struct(format_of(F.col("file")).alias("name"), "duration", "size", rate).alias("format"), "streams")
+    return files.select("file", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def bits_per_element(values: Column, scale: float = 1.0) -> Column:
+    """An aggregate: the bits that normally distributed values take, half a bit for narrow ones."""
+    spread = F.sqrt(F.var_pop(values) / (scale * scale))
+    return F.when(spread > 0.1, F.log2(F.when(spread > 0.1, spread)) + 1 + 0.5 * F.log2(2 * F.pi() * F.e())).otherwise(0.5)
+
+
 def job_metrics(jobs: DataFrame, workers: DataFrame) -> DataFrame:
     """One row of counters and gauges of a queue (``state, bytes, ms``) and its workers."""
     count = lambda *s: F.sum(F.col("state").isin(*s).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import catalog as K
 from ..operators import pixels as P
 from . import views
 from .frame_queries import PX, _frames
@@ -75,6 +76,4 @@ def proxy_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {views.STATS} SELECT stream, round(CASE WHEN var_pop(motion) > 0.01 THEN log2(sqrt(var_pop(motion))) + 1 + 0.5 * log2(2 * pi() * exp(1)) ELSE 0.5 END, 6) AS bits FROM stats GROUP BY stream")
 def bits_per_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.var_pop("motion")
-    bound = F.log2(F.sqrt(F.when(s > 0.01, s))) + 1 + 0.5 * F.log2(2 * F.pi() * F.e())
-    return views.frame_stats(spark, sf_dir).groupBy("stream").agg(F.round(F.when(s > 0.01, bound).otherwise(0.5), 6).alias("bits"))
+    return views.frame_stats(spark, sf_dir).groupBy("stream").agg(F.round(K.bits_per_element(F.col("motion")), 6).alias("bits"))

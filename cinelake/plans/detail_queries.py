@@ -199,3 +199,13 @@ def chain_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = F.explode(F.sequence(F.lit(0), (F.col("frame_no") % 3).cast("int")))
     chain = FilterChain().add("repeat", lambda d: d.select("frame_no", times.alias("output"), "v")).add("lift", lambda d: d.withColumn("v", F.col("v") + F.col("output"))).add("even", lambda d: d.filter("v % 2 = 0"))
     return chain.fan_out(views.frames(spark, sf_dir).select("frame_no", F.get("p", F.lit(0)).alias("v")))
+
+
+@query(f"""WITH {views.PACKETS}, own AS (SELECT 'f' || stream % 10 || CASE WHEN stream % 2 = 0 THEN '.mkv' ELSE '.bin' END AS file, stream // 10 AS stream_index, pts, size, keyframe FROM packets),
+st AS (SELECT file, stream_index, count(*) AS n, CAST(sum(keyframe::INTEGER) AS BIGINT) AS k, CAST(sum(size) AS BIGINT) AS size, max(pts) - min(pts) AS d FROM own GROUP BY 1, 2),
+f AS (SELECT file, max(d) FILTER (d > 0) AS d, CAST(sum(size) AS BIGINT) AS size, string_agg('{{"index":' || stream_index || ',"packets":' || n || ',"keyframes":' || k || ',"size":' || size || ',"duration":' || d || '}}', ',' ORDER BY stream_index) AS streams FROM st GROUP BY 1)
+SELECT file, '{{"filename":"' || file || '","format":{{"name":' || CASE WHEN file LIKE '%.mkv' THEN '"matroska"' ELSE 'null' END || ',"duration":' || coalesce(d::VARCHAR, 'null') || ',"size":' || size || ',"bit_rate":' || coalesce((size * 8000 // d)::VARCHAR, 'null') || '}},"streams":[' || streams || ']}}' AS document FROM f""")
+def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.when(F.col("stream") % 2 == 0, ".mkv").otherwise(".bin")
+    rows = views.packets(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("stream") % 10).cast("string"), suffix).alias("file"), F.expr("stream div 10").alias("stream_index"), "pts", "size", "keyframe")
+    return K.probe(rows)

@@ -134,3 +134,16 @@ def test_seek(spark):
             continue
         n = min(own)[1]
         assert got[s, t] == (n, max([i + 1 for x, i, _, k in rows if x == s and k and i < n], default=1))
+
+
+def test_probe_of_files(spark, tmp_path):
+    import json
+
+    from cinelake.operators import catalog
+
+    rows, table = sent(spark, 12)
+    sinks.write(table, str(tmp_path), "webm", codecs="V_VP9,A_OPUS")
+    row = catalog.probe(streams.read(spark, str(tmp_path / "*"))).first()
+    got = json.loads(row.document)
+    assert got["format"]["name"] == "webm" and got["format"]["duration"] == 400 and got["format"]["size"] == sum(len(r[6]) for r in rows)
+    assert [(s["index"], s["packets"], s["duration"]) for s in got["streams"]] == [(0, 6, 400), (1, 6, 400)]
