@@ -173,27 +173,35 @@ def compare(reference: DataFrame, distorted: DataFrame) -> DataFrame:
 LUMA = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722), "bt2020": (0.2627, 0.0593)}
 
 
-def rgb_to_yuv420p(frames: DataFrame, matrix: str = "bt709") -> DataFrame:
-    """Full range; chroma is that of the upper left pixel of each block of four."""
+def rgb_to_yuv420p(frames: DataFrame, matrix: str = "bt709", full: bool = True) -> DataFrame:
+    """Full or limited range; chroma is that of the upper left pixel of each block of four."""
     kr, kb = LUMA[matrix]
 
     def run(data: bytes, w: int, h: int) -> tuple:
         r, g, b = np.moveaxis(rgb_of(data, w, h).astype(np.float64), 2, 0)
         y = kr * r + (1 - kr - kb) * g + kb * b
-        u, v = (b - y) / (2 * (1 - kb)) + 128, (r - y) / (2 * (1 - kr)) + 128
+        u, v = (b - y) / (2 * (1 - kb)), (r - y) / (2 * (1 - kr))
+        if full:
+            y, u, v = y, u + 128, v + 128
+        else:
+            y = np.clip(16 + y * 219 / 255, 16, 235)
+            u, v = (np.clip(128 + c * 224 / 255, 16, 240) for c in (u, v))
         even = lambda p: p[: h // 2 * 2 : 2, : w // 2 * 2 : 2]
         return w, h, joined(tuple(kernels.to_bytes(p) for p in (y, even(u), even(v))))
 
     return map_frames(frames, run)
 
 
-def yuv420p_to_rgb(frames: DataFrame, matrix: str = "bt709") -> DataFrame:
-    """Full range; each chroma value stands for its block of four pixels."""
+def yuv420p_to_rgb(frames: DataFrame, matrix: str = "bt709", full: bool = True) -> DataFrame:
+    """Full or limited range; each chroma value stands for its block of four pixels."""
     kr, kb = LUMA[matrix]
 
     def run(data: bytes, w: int, h: int) -> tuple:
         y, u, v = (p.astype(np.float64) for p in planes_of(data, w, h))
         u, v = (np.repeat(np.repeat(p, 2, 0), 2, 1) - 128 for p in (u, v))
+        if not full:
+            y = np.clip((y - 16) * 255 / 219, 0, 255)
+            u, v = (np.clip(c * 255 / 224, -128, 127) for c in (u, v))
         r, b = y + 2 * (1 - kr) * v, y + 2 * (1 - kb) * u
         g = (y - kr * r - kb * b) / (1 - kr - kb)
         return w, h, kernels.to_bytes(np.stack([r, g, b], 2)).astype(np.uint8).tobytes()
@@ -399,17 +407,59 @@ def apply_cube(frames: DataFrame, size: int, table: list[tuple[float, float, flo
     return map_frames(frames, run)
 
 
-def shrunk(data: bytes, w: int, h: int, to_width: int, to_height: int) -> np.ndarray:
-    """Luma at a smaller size, by bilinear samples from the upper left corner on, truncated."""
-    y = luma_of(rgb_of(data, w, h)).astype(np.float64)
-    place = lambda size, to: np.arange(to) * size / to
-    sy, sx = place(h, to_height), place(w, to_width)
+def sampled(x: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Another size (height x width, and channels if there are any), by bilinear samples from the upper left corner on."""
+    h, w = x.shape[:2]
+    sy, sx = np.arange(height) * h / height, np.arange(width) * w / width
     y0, x0 = sy.astype(int), sx.astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (sy - y0)[:, None], (sx - x0)[None, :]
-    top = y[np.ix_(y0, x0)] * (1 - fx) + y[np.ix_(y0, x1)] * fx
-    low = y[np.ix_(y1, x0)] * (1 - fx) + y[np.ix_(y1, x1)] * fx
-    return np.floor(np.clip(np.round(top * (1 - fy) + low * fy, 4), 0, 255))
+    more = (1,) * (x.ndim - 2)
+    fy, fx = (sy - y0).reshape(-1, 1, *more), (sx - x0).reshape(-1, *more)
+    across = lambda rows: x[rows][:, x0] * (1 - fx) + x[rows][:, x1] * fx
+    return across(y0) * (1 - fy) + across(y1) * fy
+
+
+def truncated(x: np.ndarray) -> np.ndarray:
+    """As bytes; what is a rounding error below a whole number counts as that number."""
+    return np.floor(np.clip(np.round(x, 4), 0, 255))
+
+
+def shrunk(data: bytes, w: int, h: int, to_width: int, to_height: int) -> np.ndarray:
+    """Luma at a smaller size, truncated."""
+    return truncated(sampled(luma_of(rgb_of(data, w, h)).astype(np.float64), to_width, to_height))
+
+
+def fit(frames: DataFrame, width: int, height: int, mode: str = "fit", bar: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """RGB frames at another size.  ``stretch`` distorts them and ``fill`` cuts what stands out at the middle; ``letterbox`` and
+    ``pillarbox`` put bars above and below or at the sides (each gives way to the other where the frame does not fit), and
+    ``fit`` chooses between them by the aspect."""
+    if mode not in ("fit", "fill", "stretch", "letterbox", "pillarbox"):
+        raise ValueError(f"no fit mode {mode}")
+
+    def run(data: bytes, w: int, h: int) -> tuple:
+        x = rgb_of(data, w, h).astype(np.float64)
+        wider = w / h > width / height
+        by_width, by_height = (width, int(h * (width / w))), (int(w * (height / h)), height)
+        if mode == "stretch":
+            return width, height, truncated(sampled(x, width, height)).astype(np.uint8).tobytes()
+        if mode == "fill":
+            sw, sh = by_height if wider else by_width
+            made = truncated(sampled(x, sw, sh))
+            top, left = (sh - height) // 2, (sw - width) // 2
+            return width, height, made[top : top + height, left : left + width].astype(np.uint8).tobytes()
+        flat = wider if mode == "fit" else mode == "letterbox"
+        if flat and by_width[1] > height:
+            flat = False
+        elif not flat and by_height[0] > width:
+            flat = True
+        sw, sh = by_width if flat else by_height
+        out = np.empty((height, width, 3), np.uint8)
+        out[:] = bar
+        top, left = (height - sh) // 2, (width - sw) // 2
+        out[top : top + sh, left : left + sw] = truncated(sampled(x, sw, sh))
+        return width, height, out.tobytes()
+
+    return map_frames(frames, run)
 
 
 def bits_of(flags: np.ndarray) -> int:

@@ -93,3 +93,36 @@ def test_fades_stop_before_the_end(spark):
     luma = [0.9, 0.5, 0.05, 0.9, 0.5, 0.05]
     rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(luma)], "stream long, frame_no long, luma double")
     assert [tuple(r) for r in video.fades(rows, 3).collect()] == [(0, 0, 3)]
+
+
+def by_hand(x, w, h):
+    out = np.zeros((h, w, 3))
+    for y in range(h):
+        for k in range(w):
+            sy, sx = y * x.shape[0] / h, k * x.shape[1] / w
+            y0, x0 = int(sy), int(sx)
+            y1, x1, fy, fx = min(y0 + 1, x.shape[0] - 1), min(x0 + 1, x.shape[1] - 1), sy - y0, sx - x0
+            out[y, k] = (x[y0, x0] * (1 - fx) + x[y0, x1] * fx) * (1 - fy) + (x[y1, x0] * (1 - fx) + x[y1, x1] * fx) * fy
+    return np.floor(np.round(out, 4)).astype(int)
+
+
+def test_fit_modes(spark):
+    x = noise(6, 6 * 4 * 3).reshape(4, 6, 3).astype(float)
+    one = frames(spark, x.astype(np.uint8).tobytes(), width=6, height=4)
+    got = lambda *a: np.frombuffer(video.fit(one, *a).first().data, np.uint8).reshape(a[1], a[0], 3).astype(int)
+    assert (got(9, 5, "stretch") == by_hand(x, 9, 5)).all()
+    assert (got(4, 4, "fill") == by_hand(x, 6, 4)[:, 1:5]).all() and (got(6, 2, "fill") == by_hand(x, 6, 4)[1:3]).all()
+    boxed = got(6, 8, "fit", (1, 2, 3))
+    assert (boxed[2:6] == by_hand(x, 6, 4)).all() and (boxed[:2] == [1, 2, 3]).all() and (boxed[6:] == [1, 2, 3]).all()
+    assert (got(6, 8, "pillarbox", (1, 2, 3)) == boxed).all()  # twelve columns do not fit in six
+    side = got(12, 4, "fit")
+    assert (side[:, 3:9] == by_hand(x, 6, 4)).all() and not side[:, :3].any() and not side[:, 9:].any()
+    with pytest.raises(ValueError):
+        video.fit(one, 4, 4, "guess")
+
+
+def test_limited_range(spark):
+    rgb = bytes([0] * 12) + bytes([255] * 12)
+    made = video.rgb_to_yuv420p(frames(spark, rgb[:12], rgb[12:], width=2, height=2), full=False).orderBy("frame_no")
+    assert [list(r.data) for r in made.collect()] == [[16] * 4 + [128, 128], [235] * 4 + [128, 128]]
+    assert [set(r.data) for r in video.yuv420p_to_rgb(made, full=False).orderBy("frame_no").collect()] == [{0}, {255}]
