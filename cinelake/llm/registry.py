@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, licenses, lines, minhash, packing, quality, suffixes, token_counts, toxicity
+from . import bpe, conversations, filter_audit, imatch, licenses, lines, minhash, packing, quality, suffixes, token_counts, toxicity, windows
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -66,9 +78,12 @@ def queries() -> dict[str, Query]:
             op8_quality_rules,
             op9_license_scan,
             op10_suffix_array_dedup,
+            op11_window_packing,
+            op12_filter_audit,
+            op13_conversation_repair,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE_SQL, "op5_minhash_near_dedup": minhash.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql(), "op10_suffix_array_dedup": suffixes.ORACLE_SQL}
+    return {"op3_line_dedup": lines.ORACLE_SQL, "op5_minhash_near_dedup": minhash.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql(), "op10_suffix_array_dedup": suffixes.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
