@@ -54,6 +54,34 @@ def segments(packets: DataFrame, target: int, most: int) -> DataFrame:
     return ordered_fold(rows, ["stream"], ["seq"], lambda key: _Segmenter(key, target, most), SEGMENT)
 
 
+class _Numbering(_Segmenter):
+    """Gives out the packets themselves, with the number of their segment."""
+
+    def step(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        numbers = []
+        for pts, keyframe in zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("pts", "keyframe")), strict=True):
+            elapsed = max(pts - self.open[0], 0) if self.open else 0
+            if self.open is None or (keyframe and elapsed >= self.target) or elapsed >= self.most:
+                self.number, self.open = self.number + 1, [pts]
+            numbers.append(self.number)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32())], [*rows.schema.names, "segment"])
+
+    def finish(self) -> None:
+        return None
+
+
+def segment_numbers(packets: DataFrame, target: int, most: int) -> DataFrame:
+    """``stream, seq, pts, size, keyframe, segment``: each packet with the number of the segment that the fold puts it in."""
+    rows = packets.select(F.col("stream").cast("long").alias("stream"), F.col("seq").cast("long").alias("seq"), F.col("pts").cast("long").alias("pts"), F.col("size").cast("long").alias("size"), "keyframe")
+    return ordered_fold(rows, ["stream"], ["seq"], lambda key: _Numbering(key, target, most), "stream long, seq long, pts long, size long, keyframe boolean, segment int")
+
+
+def segments_of(placed: DataFrame) -> DataFrame:
+    """The segments of packets that carry their numbers: the rows of ``segments``."""
+    first, last = F.min_by("pts", "seq"), F.max_by("pts", "seq")
+    return placed.groupBy("stream", "segment").agg(first.alias("start"), (last - first).alias("duration"), F.sum("size").alias("size"), F.count("*").alias("packets"))
+
+
 def segment_name(index: Column) -> Column:
     return F.format_string("segment_%05d.ts", index)
 
@@ -67,6 +95,13 @@ def media_playlist(segments: DataFrame, target_seconds: int, vod: bool = True) -
     return made.select("stream", F.concat(head, F.array_join("lines", "\n"), F.lit("\n#EXT-X-ENDLIST\n" if vod else "\n")).alias("playlist"))
 
 
+def playlist_text(segments: list[tuple[int, int]], target_seconds: int, vod: bool = True) -> str:
+    """The same playlist of a stream's segments (number and duration, in order) that are at hand, as a sink has them."""
+    lines = [f"#EXTINF:{duration / 1000:.3f},\nsegment_{number:05d}.ts" for number, duration in segments]
+    head = f"#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:{target_seconds}\n#EXT-X-MEDIA-SEQUENCE:{len(lines)}\n"
+    return head + "\n".join(lines) + ("\n#EXT-X-ENDLIST\n" if vod else "\n")
+
+
 def master_playlist(profiles: DataFrame) -> DataFrame:
     """One stream line per profile (``ordinal, name, width, height, bits``) in order."""
     line = F.format_string("#EXT-X-STREAM-INF:BANDWIDTH=%d,RESOLUTION=%dx%d\n%s.m3u8", "bits", "width", "height", "name")

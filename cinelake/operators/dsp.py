@@ -1,7 +1,8 @@
-"""Filters and meters with feedback: one ordered pass over each stream, whose state goes from batch to batch.
+"""Filters and meters with feedback.
 
-The recurrences are sequential, so that they are no windows; a stream is the unit of distribution, a batch of samples
-the unit of memory.
+Linear ones (equaliser, K-weighting, VU meter) are split within a stream (``linear``).  Those whose coefficients depend on the
+signal (envelopes, peak hold) are one ordered pass over each stream, whose state goes from batch to batch: there a stream is
+the unit of distribution, a batch of samples the unit of memory.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
+from .linear import biquad, cascade, linear_filter, smoothing
 
 #: Maps the next samples of a stream to as many outputs; what it holds back it returns after the last (for None).
 Filter = Callable[[np.ndarray | None], np.ndarray]
@@ -83,7 +85,7 @@ def coefficient(rate: int, ms: float) -> float:
 
 def vu_meter(samples: DataFrame, rate: int = 48_000, ms: float = 300.0) -> DataFrame:
     """Ballistics of a VU meter: attack and release have one time constant."""
-    return per_stream(samples, lambda: Level(coefficient(rate, ms), coefficient(rate, ms)), "vu")
+    return linear_filter(samples, smoothing(coefficient(rate, ms)), "vu", magnitude=True)
 
 
 class PeakHold:
@@ -146,7 +148,7 @@ def peaking(rate: int, hz: float, gain_db: float, q: float) -> Coefficients:
 
 def parametric_eq(samples: DataFrame, bands: list[tuple[float, float, float]], rate: int = 48_000) -> DataFrame:
     """A cascade of peaking filters, each (Hz, dB, Q)."""
-    return per_stream(samples, lambda: chain(*[Biquad(*peaking(rate, *band)) for band in bands]), "y")
+    return linear_filter(samples, cascade(*[biquad(*peaking(rate, *band)) for band in bands]), "y")
 
 
 def envelope(rate: int, attack_ms: float, release_ms: float) -> Level:
@@ -214,4 +216,4 @@ def k_weights(rate: int) -> tuple[Coefficients, Coefficients]:
 
 def k_weighted(samples: DataFrame, rate: int = 48_000, key: tuple[str, ...] = ("stream",)) -> DataFrame:
     """Samples after both stages of the K-weighting, each stream (and channel) with a state of its own."""
-    return per_stream(samples, lambda: chain(*[Biquad(*c) for c in k_weights(rate)]), "y", key)
+    return linear_filter(samples, cascade(*[biquad(*c) for c in k_weights(rate)]), "y", key)

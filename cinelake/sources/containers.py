@@ -1,7 +1,6 @@
-"""Container files without external decoders: IVF, MPEG-TS and AVI packets, read through Spark's binary files.
+"""Container files without external decoders: IVF, MPEG-TS and AVI packets.
 
-``read_packets`` works on any file system that Spark reads.  A file is one row and one parse; many files are the unit
-of distribution.
+``parse_*`` read a file that is held whole; ``read_packets`` scans files of any size in byte ranges.
 """
 
 from __future__ import annotations
@@ -10,11 +9,7 @@ import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .media import SCHEMA
 
 
 class Packet(NamedTuple):
@@ -234,19 +229,11 @@ def walk_movi(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int,
 PARSERS = {"ivf": parse_ivf, "ts": parse_ts, "m2ts": parse_ts, "avi": parse_avi}
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packets of all IVF, MPEG-TS and AVI files at a path or glob, by extension; others are left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                parse = PARSERS.get(file.rsplit(".", 1)[-1].lower())
-                rows = [(file, p.stream_index, seq, p.pts, p.dts, None, p.keyframe, p.position, len(p.data), p.data) for seq, p in enumerate(parse(bytes(content)))] if parse else []
-                yield pd.DataFrame(rows, columns=names)
+def read_packets(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """The packets of all containers at a path or glob, by extension, in byte ranges (see ``packet_index``)."""
+    from . import packet_index
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
-    return files.mapInPandas(run, SCHEMA)
+    return packet_index.read(spark, path, **options)
 
 
 def amf0(value: object) -> bytes:

@@ -180,14 +180,14 @@ def register(spark: SparkSession) -> None:
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Open by the lower-cased extension; unknown ones are an error."""
-    from . import containers, streams
+    from . import packet_index, streams
 
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("wav", "y4m"):
         register(spark)
         return spark.read.format(kind).options(path=path, **options).load()
+    if kind in packet_index.KINDS and "packets_per_partition" not in options:
+        return packet_index.read(spark, path, **{k: int(v) for k, v in options.items()})
     if kind in streams.PARSERS:
         return streams.read(spark, path, **options)
-    if kind in containers.PARSERS:
-        return containers.read_packets(spark, path)
     raise ValueError(f"no reader for .{kind} files")

@@ -14,9 +14,9 @@ from .files import move, open_output
 
 
 def write_documents(table: DataFrame, folder: str, path: str = "path", body: str = "body") -> DataFrame:
-    """Write each row's body to its path below the folder; returns ``path, bytes``.
+    """Write each row's body to its path below the folder; returns ``path, bytes``, a row per document.
 
-    A file appears under its name when it is whole.  The rows are few and small (a playlist each).
+    A file appears under its name when it is whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,37 +30,38 @@ def write_documents(table: DataFrame, folder: str, path: str = "path", body: str
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
-    spark = table.sparkSession
-    made = table.select(F.col(path).alias("path"), F.col(body).alias("body")).mapInArrow(run, "path string, bytes long")
-    return spark.createDataFrame(made.collect(), "path string, bytes long")  # a row per document
+    made = table.select(F.col(path).alias("path"), F.col(body).alias("body")).mapInArrow(run, "path string, bytes long").persist()
+    made.count()  # they are written now, and the rows stay where they were made
+    return made
 
 
-def with_segments(packets: DataFrame, target: int, most: int, name: str = "%d/segment_%05d.ts") -> DataFrame:
-    """Packets with the ``file`` of their segment: an as-of join with the segments' starts by one sort of both."""
-    from pyspark.sql import Window as W
-
-    made = control.segments(packets, target, most)
-    starts = made.select("stream", F.col("start").alias("pts"), "segment", F.lit(0).alias("_side"))
-    both = packets.withColumn("_side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    seen = W.partitionBy("stream").orderBy("pts", "_side").rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("_n", F.max("segment").over(seen)).filter("_side = 1").drop("_side", "segment")
-    return placed.withColumn("file", F.format_string(name, "stream", "_n")).drop("_n")
+def with_segments(packets: DataFrame, numbers: DataFrame, name: str = "%d/segment_%05d.ts") -> DataFrame:
+    """Packets with the ``file`` of their segment, by the number that the segmenter gave to their ``seq``."""
+    own = numbers.select(F.col("stream").alias("_stream"), F.col("seq").alias("_seq"), F.col("segment").alias("_n"))
+    placed = packets.join(own, (F.col("stream") == F.col("_stream")) & (F.col("seq") == F.col("_seq")))
+    return placed.withColumn("file", F.format_string(name, "_stream", "_n")).drop("_stream", "_seq", "_n")
 
 
 def hls_package(packets: DataFrame, folder: str, target: int, most: int, profiles: DataFrame, kind: str = "ts", **options: str) -> DataFrame:
     """Segment files, a media playlist for each stream, and a master playlist of the profiles; returns the documents.
 
-    ``packets``: ``stream, seq, pts, size, keyframe`` and what the sink of ``kind`` takes.  Times rise within a stream.
+    ``packets``: ``stream, seq, pts, size, keyframe`` and what the sink of ``kind`` takes; a stream's ``seq`` are unique.  Packets
+    are segmented once, without their bytes, in the order of ``seq``, whatever the order of their times.
     """
-    sinks.write(with_segments(packets, target, most), folder, kind, **options)
-    made = control.segments(packets, target, most)
-    media = control.media_playlist(made, target // 1000).select(F.format_string("%d/media.m3u8", "stream").alias("path"), F.col("playlist").alias("body"))
+    numbers = control.segment_numbers(packets, target, most).persist()
+    sinks.write(with_segments(packets, numbers), folder, kind, **options)
+    media = control.media_playlist(control.segments_of(numbers), target // 1000).select(F.format_string("%d/media.m3u8", "stream").alias("path"), F.col("playlist").alias("body"))
     master = control.master_playlist(profiles).select(F.lit("master.m3u8").alias("path"), F.col("playlist").alias("body"))
-    return write_documents(media.unionByName(master), folder)
+    made = write_documents(media.unionByName(master), folder)
+    numbers.unpersist()
+    return made
 
 
 def dash_package(packets: DataFrame, folder: str, target: int, most: int, profiles: list[tuple[str, int, int, int]], kind: str = "mp4", **options: str) -> DataFrame:
     """Segment files and a manifest for each stream; returns the documents."""
-    sinks.write(with_segments(packets, target, most, "%d/segment_%05d.m4s"), folder, kind, **options)
-    made = documents.dash_manifest(control.segments(packets, target, most), profiles)
-    return write_documents(made.select(F.format_string("%d/manifest.mpd", "stream").alias("path"), F.col("manifest").alias("body")), folder)
+    numbers = control.segment_numbers(packets, target, most).persist()
+    sinks.write(with_segments(packets, numbers, "%d/segment_%05d.m4s"), folder, kind, **options)
+    made = documents.dash_manifest(control.segments_of(numbers), profiles)
+    made = write_documents(made.select(F.format_string("%d/manifest.mpd", "stream").alias("path"), F.col("manifest").alias("body")), folder)
+    numbers.unpersist()
+    return made

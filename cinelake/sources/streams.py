@@ -308,7 +308,7 @@ def flac_head(raw: bytes, at: int) -> tuple[int, int, bool] | None:
     for b in raw[at + 5 : at + 5 + extra]:
         number = number << 6 | b & 0x3F
     code, rate, end = raw[at + 2] >> 4, raw[at + 2] & 15, at + 5 + extra
-    size = 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << code - 8
+    size = 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << max(code - 8, 0)
     if code in (6, 7):
         size = int.from_bytes(raw[end : end + code - 5], "big") + 1
         end += code - 5
