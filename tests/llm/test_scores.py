@@ -216,12 +216,12 @@ def test_licenses(spark, docs, empty):
 def brute_matches(words, templates, threshold):
     """Labels and best share over all windows of all sizes, without filters."""
     found, best = set(), 0.0
-    for stride in {licenses.stride_of(t) for _, t in templates}:
+    for stride in {licenses.stride_of(t[1]) for t in templates}:
         blocks = []
         for at in range(0, max(1, len(words) - stride), stride):  # the last window holds the last word
             block = set(words[at : at + 2 * stride])
-            own = [(k, label, set(text.split())) for k, (label, text) in enumerate(templates) if licenses.stride_of(text) == stride]
-            blocks.append([(whole & block, len(whole & block) / len(whole), -k, label) for k, label, whole in own if len(whole & block) / len(whole) >= threshold - 1e-9])
+            own = [(k, t[0], set(t[1].split()), set(licenses.names_of(t))) for k, t in enumerate(templates) if licenses.stride_of(t[1]) == stride]
+            blocks.append([(whole & block, len(whole & block) / len(whole), -k, label) for k, label, whole, names in own if len(whole & block) / len(whole) >= threshold - 1e-9 and names <= block])
         for i, hits in enumerate(blocks):
             around = [x for near in blocks[max(0, i - 1) : i + 2] for x in near]
             for c, share, k, label in hits:
@@ -236,6 +236,7 @@ def test_license_filters_lose_no_match(spark, threshold):
     rnd = random.Random(5)
     tokens = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
     templates = [(f"t{k}", " ".join(rnd.sample(tokens, rnd.randint(3, 9)))) for k in range(8)]
+    templates = [t if k % 2 else (*t, " ".join(rnd.sample(t[1].split(), 2))) for k, t in enumerate(templates)]
     fill = [*tokens, *(f"filler{i}" for i in range(14))]
     texts = ["\n".join(" ".join(rnd.choice(fill) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(0, 12))) for _ in range(200)]
     rows = {r.doc_id: r for r in licenses.scan(make(spark, texts), templates, threshold).collect()}
@@ -253,10 +254,38 @@ def test_licenses_over_lines_and_side_by_side(spark):
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and\nassociated documentation files (the Software)"
     third = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
     many = " ".join(f"w{i}" for i in range(500))
-    # the affero template has nine of its ten tokens in the first, among them the 3 of the other license
-    texts = {two: "agpl,bsd,gpl,lgpl", wrapped: "mit", third: "bsd", f"{many}\n{wrapped}\n{many} {third}": "bsd,mit", "Licensed under CC BY-NC 4.0. ok": "cc-by-nc", "released under the BSD 3-clause license, licensed under CC BY 4.0": "bsd,cc-by"}
+    # the affero template has nine of its ten tokens in the first, but not its name
+    texts = {two: "bsd,gpl,lgpl", wrapped: "mit", third: "bsd", f"{many}\n{wrapped}\n{many} {third}": "bsd,mit", "Licensed under CC BY-NC 4.0. ok": "cc-by-nc", "released under the BSD 3-clause license, licensed under CC BY 4.0": "bsd,cc-by"}
     rows = {r.doc_id: r.labels for r in licenses.scan(make(spark, list(texts))).collect()}
     assert rows == dict(enumerate(texts.values()))
     # rows of one id with other texts, repeated rows and null ids keep their own labels
     odd = spark.createDataFrame([(1, wrapped), (1, third), (1, "x"), (None, third), (None, "x"), (1, wrapped)], "doc_id long, text string")
     assert Counter((r.doc_id, r.labels) for r in licenses.scan(odd).collect()) == Counter([(1, "mit"), (1, "bsd"), (1, ""), (None, "bsd"), (None, ""), (1, "mit")])
+
+
+def test_sentences_without_a_license_stay_unlabelled(spark):
+    texts = {
+        "released under the BSD license": "bsd",
+        "released under the Apache license": "apache",
+        "licensed under the Eclipse license version 2.0": "",
+        "The album was released under the public license of the label": "",
+        "The band released the song under the Sub Pop license": "",
+        "licensed under the Foo license version 2.0": "",
+        "the file is licensed under the terms of a general license, version 3": "",
+        "permission is given free of any charge to a person with the software and associated documentation files": "",
+        "this program is free software, and you can modify it under the terms of the public": "",
+    }
+    rows = {r.doc_id: r for r in licenses.scan(make(spark, list(texts))).collect()}
+    assert {i: r.labels for i, r in rows.items()} == dict(enumerate(texts.values()))
+    assert [r.score for _, r in sorted(rows.items())] == [1.0, 0.5, *[0.0] * 7]
+
+
+def test_whole_license_blocks(spark):
+    """Every template is found in itself, between other words, in capitals and over lines, and names only its own family."""
+    around = " ".join(f"w{i}" for i in range(300))
+    texts = [f"{around} " + "\n".join(t[1].upper().split()) + f" {around}" for t in licenses.TEMPLATES]
+    rows = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(make(spark, texts)).collect()}
+    near = {"lgpl": {"gpl"}, "agpl": {"gpl"}, "cc-by-sa": {"cc-by"}, "cc-by-nc": {"cc-by"}, "cc-by-nd": {"cc-by"}}
+    for k, t in enumerate(licenses.TEMPLATES):
+        assert t[0] in rows[k] and rows[k] - {t[0]} <= near.get(t[0], set()), t
+        assert set(t[2].split()) <= set(t[1].split())
