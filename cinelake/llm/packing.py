@@ -264,11 +264,12 @@ def search_islands(blocks: DataFrame, capacity: int, islands: int, epochs: int,
     return lived.groupBy("_block").agg(F.min_by("_bins", F.struct("_fit", "_island")).alias("_bins"))
 
 
-def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, block: int = 8192, slack: int = 2, islands: int = 3, epochs: int = 2, generations: int = 20, population: int = 4, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, block: int = 8192, slack: int = 2, islands: int = 3, epochs: int = 2, generations: int = 20, population: int = 4, slice_bytes: int = 8 << 20, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     A row per piece.  A null or empty text is the single token ``end_id``; repeated rows are packed each on
     its own; a null id stays null; an empty table gives no rows.  ``keep_ids`` adds the pieces' ids.
+    Texts are tokenised in slices of ``slice_bytes``, which bound a worker's memory, or one by one where they are longer.
     """
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
 
@@ -288,7 +289,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048
             yield pa.RecordBatch.from_arrays(cols, names)
             held = []
 
-        for b in slices(batches, max_bytes=8 << 20):
+        for b in slices(batches, max_bytes=slice_bytes):
             ids, offsets = c.encode_column(column_of(b, "_text"))
             edges = offsets.tolist()
             for doc, i, j in zip(column_of(b, "_id").to_pylist(), edges[:-1], edges[1:], strict=True):
