@@ -47,8 +47,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of all documents in as few sequences as can be found."""
-    return packing.pack(docs)
+    """Tokens of all documents in as few sequences as can be found; small slices, as workers of other stages are still there."""
+    return packing.pack(docs, slice_bytes=2 << 20)
 
 
 STAGES = [
