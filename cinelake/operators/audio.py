@@ -137,3 +137,9 @@ def loudness_range(blocks: DataFrame, floor: float = -70.0) -> DataFrame:
 def true_peak(samples: DataFrame) -> DataFrame:
     """Linear interpolation adds no peaks, so that this is the largest magnitude."""
     return samples.groupBy("stream").agg(F.max(F.abs("x")).alias("peak"))
+
+
+def normalizing_gain(loudness: DataFrame, peaks: DataFrame, target: float = -23.0, ceiling: float = -1.0) -> DataFrame:
+    """``stream, gain_db``: what takes a stream (``lufs``) to the target, or its peak to the ceiling if that is less."""
+    room = ceiling - 20 * F.log10(F.col("peak") / 32768.0)
+    return loudness.join(peaks, "stream").select("stream", F.least(target - F.col("lufs"), room).alias("gain_db"))

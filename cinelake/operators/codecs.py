@@ -1,6 +1,7 @@
 """Decoders and encoders by name: column functions between the data of a packet and its samples.
 
-Bit streams other than PCM need libraries of their own; what is registered here is found by their names.
+PCM of 16 bits is integers, as files hold it; all other PCM formats are doubles from -1 to 1.  FLAC frames, which need their file's
+description, are decoded by ``sources.flac``.  Other bit streams need libraries of their own; what is registered here is found by name.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ DECODERS: dict[str, Codec] = {"pcm": resample.decode_pcm, "pcm_s16le": resample.
 ENCODERS: dict[str, Codec] = {"pcm": resample.encode_pcm, "pcm_s16le": resample.encode_pcm}
 
 
+for _kind in resample.PCM:
+    if _kind != "s16le":
+        DECODERS[f"pcm_{_kind}"] = lambda c, kind=_kind: resample.decode_samples(c, kind)
+        ENCODERS[f"pcm_{_kind}"] = lambda c, kind=_kind: resample.encode_samples(c, kind)
+
+
 def register(name: str, decoder: Codec | None = None, encoder: Codec | None = None) -> None:
     if decoder is not None:
         DECODERS[name] = decoder

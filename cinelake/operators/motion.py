@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
@@ -90,3 +91,25 @@ def slow_motion_grid(sources: DataFrame, factor: float, key: str = "stream") ->
     place = F.col("out_frame") * factor
     low = F.floor(place)
     return grid.select(key, "out_frame", low.alias("low"), (low + 1).alias("high"), (place - low).alias("part"))
+
+
+def rate_grid(sources: DataFrame, rate: int, to_rate: int, key: str = "stream") -> DataFrame:
+    """``out_frame, low, high, part`` for each key's frames (``n`` of them) at another rate; the last frame stands in for what follows it."""
+    count = F.expr(f"n * {to_rate} div {rate}")
+    grid = sources.filter(count > 0).select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("out_frame"))
+    low = F.expr(f"out_frame * {rate} div {to_rate}")
+    return grid.select(key, "out_frame", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"), (F.col("out_frame") * rate / to_rate - low).alias("part"))
+
+
+def pulldown(frames: DataFrame, cadence: str = "3:2", at: str = "frame_no") -> DataFrame:
+    """Each frame as often as its place in the cycle says, with the number of the ``copy``."""
+    pattern = PULLDOWN[cadence]
+    times = F.element_at(F.array(*map(F.lit, pattern)), (F.col(at) % len(pattern) + 1).cast("int"))
+    return frames.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))))
+
+
+def stability(frames: DataFrame, value: str = "motion") -> DataFrame:
+    """``stream, mean, most, smoothness`` of a motion: the smoother, the less it changes from frame to frame."""
+    step = F.col(value) - F.lag(value).over(W.partitionBy("stream").orderBy("idx"))
+    rows = frames.select("stream", F.col(value).alias("_v"), step.alias("_d"))
+    return rows.groupBy("stream").agg(F.avg("_v").alias("mean"), F.max("_v").alias("most"), (1 / (1 + F.coalesce(F.avg(F.col("_d") * F.col("_d")), F.lit(0.0)))).alias("smoothness"))

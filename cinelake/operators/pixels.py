@@ -70,6 +70,18 @@ def to_eight_bits(p: Column) -> Column:
     return F.transform(p, lambda v: F.floor(F.least(v, F.lit(1023)) * 255 / 1023).cast("int"))
 
 
+def noise(frame_no: Column, place: Column) -> Column:
+    """0 to 15, from the numbers of a frame and a pixel alone: the same on any partitioning, in any order."""
+    x = F.pmod(F.pmod(frame_no.cast("long") * 7919 + place.cast("long") + 12345, F.lit(1 << 31)) * 2654435761, F.lit(1 << 32))
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * 1103515245, F.lit(1 << 32))
+    return F.shiftright(x, 20).bitwiseAND(F.lit(15))
+
+
+def random_dither(p: Column, frame_no: Column) -> Column:
+    """Ten bits to eight with noise of up to 15 added first."""
+    return F.transform(p, lambda v, k: F.floor(F.least(v + noise(frame_no, k), F.lit(1023)) * 255 / 1023).cast("int"))
+
+
 def one_dimensional_lut(p: Column, lut: list[float]) -> Column:
     """Linear interpolation in a table over 0..255."""
     table, last = F.array(*map(F.lit, lut)), len(lut) - 1
@@ -86,15 +98,16 @@ def one_dimensional_lut(p: Column, lut: list[float]) -> Column:
 def following(frames: DataFrame, by: str = "frame_no", block: int = 4096) -> DataFrame:
     """Each frame with the plane before it as ``q`` (null for the first).
 
-    Windows run within blocks of frame numbers; the frame before a block's first comes by an equi-join.
+    Windows run within blocks of frame numbers; the frame before a block's first comes by an equi-join with the block
+    before.  Which one that is, is told by a window over the blocks' numbers, a row each, without planes.
     """
     own = W.partitionBy("_b").orderBy(by)
     rows = frames.withColumn("_b", F.expr(f"{by} div {block}"))
-    lasts = rows.groupBy("_b").agg(F.max_by("p", by).alias("_last"))
-    order = W.orderBy("_b")  # a row for each block of frames
-    before = lasts.select("_b", F.lag("_last").over(order).alias("_before"))
-    rows = rows.withColumn("_q", F.lag("p").over(own)).join(before, "_b")
-    return rows.withColumn("q", F.coalesce("_q", "_before")).drop("_q", "_b", "_before")
+    lasts = rows.groupBy("_b").agg(F.max_by("p", by).alias("_before")).withColumnRenamed("_b", "_earlier")
+    order = rows.select("_b").distinct().select(F.col("_b").alias("_block"), F.lag("_b").over(W.orderBy("_b")).alias("_earlier"))
+    before = order.join(lasts, "_earlier").select("_block", "_before")
+    rows = rows.withColumn("_q", F.lag("p").over(own)).join(before, F.col("_b") == F.col("_block"), "left")
+    return rows.withColumn("q", F.coalesce("_q", "_before")).drop("_q", "_b", "_before", "_block")
 
 
 def squared_error(a: str = "p", b: str = "q") -> Column:
@@ -329,3 +342,19 @@ def sharpness(p: str, width: int) -> Column:
 def rolling_shutter_shift(motion: Column, row: Column, height: int, readout: float) -> Column:
     """Share of a frame's motion that a row has seen."""
     return motion * row / height * readout
+
+
+def parade(frames: DataFrame, sections: int = 3) -> DataFrame:
+    """``section, bin, n``: a histogram of each part of the planes, which are cut in sections of equal length."""
+    rows = frames.select(F.size("p").alias("_n"), F.posexplode("p").alias("k", "bin"))
+    return rows.groupBy(F.expr(f"cast(k * {sections} div _n as int)").alias("section"), "bin").agg(F.count("*").alias("n"))
+
+
+def low_bits_share(p: str) -> Column:
+    """Share of ten-bit pixels whose lowest two bits are in use."""
+    return total(p, lambda v: F.when(v % 4 != 0, 1).otherwise(0)) / F.size(p)
+
+
+def true_ten_bit(p: str, least: float = 0.1) -> Column:
+    """Whether a plane uses its ten bits, and is not eight bits scaled up."""
+    return low_bits_share(p) > least

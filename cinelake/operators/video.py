@@ -79,8 +79,7 @@ class _History:
 def with_history(frames: DataFrame, most: int, f: Callable[[bytes, int, int, list[bytes]], tuple], schema: str, block: int = 512) -> DataFrame:
     """``stream, frame_no`` and the values of ``f`` for each frame and the data of up to ``most`` frames before it."""
     schema = f"stream long, frame_no long, {schema}"
-    own = F.expr(f"frame_no div {block}")
-    ahead = F.when(F.col("frame_no") % block >= block - most, F.array(own, own + 1)).otherwise(F.array(own))
+    ahead = F.sequence(F.expr(f"frame_no div {block}"), F.expr(f"(frame_no + {most}) div {block}"))  # all blocks that look back on it
     rows = framed(frames).withColumn("_b", F.explode(ahead))
     return ordered_fold(rows, ["stream", "_b"], ["frame_no"], lambda key: _History(key, most, block, f, schema), schema)
 
@@ -524,3 +523,18 @@ def overlay(frames: DataFrame, text: Column, left: int = 4, top: int = 4, dot: i
 
     columns = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in FRAME.split(", ")]
     return frames.select(*columns, text.cast("string").alias("_shown")).mapInArrow(run, FRAME)
+
+
+def subtitled(frames: DataFrame, cues: DataFrame, rate: float, left: int = 4, top: int = 4, dot: int = 2, bucket: int = 10_000) -> DataFrame:
+    """RGB frames, ``rate`` a second, with the texts of the cues (``stream, ordinal, start_ms, end_ms, text``) that stand when they are shown.
+
+    Cues are found by an interval join of times alone, without the frames' bytes; several that stand together follow their order.
+    """
+    from .islands import interval_join
+
+    times = frames.select(F.col("stream"), F.col("frame_no"), F.floor(F.col("frame_no") * 1000 / rate).alias("_ms"))
+    met = interval_join(times, cues.select("stream", "ordinal", "start_ms", "end_ms", "text"), "stream", "_ms", "start_ms", "end_ms", bucket)
+    shown = met.groupBy("stream", "frame_no").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("_cues"))
+    shown = shown.select(F.col("stream").alias("_s"), F.col("frame_no").alias("_f"), F.array_join(F.transform("_cues", lambda c: c["text"]), " ").alias("_text"))
+    rows = frames.join(shown, (F.col("stream") == F.col("_s")) & (F.col("frame_no") == F.col("_f")), "left")
+    return overlay(rows, F.col("_text"), left, top, dot)

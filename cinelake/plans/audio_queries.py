@@ -114,8 +114,7 @@ def loudness_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BLOCKS}, g AS (SELECT *, avg(lufs) OVER (PARTITION BY stream) AS m FROM blocks WHERE lufs > -70), t AS (SELECT stream, avg(lufs) AS lufs FROM g WHERE lufs > m - 10 GROUP BY 1), p AS (SELECT stream, max(abs(x)) AS peak FROM samples GROUP BY 1) SELECT stream, round(least(-23 - lufs, -1 - 20 * log10(peak / 32768.0)), 6) AS gain_db FROM t JOIN p USING (stream)")
 def loudness_normalize_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.samples(spark, sf_dir)
-    level = audio.integrated_loudness(_blocks(spark, sf_dir)).join(audio.true_peak(rows), "stream")
-    return level.select("stream", F.round(F.least(-23 - F.col("lufs"), -1 - 20 * F.log10(F.col("peak") / 32768.0)), 6).alias("gain_db"))
+    return audio.normalizing_gain(audio.integrated_loudness(_blocks(spark, sf_dir)), audio.true_peak(rows)).withColumn("gain_db", F.round("gain_db", 6))
 
 
 def _delayed(samples: DataFrame) -> DataFrame:

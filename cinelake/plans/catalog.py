@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_queries, catalog_queries, color_queries, control_queries, detail_queries, frame_queries, scalar_queries, text_queries, video_queries  # noqa: F401  they register themselves
+from . import audio_queries, catalog_queries, color_queries, control_queries, detail_queries, frame_queries, media_queries, scalar_queries, text_queries, video_queries  # noqa: F401  they register themselves
 from .registration import QUERIES, SQL, Query
 
 FLAGSHIP = "silence_islands"

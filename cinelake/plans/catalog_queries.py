@@ -16,10 +16,16 @@ from .registration import query
 _FORMATS = ", ".join(f"('{n}', '{e}')" for n, exts in S.FORMATS.items() for e in exts)
 
 
-@query(f"SELECT name, count(*) AS extensions, string_agg(ext, ',' ORDER BY ext) AS listed FROM (VALUES {_FORMATS}) AS t(name, ext) GROUP BY name")
+#: The extensions of the parts' files, and one that names no format.
+_EXTENSIONS = [*[e for exts in S.FORMATS.values() for e in exts], "txt"]
+
+
+@query(f"WITH t(name, ext) AS (VALUES {_FORMATS}), files AS (SELECT {_EXTENSIONS}[p_partkey % {len(_EXTENSIONS)} + 1] AS ext FROM part) SELECT name, count(*) AS files, count(DISTINCT ext) AS extensions, string_agg(DISTINCT ext, ',' ORDER BY ext) AS listed FROM files LEFT JOIN t USING (ext) GROUP BY name")
 def format_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, e) for n, exts in S.FORMATS.items() for e in exts], "name string, ext string")
-    return rows.groupBy("name").agg(F.count("*").alias("extensions"), F.array_join(F.array_sort(F.collect_list("ext")), ",").alias("listed"))
+    """The parts' files by the format that their extensions name."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("p_partkey") % len(_EXTENSIONS) + 1).cast("int"))
+    files = views.table(spark, sf_dir, "part").select(ext.alias("ext"), S.format_of(F.concat(F.lit("clip."), ext)).alias("name"))
+    return files.groupBy("name").agg(F.count("*").alias("files"), F.countDistinct("ext").alias("extensions"), F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("listed"))
 
 
 @query(f"WITH {views.PACKETS}, s AS (SELECT stream, max(pts) - min(pts) AS d, CAST(sum(size) AS BIGINT) AS b FROM packets GROUP BY 1) SELECT count(*) AS streams, max(d) AS duration, CAST(sum(b) AS BIGINT) AS size, CAST(sum(b) * 8000 // max(d) AS BIGINT) AS bit_rate FROM s")

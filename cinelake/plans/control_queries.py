@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from ..operators import documents as D
 from ..operators.islands import asof_join, trailing
+from ..operators.motion import stability
 from . import views
 from .registration import query
 
@@ -111,9 +112,8 @@ def motion_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ST}, d AS (SELECT stream, motion - lag(motion) OVER (PARTITION BY stream ORDER BY idx) AS d, motion FROM stats) SELECT stream, round(avg(motion), 6) AS mean, max(motion) AS most, round(1 / (1 + coalesce(avg(d * d), 0)), 6) AS smoothness FROM d GROUP BY stream")
 def stabilization_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("motion") - F.lag("motion").over(W.partitionBy("stream").orderBy("idx"))
-    rows = views.frame_stats(spark, sf_dir).select("stream", "motion", d.alias("d"))
-    return rows.groupBy("stream").agg(F.round(F.avg("motion"), 6).alias("mean"), F.max("motion").alias("most"), F.round(1 / (1 + F.coalesce(F.avg(F.col("d") * F.col("d")), F.lit(0.0))), 6).alias("smoothness"))
+    made = stability(views.frame_stats(spark, sf_dir))
+    return made.select("stream", F.round("mean", 6).alias("mean"), "most", F.round("smoothness", 6).alias("smoothness"))
 
 
 @query("SELECT event_type AS stage, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_pop(value), 6) AS spread, round(1000 / avg(value), 6) AS rate FROM events GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import FORMATS
 from ..operators import catalog as K
 from ..operators import control as C
 from ..operators import motion as M
@@ -64,17 +65,27 @@ def slow_motion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODECS = ", ".join(f"('{i}', '{n}', '{m}')" for i, n, m in K.CODECS)
 
 
-@query(f"SELECT * FROM (VALUES {_CODECS}) AS t(id, name, media) WHERE media = 'audio'")
+#: The codec of each supplier's files, and the names of their files.
+_IDS = [c[0] for c in K.CODECS]
+_SUFFIXES = [FORMATS[name][0] for name, *_ in K.DETAILS]
+
+
+@query(f"WITH t(id, name, media) AS (VALUES {_CODECS}) SELECT s_suppkey, id, name, media FROM (SELECT s_suppkey, {_IDS}[s_suppkey % {len(_IDS)} + 1] AS id FROM supplier) JOIN t USING (id) WHERE media = 'audio'")
 def codec_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.codecs(spark, "audio")
+    """The suppliers' codecs that are listed as audio."""
+    used = views.table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, _IDS)), (F.col("s_suppkey") % len(_IDS) + 1).cast("int")).alias("id"))
+    return used.join(F.broadcast(K.codecs(spark, "audio")), "id").select("s_suppkey", "id", "name", "media")
 
 
-_DETAILS = ", ".join(f"('{n}', '{long}', '{','.join(mime)}', {', '.join(str(f).lower() for f in flags)})" for n, long, mime, flags in K.DETAILS)
+_DETAILS = ", ".join(f"('{FORMATS[n][0]}', '{n}', '{long}', '{','.join(mime)}', {', '.join(str(f).lower() for f in flags)})" for n, long, mime, flags in K.DETAILS)
 
 
-@query(f"SELECT * FROM (VALUES {_DETAILS}) AS t(name, long_name, mime_types, seekable, multi_stream, timestamps, metadata) WHERE seekable AND multi_stream")
+@query(f"WITH t(ext, name, long_name, mime_types, seekable, multi_stream, timestamps, metadata) AS (VALUES {_DETAILS}) SELECT path, name, long_name, mime_types, seekable, multi_stream, timestamps, metadata FROM (SELECT 'clip' || s_suppkey || '.' || {_SUFFIXES}[s_suppkey % {len(_SUFFIXES)} + 1] AS path, {_SUFFIXES}[s_suppkey % {len(_SUFFIXES)} + 1] AS ext FROM supplier) JOIN t USING (ext) WHERE seekable AND multi_stream")
 def format_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.formats(spark).filter("seekable AND multi_stream").drop("extensions").withColumn("mime_types", F.array_join("mime_types", ","))
+    """The formats of the suppliers' files that can be sought in and hold several streams."""
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("s_suppkey") % len(_SUFFIXES) + 1).cast("int"))
+    files = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("clip"), F.col("s_suppkey").cast("string"), F.lit("."), suffix).alias("path"))
+    return K.with_format(files, spark).filter("seekable AND multi_stream").drop("extensions").withColumn("mime_types", F.array_join("mime_types", ","))
 
 
 @query("SELECT p_partkey, CASE WHEN c < 1 OR c > 10000 THEN 'MaxCLL' WHEN f < 1 OR f > c THEN 'MaxFALL' END AS error FROM (SELECT p_partkey, p_partkey % 130 * 80 AS c, p_size * 10 AS f FROM part)")

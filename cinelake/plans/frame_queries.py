@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import motion as M
 from ..operators import pixels as P
 from . import views
 from .registration import query
@@ -106,8 +107,7 @@ def waveform_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PX} SELECT CAST(k * 3 // 64 AS INTEGER) AS section, v AS bin, count(*) AS n FROM pixels GROUP BY 1, 2")
 def rgb_parade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _frames(spark, sf_dir).select(F.posexplode("p").alias("k", "bin"))
-    return rows.groupBy(F.floor(F.col("k") * 3 / 64).cast("int").alias("section"), "bin").agg(F.count("*").alias("n"))
+    return P.parade(_frames(spark, sf_dir), 3)
 
 
 @query(f"{PREV} SELECT v AS u, w AS v, count(*) AS n FROM both_px GROUP BY 1, 2")
@@ -269,16 +269,13 @@ def thumbnail_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FR}, n AS (SELECT max(frame_no) + 1 AS n FROM frames), k AS (SELECT unnest(range(n * 5 // 4)) AS k, n FROM n) SELECT k AS out_frame, k * 4 // 5 AS low, least(k * 4 // 5 + 1, n - 1) AS high, round(k * 4 / 5.0 - k * 4 // 5, 6) AS part FROM k")
 def fps_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _frames(spark, sf_dir).agg((F.max("frame_no") + 1).alias("n"))
-    grid = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n * 5 div 4 - 1"))).alias("k"))
-    low = F.expr("k * 4 div 5")
-    return grid.select(F.col("k").alias("out_frame"), low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"), F.round(F.col("k") * 4 / 5 - low, 6).alias("part"))
+    sources = _frames(spark, sf_dir).agg((F.max("frame_no") + 1).alias("n")).withColumn("stream", F.lit(0))
+    return M.rate_grid(sources, 4, 5).drop("stream").withColumn("part", F.round("part", 6))
 
 
 @query(f"{FR}, t AS (SELECT frame_no, row_number() OVER (ORDER BY frame_no) - 1 AS i FROM frames), r AS (SELECT frame_no, unnest(range([3, 2, 3, 2][i % 4 + 1])) AS copy FROM t) SELECT frame_no, copy FROM r")
 def telecine_pulldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = F.element_at(F.array(*map(F.lit, (3, 2, 3, 2))), (F.col("frame_no") % 4 + 1).cast("int"))
-    return _frames(spark, sf_dir).select("frame_no", F.explode(F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))).alias("copy"))
+    return M.pulldown(_frames(spark, sf_dir), "3:2").select("frame_no", "copy")
 
 
 @query(f"{PX} SELECT frame_no, CAST(sum((v & 1) << (k % 8)::INTEGER) AS BIGINT) AS folded FROM pixels GROUP BY 1")
@@ -289,8 +286,7 @@ def lsb_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PX} SELECT frame_no, round(100.0 * avg((v % 4 <> 0)::INTEGER), 6) AS share, avg((v % 4 <> 0)::INTEGER) > 0.1 AS true_ten_bit FROM pixels GROUP BY 1")
 def true_ten_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = P.total("p", lambda v: F.when(v % 4 != 0, 1).otherwise(0)) / F.size("p")
-    return _frames(spark, sf_dir).select("frame_no", F.round(share * 100, 6).alias("share"), (share > 0.1).alias("true_ten_bit"))
+    return _frames(spark, sf_dir).select("frame_no", F.round(P.low_bits_share("p") * 100, 6).alias("share"), P.true_ten_bit("p").alias("true_ten_bit"))
 
 
 @query(f"""{PX}, d AS (SELECT a.frame_no, sum(abs(a.v - b.v)) / (56 * 255.0::DOUBLE) AS s FROM pixels a JOIN pixels b ON a.frame_no = b.frame_no AND b.k = a.k + 1 AND a.k % 8 <> 7 GROUP BY 1), m AS (SELECT frame_no, avg(v) / 255 AS l, least(1, (sum(v * v) * 64 - sum(v) * sum(v)) / 4096.0 / 65025) AS c FROM pixels GROUP BY 1)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import glob as local_glob
 import os
+import tempfile
+import uuid
 from fnmatch import fnmatch
 from typing import BinaryIO
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file://"):  # as Spark writes it
+        path = f"file://{path[5:]}"
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -57,3 +62,14 @@ def listed(pattern: str) -> list[str]:
         return sorted(prefix + f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.File)
     folder = os.path.dirname(at)
     return sorted(prefix + f.path for f in store.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.File and fnmatch(f.path, at))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach: below ``spark.checkpoint.dir``; only in local mode a temporary one may stand in."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import open_input
 from .streams import flac_head
 
 
@@ -264,13 +265,13 @@ INFO = "file string, block int, rate int, channels int, bits int, samples bigint
 
 def read_infos(spark: SparkSession, path: str) -> DataFrame:
     """What each FLAC file at a path or glob says of itself."""
-    from .packet_index import files, opened
+    from .packet_index import files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for file in b.column(0).to_pylist():
-                with opened(file) as f:
+                with open_input(file) as f:
                     info = stream_info(f)[0]
                 if info is None:
                     raise ValueError(f"{file} has no stream information")

@@ -57,11 +57,6 @@ TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(),
 PIECES = "file string, kind string, piece bigint, " + ", ".join(f"{n} array<{t}>" for n, t in zip(Entry._fields, ("int", "bigint", "bigint", "boolean", "bigint", "int", "bigint", "bigint", "int", "boolean", "binary"), strict=True))
 
 
-def opened(path: str) -> BinaryIO:
-    """The file at a path as Spark lists it."""
-    return open_input(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def cells(f: BinaryIO, at: int, stop: int, read: int = CELL * 4096) -> Iterator[tuple[int, bytes]]:
     """Place and bytes of the whole cells from ``at`` on."""
     f.seek(at)
@@ -382,26 +377,26 @@ def index(spark: SparkSession, path: str, range_bytes: int = RANGE, kinds: tuple
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with opened(r["file"]) as f:
+                with open_input(r["file"]) as f:
                     yield from pieces_of(r["file"], r["kind"], CUT[r["kind"]](f, r["begin"], r["end"], r["length"]), r["piece"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with opened(r["file"]) as f:
+                with open_input(r["file"]) as f:
                     yield from pieces_of(r["file"], r["kind"], WHOLE[r["kind"]](f, r["length"]))
 
     def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with opened(r["file"]) as f:
+                with open_input(r["file"]) as f:
                     rows = [(r["file"], k, *c) for k, c in enumerate(clusters(f, r["length"]))]
                 yield pa.RecordBatch.from_pylist([dict(zip(("file", "piece", "begin", "end", "scale", "tracks"), x, strict=True)) for x in rows], schema=CLUSTERS)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with opened(r["file"]) as f:
+                with open_input(r["file"]) as f:
                     yield from pieces_of(r["file"], "matroska", cluster_entries(f, Cluster(r["begin"], r["end"], r["scale"], r["tracks"])), r["piece"])
 
     cut = ranges(found.filter(F.col("kind").isin(*CUT)), range_bytes).repartition(tasks, "file", "piece").mapInArrow(part, PIECES)
@@ -469,7 +464,7 @@ def fetch(found: DataFrame, tasks: int, range_bytes: int = RANGE) -> DataFrame:
                     if r["file"] != path:
                         if f is not None:
                             f.close()
-                        path, f = r["file"], opened(r["file"])
+                        path, f = r["file"], open_input(r["file"])
                     data = packet_of(f, r["start"], r["stop"], r["pid"])
                     key = C.has_keyframe(data) if r["keyframe"] is None else r["keyframe"]
                     made.append((path, r["stream_index"], r["seq"], r["pts"], r["dts"], None, key, r["position"], len(data), data))

@@ -233,3 +233,42 @@ def test_inverse_pulldown_walks_the_strides(spark):
             want.append(i)
             i += pattern[i % len(pattern)]
         assert sorted(r.frame_no for r in motion.inverse_pulldown(rows, cadence).collect()) == want
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear", "sinc"])
+def test_conversion_in_blocks(spark, method):
+    rnd = random.Random(8)
+    signals = [[rnd.randint(-9000, 9000) for _ in range(n)] for n in (1, 2, 59, 400)]
+    for rate, to in ((48_000, 32_000), (3, 7), (2, 1)):
+        table = samples(spark, *signals)
+        whole = by_place(resample.convert(table, rate, to, method, 3), "y")
+        cut = by_place(resample.convert(table, rate, to, method, 3, block=10), "y")
+        assert set(whole) == {(s, k) for s, x in enumerate(signals) for k in range(len(x) * to // rate)}
+        assert cut.keys() == whole.keys() and all(cut[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
+        x = np.array(signals[3], float)
+        for k in range(len(x) * to // rate):
+            place = k * rate / to
+            if method == "nearest":
+                assert whole[3, k] == x[min(int(place + 0.5), len(x) - 1)]
+            elif method == "linear":
+                assert whole[3, k] == pytest.approx(np.interp(place, np.arange(len(x)), x))
+
+
+def test_pcm_formats(spark):
+    from cinelake.operators import codecs
+
+    x = [0.0, 0.5, -0.5, 0.999, -1.0, 1.5, -3.0, 1 / 3]
+    table = spark.createDataFrame([(1, x), (2, []), (3, None)], "k long, samples array<double>")
+    for kind, bits in (("u8", 8), ("s8", 8), ("s16be", 16), ("s24le", 24), ("s24be", 24), ("s32le", 32), ("s32be", 32), ("f32le", None), ("f64be", None)):
+        coded = codecs.encode(table, f"pcm_{kind}")
+        back = {r.k: r.samples for r in codecs.decode(coded, f"pcm_{kind}").collect()}
+        top = 2.0 ** (bits - 1) if bits else None
+        want = [min(max(math.trunc(v * top), -top), top - 1) / top for v in x] if bits else x
+        assert back[1] == pytest.approx(want, abs=1e-7) and back[2] == [] and back[3] is None
+    one = {r.k: bytes(r.data) for r in codecs.encode(table.limit(1), "pcm_s24le").collect()}
+    assert one[1][:6] == b"\0\0\0\0\0\x40"
+    assert bytes(codecs.encode(table.limit(1), "pcm_u8").first().data)[:3] == bytes([128, 192, 64])
+    with pytest.raises(ValueError, match="bytes left over"):
+        resample.unpacked(b"\0\0\0", "s16le")
+    with pytest.raises(ValueError, match="no sample format"):
+        resample.decode_samples(F.lit(b""), "s17")
