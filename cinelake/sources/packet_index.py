@@ -364,8 +364,9 @@ def ranges(found: DataFrame, size: int) -> DataFrame:
 
 
 def tasks_of(found: DataFrame, size: int) -> int:
-    """As many tasks as there are ranges (of all files together, from their lengths)."""
-    return max(int(found.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0), 1)
+    """As many tasks as all files together have ranges, and as many as can run at once if there are so many files."""
+    total, count = found.agg(F.sum("length"), F.count("*")).first()
+    return max(-(-(total or 0) // size), min(count, found.sparkSession.sparkContext.defaultParallelism), 1)
 
 
 def index(spark: SparkSession, path: str, range_bytes: int = RANGE, kinds: tuple[str, ...] = ()) -> DataFrame:
