@@ -5,7 +5,7 @@ other, removes the bins that duplicate their pieces, and puts the displaced piec
 pieces, where a bin becomes fuller by it, and then by best fit.
 
 1. Each task packs the pieces that it tokenises in blocks.  Best fit leaves some bins underfilled; these, with as many
-   full ones, are what the genetic search works on.  Full bins are final, and the pieces of the others go on.
+   full ones, are what the genetic search works on, group by group.  Full bins are final, and the pieces of the others go on.
 2. What all tasks have left is dealt to new blocks.  Islands, tasks of their own, hold a population for each block;
    between epochs every island's elite migrates to the next island, and the best solution of all islands is taken.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 import random
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
 import numpy as np
@@ -30,7 +30,7 @@ from .common import column_of, id_text, shared_checkpoint, slices
 
 Bins = list[list[int]]
 Solution = tuple[Bins, list[int]]  # bins of item numbers, and the room left in each
-#: Most pieces that a population works on at once, all others staying where best fit has put them.
+#: Pieces that a population works on at once; what best fit leaves underfilled is worked off in groups of so many.
 SEARCHED = 256
 
 
@@ -146,34 +146,39 @@ def evolve(ring: list[Solution], sizes: list[int], capacity: int, rng: random.Ra
     return [s for _, s in ranked]
 
 
-def improvable(bins: Bins, rooms: list[int], slack: int, rng: random.Random, most: int) -> list[int]:
-    """Numbers of the underfilled bins, and of as many others, of at most ``most`` pieces in all."""
+def groups_of(solution: Solution, sizes: list[int], capacity: int, slack: int, rng: random.Random, most: int) -> list[list[int]]:
+    """Bins to be searched together: all that are underfilled, each with a full one, in groups of about ``most`` pieces.
+
+    There are none where the solution has as few bins as any, and groups that cannot save a bin are left out.
+    """
+    bins, rooms = solution
+    if len(bins) <= fewest(sizes, capacity):
+        return []
     under = [k for k, room in enumerate(rooms) if room > slack]
     full = [k for k, room in enumerate(rooms) if room <= slack]
     rng.shuffle(under)
     rng.shuffle(full)
-    out, held = [], 0
+    out: list[list[int]] = [[]]
+    held = 0
     for k in [x for pair in zip_longest(under, full[: len(under)]) for x in pair if x is not None]:
-        if held + len(bins[k]) <= most:
-            out.append(k)
-            held += len(bins[k])
-    return out
-
-
-def search_of(solution: Solution, sizes: list[int], capacity: int, slack: int, rng: random.Random, most: int) -> tuple[list[int], Solution]:
-    """The items of what is searched of a solution (none if nothing can be gained), and the bins that stay as they are."""
-    bins, rooms = solution
-    chosen = improvable(bins, rooms, slack, rng, most) if len(bins) > fewest(sizes, capacity) else []
-    items = [i for k in chosen for i in bins[k]]
-    if len(chosen) < 2 or len(chosen) <= fewest([sizes[i] for i in items], capacity):
-        return [], solution
-    gone = set(chosen)
-    rest = [k for k in range(len(bins)) if k not in gone]
-    return items, ([bins[k] for k in rest], [rooms[k] for k in rest])
-
-
-def joined(rest: Solution, found: Solution, items: list[int]) -> Solution:
-    return rest[0] + [[items[i] for i in group] for group in found[0]], rest[1] + found[1]
+        if held + len(bins[k]) > most and len(out[-1]) > 1:
+            out.append([])
+            held = 0
+        out[-1].append(k)
+        held += len(bins[k])
+    return [g for g in out if len(g) > 1 and len(g) > fewest([sizes[i] for k in g for i in bins[k]], capacity)]
+
+
+def searched_in(solution: Solution, groups: list[list[int]], sizes: list[int], search: Callable[[list[int], list[int]], Solution]) -> Solution:
+    """The solution with what a search (of the items of a group, and their sizes) finds in the place of each group."""
+    gone = {k for g in groups for k in g}
+    bins, rooms = ([x[k] for k in range(len(x)) if k not in gone] for x in solution)
+    for g in groups:
+        items = [i for k in g for i in solution[0][k]]
+        found = search(items, [sizes[i] for i in items])
+        bins += [[items[i] for i in group] for group in found[0]]
+        rooms += found[1]
+    return bins, rooms
 
 
 def decreasing(sizes: list[int], capacity: int) -> Solution:
@@ -181,20 +186,20 @@ def decreasing(sizes: list[int], capacity: int) -> Solution:
 
 
 def pack_block(sizes: list[int], capacity: int, seed: int = 0, islands: int = 2, population: int = 4, epochs: int = 2, generations: int = 10, slack: int = 2, searched: int = SEARCHED) -> Solution:
-    """Pack one bounded block: best fit, and a genetic search over at most ``searched`` pieces of what it leaves underfilled."""
+    """Pack one bounded block: best fit, and genetic searches of all that it leaves underfilled, about ``searched`` pieces at a time."""
     rng = random.Random(seed)
     first = decreasing(sizes, capacity)
-    items, rest = search_of(first, sizes, capacity, slack, rng, searched)
-    if not items:
-        return first
-    own = [sizes[i] for i in items]
-    rings = [settle(own, capacity, rng, population) for _ in range(islands)]
-    for _ in range(epochs):
-        rings = [evolve(ring, own, capacity, rng, generations) for ring in rings]
-        for ring, elite in zip(rings, [rings[-1][0], *[r[0] for r in rings[:-1]]], strict=True):
-            ring[-1] = elite  # elites move on to the next island
-    found = joined(rest, min((s for ring in rings for s in ring), key=lambda s: fitness(s, capacity)), items)
-    return min(found, first, key=lambda s: fitness(s, capacity))
+
+    def search(items: list[int], own: list[int]) -> Solution:
+        rings = [settle(own, capacity, rng, population) for _ in range(islands)]
+        for _ in range(epochs):
+            rings = [evolve(ring, own, capacity, rng, generations) for ring in rings]
+            for ring, elite in zip(rings, [rings[-1][0], *[r[0] for r in rings[:-1]]], strict=True):
+                ring[-1] = elite  # elites move on to the next island
+        return min((s for ring in rings for s in ring), key=lambda s: fitness(s, capacity))
+
+    groups = groups_of(first, sizes, capacity, slack, rng, searched) if generations else []
+    return min(searched_in(first, groups, sizes, search), first, key=lambda s: fitness(s, capacity))
 
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -227,8 +232,9 @@ NUMBERED = ["length", "doc_id", "piece", "start", "ids_crc32"]
 def search_islands(blocks: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, searched: int = SEARCHED) -> DataFrame:
     """``_block, _bins``: for each block (``_block, _sizes``) the bin numbers of its pieces in the best solution of all islands.
 
-    All islands of a block search the same pieces of what best fit leaves underfilled.  A row is an island of a block, so that islands are spread over tasks.  After each epoch their elites are written, and
-    each joins the island that follows its own.
+    All islands of a block search the same groups of what best fit leaves underfilled, one after the other until none is left.  A row is
+    an island of a block, so that islands are spread over tasks.  After each epoch their elites are written, and each
+    joins the island that follows its own.
     """
     schema = "_block long, _island int, _sizes array<int>, _bins array<int>, _fit array<long>"
 
@@ -240,12 +246,14 @@ def search_islands(blocks: DataFrame, capacity: int, islands: int, epochs: int,
                     sizes = [int(x) for x in sizes]
                     rng = random.Random(f"{block} {island} {epoch}")
                     best = decreasing(sizes, capacity)
-                    items, rest = search_of(best, sizes, capacity, 0, random.Random(int(block)), searched)
-                    if items:
-                        own = [sizes[i] for i in items]
-                        immigrants = [solution_of([e[i] for i in items], own, capacity) for e in (elite if elite is not None else ())]
-                        found = evolve(settle(own, capacity, rng, population, immigrants), own, capacity, rng, generations)[0]
-                        best = min(joined(rest, found, items), best, key=lambda s: fitness(s, capacity))
+                    groups = groups_of(best, sizes, capacity, 0, random.Random(int(block)), searched) if generations else []
+                    elites = elite if elite is not None else ()
+
+                    def search(items: list[int], own: list[int], rng: random.Random = rng, elites: tuple = elites) -> Solution:
+                        immigrants = [solution_of([e[i] for i in items], own, capacity) for e in elites]
+                        return evolve(settle(own, capacity, rng, population, immigrants), own, capacity, rng, generations)[0]
+
+                    best = min(searched_in(best, groups, sizes, search), best, key=lambda s: fitness(s, capacity))
                     numbers = np.zeros(len(sizes), np.int32)
                     for k, group in enumerate(best[0]):
                         numbers[group] = k
@@ -264,12 +272,13 @@ def search_islands(blocks: DataFrame, capacity: int, islands: int, epochs: int,
     return lived.groupBy("_block").agg(F.min_by("_bins", F.struct("_fit", "_island")).alias("_bins"))
 
 
-def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, block: int = 8192, slack: int = 2, islands: int = 3, epochs: int = 2, generations: int = 20, population: int = 4, slice_bytes: int = 8 << 20, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, block: int = 8192, slack: int = 2, islands: int = 3, epochs: int = 2, generations: int = 20, population: int = 4, searched: int = SEARCHED, slice_bytes: int = 8 << 20, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     A row per piece.  A null or empty text is the single token ``end_id``; repeated rows are packed each on
     its own; a null id stays null; an empty table gives no rows.  ``keep_ids`` adds the pieces' ids.
     Texts are tokenised in slices of ``slice_bytes``, which bound a worker's memory, or one by one where they are longer.
+    ``generations=0`` leaves it at best fit; ``searched`` is how many pieces a search has before it at once.
     """
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
 
@@ -280,7 +289,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, made
             sizes = [h[3] for h in held]
-            sequence, offset = placed(sizes, pack_block(sizes, capacity, pid, slack=slack), pid << 32 | made, slack)
+            sequence, offset = placed(sizes, pack_block(sizes, capacity, pid, generations=generations // 2, slack=slack, searched=searched), pid << 32 | made, slack)
             made += len(held)
             cols = [pa.array([h[k] for h in held], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             cols += [pa.array(sequence), pa.array(offset)]
@@ -310,7 +319,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = 2048
         return done
     dealt = left.withColumn("_block", F.expr(f"pmod(monotonically_increasing_id(), {blocks})"))
     sizes = dealt.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct(*NUMBERED))).alias("_p")).select("_block", F.transform("_p", lambda p: p["length"].cast("int")).alias("_sizes"))
-    best = search_islands(sizes, capacity, islands, epochs, generations, population)
+    best = search_islands(sizes, capacity, islands, epochs, generations, population, searched)
 
     def last(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])

@@ -135,6 +135,34 @@ def test_islands_save_bins_and_elites_migrate(spark):
     assert sum(first.values()) - sum(used[3, k][0] for k in blocks) >= 3
 
 
+def test_all_underfilled_bins_are_searched():
+    """Many more pieces than a search has before it at once: each group is worked off, and bins are saved in most."""
+    sizes = triples(3, 300)
+    first = packing.decreasing(sizes, 1000)
+    rng = random.Random(1)
+    groups = packing.groups_of(first, sizes, 1000, 0, rng, 90)
+    under = {k for k, room in enumerate(first[1]) if room}
+    left_out = under - {k for g in groups for k in g}
+    assert len(groups) > 5 and len(left_out) < 0.2 * len(under)
+    bins, rooms = packing.pack_block(sizes, 1000, 1, slack=0, searched=90)
+    assert sorted(i for b in bins for i in b) == list(range(900)) and min(rooms) >= 0
+    assert len(bins) <= len(first[0]) - 5
+    assert packing.pack_block(sizes, 1000, 1, generations=0) == first
+
+
+def test_packing_beats_best_fit_over_a_table(spark):
+    """Texts whose lengths in tokens fill sequences in threes: the search of ``pack`` uses fewer than best fit alone."""
+    sizes = [n - 1 for n in triples(21, 40)]
+    frame = spark.createDataFrame([(k, " ".join(["a"] * n)) for k, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    used = {}
+    for generations in (0, 20):
+        packed = packing.pack(frame, capacity=1000, slack=0, generations=generations)
+        rows = packed.collect()
+        assert sum(r.length for r in rows) == sum(sizes) + len(sizes)
+        used[generations] = len({r.sequence_id for r in rows})
+    assert 40 <= used[20] < used[0]
+
+
 def test_crossover_keeps_every_document():
     sizes = [random.Random(i).randint(1, 50) for i in range(120)]
     a = packing.best_fit(list(range(120)), sizes, 64)
