@@ -119,7 +119,7 @@ def ordered_dither(v: Column, x: Column, y: Column) -> Column:
     """Ten bits to eight with a 4x4 threshold matrix."""
     # The 4x4 Bayer matrix.
     bayer = F.array(*map(F.lit, (0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5)))
-    raised = F.least(v, F.lit(1023)) + F.floor(F.get(bayer, (x % 4 + 4 * (y % 4)).cast("int")) / 4)
+    raised = v + F.get(bayer, (x % 4 + 4 * (y % 4)).cast("int"))
     return F.floor(F.least(raised, F.lit(1023)) * 255 / 1023).cast("int")
 
 

@@ -94,18 +94,21 @@ def bilateral(frames: DataFrame, width: int, height: int, radius: int, space: fl
 
 
 def floyd_steinberg(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """Ten bits to eight with error diffusion, all planes of a batch in step."""
+    """Ten bits to eight with error diffusion in integers, all planes of a batch in step.
+
+    Values are truncated to eight bits; what is lost, in ten bits, goes on in sixteenths, each part truncated.
+    """
 
     def run(s: np.ndarray) -> np.ndarray:
-        s = np.minimum(s, 1023) * 255 / 1023
+        s = s.astype(np.int64)
         out = np.zeros_like(s)
         for y in range(height):
             for x in range(width):
-                out[:, y, x] = np.clip(np.floor(s[:, y, x] + 0.5), 0, 255)
-                e = s[:, y, x] - out[:, y, x]
+                out[:, y, x] = np.clip(s[:, y, x], 0, 1023) * 255 // 1023
+                lost = s[:, y, x] - out[:, y, x] * 1023 // 255
                 for dx, dy, w in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
                     if 0 <= x + dx < width and y + dy < height:
-                        s[:, y + dy, x + dx] += e * w / 16
+                        s[:, y + dy, x + dx] += np.sign(lost) * (np.abs(lost) * w // 16)
         return out
 
     return map_planes(frames, width, height, run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..operators import kernels
 from ..operators import pixels as P
 from ..operators.chain import FilterChain
 from . import views
-from .frame_queries import PX, _frames, _sql_text, _text
+from .frame_queries import FR, PX, _frames, _sql_text, _text
 from .registration import query
 
 RGB = f"WITH {views.FRAMES}, c AS (SELECT frame_no, p[1] AS a, p[2] AS b, p[3] AS c, p[4] AS d, p[5] AS e FROM frames)"
@@ -69,7 +70,7 @@ def luma_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("frame_no", K.luma_mask(_at(0), _at(1), _at(2)).alias("mask"))
 
 
-@query(_sql_text(f"{PX}, d AS (SELECT frame_no, k, least(v * 4 + [0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5][k % 8 % 4 + 4 * (k // 8 % 4) + 1] // 4, 1023) * 255 // 1023 AS x FROM pixels) SELECT frame_no, list(x ORDER BY k) AS p FROM d GROUP BY 1"))
+@query(_sql_text(f"{PX}, d AS (SELECT frame_no, k, least(v * 4 + [0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5][k % 8 % 4 + 4 * (k // 8 % 4) + 1], 1023) * 255 // 1023 AS x FROM pixels) SELECT frame_no, list(x ORDER BY k) AS p FROM d GROUP BY 1"))
 def ordered_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(_frames(spark, sf_dir).withColumn("p", F.transform("p", lambda v, k: K.ordered_dither(v * 4, k % 8, F.floor(k / 8)))))
 
@@ -86,32 +87,84 @@ def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(chain.apply(_frames(spark, sf_dir)))
 
 
-@query()
+def _matrix(w: np.ndarray) -> str:
+    """Rows of weights as a list of lists, with all their digits."""
+    return "[" + ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in row) + "]" for row in w.tolist()) + "]"
+
+
+def _sum(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+_BYTE = "CAST(floor(greatest(0, least(255, round({0}, 9)))) AS INTEGER)"
+#: Lines of a plane of eight by eight, and of its columns.
+_LINES = f"{FR}, lines AS (SELECT frame_no, p, list_transform(range(8), lambda y: list_transform(p[8 * y + 1 : 8 * y + 8], lambda v: v::DOUBLE)) AS l FROM frames)"
+
+
+def _product(down: np.ndarray, across: np.ndarray) -> str:
+    """Planes (as lines) times weights on both sides."""
+    rows = _sum([f"w[{h + 1}] * l[{h + 1}][x + 1]" for h in range(down.shape[1])])
+    cells = _sum([f"m[{x + 1}] * w[{x + 1}]" for x in range(across.shape[1])])
+    return f"""half AS (SELECT frame_no, list_transform({_matrix(down)}, lambda w: list_transform(range(8), lambda x: {rows})) AS r FROM lines),
+full_planes AS (SELECT frame_no, list_transform(r, lambda m: list_transform({_matrix(across)}, lambda w: {cells})) AS r FROM half)"""
+
+
+_SCALED = f"{_LINES}, {_product(kernels.lanczos_weights(8, 12), kernels.lanczos_weights(8, 16))} SELECT frame_no, list_transform(flatten(r), lambda v: {_BYTE.format('v')}) AS p FROM full_planes"
+
+
+@query(_sql_text(_SCALED))
 def scale_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(kernels.scale(_frames(spark, sf_dir), 8, 8, 16, 12))
 
 
-@query()
+def _smoothing(sigma: float) -> np.ndarray:
+    """Gaussian weights of each of eight places, those beyond an edge added to the edge."""
+    w = kernels.gaussian_weights(sigma)
+    out, r = np.zeros((8, 8)), len(w) // 2
+    for y in range(8):
+        for k, v in enumerate(w):
+            out[y, min(max(y + k - r, 0), 7)] += v
+    return out
+
+
+_BLURRED = f"{_LINES}, {_product(_smoothing(1.0), _smoothing(1.0))}"
+
+
+@query(_sql_text(f"{_BLURRED} SELECT frame_no, list_transform(flatten(r), lambda v: {_BYTE.format('v')}) AS p FROM full_planes"))
 def gaussian_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(kernels.gaussian_denoise(_frames(spark, sf_dir), 8, 8, 1.0))
 
 
-@query()
+@query(_sql_text(f"{_BLURRED}, d AS (SELECT frame_no, p, flatten(r) AS b FROM full_planes JOIN frames USING (frame_no)) SELECT frame_no, list_transform(range(64), lambda k: {_BYTE.format('CASE WHEN abs(p[k + 1] - b[k + 1]) > 2 THEN p[k + 1] + 0.8::DOUBLE * (p[k + 1] - b[k + 1]) ELSE p[k + 1] END')}) AS p FROM d"))
 def unsharp_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(kernels.unsharp(_frames(spark, sf_dir), 8, 8, 1.0, 0.8, 2.0))
 
 
-@query()
+_NEAR = f"""{PX}, near AS (SELECT a.frame_no, a.k, b.v, exp(-(dy * dy + dx * dx) / 8.0::DOUBLE - (b.v - a.v) * (b.v - a.v) / 1800.0::DOUBLE) AS w FROM pixels a, range(-2, 3) s(dy), range(-2, 3) t(dx), pixels b
+WHERE b.frame_no = a.frame_no AND b.k = 8 * greatest(0, least(7, a.k // 8 + dy)) + greatest(0, least(7, a.k % 8 + dx)))"""
+
+
+@query(_sql_text(f"{_NEAR}, m AS (SELECT frame_no, k, sum(w * v) / sum(w) AS x FROM near GROUP BY ALL) SELECT frame_no, list({_BYTE.format('x')} ORDER BY k) AS p FROM m GROUP BY 1"))
 def bilateral_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(kernels.bilateral(_frames(spark, sf_dir), 8, 8, 2, 2.0, 30.0))
 
 
-@query()
+_DIFFUSED = f"""WITH RECURSIVE {views.FRAMES}, fold AS (SELECT frame_no, 0 AS k, list_transform(p, lambda v: v * 4) AS p, []::INTEGER[] AS made FROM frames
+UNION ALL SELECT frame_no, k + 1, list_transform(range(64), lambda j: p[j + 1] + CASE WHEN j = k + 1 AND k % 8 < 7 THEN trunc(e * 7 / 16.0)::INTEGER WHEN j = k + 7 AND k % 8 > 0 THEN trunc(e * 3 / 16.0)::INTEGER WHEN j = k + 8 THEN trunc(e * 5 / 16.0)::INTEGER WHEN j = k + 9 AND k % 8 < 7 THEN trunc(e / 16.0)::INTEGER ELSE 0 END), list_append(made, n)
+FROM (SELECT *, p[k + 1] - n * 1023 // 255 AS e FROM (SELECT *, greatest(0, least(1023, p[k + 1])) * 255 // 1023 AS n FROM fold WHERE k < 64)))
+SELECT frame_no, made AS p FROM fold WHERE k = 64"""
+
+
+@query(_sql_text(_DIFFUSED))
 def error_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(kernels.floyd_steinberg(_frames(spark, sf_dir).withColumn("p", F.transform("p", lambda v: v * 4)), 8, 8))
 
 
-@query()
+_LOW = kernels.dct_matrix(32)[:8] @ kernels.bilinear_weights(8, 32)
+_HASHED = f"{_LINES}, {_product(_LOW, _LOW)}, v AS (SELECT frame_no, list_transform(flatten(r), lambda v: round(v, 6)) AS v FROM full_planes), m AS (SELECT frame_no, v, list_sort(v)[33] AS middle FROM v) SELECT frame_no, (CASE WHEN v[1] > middle THEN -9223372036854775808 ELSE 0 END + list_sum(list_transform(range(1, 64), lambda k: CASE WHEN v[k + 1] > middle THEN 1::BIGINT << (63 - k) ELSE 0 END)))::BIGINT AS hash FROM m"
+
+
+@query(_HASHED)
 def perceptual_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.perceptual_hash(_frames(spark, sf_dir), 8, 8)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import kernels
 from ..operators import selection as T
 from ..operators import video as V
 from . import views
@@ -48,7 +49,18 @@ def flip_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(V.flip(views.yuv_frames(spark, sf_dir), True, True))
 
 
-@query()
+def _weighted(first: int, side: int, width: int, height: int) -> str:
+    """A plane of ``d`` scaled by Lanczos weights, as a list."""
+    down, across = kernels.lanczos_weights(side, height), kernels.lanczos_weights(side, width)
+    rows = ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in w) + "]" for w in down.tolist())
+    columns = ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in w) + "]" for w in across.tolist())
+    line = " + ".join(f"w[{h + 1}] * d[{first + h * side} + x + 1]" for h in range(side))
+    cell = " + ".join(f"m[{x + 1}] * u[{x + 1}]" for x in range(side))
+    half = f"list_transform([{rows}], lambda w: list_transform(range({side}), lambda x: {line}))"
+    return f"list_transform(flatten(list_transform({half}, lambda m: list_transform([{columns}], lambda u: {cell}))), lambda v: floor(greatest(0, least(255, round(v, 9)))))"
+
+
+@query(f"{YUV} {_hex(f'list_concat({_weighted(0, 8, 6, 10)}, list_concat({_weighted(64, 4, 3, 5)}, {_weighted(80, 4, 3, 5)}))', 6, 10)}")
 def scale_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(V.scale(views.yuv_frames(spark, sf_dir), 6, 10))
 
