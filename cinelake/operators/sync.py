@@ -6,10 +6,9 @@ so that a group never grows with a stream's length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .folds import ordered_fold
 from .islands import near_join
+from .linear import stretches
 
 MOST_OFFSET, SPACING = 480_000, 4_800
 
@@ -43,38 +43,52 @@ def scores(reference: np.ndarray, search: np.ndarray, lags: int) -> np.ndarray:
     return out
 
 
-def _heads(a: DataFrame, b: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """The samples of both signals that a search can reach, with the signals' lengths."""
-    sized = [x.groupBy(*key).agg(F.count("*").alias("_n")) for x in (a, b)]
-    # columns are named anew: both signals may come from one table
-    return tuple(x.filter(F.col("i") < 2 * most).join(n, key).select(*[F.col(c).alias(c) for c in (*key, "i", "x", "_n")]) for x, n in zip((a, b), sized, strict=True))
+def _signals(x: DataFrame, key: list[str], side: int, most: int) -> DataFrame:
+    """The samples of a signal that a search can reach, and ahead of them (at -1) its length."""
+    own = [F.col(k).cast("long").alias(k) for k in key]
+    head = x.filter(F.col("i") < 2 * most).select(*own, F.lit(side).alias("_side"), F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("_x"))
+    length = x.groupBy(*own).agg(F.count("*").cast("double").alias("_x"))
+    return head.unionByName(length.select(*key, F.lit(side).alias("_side"), F.lit(-1).cast("long").alias("i"), "_x"))
 
 
-def _searched(a: DataFrame, b: DataFrame, key: list[str], most: int, made: Callable[[np.ndarray, int], dict[str, list]], schema: str) -> DataFrame:
+def _searched(a: DataFrame, b: DataFrame, key: list[str], most: int, made: Callable[[np.ndarray, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """``made`` of the scores and the sign of each key's search.
 
-    The shorter signal is the reference, and the second of two equally long ones; the other is searched.
+    The shorter signal is the reference, and the second of two equally long ones; the other is searched.  Both signals of
+    a key come in one sorted pass.
     """
-
-    def run(own: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*key, *(c.split()[0] for c in schema.split(", "))]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in names})
-        n, m = int(left["_n"].iloc[0]), int(right["_n"].iloc[0])
-        one, two = (p.sort_values("i")["x"].to_numpy(dtype=np.float64) for p in (left, right))
-        reference, search, longer = (one, two, m) if n < m else (two, one, n)
-        size = min(n, m, most)
-        found = made(scores(reference[:size], search, min(longer - size, most)), -1 if n > m else 1)
-        rows = len(next(iter(found.values())))
-        return pd.DataFrame({**{k: [v] * rows for k, v in zip(key, own, strict=True)}, **found})[names]
-
-    one, two = _heads(a, b, key, most)
-    return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInPandas(run, ", ".join(f"{k} long" for k in key) + ", " + schema)
+    names = [*key, *(c.split()[0] for c in schema.split(", "))]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None
+        for (*own, side), _, x in stretches(batches, [*key, "_side"]):
+            if not side:
+                before = (own, x)
+            elif before is not None and before[0] == own:
+                (n, one), (m, two) = (before[1][0], before[1][1:]), (x[0], x[1:])
+                reference, search, longer = (one, two, m) if n < m else (two, one, n)
+                size = int(min(n, m, most))
+                values = made(scores(reference[:size], search, int(min(longer - size, most))), -1 if n > m else 1)
+                rows = len(next(iter(values.values())))
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * rows, pa.int64()) for k in own], *map(pa.array, values.values())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in found(batches):
+            held.append(b)
+            if sum(h.num_rows for h in held[-64:]) > 65536 or len(held) >= 1024:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    both = _signals(a, key, 0, most).unionByName(_signals(b, key, 1, most))
+    return both.repartition(*key).sortWithinPartitions(*key, "_side", "i").mapInArrow(run, ", ".join(f"{k} long" for k in key) + ", " + schema)
 
 
 def lag_scores(a: DataFrame, b: DataFrame, most: int = MOST_OFFSET, key: tuple[str, ...] = ("stream",)) -> DataFrame:
     """The key, ``lag`` and ``score`` of every lag that is searched (``a`` and ``b``: the key, ``i``, ``x``)."""
-    return _searched(a, b, list(key), most, lambda s, sign: {"lag": (sign * np.arange(len(s))).tolist(), "score": s.tolist()}, "lag long, score double")
+    return _searched(a, b, list(key), most, lambda s, sign: {"lag": sign * np.arange(len(s)), "score": s}, "lag long, score double")
 
 
 def sync_offset(a: DataFrame, b: DataFrame, most: int = MOST_OFFSET, key: tuple[str, ...] = ("stream",)) -> DataFrame:
@@ -84,11 +98,9 @@ def sync_offset(a: DataFrame, b: DataFrame, most: int = MOST_OFFSET, key: tuple[
     signals lacks gives no row.
     """
 
-    def made(s: np.ndarray, sign: int) -> dict[str, list]:
-        if not len(s):
-            return {"offset": [0], "confidence": [0.0]}
-        best = int(s.argmax())
-        return {"offset": [sign * best], "confidence": [float(min(max((s[best] + 1) / 2, 0.0), 1.0))]}
+    def made(s: np.ndarray, sign: int) -> dict[str, np.ndarray]:
+        best = int(s.argmax()) if len(s) else 0
+        return {"offset": np.array([sign * best]), "confidence": np.array([min(max((s[best] + 1) / 2, 0.0), 1.0) if len(s) else 0.0])}
 
     return _searched(a, b, list(key), most, made, "offset long, confidence double")
 

@@ -186,8 +186,8 @@ def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
     if kind in ("wav", "y4m"):
         register(spark)
         return spark.read.format(kind).options(path=path, **options).load()
-    if kind in packet_index.KINDS and "packets_per_partition" not in options:
+    if kind in packet_index.KINDS:
         return packet_index.read(spark, path, **{k: int(v) for k, v in options.items()})
-    if kind in streams.PARSERS:
-        return streams.read(spark, path, **options)
+    if kind in streams.IN_TURN:
+        return streams.read(spark, path)
     raise ValueError(f"no reader for .{kind} files")

@@ -1,7 +1,6 @@
 """Matroska/WebM, MP4, Ogg, FLAC and MP3: packets without decoding, from files that are read piece by piece.
 
-``spark.read.format("packets")`` gives a row per packet.  A file is a partition; MP4 files, whose tables tell where each
-sample lies, are cut into ranges of samples.
+``parse_*`` read a file from front to end.  ``read`` gives a row per packet; what can be is read in ranges.
 """
 
 from __future__ import annotations
@@ -400,30 +399,22 @@ PARSERS: dict[str, Callable[[BinaryIO], Iterator[Packet]]] = {
 }
 
 
+#: Formats whose packets are only found one after the other: a file is a partition.
+IN_TURN = ("ogg", "oga", "mp3")
+
+
 class PacketReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[Span]:
-        size = int(self.options.get("packets_per_partition", 4096))
-        spans = []
-        for path in listed(self.options["path"]):
-            parse = PARSERS.get(path.rsplit(".", 1)[-1].lower())
-            if parse is parse_mp4:
-                with open_input(path) as f:
-                    n = sum(len(t.places) for t in tracks_of(movie(f)))
-                spans += [Span(path, i, min(i + size, n)) for i in range(0, n, size)]
-            elif parse is not None:
-                spans.append(Span(path, 0, 0))
-        return spans or [Span("", 0, 0)]
+        return [Span(path, 0, 0) for path in listed(self.options["path"]) if path.rsplit(".", 1)[-1].lower() in IN_TURN] or [Span("", 0, 0)]
 
     def read(self, span: Span) -> Iterator[tuple]:
         if not span.path:
             return
-        parse = PARSERS[span.path.rsplit(".", 1)[-1].lower()]
         with open_input(span.path) as f:
-            packets = parse_mp4(f, span.first, span.last) if parse is parse_mp4 else parse(f)
-            for seq, p in enumerate(packets, span.first):
+            for seq, p in enumerate(PARSERS[span.path.rsplit(".", 1)[-1].lower()](f)):
                 yield (span.path, p.stream_index, seq, p.pts, p.dts, None, p.keyframe, p.position, len(p.data), p.data)
 
 
@@ -439,9 +430,13 @@ class PacketSource(DataSource):
         return PacketReader(self.options)
 
 
-def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """The packets of all Matroska, MP4 and FLAC files at a path, in ranges (``packet_index``), and of Ogg and MP3 files, each in one task."""
+    from . import packet_index
+
     spark.dataSource.register(PacketSource)
-    return spark.read.format("packets").options(path=path, **options).load()
+    in_turn = spark.read.format("packets").options(path=path).load()
+    return packet_index.read(spark, path, kinds=("matroska", "mp4", "flac"), **options).unionByName(in_turn)
 
 
 def seek(packets: DataFrame, targets: DataFrame, key: str = "stream_index") -> DataFrame:
