@@ -5,7 +5,8 @@ from __future__ import annotations
 import shlex
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ass_clock
@@ -115,3 +116,23 @@ def parse_command(line: str) -> Job:
         elif word != "ffmpeg":
             job.extra.append(word)
     return job
+
+
+COMMAND = "inputs array<string>, output string, params map<string,string>, extra array<string>, seconds double, error string"
+
+
+def parse_commands(lines: Column) -> Column:
+    """The same for a column of command lines: a struct of what each says; what cannot be read has an ``error`` and nothing else."""
+
+    @F.pandas_udf(COMMAND)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            try:
+                job = parse_command(text) if text is not None else Job()
+                rows.append((job.inputs, job.output, job.params, job.extra, job.seconds(), None))
+            except ValueError as e:
+                rows.append((None, None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in COMMAND.split(", ")])
+
+    return run(lines)

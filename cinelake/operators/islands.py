@@ -7,18 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def islands(rows: DataFrame, key: list[str], at: str, inside: Column, least: int, drop_trailing: bool = False) -> DataFrame:
+#: Places that are searched for runs together.
+BLOCK = 65536
+
+
+def islands(rows: DataFrame, key: list[str], at: str, inside: Column, least: int, drop_trailing: bool = False, block: int = BLOCK) -> DataFrame:
     """Half-open runs ``[start, stop)`` of consecutive rows (``at`` counts up by one) with ``inside``, ``least`` rows long.
 
-    With ``drop_trailing`` a run that reaches the end of its key is left out.
+    With ``drop_trailing`` a run that reaches the end of its key is left out.  Runs are found within blocks of places, so that a
+    long stream is spread over many tasks; only runs, and no rows, meet per key, where those that touch are joined.
     """
-    order = W.partitionBy(*key).orderBy(at)
-    flagged = rows.withColumn("_in", inside).withColumn("_end", F.max(at).over(W.partitionBy(*key)))
-    runs = flagged.filter("_in").withColumn("_g", F.col(at) - F.row_number().over(order))
-    out = runs.groupBy(*key, "_g").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("stop"), F.max("_end").alias("_end"))
-    out = out.filter(F.col("stop") - F.col("start") >= least)
+    marked = rows.withColumn("_in", inside)
+    within = W.partitionBy(*key, "_b").orderBy(at)
+    parts = marked.filter("_in").withColumn("_b", F.floor(F.col(at) / block)).withColumn("_g", F.col(at) - F.row_number().over(within))
+    parts = parts.groupBy(*key, "_b", "_g").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("stop"))
+    order = W.partitionBy(*key).orderBy("start")
+    apart = F.coalesce(F.lag("stop").over(order) != F.col("start"), F.lit(True))
+    runs = parts.withColumn("_new", apart.cast("long")).withColumn("_r", F.sum("_new").over(order))
+    out = runs.groupBy(*key, "_r").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).filter(F.col("stop") - F.col("start") >= least)
     if drop_trailing:
-        out = out.filter(F.col("stop") <= F.col("_end"))
+        ends = marked.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)]).agg(F.max(at).alias("_end"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(key)]
+        out = out.join(ends, same).filter(F.col("stop") <= F.col("_end"))
     return out.select(*key, "start", "stop")
 
 

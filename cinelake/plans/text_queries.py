@@ -105,3 +105,14 @@ def ass_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CU} SELECT track, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xmeml version="5"><sequence><name>cues</name><rate><timebase>25</timebase></rate><media><video><track>' || chr(10) || string_agg('<clipitem><name>' || role || '</name><start>' || start_ms // 40 || '</start><end>' || end_ms // 40 || '</end></clipitem>', chr(10) ORDER BY ordinal) || chr(10) || '</track></video></media></sequence></xmeml>' || chr(10) AS body FROM cues GROUP BY track""")
 def xml_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.xml_timeline(views.cues(spark, sf_dir).withColumnRenamed("role", "reel"), "cues")
+
+
+@query("SELECT o_orderkey, 'in ' || o_orderkey || '.mov' AS input, 'out' || o_orderkey || '.mp4' AS output, CASE WHEN o_orderkey % 2 = 0 THEN 'h264' ELSE 'copy' END AS video_codec, o_orderkey % 60 AS start, CASE WHEN o_orderkey % 3 = 0 THEN '-odd' ELSE '' END AS extra, CASE o_orderkey % 3 WHEN 1 THEN 90.5 WHEN 2 THEN 200.0 - o_orderkey % 60 END::DOUBLE AS seconds FROM orders")
+def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcode jobs that are read from command lines made of the orders."""
+    key = F.col("o_orderkey")
+    cut = F.when(key % 3 == 1, " -t 1:30.5").when(key % 3 == 2, " -to 3:20").otherwise(" -odd")
+    codec = F.when(key % 2 == 0, " -c:v h264").otherwise(" -c copy")
+    line = F.concat(F.lit("ffmpeg -y -ss "), (key % 60).cast("string"), F.lit(" -i 'in "), key.cast("string"), F.lit(".mov'"), codec, cut, F.lit(" out"), key.cast("string"), F.lit(".mp4"))
+    made = views.table(spark, sf_dir, "orders").select("o_orderkey", D.parse_commands(line).alias("j"))
+    return made.select("o_orderkey", F.array_join("j.inputs", ",").alias("input"), "j.output", F.col("j.params")["video_codec"].alias("video_codec"), F.col("j.params")["start"].cast("long").alias("start"), F.array_join("j.extra", ",").alias("extra"), "j.seconds")
