@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -135,6 +136,20 @@ def matrix_of(runs: list[tuple[int, int]]) -> np.ndarray:
     return costs
 
 
+#: Rows up to which a block's results are kept for other blocks with the same symbols, and how many are kept.
+SHORT, KEPT = 32, 1 << 14
+
+
+@lru_cache(KEPT)
+def short_matrix(runs: tuple[tuple[int, int], ...]) -> list[int]:
+    return matrix_of(list(runs)).ravel().tolist()
+
+
+def flat_matrix(runs: list[tuple[int, int]]) -> list[int]:
+    """The matrix of a block's runs, row by row; conversations are often alike, so that short ones are looked up."""
+    return short_matrix(tuple(runs)) if len(runs) <= SHORT else matrix_of(runs).ravel().tolist()
+
+
 def choose(symbol: int, state: int, now: list[int], after: list[int]) -> tuple[str, str, int]:
     """The ASCII-least cheapest edits up to and with a turn: letters, what they put out, and the next state.
 
@@ -191,6 +206,18 @@ def unroll(symbols: list[int], copies: list[int], costs: np.ndarray, state: int,
     return letters, outs, state
 
 
+@lru_cache(KEPT)
+def short_unroll(symbols: tuple[int, ...], copies: tuple[int, ...], costs: tuple[int, ...], state: int, last: bool) -> tuple[list[str], list[str], int]:
+    return unroll(list(symbols), list(copies), np.array(costs, np.int64).reshape(4, 1), state, last)
+
+
+def choices(symbols: list[int], copies: list[int], costs: list[int], state: int, last: bool) -> tuple[list[str], list[str], int]:
+    """``unroll`` of a block, looked up where it is short."""
+    if len(symbols) <= SHORT:
+        return short_unroll(tuple(symbols), tuple(copies), tuple(costs), state, last)
+    return unroll(symbols, copies, np.array(costs, np.int64).reshape(4, 1), state, last)
+
+
 def damage(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Damaged rows ``_c, _t, _r, _text, n``, by a checksum of ``conversation:turn``; ``n`` is how often a row then stands there.
 
@@ -267,7 +294,7 @@ def numbered_blocks(faulty: DataFrame, block: int = BLOCK) -> DataFrame:
             if held[0]:
                 turns, roles, keys, copies, blanks, cuts, firsts = held
                 symbols, stats, edges = summary(turns, roles, copies, blanks, cuts, firsts)
-                made.append((conv, number, turns, roles, keys, copies, symbols, matrix_of(runs_of(symbols, copies)).ravel().tolist(), stats, edges))
+                made.append((conv, number, turns, roles, keys, copies, symbols, flat_matrix(runs_of(symbols, copies)), stats, edges))
                 number += 1
                 held = [[] for _ in range(7)]
 
@@ -367,7 +394,7 @@ def paths(blocks: DataFrame, exits: DataFrame) -> DataFrame:
             columns = [column_of(b, c).to_pylist() for c in ("_symbols", "_copies", "_exit", "_lead", "_last")]
             for k, (symbols, copies, costs, lead, last) in enumerate(zip(*columns, strict=True)):
                 for entry in (START,) if lead else range(4):
-                    letters, outs, left = unroll(symbols, copies, np.array(costs, np.int64).reshape(4, 1), entry, last)
+                    letters, outs, left = choices(symbols, copies, costs, entry, last)
                     source.append(k)
                     for column, value in zip(made, (entry, left, letters, outs), strict=False):
                         column.append(value)
