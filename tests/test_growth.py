@@ -33,3 +33,9 @@ def test_every_lag_of_every_stream(spark, joined_up):
     rows = numbered(spark, 400, 30)
     got = sync.lag_scores(rows, later(rows), 20).groupBy("lag").agg(F.count("*").alias("n")).collect()
     assert {r.lag: r.n for r in got} == {k: 400 for k in range(13)}
+
+
+def test_every_stream_has_an_offset(spark, joined_up):
+    rows = numbered(spark, 400, 30)
+    got = sync.sync_offset(rows, later(rows), 20).groupBy("offset").agg(F.count("*").alias("n"), F.min("confidence").alias("c")).collect()
+    assert [(r.offset, r.n, round(r.c, 6)) for r in got] == [(3, 400, 1.0)]
