@@ -58,11 +58,13 @@ def rescale(ts: Column, num: Column, den: Column, to_num: Column, to_den: Column
 
 
 def two(x: Column) -> Column:
-    return F.lpad(x.cast("string"), 2, "0")
+    """At least two digits; longer numbers stay whole."""
+    digits = x.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), F.lit("0"))
 
 
 def smpte_from_frames(frames: Column, fps: int, drop: bool = False) -> Column:
-    """``HH:MM:SS:FF``, or ``HH:MM:SS;FF`` with two labels dropped each minute but every tenth."""
+    """``HH:MM:SS:FF``, or ``HH:MM:SS;FF`` with two labels dropped each minute but every tenth; hours count on past a day."""
     label = frames.cast("long")
     if drop:
         minute, ten = fps * 60 - 2, fps * 600 - 18
@@ -75,17 +77,17 @@ def smpte_from_frames(frames: Column, fps: int, drop: bool = False) -> Column:
 def smpte_parts(text: Column) -> Column:
     """Hours, minutes, seconds and frames of a timecode with colons or semicolons; null if it has other parts."""
     parts = F.split(text, "[:;]")
-    return F.when((F.size(parts) == 4) & text.rlike(r"^\d+[:;]\d+[:;]\d+[:;]\d+$"), parts.cast("array<int>"))
+    return F.when((F.size(parts) == 4) & text.rlike(r"^\d+[:;]\d+[:;]\d+[:;]\d+$"), parts.cast("array<long>"))
 
 
 def smpte_to_frames(text: Column, fps: int, drop: bool = False) -> Column:
-    """The inverse of ``smpte_from_frames``; null for text out of range."""
+    """The inverse of ``smpte_from_frames``; null for minutes, seconds or frames out of range."""
     p = smpte_parts(text)
     minutes = p[0] * 60 + p[1]
-    total = (minutes * 60 + p[2]).cast("long") * fps + p[3]
+    total = (minutes * 60 + p[2]) * fps + p[3]
     if drop:
         total = total - 2 * (minutes - F.floor(minutes / 10))
-    return F.when((p[0] < 24) & (p[1] < 60) & (p[2] < 60) & (p[3] < fps), total.cast("long"))
+    return F.when((p[1] < 60) & (p[2] < 60) & (p[3] < fps), total.cast("long"))
 
 
 def cue_time(text: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinelake.functions import scalars
 from cinelake.operators import sync
 
 
@@ -39,3 +40,12 @@ def test_every_stream_has_an_offset(spark, joined_up):
     rows = numbered(spark, 400, 30)
     got = sync.sync_offset(rows, later(rows), 20).groupBy("offset").agg(F.count("*").alias("n"), F.min("confidence").alias("c")).collect()
     assert [(r.offset, r.n, round(r.c, 6)) for r in got] == [(3, 400, 1.0)]
+
+
+def test_timecodes_beyond_a_day(spark):
+    frames = [30 * 3600 * h + f for h in (23, 24, 99, 100, 1000) for f in (0, 1799, 1800, 1801)]
+    rows = spark.createDataFrame([(n,) for n in frames], "n long")
+    rows = rows.select("n", scalars.smpte_from_frames(F.col("n"), 25).alias("plain"), scalars.smpte_from_frames(F.col("n"), 30, drop=True).alias("dropped"))
+    got = rows.select("*", scalars.smpte_to_frames(F.col("dropped"), 30, drop=True).alias("back")).collect()
+    assert [r.back for r in got] == frames
+    assert [r.plain for r in got] == [f"{n // 90000:02d}:{n // 1500 % 60:02d}:{n // 25 % 60:02d}:{n % 25:02d}" for n in frames]
