@@ -49,3 +49,9 @@ def test_timecodes_beyond_a_day(spark):
     got = rows.select("*", scalars.smpte_to_frames(F.col("dropped"), 30, drop=True).alias("back")).collect()
     assert [r.back for r in got] == frames
     assert [r.plain for r in got] == [f"{n // 90000:02d}:{n // 1500 % 60:02d}:{n // 25 % 60:02d}:{n % 25:02d}" for n in frames]
+
+
+def test_frames_added_to_late_timecodes(spark):
+    rows = spark.createDataFrame([("23:59:59:24",), ("24:00:00:00",), ("246:40:00:07",), ("24:60:00:00",)], "code string")
+    got = [r.n for r in rows.select((scalars.smpte_to_frames(F.col("code"), 25) - 5000).alias("n")).collect()]
+    assert got == [2_154_999, 2_155_000, 22_195_007, None]
