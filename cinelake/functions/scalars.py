@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm as a fold; 92 steps suffice for 64-bit numbers."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
+def _euclid(a: Column, b: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of the greatest common divisor, by Euclid's algorithm as a fold.
+
+    A number below the golden ratio to the power n is through after n + 1 steps, so that the fold is no longer than its smaller
+    number asks for.
+    """
+    a, b = F.abs(a.cast("long")), F.abs(b.cast("long"))
+    steps = (F.log2(F.least(a, b).cast("double") + 1) * 1.4405).cast("int") + 3
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), steps), F.struct(a.alias("a"), b.alias("b")), step, lambda s: made(s["a"]))
+
+
+def gcd(a: Column, b: Column) -> Column:
+    return _euclid(a, b, lambda g: g)
 
 
 def rational(num: Column, den: Column) -> Column:
     """Reduced, with a positive denominator; a denominator of zero is allowed."""
-    g = gcd(num, den)
     sign = F.when(den < 0, -1).otherwise(1)
-    div = lambda x: F.when(g == 0, x.cast("long")).otherwise(F.try_divide(x.cast("decimal(38,0)"), g).cast("long"))
-    return F.struct((div(num) * sign).alias("num"), (div(den) * sign).alias("den"))
+    div = lambda x, g: F.when(g == 0, x.cast("long")).otherwise(F.call_function("div", x.cast("long"), g)) * sign
+    return _euclid(num, den, lambda g: F.struct(div(num, g).alias("num"), div(den, g).alias("den")))
 
 
 def rational_add(a: Column, b: Column) -> Column:

@@ -1,5 +1,7 @@
 """What holds on small tables must hold on larger ones: rows of a key in one task, numbers beyond two digits."""
 
+import math
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,3 +57,16 @@ def test_frames_added_to_late_timecodes(spark):
     rows = spark.createDataFrame([("23:59:59:24",), ("24:00:00:00",), ("246:40:00:07",), ("24:60:00:00",)], "code string")
     got = [r.n for r in rows.select((scalars.smpte_to_frames(F.col("code"), 25) - 5000).alias("n")).collect()]
     assert got == [2_154_999, 2_155_000, 22_195_007, None]
+
+
+def test_divisors_in_one_short_fold(spark):
+    fibonacci = [1, 1]
+    while len(fibonacci) < 91:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    pairs = [*zip(fibonacci, fibonacci[1:], strict=False), *zip(fibonacci[1:], fibonacci, strict=False), (0, 0), (0, 7), (-12, 18), (12, -18), (2**63 - 1, 2**63 - 1), (2**62, 6), (5, 0)]
+    made = scalars.rational(F.col("a"), F.col("b"))
+    assert str(made).count("aggregate(") == 1
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", scalars.gcd(F.col("a"), F.col("b")).alias("g"), made.alias("r")).collect()
+    for r in rows:
+        g, sign = math.gcd(r.a, r.b), -1 if r.b < 0 else 1
+        assert r.g == g and tuple(r.r) == (r.a // (g or 1) * sign, r.b // (g or 1) * sign)
