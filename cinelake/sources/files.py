@@ -64,6 +64,15 @@ def listed(pattern: str) -> list[str]:
     return sorted(prefix + f.path for f in store.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.File and fnmatch(f.path, at))
 
 
+def sized(pattern: str) -> list[tuple[str, int]]:
+    """The files of ``listed``, and the bytes of each."""
+    files, (store, at) = listed(pattern), _store(pattern)
+    if isinstance(store, pafs.LocalFileSystem):
+        return [(f, os.path.getsize(f)) for f in files]
+    prefix = len(pattern) - len(at)
+    return [(f, i.size) for f, i in zip(files, store.get_file_info([f[prefix:] for f in files]), strict=True)]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors reach: below ``spark.checkpoint.dir``; only in local mode a temporary one may stand in."""
     sc = spark.sparkContext

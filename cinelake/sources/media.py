@@ -2,7 +2,8 @@
 
 ``spark.read.format("wav")`` gives a packet per second of audio, ``"y4m"`` a packet per frame; both read byte ranges
 of fixed-size records, so that any packet is found without scanning what precedes it.  The options ``path`` (a file or
-a glob, on a file system or store that all executors reach) and ``packets_per_partition`` apply.
+a glob, on a file system or store that all executors reach) and ``packets_per_partition`` apply.  Small files are read
+whole, many in a task, and their headers only there; ``tasks`` is how many can run at once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-from .files import listed, open_input, size_of
+from .files import open_input, size_of, sized
 
 SCHEMA = "file string, stream_index int, seq bigint, pts bigint, dts bigint, duration bigint, keyframe boolean, position bigint, size int, data binary"
 
@@ -83,9 +84,20 @@ def y4m_header(path: str) -> Y4mHeader:
 
 @dataclass
 class Span(InputPartition):
+    """Packets of a file; without ``last`` all from the first on."""
+
     path: str
     first: int
-    last: int
+    last: int | None
+
+
+@dataclass
+class Spans(InputPartition):
+    spans: list[Span]
+
+
+#: Bytes up to which a file is small, and bytes and number of small files that a task reads.
+SMALL, TASK_BYTES, TASK_FILES = 4 << 20, 32 << 20, 1000
 
 
 class MediaReader(DataSourceReader):
@@ -103,16 +115,32 @@ class MediaReader(DataSourceReader):
             if f.attribute != ("seq",) or not isinstance(f, EqualTo | GreaterThanOrEqual | LessThanOrEqual):
                 yield f
 
-    def partitions(self) -> list[Span]:
-        size = int(self.options.get("packets_per_partition", 64))
-        spans = []
-        for path in listed(self.options["path"]):
-            stop = self.count(path) if self.high is None else min(self.count(path), self.high + 1)
-            spans += [Span(path, i, min(i + size, stop)) for i in range(self.low, stop, size)]
-        return spans or [Span("", 0, 0)]
-
-    def read(self, span: Span) -> Iterator[tuple]:
-        return self.packets(span) if span.path else iter(())
+    def partitions(self) -> list[Spans]:
+        asked = self.options.get("packets_per_partition")
+        size, small = int(asked or 64), -1 if asked else SMALL
+        files = sized(self.options["path"])
+        most = max(min(-(-len(files) // int(self.options.get("tasks", 8))), TASK_FILES), 1)
+        parts, held, weight = [], [], 0
+        for path, length in files:
+            if length > small:
+                stop = self.stop(path, None)
+                parts += [Spans([Span(path, i, min(i + size, stop))]) for i in range(self.low, stop, size)]
+                continue
+            if held and (len(held) == most or weight + length > TASK_BYTES):
+                parts.append(Spans(held))
+                held, weight = [], 0
+            held.append(Span(path, self.low, None))
+            weight += length
+        return [*parts, Spans(held)] if held or not parts else parts
+
+    def stop(self, path: str, last: int | None) -> int:
+        """Where a file's packets end, by its header unless that is known, or by the filters."""
+        stop = self.count(path) if last is None else last
+        return stop if self.high is None else min(stop, self.high + 1)
+
+    def read(self, part: Spans) -> Iterator[tuple]:
+        for s in part.spans:
+            yield from self.packets(Span(s.path, s.first, self.stop(s.path, s.last)))
 
 
 class WavReader(MediaReader):
@@ -185,6 +213,7 @@ def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("wav", "y4m"):
         register(spark)
+        options = {"tasks": str(spark.sparkContext.defaultParallelism)} | options
         return spark.read.format(kind).options(path=path, **options).load()
     if kind in packet_index.KINDS:
         return packet_index.read(spark, path, **{k: int(v) for k, v in options.items()})

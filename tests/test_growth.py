@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import scalars
 from cinelake.operators import sync
+from cinelake.sources import media, sinks
 
 
 @pytest.fixture
@@ -70,3 +71,13 @@ def test_divisors_in_one_short_fold(spark):
     for r in rows:
         g, sign = math.gcd(r.a, r.b), -1 if r.b < 0 else 1
         assert r.g == g and tuple(r.r) == (r.a // (g or 1) * sign, r.b // (g or 1) * sign)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = numbered(spark, 300, 40).groupBy("stream", F.expr("i div 16").alias("seq")).agg(F.unhex(F.lpad(F.hex(F.count("*")), 2, "0")).alias("data"))
+    packets = rows.select(F.format_string("%d.wav", "stream").alias("file"), F.lit(0).alias("stream_index"), "seq", F.col("seq").alias("pts"), F.col("seq").alias("dts"), F.lit(True).alias("keyframe"), "data")
+    sinks.write(packets, str(tmp_path), "wav", rate="1", bits="8")
+    back = media.read_media(spark, f"{tmp_path}/*.wav")
+    assert back.rdd.getNumPartitions() <= 8
+    assert back.count() == 900 and back.filter("seq = 2").select("data").distinct().collect() == [(bytearray([8]),)]
+    assert back.filter("seq <= 1").count() == 600 and media.read_media(spark, f"{tmp_path}/*.wav", packets_per_partition="1").filter("seq >= 1").count() == 600
