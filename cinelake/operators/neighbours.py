@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 MOST_KEYS, SELECTIVE = 200, 30
 
 
-def pieces_for(radius: int) -> int:
+def pieces_for(radius: int, bits: int = 64) -> int:
     """The least number of pieces that makes keys selective, or else the most pieces that the number of keys allows.
 
-    Beyond a radius of four bits keys hold fewer bits, and more hashes meet under each.
+    Beyond a radius of four bits, and in hashes of fewer bits, keys hold fewer bits, and more hashes meet under each.
     """
-    allowed = [p for p in range(radius + 1, 65) if comb(p, radius) <= MOST_KEYS]
-    return next((p for p in allowed if 64 * (p - radius) >= SELECTIVE * p), allowed[-1])
+    allowed = [p for p in range(radius + 1, bits + 1) if comb(p, radius) <= MOST_KEYS]
+    return next((p for p in allowed if bits * (p - radius) >= SELECTIVE * p), allowed[-1])
 
 
-def widths(pieces: int) -> list[tuple[int, int]]:
+def widths(pieces: int, bits: int = 64) -> list[tuple[int, int]]:
     """First bit and length of each piece."""
-    edges = [64 * k // pieces for k in range(pieces + 1)]
+    edges = [bits * k // pieces for k in range(pieces + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -43,40 +43,46 @@ def classes(hashes: DataFrame, key: str = "frame_no", value: str = "hash") -> Da
     return known.join(known.groupBy("hash").agg(F.min("key").alias("class")), "hash").select("key", "hash", "class")
 
 
-def neighbours(hashes: DataFrame, radius: int, key: str = "frame_no", value: str = "hash", pieces: int | None = None) -> DataFrame:
+def neighbours(hashes: DataFrame, radius: int, key: str = "frame_no", value: str = "hash", pieces: int | None = None, bits: int = 64) -> DataFrame:
     """``a, b, distance`` of all pairs of different hashes within the radius; ``a`` and ``b`` are the least keys of each hash, a < b.
 
-    With ``classes`` these give all pairs of rows, which need not be made.
+    With ``classes`` these give all pairs of rows, which need not be made.  Hashes differ in their lowest ``bits`` only: all
+    of them would meet under a key of bits that are the same throughout.
     """
     if not 0 <= radius < 16:
         raise ValueError("the radius is from 0 to 15")
-    pieces = pieces if pieces is not None else pieces_for(radius)
-    spans = widths(pieces)
+    if not radius < bits <= 64:
+        raise ValueError("hashes have more bits than the radius, and 64 at most")
+    pieces = pieces if pieces is not None else pieces_for(radius, bits)
+    spans = widths(pieces, bits)
     choices = list(combinations(range(pieces), pieces - radius))
     distinct = hashes.select(F.col(key).alias("_key"), F.col(value).cast("long").alias("_hash")).filter("_hash is not null").groupBy("_hash").agg(F.min("_key").alias("_key"))
-    each = F.array(*[piece(F.col("_hash"), *s) for s in spans])
-    keys = F.array(*[F.struct(F.lit(n).alias("_n"), F.xxhash64(*[F.get("_p", F.lit(k)) for k in c]).alias("_h")) for n, c in enumerate(choices)])
-    rows = distinct.withColumn("_p", each).select("_key", "_hash", F.inline(keys))
-    left, right = rows.select("_n", "_h", F.col("_key").alias("a"), F.col("_hash").alias("_x")), rows.select("_n", "_h", F.col("_key").alias("b"), F.col("_hash").alias("_y"))
+    masks = [sum(((1 << n) - 1) << k for k, n in (spans[i] for i in c)) for c in choices]
+    rows = distinct.select("_key", "_hash", F.posexplode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("_n", "_m"))
+    rows = rows.select("_key", "_hash", "_n", F.col("_hash").bitwiseAND(F.col("_m")).alias("_h"))
+    # a pair may share several keys: the first of them gives it, whose pieces are the first that agree
+    low = [(2 << c[-1]) - 1 if c else 0 for c in choices]
+    out = [n & ~sum(1 << k for k in c) for n, c in zip(low, choices, strict=True)]
+    told = lambda masks: F.get(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.col("_n"))
+    left = rows.select("_n", "_h", F.col("_key").alias("a"), F.col("_hash").alias("_x"), told(low).alias("_low"), told(out).alias("_out"))
+    right = rows.select("_n", "_h", F.col("_key").alias("b"), F.col("_hash").alias("_y"))
     differing = F.col("_x").bitwiseXOR(F.col("_y"))
     met = left.join(right, ["_n", "_h"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differing) <= radius))
-    # a pair may share several keys: the first of them gives it
-    same = F.array(*[piece(differing, *s) == 0 for s in spans])
-    first = F.array_position(F.array(*[_all([F.get("_s", F.lit(k)) for k in c]) for c in choices]), True) - 1
-    return met.withColumn("_s", same).filter(F.col("_n") == first).select("a", "b", F.bit_count(differing).alias("distance"))
+    pieced = F.lit(0).cast("long")
+    for k, s in enumerate(spans):
+        pieced = pieced.bitwiseOR(F.when(piece(differing, *s) != 0, F.lit(_signed(1 << k)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return met.filter(pieced.bitwiseAND(F.col("_low")) == F.col("_out")).select("a", "b", F.bit_count(differing).alias("distance"))
 
 
-def _all(flags: list[Column]) -> Column:
-    out = F.lit(True)
-    for f in flags:
-        out &= f
-    return out
+def _signed(mask: int) -> int:
+    """Sixty-four bits as a long."""
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def nearest(hashes: DataFrame, asked: DataFrame, radius: int, key: str = "frame_no", value: str = "hash") -> DataFrame:
+def nearest(hashes: DataFrame, asked: DataFrame, radius: int, key: str = "frame_no", value: str = "hash", bits: int = 64) -> DataFrame:
     """For each row of ``asked`` (``key``, ``hash``) the rows within the radius: ``asked, found, distance``."""
-    pieces = pieces_for(radius)
-    spans, choices = widths(pieces), list(combinations(range(pieces), pieces - radius))
+    pieces = pieces_for(radius, bits)
+    spans, choices = widths(pieces, bits), list(combinations(range(pieces), pieces - radius))
 
     def keyed(rows: DataFrame, own: str, hashed: str) -> DataFrame:
         known = rows.select(F.col(key).alias(own), F.col(value).cast("long").alias(hashed)).filter(F.col(hashed).isNotNull())

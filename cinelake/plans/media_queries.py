@@ -157,7 +157,7 @@ def packet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different average hashes, of the last three rows of pixels, within four bits."""
     lower = pixels.average_hash("p").bitwiseAND(F.lit((1 << 24) - 1))
-    return neighbours.neighbours(views.frames(spark, sf_dir).select("frame_no", lower.alias("hash")), 4)
+    return neighbours.neighbours(views.frames(spark, sf_dir).select("frame_no", lower.alias("hash")), 4, bits=24)
 
 
 _NOISE = "((((frame_no * 7919 + k + 12345) % 2147483648) * 2654435761) % 4294967296)"

@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions import scalars
-from cinelake.operators import sync
+from cinelake.operators import neighbours, sync
 from cinelake.sources import media, sinks
 
 
@@ -81,3 +82,12 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     assert back.rdd.getNumPartitions() <= 8
     assert back.count() == 900 and back.filter("seq = 2").select("data").distinct().collect() == [(bytearray([8]),)]
     assert back.filter("seq <= 1").count() == 600 and media.read_media(spark, f"{tmp_path}/*.wav", packets_per_partition="1").filter("seq >= 1").count() == 600
+
+
+def test_neighbours_of_short_hashes(spark):
+    rnd = np.random.default_rng(2)
+    values = [int(v) for v in rnd.integers(0, 1 << 24, 300)]
+    values = list(dict.fromkeys(values + [v ^ 1 << int(k) ^ 1 << int(n) for v, k, n in zip(values, rnd.integers(0, 24, 300), rnd.integers(0, 24, 300), strict=True)]))
+    table = spark.createDataFrame(list(enumerate(values)), "frame_no long, hash long")
+    got = [tuple(r) for r in neighbours.neighbours(table, 4, bits=24).collect()]
+    assert sorted(got) == [(a, b, (x ^ y).bit_count()) for a, x in enumerate(values) for b, y in enumerate(values) if a < b and (x ^ y).bit_count() <= 4]
