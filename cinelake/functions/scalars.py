@@ -74,13 +74,16 @@ def two(x: Column) -> Column:
 
 
 def smpte_from_frames(frames: Column, fps: int, drop: bool = False) -> Column:
-    """``HH:MM:SS:FF``, or ``HH:MM:SS;FF`` with two labels dropped each minute but every tenth; hours count on past a day."""
-    label = frames.cast("long")
+    """``HH:MM:SS:FF``, or ``HH:MM:SS;FF`` with two labels dropped each minute but every tenth; hours count on past a day.
+
+    All divisions are of whole numbers: a double holds no quotient of frames beyond 2 to the power 53.
+    """
+    label, div = frames.cast("long"), lambda x, size: F.call_function("div", x, F.lit(size))
     if drop:
         minute, ten = fps * 60 - 2, fps * 600 - 18
-        tens, rest = F.floor(label / ten), label % ten
-        label = label + 18 * tens + F.when(rest >= fps * 60, 2 * (F.floor((rest - fps * 60) / minute) + 1)).otherwise(0)
-    part = lambda size, most: (F.floor(label / size) % most if most else F.floor(label / size)).cast("long")
+        tens, rest = div(label, ten), label % ten
+        label = label + 18 * tens + F.when(rest >= fps * 60, 2 * (div(rest - fps * 60, minute) + 1)).otherwise(0)
+    part = lambda size, most: div(label, size) % most if most else div(label, size)
     return F.concat(two(part(fps * 3600, 0)), F.lit(":"), two(part(fps * 60, 60)), F.lit(":"), two(part(fps, 60)), F.lit(";" if drop else ":"), two(label % fps))
 
 
@@ -96,7 +99,7 @@ def smpte_to_frames(text: Column, fps: int, drop: bool = False) -> Column:
     minutes = p[0] * 60 + p[1]
     total = (minutes * 60 + p[2]) * fps + p[3]
     if drop:
-        total = total - 2 * (minutes - F.floor(minutes / 10))
+        total = total - 2 * (minutes - F.call_function("div", minutes, F.lit(10)))
     return F.when((p[1] < 60) & (p[2] < 60) & (p[3] < fps), total.cast("long"))
 
 

@@ -61,6 +61,16 @@ def test_frames_added_to_late_timecodes(spark):
     assert got == [2_154_999, 2_155_000, 22_195_007, None]
 
 
+def test_timecodes_of_very_large_frame_numbers(spark):
+    frames = [25 * 3600 * 1000 * 5**k + f for k in range(12, 16) for f in (-1, 0, 1)] + [2**62 - 1, 2**62]
+    rows = spark.createDataFrame([(n,) for n in frames], "n long")
+    for fps, drop in ((25, False), (30, True)):
+        code = scalars.smpte_from_frames(F.col("n"), fps, drop)
+        assert [r.back for r in rows.select(scalars.smpte_to_frames(code, fps, drop).alias("back")).collect()] == frames
+    plain = [r.code for r in rows.select(scalars.smpte_from_frames(F.col("n"), 25).alias("code")).collect()]
+    assert plain == [f"{n // 90000:02d}:{n // 1500 % 60:02d}:{n // 25 % 60:02d}:{n % 25:02d}" for n in frames]
+
+
 def test_divisors_in_one_short_fold(spark):
     fibonacci = [1, 1]
     while len(fibonacci) < 91:
