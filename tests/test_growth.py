@@ -46,6 +46,15 @@ def test_every_stream_has_an_offset(spark, joined_up):
     assert [(r.offset, r.n, round(r.c, 6)) for r in got] == [(3, 400, 1.0)]
 
 
+def test_short_streams_have_no_offset(spark):
+    rows = numbered(spark, 1, 30).filter("i < 18").unionByName(numbered(spark, 1, 30).select(F.lit(1).cast("long").alias("stream"), "i", "x"))
+    rows = rows.unionByName(rows.select(F.lit(None).cast("long").alias("stream"), "i", "x").filter("i < 25"))
+    lags = {r.stream: r.n for r in sync.lag_scores(rows, later(rows), 20, least=20).groupBy("stream").agg(F.count("*").alias("n")).collect()}
+    assert lags == {0: 1, 1: 13}  # 21 and 33 samples are searched by their lags with 20 to follow
+    assert [(r.stream, r.offset) for r in sync.sync_offset(rows, later(rows), 20, least=20).orderBy("stream").collect()] == [(0, 0), (1, 3)]
+    assert sync.sync_offset(rows.filter("i < 17"), later(rows.filter("i < 17")), 20, least=20).count() == 0
+
+
 def test_timecodes_beyond_a_day(spark):
     frames = [30 * 3600 * h + f for h in (23, 24, 99, 100, 1000) for f in (0, 1799, 1800, 1801)]
     rows = spark.createDataFrame([(n,) for n in frames], "n long")
