@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -188,9 +190,12 @@ def transfer_speed(jobs: DataFrame, key: str) -> DataFrame:
     return jobs.groupBy(key).agg(F.when(seconds > 0, F.sum("bytes") / F.nullif(seconds, F.lit(0.0))).otherwise(0.0).alias("speed"))
 
 
-def look_ahead_bitrate(stats: DataFrame, ahead: int, base: int) -> DataFrame:
-    """Bits of each frame by its own complexity and that of the frames ahead, within half and three times the base."""
-    window = W.partitionBy("stream").orderBy("idx").rowsBetween(0, ahead - 1)
+def look_ahead_bitrate(stats: DataFrame, ahead: int, base: int, order: Sequence[str] = ("idx",)) -> DataFrame:
+    """Bits of each frame by its own complexity and that of the frames ahead, within half and three times the base.
+
+    Where the rows already lie in the order of the columns of ``order``, they are not sorted again.
+    """
+    window = W.partitionBy("stream").orderBy(*order).rowsBetween(0, ahead - 1)
     mean = F.avg("complexity").over(W.partitionBy("stream"))
     factor = F.when(F.col("kind") == "I", 1.5).when(F.col("kind") == "P", 1.0).otherwise(0.7)
     share = F.when(mean == 0, 1.0).otherwise((0.7 * F.col("complexity") + 0.3 * F.avg("complexity").over(window)) / F.when(mean > 0, mean))

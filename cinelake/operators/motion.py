@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,8 +110,8 @@ def pulldown(frames: DataFrame, cadence: str = "3:2", at: str = "frame_no") -> D
     return frames.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))))
 
 
-def stability(frames: DataFrame, value: str = "motion") -> DataFrame:
+def stability(frames: DataFrame, value: str = "motion", order: Sequence[str] = ("idx",)) -> DataFrame:
     """``stream, mean, most, smoothness`` of a motion: the smoother, the less it changes from frame to frame."""
-    step = F.col(value) - F.lag(value).over(W.partitionBy("stream").orderBy("idx"))
+    step = F.col(value) - F.lag(value).over(W.partitionBy("stream").orderBy(*order))
     rows = frames.select("stream", F.col(value).alias("_v"), step.alias("_d"))
     return rows.groupBy("stream").agg(F.avg("_v").alias("mean"), F.max("_v").alias("most"), (1 / (1 + F.coalesce(F.avg(F.col("_d") * F.col("_d")), F.lit(0.0)))).alias("smoothness"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import control as C
 from ..operators import documents as D
-from ..operators.islands import asof_join, trailing
+from ..operators.islands import asof_join
 from ..operators.motion import stability
 from . import views
 from .registration import query
@@ -74,7 +74,8 @@ def dash_segment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ST}, w AS (SELECT *, avg(complexity) OVER (PARTITION BY stream) AS m, avg(complexity) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a FROM stats) SELECT stream, idx, round(greatest(500, least(3000, 1000 * CASE WHEN m = 0 THEN 1.0 ELSE (0.7 * complexity + 0.3 * a) / m END * CASE kind WHEN 'I' THEN 1.5 WHEN 'P' THEN 1.0 ELSE 0.7 END)), 8) AS budget FROM w")
 def look_ahead_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.look_ahead_bitrate(views.frame_stats(spark, sf_dir), 3, 1000).select("stream", "idx", F.round("budget", 8).alias("budget"))
+    frames = views.frame_lines(spark, sf_dir).select("stream", *views.FRAME_ORDER, views.frame_index(), "kind", "complexity")
+    return C.look_ahead_bitrate(frames, 3, 1000, views.FRAME_ORDER).select("stream", "idx", F.round("budget", 8).alias("budget"))
 
 
 @query(f"{ST} SELECT stream, idx, round(greatest(0, least(51, 26 * avg(complexity) OVER (PARTITION BY stream) / greatest(complexity, 0.1) * CASE kind WHEN 'I' THEN 0.8 WHEN 'P' THEN 1.0 ELSE 1.2 END)), 6) AS q FROM stats")
@@ -107,12 +108,13 @@ def gop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ST} SELECT stream, idx, round(avg(motion) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS motion FROM stats")
 def motion_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.frame_stats(spark, sf_dir).select("stream", "idx", F.round(F.avg("motion").over(trailing(["stream"], "idx", 3)), 6).alias("motion"))
+    order = W.partitionBy("stream").orderBy(*views.FRAME_ORDER).rowsBetween(-2, 0)
+    return views.frame_lines(spark, sf_dir).select("stream", views.frame_index(), F.round(F.avg("motion").over(order), 6).alias("motion"))
 
 
 @query(f"{ST}, d AS (SELECT stream, motion - lag(motion) OVER (PARTITION BY stream ORDER BY idx) AS d, motion FROM stats) SELECT stream, round(avg(motion), 6) AS mean, max(motion) AS most, round(1 / (1 + coalesce(avg(d * d), 0)), 6) AS smoothness FROM d GROUP BY stream")
 def stabilization_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = stability(views.frame_stats(spark, sf_dir))
+    made = stability(views.frame_lines(spark, sf_dir), order=views.FRAME_ORDER)
     return made.select("stream", F.round("mean", 6).alias("mean"), "most", F.round("smoothness", 6).alias("smoothness"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions import scalars
-from cinelake.operators import neighbours, sync
+from cinelake.operators import control, neighbours, sync
+from cinelake.plans import control_queries, views
 from cinelake.sources import media, sinks
 
 
@@ -80,6 +81,31 @@ def test_timecodes_of_very_large_frame_numbers(spark):
     assert plain == [f"{n // 90000:02d}:{n // 1500 % 60:02d}:{n // 25 % 60:02d}:{n % 25:02d}" for n in frames]
 
 
+@pytest.fixture
+def lines(spark, tmp_path):
+    rows = spark.range(400).withColumn("h", F.abs(F.xxhash64("id")))
+    rows = rows.selectExpr("id % 37 l_orderkey", "h % 7 + 1 l_linenumber", "id l_partkey", "h % 5 l_suppkey", "h % 900 / 4 l_extendedprice", "h % 50 * 1.0D l_quantity", "h % 11 / 100D l_discount", "substring('ANR', int(h % 3) + 1, 1) l_returnflag")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def passes(made):
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan.count("Sort [")
+
+
+def test_look_ahead_is_one_sort(spark, lines):
+    made = control_queries.look_ahead_bitrate(spark, lines)
+    assert passes(made) == (1, 1)
+    want = control.look_ahead_bitrate(views.frame_stats(spark, lines), 3, 1000).select("stream", "idx", F.round("budget", 8).alias("budget"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.count() == 400
+
+
+def test_frame_windows_share_a_sort(spark, lines):
+    for made in (control_queries.motion_average, control_queries.frame_quantizer, control_queries.stabilization_stats):
+        assert passes(made(spark, lines)) == (1, 1), made.__name__
+
+
 def test_divisors_in_one_short_fold(spark):
     fibonacci = [1, 1]
     while len(fibonacci) < 91:
