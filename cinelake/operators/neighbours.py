@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Most keys that a hash is dealt out under, and bits that make a key selective enough.
+#: Most keys that a hash is dealt out under, and bits that make a key selective enough; of a short hash, half of its bits are.
 MOST_KEYS, SELECTIVE = 200, 30
 
 
 def pieces_for(radius: int, bits: int = 64) -> int:
     """The least number of pieces that makes keys selective, or else the most pieces that the number of keys allows.
 
-    Beyond a radius of four bits, and in hashes of fewer bits, keys hold fewer bits, and more hashes meet under each.
+    Beyond a radius of four bits, and in hashes of less than 60 bits, keys hold fewer bits, and more hashes meet under each.
     """
     allowed = [p for p in range(radius + 1, bits + 1) if comb(p, radius) <= MOST_KEYS]
-    return next((p for p in allowed if bits * (p - radius) >= SELECTIVE * p), allowed[-1])
+    return next((p for p in allowed if bits * (p - radius) >= min(SELECTIVE, bits / 2) * p), allowed[-1])
 
 
 def widths(pieces: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -53,25 +53,35 @@ def neighbours(hashes: DataFrame, radius: int, key: str = "frame_no", value: str
         raise ValueError("the radius is from 0 to 15")
     if not radius < bits <= 64:
         raise ValueError("hashes have more bits than the radius, and 64 at most")
-    pieces = pieces if pieces is not None else pieces_for(radius, bits)
+    pieces = min(pieces, bits) if pieces is not None else pieces_for(radius, bits)
     spans = widths(pieces, bits)
     choices = list(combinations(range(pieces), pieces - radius))
     distinct = hashes.select(F.col(key).alias("_key"), F.col(value).cast("long").alias("_hash")).filter("_hash is not null").groupBy("_hash").agg(F.min("_key").alias("_key"))
     masks = [sum(((1 << n) - 1) << k for k, n in (spans[i] for i in c)) for c in choices]
-    rows = distinct.select("_key", "_hash", F.posexplode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("_n", "_m"))
+    rows = spread(distinct, "_hash").select("_key", "_hash", F.posexplode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("_n", "_m"))
     rows = rows.select("_key", "_hash", "_n", F.col("_hash").bitwiseAND(F.col("_m")).alias("_h"))
-    # a pair may share several keys: the first of them gives it, whose pieces are the first that agree
-    low = [(2 << c[-1]) - 1 if c else 0 for c in choices]
-    out = [n & ~sum(1 << k for k in c) for n, c in zip(low, choices, strict=True)]
-    told = lambda masks: F.get(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.col("_n"))
-    left = rows.select("_n", "_h", F.col("_key").alias("a"), F.col("_hash").alias("_x"), told(low).alias("_low"), told(out).alias("_out"))
+    # both sides are the same rows, dealt once
+    left = rows.select("_n", "_h", F.col("_key").alias("a"), F.col("_hash").alias("_x"))
     right = rows.select("_n", "_h", F.col("_key").alias("b"), F.col("_hash").alias("_y"))
     differing = F.col("_x").bitwiseXOR(F.col("_y"))
-    met = left.join(right, ["_n", "_h"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differing) <= radius))
-    pieced = F.lit(0).cast("long")
-    for k, s in enumerate(spans):
-        pieced = pieced.bitwiseOR(F.when(piece(differing, *s) != 0, F.lit(_signed(1 << k)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return met.filter(pieced.bitwiseAND(F.col("_low")) == F.col("_out")).select("a", "b", F.bit_count(differing).alias("distance"))
+    # a pair may share several keys: the first of them gives it, before whose last piece all others differ.  A piece differs where
+    # its lower bits, added to as many ones, or its own highest bit set its highest bit; the last piece of all is never asked for
+    lower = sum(((1 << n - 1) - 1) << k for k, n in spans[:-1])
+    highest = [sum(1 << k + n - 1 for k, n in (spans[i] for i in range(c[-1]) if i not in c)) if c else 0 for c in choices]
+    others = F.get(F.array(*[F.lit(h).cast("long") for h in highest]), F.col("_n"))
+    differ = (differing.bitwiseAND(F.lit(lower).cast("long")) + F.lit(lower).cast("long")).bitwiseOR(differing)
+    met = met_under(left, right).filter((F.bit_count(differing) <= radius) & (F.col("a") < F.col("b")))
+    return met.filter(differ.bitwiseAND(others) == others).select("a", "b", F.bit_count(differing).alias("distance"))
+
+
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows that become many each, in as many partitions as a shuffle has: adaptive execution would join them up by the bytes of the few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(by))
+
+
+def met_under(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that share a key, by sorting, what differs most first.  Spark takes dealt rows for as many bytes as what they were made of, and would broadcast them."""
+    return left.hint("merge").join(right.hint("merge"), ["_h", "_n"])
 
 
 def _signed(mask: int) -> int:
@@ -90,6 +100,6 @@ def nearest(hashes: DataFrame, asked: DataFrame, radius: int, key: str = "frame_
         keys = F.array(*[F.struct(F.lit(n).alias("_n"), F.xxhash64(*[F.get("_p", F.lit(k)) for k in c]).alias("_h")) for n, c in enumerate(choices)])
         return each.select(own, hashed, F.inline(keys))
 
-    met = keyed(asked, "asked", "_x").join(keyed(hashes, "found", "_y"), ["_n", "_h"])
+    met = met_under(keyed(asked, "asked", "_x"), keyed(hashes, "found", "_y"))
     distance = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y")))
     return met.filter(distance <= radius).select("asked", "found", distance.alias("distance")).distinct()

@@ -214,9 +214,9 @@ def chi_square(frames: DataFrame, bins: int) -> DataFrame:
 
 
 def average_hash(p: str) -> Column:
-    """A bit for each of 64 pixels above the integer mean, the first pixel highest."""
+    """A bit for each of 64 pixels above the integer mean, the first pixel highest.  The mean is made once, not for each pixel."""
     mean = F.floor(total(p) / F.size(p))
-    return bits(F.transform(F.col(p), lambda v: v > mean))
+    return F.get(F.transform(F.array(mean), lambda m: bits(F.transform(F.col(p), lambda v: v > m))), F.lit(0))
 
 
 def difference_hash(p: str, width: int = 8) -> Column:

@@ -136,3 +136,29 @@ def test_neighbours_of_short_hashes(spark):
     table = spark.createDataFrame(list(enumerate(values)), "frame_no long, hash long")
     got = [tuple(r) for r in neighbours.neighbours(table, 4, bits=24).collect()]
     assert sorted(got) == [(a, b, (x ^ y).bit_count()) for a, x in enumerate(values) for b, y in enumerate(values) if a < b and (x ^ y).bit_count() <= 4]
+
+
+@pytest.mark.parametrize(("bits", "radius", "pieces"), [(24, 4, None), (24, 4, 9), (23, 3, 7), (7, 2, None), (5, 4, 4), (5, 2, 8), (64, 4, 6)])
+def test_neighbours_are_given_once_whatever_the_pieces(spark, bits, radius, pieces):
+    rnd = np.random.default_rng(bits)
+    near = [int(v) for v in rnd.integers(0, 1 << min(bits, 9), 90)]
+    values = list(dict.fromkeys([v << bits - min(bits, 9) for v in near] + near))
+    table = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)], "frame_no long, hash long")
+    got = [tuple(r) for r in neighbours.neighbours(table, radius, pieces=pieces, bits=bits).collect()]
+    assert sorted(got) == [(a, b, (x ^ y).bit_count()) for a, x in enumerate(values) for b, y in enumerate(values) if a < b and (x ^ y).bit_count() <= radius]
+
+
+def test_dealt_hashes_are_not_broadcast(spark):
+    # few bytes before they are dealt out under keys, which is what Spark goes by
+    table = spark.createDataFrame([(k, 977 * k) for k in range(3000)], "frame_no long, hash long")
+    for pairs in (neighbours.neighbours(table, 4, bits=24), neighbours.nearest(table, table.limit(5), 4, bits=24)):
+        assert pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_few_hashes_are_dealt_out_in_many_tasks(spark):
+    table = spark.createDataFrame([(k, 977 * k) for k in range(3000)], "frame_no long, hash long")
+    few = table.groupBy("hash").agg(F.min("frame_no").alias("frame_no"))
+    assert few.select(F.spark_partition_id().alias("p")).distinct().count() == 1
+    assert neighbours.spread(few, "hash").select(F.spark_partition_id().alias("p")).distinct().count() == 4
